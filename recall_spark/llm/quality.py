@@ -26,8 +26,9 @@ from recall_spark.llm import textarrays as ta
 from recall_spark.llm.common import only, remainder, share
 
 TRAIN_DOCS = 10_000
-BINS = 12
-NAMES = ("log words", "word length", "upper case", "exclamation", "bar", "marks", "stops", "digits", "doubled marks", "next word equal", "distinct words", "capital words", "lines a word")
+#: Where features are cut; a value at a cut falls below it, so that none (0) and a little are told apart.
+QUANTILES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.94, 0.97, 0.99)
+NAMES = ("log words", "word length", "upper case", "exclamation", "bar", "marks", "stops", "digits", "doubled marks", "next word equal", "next two equal", "distinct words", "capital words", "lines a word")
 
 
 def _class(chars: str) -> np.ndarray:
@@ -66,6 +67,8 @@ def describe(texts: pa.Array) -> np.ndarray:
     first_of_text[np.cumsum(counts) - counts] = True
     again = np.zeros(len(words), bool)
     again[1:] = (words[1:] == words[:-1]) & ~first_of_text[1 : len(words)]
+    thrice = again.copy()
+    thrice[1:] &= again[:-1]
     ends = np.cumsum(counts)
     distinct = np.array([len(np.unique(words[a:b])) for a, b in zip(ends - counts, ends)], float)
     doubled = np.zeros(len(data), bool)
@@ -74,7 +77,7 @@ def describe(texts: pa.Array) -> np.ndarray:
     capital = _UPPER[data[start]] & _UPPER[data[np.minimum(start + 1, end - 1)]] & (end - start > 1) if len(start) else np.zeros(0, bool)
     return np.stack([
         np.log1p(counts), per_word(end - start) / total, per_text(_UPPER[data]) / letters, per_text(_BANG[data]) / size, per_text(_BAR[data]) / size,
-        per_text(_MARK[data]) / size, per_text(_STOP[data]) / size, per_text(_DIGIT[data]) / size, per_text(doubled) / size, per_word(again) / total,
+        per_text(_MARK[data]) / size, per_text(_STOP[data]) / size, per_text(_DIGIT[data]) / size, per_text(doubled) / size, per_word(again) / total, per_word(thrice) / total,
         distinct / total, per_word(capital) / total, per_text(_LINE[data]) / total,
     ], axis=1)
 
@@ -83,17 +86,17 @@ class Scorer:
     """Cuts of the features and a weight for each bin."""
 
     def __init__(self, sample: np.ndarray):
-        self.cuts = [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1])) for column in sample.T]
+        self.cuts = [np.unique(np.quantile(column, QUANTILES)) for column in sample.T]
         self.first = np.cumsum([0, *(len(c) + 1 for c in self.cuts)])
         self.weights, self.bias, self.prior = np.zeros(self.first[-1]), 0.0, float("nan")
 
     def bins(self, rows: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(c, x, "right") + at for c, x, at in zip(self.cuts, rows.T, self.first)], axis=1)
+        return np.stack([np.searchsorted(c, x, "left") + at for c, x, at in zip(self.cuts, rows.T, self.first)], axis=1)
 
     def raw(self, bins: np.ndarray) -> np.ndarray:
         return self.weights[bins].sum(axis=1) + self.bias
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 500, rate: float = 0.05, shrink: float = 1e-3) -> None:
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.2, shrink: float = 1e-5) -> None:
         """Adam on the non-negative risk."""
         w, n = np.append(self.weights, self.bias), self.first[-1]
         m, v = np.zeros_like(w), np.zeros_like(w)
@@ -117,13 +120,12 @@ class Scorer:
         return 1 / (1 + np.exp(-self.raw(self.bins(describe(texts)))))
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: float = 0.2) -> float:
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: float = 0.5) -> float:
     """The smallest ratio of unlabelled to positive shares above a score, over cuts that hold enough positives."""
     cuts = np.quantile(positive, np.linspace(0, 1 - least_share, 60))
     p = 1 - np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
     u = 1 - np.searchsorted(np.sort(unlabelled), cuts, "left") / len(unlabelled)
-    noise = np.sqrt(u * (1 - u) / len(unlabelled)) / p
-    return float(np.clip(((u / p) + noise).min(), 0.01, 0.99))
+    return float(np.clip((u / p).min(), 0.01, 0.99))
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Scorer:
