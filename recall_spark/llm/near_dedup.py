@@ -6,9 +6,9 @@ are one class, stood for by its smallest id. Documents that share a key are cand
 estimated from the equal low bits, less the collisions expected of unequal minima, and what may reach the limit
 is confirmed on the full shingle sets.
 
-A key shared by n texts doesn't lead to n * n candidates: each is compared with the smallest id of its key;
-then only pairs that these links leave in different components are compared. Every pair that shares a key is
-hence either compared or already connected, and no key is capped. A pair at similarity 0.75 shares none of the
+A key shared by n texts doesn't lead to n * n candidates: each is compared with the smallest id of its key, then
+with TURNS other members unless already connected; then only pairs that these links leave in different components
+are compared. Every pair that shares a key is hence either compared or already connected, and no key is capped. A pair at similarity 0.75 shares none of the
 32 keys with probability 5e-6, and lies below the margin of the estimate with probability 3e-6.
 
 Nulls and empty or blank texts have no shingles and are linked with nothing. Rows with one doc_id are one node.
@@ -32,6 +32,8 @@ HASHES, BANDS, ROWS, BITS = 256, 32, 4, 2
 PERCENT = 75
 #: Standard errors that an estimate may lie below the limit.
 MARGIN = 4.5
+#: Members of a key, besides its smallest, that are compared with the rest before all components are.
+TURNS = 2
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -170,17 +172,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def likely(pairs: DataFrame) -> DataFrame:
         return pairs.join(bits_a, "a").join(bits_b, "b").where(estimate("bits_a", "bits_b") >= least).select("a", "b")
 
-    first = confirm(save(likely(shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()), "pairs"), docs, percent)
-    label = connected(first)
-    # A text may still be linked with others than its hub: compare across the components that share a key.
-    at = shared.where("n > 2").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    links = confirm(save(likely(shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()), "pairs"), docs, percent)
+    label = connected(links)
+    own_component = F.coalesce("component", "rep").alias("component")
+    for turn in range(TURNS):
+        # Another member of each key that holds several components is compared with those outside its own.
+        at = shared.where("n > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", own_component)
+        mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("next")).where("low < high")
+        pairs = at.join(mixed, "key").where("component <> next.component").select(F.col("rep").alias("a"), F.col("next.rep").alias("b")).distinct()
+        links = links.union(confirm(save(likely(pairs), "pairs"), docs, percent))
+        label = connected(links)
+    # What is still apart is compared with all other components that share a key.
+    at = shared.where("n > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "hub", own_component)
     mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("rep", "component"))["component"].alias("hub_component")).where("low < high").drop("low", "high")
     open_rows = save(at.join(mixed, "key").join(reps.select("rep", "bits"), "rep").select("key", "rep", "component", "hub", "bits", (F.col("component") == F.col("hub_component")).alias("settled")), "open")
     stray = open_rows.where("not settled").select("key", F.col("rep").alias("a"), F.col("component").alias("component_a"), F.col("hub").alias("hub_a"), F.col("bits").alias("bits_a"))
     other = open_rows.select("key", F.col("rep").alias("b"), F.col("component").alias("component_b"), "settled", F.col("bits").alias("bits_b"))
     across = stray.join(other, (stray["key"] == other["key"]) & (F.col("component_a") != F.col("component_b")) & (F.col("b") != F.col("hub_a")) & (F.col("settled") | (F.col("a") < F.col("b"))) & (estimate("bits_a", "bits_b") >= least))
-    second = confirm(save(across.select("a", "b").distinct(), "pairs"), docs, percent)
-    label = connected(first.union(second))
+    label = connected(links.union(confirm(save(across.select("a", "b").distinct(), "pairs"), docs, percent)))
     return member.join(label, member["rep"] == label["node"], "left").select(
         "doc_id",
         "n_shingles",
