@@ -58,14 +58,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_mixing, op4_toxicity, op5_token_counts, op6_exact_dedup, op7_pii, op8_language_id, op9_near_dedup, op10_secrets)}
 
 
-_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '')"
-_SETS = "list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)"
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_SETS = "list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)"
 
 OP2 = f"""
 WITH d AS (SELECT DISTINCT doc_id, unnest(s) AS s FROM (SELECT doc_id, {_SETS} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents))),
      b AS (SELECT item_id, len(s) AS n_item, unnest(s) AS s FROM (SELECT item_id, {_SETS} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)))
 SELECT doc_id, item_id, n_item, count(*) AS n_found, count(*)::DOUBLE / n_item AS containment
-FROM b JOIN d USING (s) GROUP BY ALL HAVING 100 * count(*) >= 75 * n_item
+FROM b JOIN d USING (s) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
 """
 
 OP6 = """
