@@ -1,9 +1,371 @@
 """All registered queries of the memory engine with their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from recall_spark.functions import scoring as sc
+from recall_spark.functions import text as tx
+from recall_spark.operators import chunking, context, listing, maintenance, search
+from recall_spark.sources import files as fl
+from recall_spark.sources import tables as tb
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+_TYPES = "[" + ", ".join(f"'{t}'" for t in tb.TYPES) + "]"
+_MEMORIES = f"""memories AS (
+  SELECT doc_id AS memory_id, source AS repo_id, source AS repo_name, CASE WHEN doc_id % 4 <> 0 THEN 'main' ELSE 'dev' END AS branch_name,
+    ({_TYPES})[(doc_id % 7 + 1)::INT] AS content_type, text, lang AS language, 'src/' || lang || '/f' || (doc_id % 25) || '.txt' AS file_path,
+    doc_id % 100 + 1 AS line_start, doc_id % 100 + 10 AS line_end, CASE WHEN doc_id % 5 = 0 THEN 'fn_' || (doc_id % 13) END AS function_name,
+    CASE WHEN doc_id % 5 = 1 THEN 'Cls_' || (doc_id % 11) END AS class_name, [lang, 't' || (doc_id % 3), 'g' || (doc_id % 5)] AS tags,
+    {tb.EPOCH} + doc_id % 1000 * 3600 AS created_at, doc_id % 7 IN (0, 3) AND doc_id % 3 = 1 AS stale FROM documents)"""
+_TOKENS = "((length({0}) + 3) // 4)::INT"
+_ONE_LINE = r"""CASE WHEN length(trim(regexp_extract(text, '^[^.!?]+[.!?]'), E' \n\t\r')) BETWEEN 1 AND 100 THEN trim(regexp_extract(text, '^[^.!?]+[.!?]'), E' \n\t\r')
+  WHEN length(trim(text, E' \n\t\r')) <= 100 THEN trim(text, E' \n\t\r') ELSE trim(left(text, 97), E' \n\t\r') || '...' END"""
+_NEAREST = """vectors AS (SELECT e.vec_id, e.embedding, e.label, m.repo_id, m.branch_name FROM embeddings e JOIN memories m ON e.vec_id = m.memory_id),
+  d AS (SELECT q.vec_id AS query_id, v.vec_id AS memory_id, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (q.embedding[i]::DOUBLE - v.embedding[i]::DOUBLE) ^ 2)) AS distance
+        FROM vectors v, vectors q WHERE q.vec_id < 5),
+  hits AS (SELECT query_id, memory_id, exp(-distance) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), memory_id) AS rank FROM d)"""
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _hits(spark, d, k):
+    v = tb.vectors(spark, d)
+    return search.top_k(v, v.where("memory_id < 5").select(F.col("memory_id").alias("query_id"), "embedding"), k)
+
+
+def _found(spark, d, k, least):
+    return _hits(spark, d, k).where(F.col("similarity") >= least).join(tb.memories(spark, d), "memory_id").where("not stale")
+
+
+@query(f"WITH {_MEMORIES}, {_NEAREST} SELECT query_id, memory_id, rank, round(similarity, 6) AS similarity, content_type FROM hits JOIN memories USING (memory_id) WHERE rank <= 5 AND similarity >= 0.2 AND NOT stale")
+def search_similar(spark, d):
+    return _found(spark, d, 5, 0.2).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"), "content_type")
+
+
+@query(f"WITH {_MEMORIES}, {_NEAREST} SELECT query_id, count(*) AS n, round(max(similarity), 6) AS best FROM hits JOIN memories USING (memory_id) WHERE rank <= 20 AND similarity >= 0.2 AND NOT stale GROUP BY query_id")
+def search_multi(spark, d):
+    return _found(spark, d, 20, 0.2).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("similarity"), 6).alias("best"))
+
+
+@query(f"WITH {_MEMORIES}, {_NEAREST} SELECT query_id, memory_id FROM hits JOIN memories USING (memory_id) WHERE rank <= 50 AND NOT stale AND language = 'en' AND list_has_all(tags, ['t1'])")
+def search_tags_lang(spark, d):
+    return _found(spark, d, 50, 0.0).where((F.col("language") == "en") & listing.has_tags(["t1"])).select("query_id", "memory_id")
+
+
+@query(f"WITH {_MEMORIES}, {_NEAREST}, r AS (SELECT query_id, memory_id, rank, content_type FROM hits JOIN memories USING (memory_id) WHERE rank <= 30 AND similarity >= 0.2 AND NOT stale AND content_type IN ('decision', 'analysis', 'context', 'conversation')) SELECT query_id, memory_id, content_type FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10")
+def recall_context(spark, d):
+    from pyspark.sql import Window
+
+    rows = _found(spark, d, 30, 0.2).where(F.col("content_type").isin(*tb.RECALLED))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("n <= 10").select("query_id", "memory_id", "content_type")
+
+
+@query(f"WITH {_MEMORIES} SELECT memory_id, created_at FROM memories WHERE repo_id = 'src3' AND branch_name = 'main' AND content_type = 'decision' AND NOT stale ORDER BY created_at DESC, memory_id LIMIT 100")
+def list_by_type_lang(spark, d):
+    return listing.listed(tb.memories(spark, d), repo="src3", branch="main", content_type="decision").select("memory_id", "created_at")
+
+
+@query(f"WITH {_MEMORIES} SELECT memory_id, language FROM memories WHERE NOT stale AND list_has_all(tags, ['en', 't1'])")
+def list_by_tags_all(spark, d):
+    return listing.filtered(tb.memories(spark, d), tags=["en", "t1", "t1"]).select("memory_id", "language")
+
+
+@query(f"WITH {_MEMORIES} SELECT memory_id, file_path FROM memories WHERE NOT stale AND lower(file_path) LIKE 'src/en/f1%'")
+def list_by_path_prefix(spark, d):
+    return listing.filtered(tb.memories(spark, d), path="SRC/en/f1").select("memory_id", "file_path")
+
+
+@query(f"WITH {_MEMORIES} SELECT memory_id, function_name AS symbol FROM memories WHERE function_name = 'fn_3' UNION ALL SELECT memory_id, class_name FROM memories WHERE class_name = 'Cls_4'")
+def list_by_symbol(spark, d):
+    m = tb.memories(spark, d)
+    a = listing.filtered(m, function_name="fn_3", include_stale=True).select("memory_id", F.col("function_name").alias("symbol"))
+    return a.union(listing.filtered(m, class_name="Cls_4", include_stale=True).select("memory_id", "class_name"))
+
+
+@query(f"WITH {_MEMORIES} SELECT memory_id, branch_name FROM memories WHERE repo_id = 'src2' AND NOT stale")
+def list_cross_branch(spark, d):
+    return listing.filtered(tb.memories(spark, d), repo="src2", branch="main", cross_branch=True).select("memory_id", "branch_name")
+
+
+@query(f"WITH {_MEMORIES} SELECT memory_id, file_path FROM memories WHERE NOT stale ORDER BY file_path, created_at DESC, memory_id LIMIT 20 OFFSET 40")
+def list_page(spark, d):
+    return listing.listed(tb.memories(spark, d), "file", 20, 40).select("memory_id", "file_path")
+
+
+@query(f"WITH {_MEMORIES} SELECT memory_id, content_type, sha256(text) AS checksum FROM memories WHERE memory_id = 7 AND branch_name = 'main'")
+def retrieve_by_id(spark, d):
+    m = tb.memories(spark, d)
+    return m.where("memory_id = 7 and branch_name = 'main'").select("memory_id", "content_type", tx.checksum(F.col("text")).alias("checksum"))
+
+
+@query(f"WITH {_MEMORIES} SELECT memory_id, created_at, content_type FROM memories WHERE NOT stale ORDER BY created_at DESC, memory_id LIMIT 10")
+def recent_context(spark, d):
+    return listing.listed(tb.memories(spark, d), limit=10).select("memory_id", "created_at", "content_type")
+
+
+@query("SELECT doc_id AS memory_id, sha256(text) AS checksum, left(sha256(source), 16) AS path_hash FROM documents")
+def scalar_checksum(spark, d):
+    return tb.memories(spark, d).select("memory_id", tx.checksum(F.col("text")).alias("checksum"), tx.path_id(F.col("repo_id")).alias("path_hash"))
+
+
+@query(f"SELECT doc_id AS memory_id, {_TOKENS.format('text')} AS tokens, {_TOKENS.format('text')} <= 200 AS fits FROM documents")
+def scalar_tokens(spark, d):
+    return tb.memories(spark, d).select("memory_id", tx.tokens(F.col("text")).alias("tokens"), tx.fits(F.col("text"), 200).alias("fits"))
+
+
+@query(f"SELECT doc_id AS memory_id, {_ONE_LINE} AS one_line FROM documents")
+def one_line(spark, d):
+    return tb.memories(spark, d).select("memory_id", tx.one_line(F.col("text")).alias("one_line"))
+
+
+_CUT = r"""CASE WHEN {tokens} <= {budget} THEN {x} WHEN len(regexp_split_to_array(left({x}, {chars}), '[.!?]\s+')) > 1
+  THEN array_to_string(regexp_split_to_array(left({x}, {chars}), '[.!?]\s+')[1:-2], '. ') || '.' ELSE left({x}, {chars}) END"""
+
+
+def _cut_sql(x: str, budget: int) -> str:
+    return _CUT.format(x=x, tokens=_TOKENS.format(x), budget=budget, chars=4 * budget)
+
+
+@query(f"SELECT memory_id, {_cut_sql('p', 500)} AS detailed FROM (SELECT doc_id AS memory_id, split_part(text, E'\\n\\n', 1) AS p, text FROM documents) WHERE {_TOKENS.format('text')} > 200")
+def detailed_summary(spark, d):
+    return tb.memories(spark, d).select("memory_id", tx.detailed(F.col("text")).alias("detailed")).where("detailed is not null")
+
+
+@query(f"SELECT doc_id AS memory_id, {_cut_sql('text', 100)} AS cut FROM documents")
+def truncate_tokens(spark, d):
+    return tb.memories(spark, d).select("memory_id", tx.truncated(F.col("text"), 100).alias("cut"))
+
+
+@query(f"WITH {_MEMORIES} SELECT memory_id, CASE WHEN function_name IS NOT NULL THEN 'function' WHEN class_name IS NOT NULL THEN 'class' ELSE 'text' END AS chunk_type FROM memories")
+def chunk_type(spark, d):
+    return tb.memories(spark, d).select("memory_id", tx.chunk_type(F.col("function_name"), F.col("class_name")).alias("chunk_type"))
+
+
+@query(f"WITH {_MEMORIES} SELECT file_path, 'text' AS language, count(*) AS n FROM memories GROUP BY file_path")
+def detect_language(spark, d):
+    return tb.memories(spark, d).groupBy("file_path", tx.language(F.col("file_path")).alias("language")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_MEMORIES} SELECT repo_name || ' (' || repo_id || ')' AS repository, count(*) AS n, count(*) FILTER (WHERE stale) AS n_stale, count(*) * 3 / 1024.0::DOUBLE AS size_mb FROM memories GROUP BY repo_id, repo_name")
+def stats_by_repo(spark, d):
+    return listing.by_repository(tb.memories(spark, d))
+
+
+@query(f"WITH {_MEMORIES}, {_NEAREST} SELECT count(*) AS n_vectors, count(DISTINCT repo_id) AS n_repos, ceil(count(*) / 50000.0)::BIGINT AS shards FROM vectors")
+def stats_vectors(spark, d):
+    return tb.vectors(spark, d).agg(F.count("*").alias("n_vectors"), F.countDistinct("repo_id").alias("n_repos"), F.ceil(F.count("*") / 50000.0).cast("long").alias("shards"))
+
+
+@query(f"WITH {_MEMORIES}, {_NEAREST} SELECT file_path, round(max(similarity), 6) AS best FROM hits JOIN memories USING (memory_id) WHERE rank <= 20 AND NOT stale GROUP BY file_path ORDER BY round(max(similarity), 6) DESC, file_path LIMIT 5")
+def best_per_file(spark, d):
+    return _found(spark, d, 20, 0.0).groupBy("file_path").agg(F.round(F.max("similarity"), 6).alias("best")).orderBy(F.desc("best"), "file_path").limit(5)
+
+
+@query(f"WITH {_MEMORIES} SELECT memory_id, sha256(text) AS checksum FROM memories QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY created_at, memory_id) > 1")
+def dedup_exact(spark, d):
+    return maintenance.copies(tb.memories(spark, d)).select("memory_id", "checksum")
+
+
+@query(f"""WITH {_MEMORIES}, r AS (SELECT memory_id, 1 AS o, 'age' AS reason FROM memories WHERE created_at < {tb.AS_OF} - 30 * 86400 AND content_type = 'conversation'
+  UNION ALL SELECT memory_id, 2, 'stale' FROM memories WHERE stale
+  UNION ALL SELECT memory_id, 3, 'duplicate' FROM (SELECT memory_id FROM memories QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY created_at, memory_id) > 1))
+  SELECT memory_id, min_by(reason, o) AS reason FROM r GROUP BY memory_id""")
+def cleanup_preview(spark, d):
+    return maintenance.cleanup(tb.memories(spark, d), tb.AS_OF, 30, "conversation", True, True)
+
+
+@query(f"WITH {_MEMORIES} SELECT memory_id, content_type FROM memories WHERE content_type IN ('conversation', 'context') AND created_at < {tb.AS_OF} - 30 * 86400")
+def ttl_expired(spark, d):
+    return maintenance.expired(tb.memories(spark, d), 30, tb.AS_OF).select("memory_id", "content_type")
+
+
+def _hashes(spark, d):
+    first = tb.memories(spark, d).groupBy(F.col("file_path").alias("path")).agg(F.min_by("text", "memory_id").alias("t"), F.min("memory_id").alias("i"))
+    old = first.select("path", F.sha2("t", 256).alias("sha256"))
+    new = first.where("i % 10 <> 1").select("path", F.when(F.col("i") % 4 == 0, F.sha2(F.concat("t", F.lit("!")), 256)).otherwise(F.sha2("t", 256)).alias("sha256"))
+    return old, new.union(spark.sql("SELECT concat('new/f', id) AS path, sha2(cast(id AS string), 256) AS sha256 FROM range(3)"))
+
+
+_HASHES = f"""{_MEMORIES}, f AS (SELECT file_path AS path, min_by(text, memory_id) AS t, min(memory_id) AS i FROM memories GROUP BY file_path),
+  a AS (SELECT path, sha256(t) AS h FROM f), b AS (SELECT path, sha256(CASE WHEN i % 4 = 0 THEN t || '!' ELSE t END) AS h FROM f WHERE i % 10 <> 1 UNION ALL SELECT 'new/f' || i, sha256(i::VARCHAR) FROM range(3) r(i)),
+  changed AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h)"""
+
+
+@query(f"WITH {_HASHES} SELECT path, change FROM changed")
+def changed_files(spark, d):
+    return maintenance.changes(*_hashes(spark, d))
+
+
+@query(f"WITH {_HASHES} SELECT memory_id, stale OR (path IS NOT NULL AND content_type IN ('code_snippet', 'relationship')) AS stale, CASE WHEN stale THEN 'File changed in commit abc12345' WHEN path IS NOT NULL AND content_type IN ('code_snippet', 'relationship') THEN 'File changed in commit 0123abcd' END AS stale_reason FROM memories LEFT JOIN changed ON file_path = path")
+def mark_stale(spark, d):
+    return maintenance.marked_stale(tb.memories(spark, d), maintenance.changes(*_hashes(spark, d)), "0123abcdef").select("memory_id", "stale", "stale_reason")
+
+
+@query(f"WITH {_MEMORIES} SELECT repo_id, branch_name, max_by('c' || memory_id, created_at * 1000000 + memory_id) AS commit FROM memories GROUP BY ALL")
+def last_commit(spark, d):
+    log = tb.memories(spark, d).select("repo_id", "branch_name", F.concat(F.lit("c"), F.col("memory_id").cast("string")).alias("commit"), (F.col("created_at") * 1000000 + F.col("memory_id")).alias("at"))
+    return maintenance.last_commits(log)
+
+
+_CENTROIDS = f"""{_MEMORIES}, {_NEAREST}, x AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM vectors, range(1, 65) r(i) WHERE label < 6 GROUP BY label, i),
+  c AS (SELECT label, list(m / n ORDER BY i) AS centroid FROM x JOIN (SELECT label, sqrt(sum(m * m)) AS n FROM x GROUP BY label) USING (label) GROUP BY label)"""
+_INTENTS = "[" + ", ".join(f"'{i}'" for i in sc.INTENTS) + "]"
+
+
+@query(f"WITH {_CENTROIDS} SELECT ({_INTENTS})[label + 1] AS intent, len(centroid)::INT AS dims, round(centroid[1], 6) AS first, round(centroid[64], 6) AS last FROM c")
+def intent_centroids(spark, d):
+    c = search.centroids(tb.vectors(spark, d), sc.INTENTS)
+    return c.select("intent", F.size("centroid").alias("dims"), F.round(F.element_at("centroid", 1), 6).alias("first"), F.round(F.element_at("centroid", 64), 6).alias("last"))
+
+
+def _intents(spark, d, below=1 << 60):
+    v = tb.vectors(spark, d)
+    return search.classified(v.where(F.col("memory_id") < below).select(F.col("memory_id").alias("query_id"), "embedding"), search.centroids(v, sc.INTENTS))
+
+
+_CLASSIFIED = f"""{_CENTROIDS}, s AS (SELECT vec_id AS query_id, label, list_sum(list_transform(range(1, 65), lambda i: v.embedding[i]::DOUBLE * c.centroid[i])) / sqrt(list_sum(list_transform(v.embedding, lambda e: e::DOUBLE * e::DOUBLE))) AS score FROM (SELECT vec_id, embedding FROM vectors) v, c),
+  intents AS (SELECT query_id, ({_INTENTS})[max_by(label, round(score, 12) * 1e6 - label * 1e-9) + 1] AS intent, least(greatest(max(score), 0.0), 1.0) AS confidence FROM s GROUP BY query_id)"""
+
+
+@query(f"WITH {_CLASSIFIED} SELECT query_id, intent, round(confidence, 6) AS confidence FROM intents")
+def classify_intent(spark, d):
+    return _intents(spark, d).select("query_id", "intent", F.round("confidence", 6).alias("confidence"))
+
+
+_PRIORITY = "CASE " + " ".join(f"WHEN intent = '{i}' AND content_type = '{t}' THEN {w}::DOUBLE" for i, ts in sc.PRIORITY.items() for t, w in zip(ts, sc.WEIGHTS)) + " ELSE 0.1::DOUBLE END"
+
+
+@query(f"WITH {_MEMORIES} SELECT intent, content_type, {_PRIORITY} AS priority, count(*) AS n FROM memories, (SELECT unnest({_INTENTS}) AS intent) GROUP BY intent, content_type")
+def type_priority(spark, d):
+    intents = spark.createDataFrame([(i,) for i in sc.INTENTS], "intent string")
+    counts = tb.memories(spark, d).groupBy("content_type").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(intents)).select("intent", "content_type", sc.type_priority(F.col("intent"), F.col("content_type")).alias("priority"), "n")
+
+
+def _ranked(spark, d):
+    return context.ranked(tb.derived(_found(spark, d, 20, 0.2)), _intents(spark, d, 5), tb.AS_OF)
+
+
+@query(f"WITH {_CLASSIFIED} SELECT query_id, memory_id, round(0.6 * similarity + 0.3 * {_PRIORITY} + 0.1 * greatest(0.3, exp(-(({tb.AS_OF} - created_at) / 86400.0::DOUBLE) / 60)), 6) AS composite FROM hits JOIN memories USING (memory_id) JOIN intents USING (query_id) WHERE rank <= 20 AND similarity >= 0.2 AND NOT stale")
+def composite_rank(spark, d):
+    return _ranked(spark, d).select("query_id", "memory_id", F.round("composite", 6).alias("composite"))
+
+
+@query(f"WITH {_MEMORIES}, {_NEAREST} SELECT query_id, least(greatest(trunc(800 * (0.3 + 0.9 * max(similarity)))::INT, 200), 1200) AS budget FROM hits WHERE rank BETWEEN 2 AND 6 GROUP BY query_id")
+def effective_budget(spark, d):
+    return _hits(spark, d, 6).where("rank >= 2").groupBy("query_id").agg(F.max("similarity").alias("s")).select("query_id", sc.budget(F.col("s")).alias("budget"))
+
+
+@query()
+def adaptive_block(spark, d):
+    return context.adaptive(_ranked(spark, d))
+
+
+@query()
+def legacy_block(spark, d):
+    return context.legacy(_ranked(spark, d), tb.PERSISTENT)
+
+
+@query()
+def select_skills(spark, d):
+    return context.selected_skills(tb.skills(spark), 500)
+
+
+@query(f"""WITH {_MEMORIES}, m AS (SELECT repo_id, memory_id, file_path, {_ONE_LINE} AS one_line, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY memory_id) AS nth, min(memory_id) OVER (PARTITION BY repo_id, file_path) AS ff FROM memories),
+  l AS (SELECT *, CASE WHEN nth = 1 THEN E'\\n## ' || file_path || E'\\n' ELSE '' END || '- ' || one_line || E'\\n' AS line FROM m),
+  r AS (SELECT *, sum({_TOKENS.format('line')}) OVER (PARTITION BY repo_id ORDER BY ff, nth, memory_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM l)
+  SELECT repo_id, file_path, memory_id, line, running FROM r WHERE running <= 500""")
+def summarize_by_file(spark, d):
+    return context.summary_lines(tb.derived(tb.memories(spark, d)), 500)
+
+
+@query()
+def near_dup_capture(spark, d):
+    v = tb.vectors(spark, d)
+    first = F.transform("embedding", lambda x, i: F.when(i == 0, x * F.lit(1.01)).otherwise(x))
+    return search.near_copies(v, v.where("memory_id % 20 = 0").select((F.col("memory_id") + 1_000_000).alias("query_id"), first.alias("embedding")))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role || ': ' || text AS line FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)
+  SELECT conv_id::VARCHAR AS session_id, string_agg(line, E'\\n\\n' ORDER BY turn) AS transcript FROM c GROUP BY conv_id""")
+def transcript_tail(spark, d):
+    lines = tb.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("line_no"), F.to_json(F.struct("role", F.col("text").alias("content"))).alias("line"))
+    return fl.tail(fl.transcript(lines), 3)
+
+
+@query(r"""SELECT conv_id, turn, trim(regexp_replace('A' || E'\n\n' || text || E'\n\n' || 'B', '\n{3,}', E'\n\n', 'g'), E' \n\t\r') AS text FROM conversations""")
+def compress_basic(spark, d):
+    noisy = F.concat(F.lit("A<system-reminder>x\ny</system-reminder>\n\n\n\n"), "text", F.lit("\n\n\n=======\n\n<tool_use>z</tool_use>B"))
+    return tb.table(spark, d, "conversations").select("conv_id", "turn", tx.compressed(noisy).alias("text"))
+
+
+@query(r"""SELECT doc_id AS memory_id, E'## Problem\n' || source || E'\n\n## Alternatives\n- ' || lang || E'\n- none\n\n## Chosen\n' || lang || E'\n\n## Rationale\n' || source || E'\n\n## Outcome\n' || CASE WHEN doc_id % 2 = 0 THEN 'done' ELSE 'TBD' END AS text FROM documents""")
+def decision_markdown(spark, d):
+    t = tb.table(spark, d, "documents")
+    return t.select(F.col("doc_id").alias("memory_id"), tx.decision(F.col("source"), F.array(F.col("lang"), F.lit("none")), F.col("lang"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, "done")).alias("text"))
+
+
+@query(f"""WITH {_MEMORIES}, e AS (SELECT memory_id AS from_id, memory_id + 1 AS to_id, 'depends_on' AS relationship_type FROM memories WHERE memory_id % 2 = 0 UNION ALL SELECT memory_id, memory_id + 2, 'related_to' FROM memories WHERE memory_id % 3 = 0)
+  SELECT from_id, to_id, relationship_type, content_type AS to_type, file_path AS to_path FROM e JOIN memories ON to_id = memory_id""")
+def edges_1hop(spark, d):
+    return listing.neighbours(tb.edges(spark, d), tb.memories(spark, d))
+
+
+_SECRET = r"""(?i:(?:password|passwd|secret|token|api_?key)["'']?\s*[:=]\s*["''][^"''\s]{8,}["''])|AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----|(?i:bearer\s+[A-Za-z0-9._-]{20,})"""
+
+
+@query(f"SELECT doc_id AS memory_id FROM documents WHERE regexp_matches(text, '{_SECRET}')")
+def secrets_flag(spark, d):
+    return tb.memories(spark, d).where(tx.has_secrets(F.col("text"))).select("memory_id")
+
+
+@query(f"SELECT doc_id AS memory_id, regexp_replace(text, '{_SECRET}', '[REDACTED]', 'g') AS text FROM documents")
+def secrets_sanitize(spark, d):
+    return maintenance.screened(tb.memories(spark, d)).select("memory_id", "text")
+
+
+@query()
+def chunk_text(spark, d):
+    return chunking.chunked(tb.memories(spark, d).select(F.col("memory_id").cast("string").alias("path"), "text", F.lit("text").alias("language"))).select("path", "chunk_text", "line_start", "line_end")
+
+
+@query()
+def chunk_python(spark, d):
+    code = F.concat(F.lit("class C"), F.col("memory_id").cast("string"), F.lit("(Base):\n    def f(self):\n        return 1\n\ndef g():\n    pass\n"))
+    return chunking.chunked(tb.memories(spark, d).select(F.col("memory_id").cast("string").alias("path"), code.alias("text"), F.lit("python").alias("language")))
+
+
+@query(r"""SELECT conv_id, turn, E'x\n```' || E'\n' || array_to_string([text || i FOR i IN range(1, 6)], E'\n') || E'\n... 30 lines omitted ...\n' || array_to_string([text || i FOR i IN range(36, 41)], E'\n') || E'\n```\ny' AS text FROM (SELECT conv_id, turn, regexp_replace(text, '\n', ' ', 'g') AS text FROM conversations)""")
+def code_fence_truncate(spark, d):
+    line = F.regexp_replace("text", "\n", " ")
+    fence = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(line, i.cast("string"))), "\n")
+    return tb.table(spark, d, "conversations").select("conv_id", "turn", tx.fences_cut(F.concat(F.lit("x\n```py\n"), fence, F.lit("\n```\ny"))).alias("text"))
+
+
+@query()
+def hashed_embed(spark, d):
+    return search.embedded(tb.memories(spark, d))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)

@@ -1,0 +1,83 @@
+"""Writing memories: an append-only log of versions, from which the current state is read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recall_spark.functions import text as tx
+from recall_spark.operators import chunking, maintenance
+from recall_spark.sources import files as fl
+from recall_spark.sources.tables import TYPES, derived
+
+
+class Store:
+    """Memories of all repositories at one path; every call is one write."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def create(self, rows: DataFrame, version: int) -> DataFrame:
+        """Append rows (repo_id, branch_name, content_type, text, ...) with ids from their content and place."""
+        if rows.where(~F.col("content_type").isin(*TYPES) | F.col("text").isNull() | (F.trim("text") == "")).limit(1).count():
+            raise ValueError("a memory needs a known content_type and a text; nothing was stored")
+        for column, kind in {"function_name": "string", "class_name": "string", "file_path": "string", "line_start": "int", "line_end": "int", "tags": "array<string>", "language": "string", "stale_reason": "string"}.items():
+            if column not in rows.columns:
+                rows = rows.withColumn(column, F.lit(None).cast(kind))
+        place = F.concat_ws("\x1f", "repo_id", "branch_name", F.coalesce("file_path", F.lit("")), tx.checksum(F.col("text")), F.coalesce(F.col("line_start").cast("string"), F.lit("")))
+        out = derived(rows).withColumns({"memory_id": F.left(F.sha2(place, 256), F.lit(32)), "version": F.lit(version).cast("long"), "deleted": F.lit(False), "stale": F.lit(False), "created_at": F.lit(version).cast("long")})
+        out = out.dropDuplicates(["memory_id"]).select(*sorted(out.columns))
+        out.write.mode("append").partitionBy("repo_id", "branch_name").parquet(f"{self.path}/memories")
+        return out
+
+    def log(self) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/memories")
+
+    def memories(self) -> DataFrame:
+        return maintenance.current(self.log())
+
+    def _append(self, rows: DataFrame, version: int) -> None:
+        rows.withColumn("version", F.lit(version).cast("long")).select(*sorted(rows.columns)).write.mode("append").partitionBy("repo_id", "branch_name").parquet(f"{self.path}/memories")
+
+    def delete(self, ids: DataFrame, version: int, confirm: bool = False) -> None:
+        if not confirm:
+            raise ValueError("deleting needs confirm=True")
+        self._append(self.memories().join(ids.select("memory_id"), "memory_id", "left_semi").withColumn("deleted", F.lit(True)), version)
+
+    def retag(self, ids: DataFrame, tags: list[str], version: int) -> None:
+        self._append(self.memories().join(ids.select("memory_id"), "memory_id", "left_semi").withColumn("tags", F.array(*map(F.lit, tags))), version)
+
+    def mark_stale(self, changed: DataFrame, commit: str, version: int) -> None:
+        before = self.memories()
+        after = maintenance.marked_stale(before, changed, commit)
+        self._append(after.join(before.where("not stale").select("memory_id"), "memory_id", "left_semi").where("stale"), version)
+
+    def compact(self, to: str) -> "Store":
+        """The current state as a store of its own, one version a memory."""
+        self.memories().write.mode("overwrite").partitionBy("repo_id", "branch_name").parquet(f"{to}/memories")
+        return Store(self.spark, to)
+
+    def index(self, root: str, repo: str, branch: str, version: int, patterns: tuple[str, ...] = ("*.py", "*.js", "*.ts", "*.go", "*.rs"), incremental: bool = True) -> DataFrame:
+        """Chunk new and changed files; returns path, change. Hashes are written last, so that a failed run is repeated."""
+        found = fl.decoded(fl.repository(self.spark, root, patterns))
+        new = found.select("path", "sha256")
+        known = self._hashes(repo, branch) if incremental else new.limit(0)
+        diff = maintenance.changes(known, new)
+        todo = found.join(diff.where("change <> 'removed'"), "path", "left_semi").where("text is not null").withColumn("language", tx.language(F.col("path")))
+        chunks = chunking.chunked(todo).where("trim(chunk_text) <> ''")
+        rows = chunks.select(F.lit(repo).alias("repo_id"), F.lit(branch).alias("branch_name"), F.lit("code_snippet").alias("content_type"), F.col("chunk_text").alias("text"), "language", F.col("path").alias("file_path"), "line_start", "line_end", F.when(F.col("kind").isin("function", "method"), F.col("name")).alias("function_name"), F.when(F.col("kind") == "class", F.col("name")).alias("class_name"), F.array(F.lit("indexed"), F.lit("repository")).alias("tags"))
+        listed = [tuple(r) for r in diff.limit(10_000).collect()]
+        self.create(rows, version)
+        new.withColumns({"repo_id": F.lit(repo), "branch_name": F.lit(branch), "version": F.lit(version).cast("long")}).write.mode("append").parquet(f"{self.path}/hashes")
+        return self.spark.createDataFrame(listed, "path string, change string")
+
+    def _hashes(self, repo: str, branch: str) -> DataFrame:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/hashes")
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.createDataFrame([], "path string, sha256 string")
+        rows = self.spark.read.parquet(f"{self.path}/hashes").where((F.col("repo_id") == repo) & (F.col("branch_name") == branch))
+        newest = rows.agg(F.max("version")).first()[0]
+        return rows.where(F.col("version") == newest).select("path", "sha256")
+
+    def audit(self, tool: str, repo: str, branch: str, at: int) -> None:
+        self.spark.createDataFrame([(at, tool, repo, branch)], "ts long, tool string, repo string, branch string").write.mode("append").json(f"{self.path}/audit")
