@@ -7,8 +7,9 @@ estimated from the equal low bits, less the collisions expected of unequal minim
 is confirmed on the full shingle sets.
 
 A key shared by n texts doesn't lead to n * n candidates: each is compared with the smallest id of its key, then
-with TURNS other members unless already connected; then only pairs that these links leave in different components
-are compared. Every pair that shares a key is hence either compared or already connected, and no key is capped. A pair at similarity 0.75 shares none of the
+with TURNS other members unless already connected; then, of pairs that these links leave in different components,
+those that share one of their rarest shingles, as all pairs at the limit do. Every pair that shares a key and can
+reach the limit is hence compared or already connected, and no key is capped. A pair at similarity 0.75 shares none of the
 32 keys with probability 5e-6, and lies below the margin of the estimate with probability 3e-6.
 
 Nulls and empty or blank texts have no shingles and are linked with nothing. Rows with one doc_id are one node.
@@ -22,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall_spark.llm import textarrays as ta
@@ -33,7 +34,7 @@ PERCENT = 75
 #: Standard errors that an estimate may lie below the limit.
 MARGIN = 4.5
 #: Members of a key, besides its smallest, that are compared with the rest before all components are.
-TURNS = 2
+TURNS = 1
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -155,6 +156,45 @@ def connected(links: DataFrame) -> DataFrame:
             return labels.select("node", "component")
 
 
+def _with_partner(rows: DataFrame, least: float) -> DataFrame:
+    """rep, component of the rows (key, rep, component, bits, settled) that have a likely partner in another component.
+
+    Settled rows of a key are in one component, so at least one of two partners is not settled. The semi-join stops
+    at the first partner and gives no pairs."""
+    other = rows.select(F.col("key").alias("k"), F.col("component").alias("c"), F.col("bits").alias("bits_b"), F.col("settled").alias("s"))
+    on = (F.col("key") == F.col("k")) & (F.col("component") != F.col("c")) & (estimate("bits", "bits_b") >= least)
+    parts = rows.where("not settled").join(other, on, "left_semi").unionByName(rows.where("settled").join(other.where("not s"), on, "left_semi"))
+    return save(parts.select("rep", "component").distinct(), "apart")
+
+
+def _shingles(batches):
+    for batch in batches:
+        for at, part in ta.slices(ta.normalised(batch.column("text"))):
+            sets = list(ta.shingle_sets(part))
+            of = batch.column("doc_id").slice(at, len(part)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([of, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "shingles"])
+
+
+def by_rare_shingles(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (rep, component) from different components that may reach the limit; none is missed.
+
+    In a common order of shingles, here by how many rows have them, two sets of similarity t share one of their
+    first n - t n + 1: what a text shares with none costs no pair, however many texts are somewhat like it."""
+    texts = only(docs, "doc_id", "text").join(small(rows.select(F.col("rep").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    sets = save(texts.mapInArrow(_shingles, "rep long, shingles array<long>"), "sets")
+    each = sets.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("rep").orderBy("often", "shingle")
+    first = each.join(often, "shingle").withColumn("nth", F.row_number().over(order))
+    first = first.where((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1))
+    first = save(first.join(rows, "rep").select("rep", "component", "n", "nth", "shingle"), "first")
+    a, b = (first.select("shingle", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("nth") + 1).alias(f"left_{x}")) for x in "ab")
+    # With the first shingle that they share, no more can be common than either has left.
+    room = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("na") + F.col("nb"))
+    close = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & room
+    return a.join(b.withColumnRenamed("shingle", "same"), (F.col("shingle") == F.col("same")) & close).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     found = save(sketch(docs), "sketch")
@@ -183,13 +223,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         links = links.union(confirm(save(likely(pairs), "pairs"), docs, percent))
         label = connected(links)
     # What is still apart is compared with all other components that share a key.
-    at = shared.where("n > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "hub", own_component)
+    at = shared.where("n > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", own_component)
     mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("rep", "component"))["component"].alias("hub_component")).where("low < high").drop("low", "high")
-    open_rows = save(at.join(mixed, "key").join(reps.select("rep", "bits"), "rep").select("key", "rep", "component", "hub", "bits", (F.col("component") == F.col("hub_component")).alias("settled")), "open")
-    stray = open_rows.where("not settled").select("key", F.col("rep").alias("a"), F.col("component").alias("component_a"), F.col("hub").alias("hub_a"), F.col("bits").alias("bits_a"))
-    other = open_rows.select("key", F.col("rep").alias("b"), F.col("component").alias("component_b"), "settled", F.col("bits").alias("bits_b"))
-    across = stray.join(other, (stray["key"] == other["key"]) & (F.col("component_a") != F.col("component_b")) & (F.col("b") != F.col("hub_a")) & (F.col("settled") | (F.col("a") < F.col("b"))) & (estimate("bits_a", "bits_b") >= least))
-    label = connected(links.union(confirm(save(across.select("a", "b").distinct(), "pairs"), docs, percent)))
+    open_rows = save(at.join(mixed, "key").join(reps.select("rep", "bits"), "rep").select("key", "rep", "component", "bits", (F.col("component") == F.col("hub_component")).alias("settled")), "open")
+    pairs = by_rare_shingles(_with_partner(open_rows, least), docs, percent)
+    label = connected(links.union(confirm(save(likely(pairs), "pairs"), docs, percent)))
     return member.join(label, member["rep"] == label["node"], "left").select(
         "doc_id",
         "n_shingles",
