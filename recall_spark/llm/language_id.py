@@ -74,14 +74,15 @@ class Languages:
             for t in joined[lang]:
                 all_codes += self.encode([t])[0].tolist() + [len(letters) + 2]
             step = suffix_automaton(all_codes)
-            root = np.full(self.width, -1, np.int32)
+            # The last row: a phrase of one character that the language doesn't have.
+            begin = np.full(self.width, len(step) * self.width, np.int32)
             for c, s in step[0].items():
-                root[c] = ~(s * self.width)
-            table = np.tile(root, (len(step), 1))
-            for i, edges in enumerate(step):
+                begin[c] = s * self.width
+            table = np.tile(~begin, (len(step) + 1, 1))
+            table[0] = begin
+            for i, edges in enumerate(step[1:], 1):
                 for c, s in edges.items():
                     table[i, c] = s * self.width
-            table[:, len(letters) + 1] = -1
             self.tables.append(table.ravel())
             self.bits.append(np.log2(max(2, len(all_codes))))
 
