@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side with at most so many rows of one or two numbers (16 MB) may be broadcast; above it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Rows of texts in an Arrow batch: at 100 kB a text 100 MB.
+BATCH_ROWS = 1_000
 _own_dir: str | None = None
 
 
@@ -68,5 +70,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
-    """Just these columns, under these names: columns of the caller cannot clash with those an operator adds."""
+    """Just these columns, under these names: columns of the caller cannot clash with those an operator adds.
+
+    Texts go to Python in batches of BATCH_ROWS, unless the session has a size of its own."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.select(*(df[c].alias(c) for c in columns))

@@ -138,7 +138,7 @@ def _searched(sent):
         index = sent.value
         classes = index.unpacked()
         for batch in batches:
-            ids, texts = batch.column("doc_id"), ta.normalised(batch.column("text"))
+            ids, texts = batch.column("doc_id"), batch.column("text")
             docs, items, sizes, hits = [], [], [], []
             for at, part in ta.slices(texts):
                 words, counts = ta.word_hashes(part)

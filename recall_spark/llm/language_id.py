@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recall_spark.llm import textarrays as ta
 from recall_spark.llm.common import only
 
 TRAIN_CHARS = 40_000
 TRAIN_DOCS = 100
 BLOCK = 512
-_SLICE_CHARS = 1 << 21
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -157,17 +157,11 @@ def _predicted(sent):
     def run(batches):
         model = sent.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            names, scores, at = [], [], 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to] or "") <= _SLICE_CHARS):
-                    size += len(texts[to] or "")
-                    to += 1
-                a, b = model.predict(texts[at:to])
-                names += a
-                scores.append(b)
-                at = to
+            names, scores = [], []
+            for _, part in ta.slices(batch.column("text"), lower=False):
+                found, score = model.predict(part.to_pylist())
+                names += found
+                scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], schema=_OUT)
 
     return run

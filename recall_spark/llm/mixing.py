@@ -35,7 +35,7 @@ _SECTIONS, _ROUNDS = 32, 5
 
 def _counted(batches):
     for batch in batches:
-        counts = [ta.word_spans(part)[3] for _, part in ta.slices(ta.normalised(batch.column("text")))]
+        counts = [ta.word_spans(part)[3] for _, part in ta.slices(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("source"), pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=["doc_id", "source", "n_tokens"])
 
 

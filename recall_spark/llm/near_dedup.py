@@ -68,7 +68,7 @@ def bit_planes(least: np.ndarray) -> np.ndarray:
 
 def _sketches(batches):
     for batch in batches:
-        ids, texts = batch.column("doc_id"), ta.normalised(batch.column("text"))
+        ids, texts = batch.column("doc_id"), batch.column("text")
         for at, part in ta.slices(texts):
             n, digests, keys, bits = [], [], [], []
             for s in ta.shingle_sets(part):
@@ -117,10 +117,10 @@ def _confirmed(percent: int):
 
     def run(batches):
         for batch in batches:
-            left, right = ta.normalised(batch.column("text_a")), ta.normalised(batch.column("text_b"))
+            left, right = batch.column("text_a"), batch.column("text_b")
             keep = np.zeros(len(left), bool)
             for at, part in ta.slices(left):
-                others = ta.shingle_sets(right.slice(at, len(part)))
+                others = (s for _, other in ta.slices(right.slice(at, len(part))) for s in ta.shingle_sets(other))
                 keep[at : at + len(part)] = [ta.jaccard_at_least(x, y, percent) for x, y in zip(ta.shingle_sets(part), others)]
             rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema)
             yield rows.filter(pa.array(keep))
@@ -169,7 +169,7 @@ def _with_partner(rows: DataFrame, least: float) -> DataFrame:
 
 def _shingles(batches):
     for batch in batches:
-        for at, part in ta.slices(ta.normalised(batch.column("text"))):
+        for at, part in ta.slices(batch.column("text")):
             sets = list(ta.shingle_sets(part))
             of = batch.column("doc_id").slice(at, len(part)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([of, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "shingles"])

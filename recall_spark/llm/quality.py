@@ -141,13 +141,9 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
     return scorer
 
 
-def _texts(column) -> pa.Array:
-    return pa.compute.fill_null(column.cast(pa.large_string()), "")
-
-
 def _described(batches):
     for batch in batches:
-        rows = [describe(part) for _, part in ta.slices(_texts(batch.column("text")))]
+        rows = [describe(part) for _, part in ta.slices(batch.column("text"), lower=False)]
         if rows:
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(np.concatenate(rows).tolist(), pa.list_(pa.float64()))], names=["positive", "features"])
 
@@ -175,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable, train_docs: int = TRAIN_DO
 def _scored(sent):
     def run(batches):
         for batch in batches:
-            scores = [sent.value.score(part) for _, part in ta.slices(_texts(batch.column("text")))]
+            scores = [sent.value.score(part) for _, part in ta.slices(batch.column("text"), lower=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])
 
     return run

@@ -39,14 +39,19 @@ def normalised(column) -> pa.Array:
     return pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), ""))
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Consecutive parts of about SLICE_BYTES, each with the index of its first text."""
+def slices(texts, lower: bool = True) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive parts of about SLICE_BYTES of a column, normalised, each with the index of its first text.
+
+    Only one part at a time is copied, however large the batch is."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = texts.cast(pa.large_string())
     n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
     at = 0
     while at < n:
         to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1))
-        yield at, texts.slice(at, to - at)
+        part = texts.slice(at, to - at)
+        yield at, normalised(part) if lower else pc.fill_null(part, "")
         at = to
 
 

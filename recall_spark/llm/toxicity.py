@@ -115,7 +115,7 @@ class NoisyOr:
 def _counted(batches):
     """Documents with each feature, by label, counted within the partition."""
     for batch in batches:
-        texts, toxic = ta.normalised(batch.column("text")), batch.column("toxic").to_numpy(zero_copy_only=False)
+        texts, toxic = batch.column("text"), batch.column("toxic").to_numpy(zero_copy_only=False)
         found = {0: [], 1: []}
         for at, part in ta.slices(texts):
             doc, _, hashes, _, _ = features(part)
@@ -133,7 +133,7 @@ def _hits(sent):
     def run(batches):
         lookup = sent.value
         for batch in batches:
-            texts, toxic = ta.normalised(batch.column("text")), batch.column("toxic").to_pylist()
+            texts, toxic = batch.column("text"), batch.column("toxic").to_pylist()
             for at, part in ta.slices(texts):
                 doc, sentence, hashes, _, _ = features(part)
                 row, feature = lookup.find(hashes)
@@ -198,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> N
 def _scored(sent):
     def run(batches):
         for batch in batches:
-            texts = ta.normalised(batch.column("text"))
+            texts = batch.column("text")
             scores = [sent.value.score(part) for _, part in ta.slices(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])
 
@@ -208,7 +208,7 @@ def _scored(sent):
 def _located(sent, least: float):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id"), ta.normalised(batch.column("text"))
+            ids, texts = batch.column("doc_id"), batch.column("text")
             for at, part in ta.slices(texts):
                 numbers, doc, logits, data, offsets = sent.value.sentences(part)
                 score = 1 / (1 + np.exp(-logits))
