@@ -33,7 +33,7 @@ def test_packing_skips_what_does_not_fit(spark):
     rows = [(1, 1, 0.9, 0.9, "a" * 400, "one", None, "p"), (1, 2, 0.8, 0.8, "b" * 4000, "two", None, "q"), (1, 3, 0.2, 0.2, "c", "three", None, "r")]
     df = spark.createDataFrame(rows, "query_id long, rank int, similarity double, composite double, text string, one_line string, detailed string, file_path string")
     r = context.adaptive(df, base=100, least=101, most=101).collect()[0]
-    assert r["entries"] == 1 and r["used"] == 100 and r["budget"] == 101
+    assert r["entries"] == 2 and r["used"] == 101 and r["budget"] == 101  # the second only as its line
     r = context.adaptive(df).collect()[0]
     assert r["block"] == "a" * 400 + "\ntwo" and r["budget"] == 800 * (0.3 + 0.9 * 0.9) // 1
 
