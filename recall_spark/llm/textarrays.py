@@ -33,10 +33,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def plain(column) -> pa.Array:
+    """Arrow texts, null as empty, in buffers of their own that begin with the first text."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    return column.take(pa.array(np.arange(len(column), dtype=np.int64)))
+
+
 def normalised(column) -> pa.Array:
     """Arrow texts, null as empty, A-Z in lower case."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+    return pc.ascii_lower(plain(column))
 
 
 def slices(texts, lower: bool = True) -> Iterator[tuple[int, pa.Array]]:
@@ -44,14 +50,13 @@ def slices(texts, lower: bool = True) -> Iterator[tuple[int, pa.Array]]:
 
     Only one part at a time is copied, however large the batch is."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    texts = texts.cast(pa.large_string())
-    n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
-    at = 0
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    n, at = len(texts), 0
     while at < n:
-        to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1))
+        before = int(ends[at - 1]) if at else 0
+        to = min(n, max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
         part = texts.slice(at, to - at)
-        yield at, normalised(part) if lower else pc.fill_null(part, "")
+        yield at, normalised(part) if lower else plain(part)
         at = to
 
 

@@ -298,6 +298,15 @@ def test_shingle_arrays():
     assert np.array_equal(sets[0], sets[1]) and not np.array_equal(sets[0], sets[2])
 
 
+def test_slices_of_slices():
+    texts = [None if i % 7 == 0 else f"Word{i} " * (i % 5) + "é" * 30_000 for i in range(200)]
+    for kind in (pa.string(), pa.large_string()):
+        part = pa.array(texts, kind).slice(33, 150).slice(20)
+        got = [s for _, p in ta.slices(part) for s in ta.shingle_sets(p)]
+        want = [s for t in texts[53:183] for s in ta.shingle_sets(ta.normalised(pa.array([t], pa.string())))]
+        assert len(got) == 130 and all(map(np.array_equal, got, want))
+
+
 def test_pipeline(spark):
     """Each stage of the pipeline against what its operator's brute force keeps."""
     rows = common.documents(spark, SF)
