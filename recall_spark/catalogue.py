@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recall_spark.functions import scoring as sc
 from recall_spark.functions import text as tx
-from recall_spark.operators import chunking, context, listing, maintenance, search
+from recall_spark.operators import capturing, chunking, context, indexing, listing, maintenance, search
 from recall_spark.sources import files as fl
 from recall_spark.sources import tables as tb
 
@@ -363,6 +363,76 @@ def hashed_embed(spark, d):
     return search.embedded(tb.memories(spark, d))
 
 
+def _files(spark, d):
+    """Files of memories, some not UTF-8 or blank, and the hashes that an earlier run left."""
+    i = F.col("memory_id")
+    content = F.when(i % 17 == 0, F.unhex(F.lit("FF"))).when(i % 19 == 0, F.encode(F.lit(" "), "UTF-8")).otherwise(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    path = F.concat(F.lit("src/f"), i.cast("string"), F.lit(".md"))
+    m = tb.memories(spark, d)
+    files = m.select("repo_id", path.alias("path"), content.alias("content")).withColumn("sha256", F.sha2("content", 256))
+    return files, m.where("memory_id % 4 <> 0").select(path.alias("path"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha256"))
+
+
+@query("""SELECT source AS repo_id, CASE WHEN doc_id % 17 = 0 THEN 'binary' WHEN doc_id % 19 = 0 THEN 'empty_chunks' WHEN doc_id % 4 <> 0 THEN 'unchanged'
+  WHEN trim(coalesce(text, ''), E' \\n\\t\\r') = '' THEN 'empty_chunks' ELSE 'indexed' END AS outcome, count(*) AS n FROM documents GROUP BY ALL""")
+def index_outcomes(spark, d):
+    return indexing.outcomes(*_files(spark, d)).groupBy("repo_id", "outcome").agg(F.count("*").alias("n"))
+
+
+@query()
+def index_repository(spark, d):
+    return indexing.chunks(indexing.outcomes(*_files(spark, d)))
+
+
+@query(f"""WITH {_MEMORIES}, c AS (SELECT repo_id, branch_name, file_path AS path, max(memory_id) % 2 = 1 AND regexp_matches(file_path, '/f(1[^/]*|2)\\.txt$') AS updated FROM memories WHERE memory_id % 3 = 0 GROUP BY repo_id, branch_name, file_path),
+  s AS (SELECT m.repo_id, m.branch_name, count(*) AS n FROM memories m JOIN c ON m.repo_id = c.repo_id AND m.branch_name = c.branch_name AND m.file_path = c.path WHERE content_type IN ('code_snippet', 'relationship') AND NOT stale GROUP BY ALL)
+  SELECT repo_id, branch_name, '01234567' AS from_commit, '89abcdef' AS to_commit, count(*) FILTER (WHERE updated) AS files_updated, count(*) FILTER (WHERE NOT updated) AS files_removed, coalesce(any_value(n), 0) AS memories_staled
+  FROM c LEFT JOIN s USING (repo_id, branch_name) GROUP BY repo_id, branch_name""")
+def sync_commits(spark, d):
+    m = tb.memories(spark, d)
+    changed = m.where("memory_id % 3 = 0").groupBy("repo_id", "branch_name", F.col("file_path").alias("path")).agg((F.max("memory_id") % 2 == 1).alias("still_there"))
+    return indexing.synced(m, changed, ("f1*.txt", "src/x/f2.txt"), "0123456789", "89abcdef01")
+
+
+@query("""SELECT conv_id::VARCHAR AS session_id, turn * 2 + k AS place, CASE WHEN role = 'user' AND k = 0 THEN 'decision' ELSE 'context' END AS content_type, trim(text, E' \\n\\t\\r') AS text, CASE WHEN k = 0 THEN role ELSE '' END AS tags
+  FROM conversations, (VALUES (0), (1)) v(k) WHERE trim(text, E' \\n\\t\\r') <> ''""")
+def capture_extracted(spark, d):
+    t = tb.table(spark, d, "conversations")
+    kind = F.when(F.col("role") == "user", "decision").otherwise("guess")
+    first = F.struct(kind.alias("type"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("content"), F.array(F.col("role"), F.lit("")).alias("tags"))
+    second = F.struct(F.lit("nonsense").alias("type"), F.col("text").alias("content"), F.lit(None).cast("array<string>").alias("tags"))
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.array(first, second)), F.lit("\n```"))
+    found = capturing.extracted(t.select(F.struct("conv_id", "turn").alias("session_id"), reply.alias("reply")))
+    return found.select(F.col("session_id.conv_id").cast("string").alias("session_id"), (F.col("session_id.turn") * 2 + F.col("place")).alias("place"), "content_type", "text", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"""WITH {_MEMORIES}, {_NEAREST}, k AS (SELECT query_id, string_agg('- [' || content_type || '] ' || {_ONE_LINE}, E'\\n' ORDER BY rank) AS lines FROM hits JOIN memories USING (memory_id) WHERE rank <= 5 AND similarity >= 0.25 AND NOT stale GROUP BY query_id)
+  SELECT vec_id AS query_id, CASE WHEN lines IS NULL THEN 'Extract.' ELSE E'Extract.\\n\\nAlready stored (do NOT re-extract these):\\n' || lines END AS prompt FROM vectors LEFT JOIN k ON vec_id = query_id WHERE vec_id < 5""")
+def enhanced_prompt(spark, d):
+    known = capturing.known_lines(tb.derived(_found(spark, d, 5, 0.25)))
+    prompts = tb.vectors(spark, d).where("memory_id < 5").select(F.col("memory_id").alias("query_id"))
+    return prompts.join(known, "query_id", "left").select("query_id", capturing.prompt(F.lit("Extract."), F.coalesce("known", F.expr("cast(array() as array<string>)"))).alias("prompt"))
+
+
+@query(f"""WITH {_MEMORIES}, m AS (SELECT content_type, {_TOKENS.format('text')} AS a, {_TOKENS.format('(' + _ONE_LINE + ')')} AS b FROM memories)
+  SELECT content_type, sum(a)::BIGINT AS tokens, sum(b)::BIGINT AS short_tokens, sum(a - b)::BIGINT AS saved, round(avg(CASE WHEN a > 0 THEN 1 - b / a::DOUBLE END), 6) AS mean_share FROM m GROUP BY content_type""")
+def token_savings(spark, d):
+    return capturing.savings(tb.derived(tb.memories(spark, d)), "content_type").withColumn("mean_share", F.round("mean_share", 6))
+
+
+@query(f"WITH {_MEMORIES}, {_NEAREST} SELECT count(*) AS n_memories, count(DISTINCT repo_id) AS n_repos, count(*) FILTER (WHERE stale) AS n_stale, (SELECT count(*) FROM vectors) AS n_vectors, (SELECT max(len(embedding))::INT FROM vectors) AS dims, count(*) * 3 / 1024.0::DOUBLE AS size_mb FROM memories")
+def stats_composite(spark, d):
+    return capturing.stats(tb.memories(spark, d), tb.vectors(spark, d))
+
+
+@query(f"""SELECT conv_id, '## Session — ' || strftime(make_timestamp(({tb.EPOCH} + conv_id * 3660) * 1000000), '%Y-%m-%d %H:%M') || ' [' || CASE WHEN conv_id % 2 = 0 THEN 'main' ELSE 'unknown' END || E']\\n\\n' || arg_max(text, turn) AS note
+  FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id""")
+def session_notes(spark, d):
+    last = tb.table(spark, d, "conversations").where("role = 'assistant' and text is not null").groupBy("conv_id").agg(F.max_by("text", "turn").alias("summary"))
+    at = F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {tb.EPOCH} + conv_id * 3660)")
+    return last.select("conv_id", tx.session_note(F.when(F.col("conv_id") % 2 == 0, "main"), F.col("summary"), at).alias("note"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -67,9 +67,14 @@ def selected_skills(skills: DataFrame, budget: int) -> DataFrame:
 
 def summary_lines(memories: DataFrame, budget: int) -> DataFrame:
     """file_path, place, line, running: one line for each memory under its file's header, while the running total fits."""
-    header = Window.partitionBy("repo_id", "file_path").orderBy("memory_id")
-    first = memories.withColumn("nth", F.row_number().over(header)).withColumn("file_first", F.min("memory_id").over(Window.partitionBy("repo_id", "file_path")))
+    memories = memories.withColumn("file_path", F.coalesce("file_path", F.lit("unknown")))
+    files = memories.groupBy(F.col("repo_id").alias("_repo"), F.col("file_path").alias("_file")).agg(F.min("memory_id").alias("file_first"))
+    # A line has a token at least, so lines after the first budget ones can't fit: they don't go through the sums.
+    place = Window.partitionBy("repo_id").orderBy("file_first", "memory_id")
+    slim = memories.select("repo_id", "file_path", "memory_id", "one_line")
+    rows = slim.join(files, F.col("repo_id").eqNullSafe(F.col("_repo")) & (F.col("file_path") == F.col("_file"))).withColumn("place", F.row_number().over(place)).where(F.col("place") <= max(budget, 0))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("repo_id", "file_path").orderBy("place")))
     line = F.concat(F.when(F.col("nth") == 1, F.concat(F.lit("\n## "), "file_path", F.lit("\n"))).otherwise(""), F.lit("- "), "one_line", F.lit("\n"))
-    rows = first.withColumn("line", line).withColumn("tokens", tx.tokens(F.col("line")))
-    running = rows.withColumn("running", F.sum("tokens").over(Window.partitionBy("repo_id").orderBy("file_first", "nth", "memory_id").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("line", line).withColumn("tokens", tx.tokens(F.col("line")))
+    running = rows.withColumn("running", F.sum("tokens").over(Window.partitionBy("repo_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
     return running.where(F.col("running") <= budget).select("repo_id", "file_path", "memory_id", "line", "running")

@@ -66,18 +66,18 @@ class Store:
         todo = found.join(diff.where("change <> 'removed'"), "path", "left_semi").where("text is not null").withColumn("language", tx.language(F.col("path")))
         chunks = chunking.chunked(todo).where("trim(chunk_text) <> ''")
         rows = chunks.select(F.lit(repo).alias("repo_id"), F.lit(branch).alias("branch_name"), F.lit("code_snippet").alias("content_type"), F.col("chunk_text").alias("text"), "language", F.col("path").alias("file_path"), "line_start", "line_end", F.when(F.col("kind").isin("function", "method"), F.col("name")).alias("function_name"), F.when(F.col("kind") == "class", F.col("name")).alias("class_name"), F.array(F.lit("indexed"), F.lit("repository")).alias("tags"))
-        listed = [tuple(r) for r in diff.limit(10_000).collect()]
         self.create(rows, version)
         new.withColumns({"repo_id": F.lit(repo), "branch_name": F.lit(branch), "version": F.lit(version).cast("long")}).write.mode("append").parquet(f"{self.path}/hashes")
-        return self.spark.createDataFrame(listed, "path string, change string")
+        return maintenance.changes(known, self._hashes(repo, branch, version))
 
-    def _hashes(self, repo: str, branch: str) -> DataFrame:
+    def _hashes(self, repo: str, branch: str, version: int | None = None) -> DataFrame:
+        """The files of a version, by default the newest."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/hashes")
         if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
             return self.spark.createDataFrame([], "path string, sha256 string")
         rows = self.spark.read.parquet(f"{self.path}/hashes").where((F.col("repo_id") == repo) & (F.col("branch_name") == branch))
-        newest = rows.agg(F.max("version")).first()[0]
-        return rows.where(F.col("version") == newest).select("path", "sha256")
+        version = rows.agg(F.max("version")).first()[0] if version is None else version
+        return rows.where(F.col("version") == version).select("path", "sha256")
 
     def audit(self, tool: str, repo: str, branch: str, at: int) -> None:
         self.spark.createDataFrame([(at, tool, repo, branch)], "ts long, tool string, repo string, branch string").write.mode("append").json(f"{self.path}/audit")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recall_spark.functions import text as tx
-from recall_spark.operators import chunking, context, maintenance
+from recall_spark.operators import capturing, chunking, context, indexing, maintenance
 from recall_spark.plans.store import Store
 from recall_spark.sources import files as fl
 from recall_spark.streaming import capture
@@ -89,3 +89,45 @@ def test_changes_and_empty_tables(spark):
     assert maintenance.changes(empty, empty).count() == 0
     one = spark.createDataFrame([("a", "1")], "path string, sha256 string")
     assert maintenance.changes(one, empty).first()["change"] == "removed"
+
+
+def test_name_patterns(spark):
+    df = spark.createDataFrame([("a/b.py",), ("b.pyc",), ("x.ts",), (None,)], "p string")
+    got = [r[0] for r in df.select(indexing.name_matches(F.col("p"), ("src/*.py", "?.ts"))).collect()]
+    assert got == [True, False, True, None]
+
+
+def test_index_outcomes(spark):
+    rows = [("a.md", b"text here.", "1"), ("b.md", b"\xff", "2"), ("c.md", b" \n", "3"), ("d.md", None, "4"), ("e.md", b"same", "5"), ("f.md", b"new", "7")]
+    files = spark.createDataFrame(rows, "path string, content binary, sha256 string")
+    known = spark.createDataFrame([("e.md", "5"), ("f.md", "6")], "path string, sha256 string")
+    found = indexing.outcomes(files, known)
+    assert {r["path"]: r["outcome"] for r in found.collect()} == {"a.md": "indexed", "b.md": "binary", "c.md": "empty_chunks", "d.md": "empty_chunks", "e.md": "unchanged", "f.md": "indexed"}
+    assert {r["path"] for r in indexing.chunks(found).collect()} == {"a.md", "f.md"}
+    assert indexing.outcomes(files.limit(0), known.limit(0)).count() == 0
+
+
+def test_sync_counts(spark):
+    rows = [("r", "main", "code_snippet", "a.py", False), ("r", "main", "decision", "a.py", False), ("r", "main", "relationship", "b.py", True), ("r", "dev", "code_snippet", "a.py", False)]
+    memories = spark.createDataFrame(rows, "repo_id string, branch_name string, content_type string, file_path string, stale boolean")
+    changed = spark.createDataFrame([("r", "main", "a.py", True), ("r", "main", "b.py", False), ("r", "main", "c.txt", True), ("r", "main", "d.py", None)], "repo_id string, branch_name string, path string, still_there boolean")
+    got = [tuple(r) for r in indexing.synced(memories, changed, ("*.py",), "0123456789", "a" * 40).collect()]
+    assert got == [("r", "main", "01234567", "aaaaaaaa", 1, 3, 1)]
+
+
+def test_replies_of_an_extractor(spark):
+    replies = ['[{"type":"decision","content":" a ","tags":["x",null,""]},{"type":"odd","content":"b"},{"type":"summary","content":"  "}]', '```\n[{"content":"c"}]\n```', '{"type":"decision","content":"no list"}', "not json", "", None]
+    df = spark.createDataFrame(list(enumerate(replies)), "session_id long, reply string")
+    got = {(r["session_id"], r["place"], r["content_type"], r["text"], tuple(r["tags"])) for r in capturing.extracted(df).collect()}
+    assert got == {(0, 0, "decision", "a", ("x",)), (0, 1, "context", "b", ()), (1, 0, "context", "c", ())}
+
+
+def test_prompt_lists_at_most_twenty(spark):
+    df = spark.createDataFrame([([f"s{i}" for i in range(30)],), ([],)], "k array<string>")
+    a, b = (r[0] for r in df.select(capturing.prompt(F.lit("base"), F.col("k"))).collect())
+    assert a.startswith("base\n\n") and a.endswith("\n- s19") and b == "base"
+
+
+def test_summary_keeps_memories_without_a_file(spark):
+    df = spark.createDataFrame([("r", None, 1, "x"), ("r", "f", 2, "y"), ("r", "f", 3, "z" * 400)], "repo_id string, file_path string, memory_id long, one_line string")
+    assert {r["memory_id"] for r in context.summary_lines(df, 20).collect()} == {1, 2}
