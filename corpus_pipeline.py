@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recall_spark.llm import decontamination, exact_dedup, language_id, mixing, near_dedup
-from recall_spark.llm.common import documents, remainder, save, small
+from recall_spark.llm.common import documents, keyed, remainder, save, without
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without one (no text, or no letter in it) go."""
-    found = language_id.identify(docs, remainder("doc_id", 3) == 1)
-    rejected = save(found.where("lang_pred = 'und'").select(F.col("doc_id").alias("_rejected")).distinct(), "rejected")
-    return docs.join(small(rejected), docs["doc_id"].eqNullSafe(rejected["_rejected"]), "left_anti")
+    rows = keyed(docs)
+    found = language_id.identify(rows.select(F.col("_row").alias("doc_id"), "text", "lang"), remainder("doc_id", 3) == 1)
+    return without(rows, found.where("lang_pred = 'und'"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    found = near_dedup.near_duplicates(docs)
-    dropped = save(found.where("not kept").select(F.col("doc_id").alias("_near")).distinct(), "near")
-    return docs.join(small(dropped), docs["doc_id"] == dropped["_near"], "left_anti")
+    return near_dedup.without_near_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of each row's own in the order of doc_id, null first: doc_id itself where it is unique.
+
+    Otherwise the numbered rows are saved, so that they keep their numbers however often they are read."""
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count():
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    # Rows that repeat an id and its text are told apart too: no range of the sort holds them all.
+    ordered = docs.withColumn("_at", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "_at")
+    return save(ordered.drop("_at").withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of keyed() whose _row isn't in the column doc_id of dropped."""
+    gone = save(dropped.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return rows.join(small(gone), rows["_row"] == gone["_gone"], "left_anti").drop("_row")
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns, under these names: columns of the caller cannot clash with those an operator adds.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_spark.llm import textarrays as ta
-from recall_spark.llm.common import discard, only, save, small
+from recall_spark.llm.common import keyed, only, without
 
 HASHES = 64
 LEAST_BLOCK = 8
@@ -172,6 +172,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents that contain a benchmark item."""
-    leaks = save(contaminated(docs, benchmark, percent).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(small(leaks), docs["doc_id"] == leaks["_leak"], "left_anti")
+    """docs without the rows that contain a benchmark item, whatever their ids are."""
+    rows = keyed(docs)
+    return without(rows, contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, percent))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_spark.llm import textarrays as ta
-from recall_spark.llm.common import only, save, small
+from recall_spark.llm.common import keyed, only, save, small, without
 
 FINGERPRINT_BITS = 48
 #: Fingerprints expected in one block of the merged filter.
@@ -131,6 +131,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """docs without the documents that exact_groups() drops."""
-    dropped = save(exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_copy")).distinct(), "copies")
-    return docs.join(small(dropped), docs["doc_id"].eqNullSafe(dropped["_copy"]), "left_anti")
+    """One row of docs of each text, that of the largest doc_id; rows are told apart whatever their ids are."""
+    rows = keyed(docs)
+    return without(rows, exact_groups(rows.select(F.col("_row").alias("doc_id"), "text")).where("not kept"))

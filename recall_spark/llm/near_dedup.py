@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall_spark.llm import textarrays as ta
-from recall_spark.llm.common import discard, only, save, small
+from recall_spark.llm.common import discard, keyed, only, save, small, without
 
 HASHES, BANDS, ROWS, BITS = 256, 32, 4, 2
 PERCENT = 75
@@ -234,3 +234,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.coalesce("component", "rep", "doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.coalesce("component", "rep", "doc_id"))).alias("kept"),
     )
+
+
+def without_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of docs of each component, that of the smallest doc_id; rows are told apart whatever their ids are."""
+    rows = keyed(docs)
+    return without(rows, near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent).where("not kept"))

@@ -323,3 +323,31 @@ def test_pipeline(spark):
     clean = {r["doc_id"] for r in seen[2].collect() if not any(100 * len(s & shingles(r["text"])) >= 75 * len(s) for s in items)}
     assert {r["doc_id"] for r in seen[3].collect()} == clean
     assert {r["doc_id"] for r in seen[4].collect()} <= clean
+
+
+def test_stages_decide_by_row(spark):
+    """Null ids, one id with two texts and repeated rows: each row is judged by its own text."""
+    item = "one two three four five six seven eight nine ten"
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (None, "same text", "en"), (1, "Same text", "en"), (None, "unique null a", "en"), (None, "unique null b", "en"), (None, "12 34", "en"), (None, None, "en"),
+        (2, "same text", "en"), (2, "another text of two", "en"), (3, "77", "en"), (3, "letters of three", "en"), (4, "repeated row", "en"), (4, "repeated row", "en"), (4, "Repeated row", "en"),
+        (None, f"null with {item}", "en"), (5, f"five with {item}", "en"), (5, "five without", "en"),
+        (6, near, "en"), (6, "six is otherwise unlike all of them", "en"), (7, near + " more", "en"), (None, near + " and", "en"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+
+    def texts_of(df):
+        return sorted((r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+
+    every = sorted((i or 0, t or "") for i, t, _ in rows)
+    assert texts_of(corpus_pipeline.language(spark, docs, SF)) == [r for r in every if re.search("[a-z]", r[1])]
+    exact = exact_dedup.without_copies(docs)
+    assert exact.columns == docs.columns
+    lower = [(i, t.lower()) for i, t in texts_of(exact)]
+    assert len(lower) == len({t for _, t in lower}) and sorted(lower) == sorted((max(i for i, t in every if t.lower() == x), x) for x in {t.lower() for _, t in every})
+    # The null id counts as the smallest, so the row that has it stays of near copies.
+    copies = ((6, near), (7, near + " more"), (5, f"five with {item}"))
+    assert texts_of(corpus_pipeline.near(spark, exact, SF)) == [r for r in texts_of(exact) if r not in copies]
+    assert texts_of(decontamination.decontaminate(docs, bench)) == [r for r in every if item not in r[1]]
