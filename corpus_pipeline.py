@@ -10,10 +10,10 @@ from recall_spark.llm.common import documents, keyed, remainder, save, without
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without one (no text, or no letter in it) go."""
+    """Documents in a language; those without one (no text, or no letter in it) go, whether or not any language was learned."""
     rows = keyed(docs)
-    found = language_id.identify(rows.select(F.col("_row").alias("doc_id"), "text", "lang"), remainder("doc_id", 3) == 1)
-    return without(rows, found.where("lang_pred = 'und'"))
+    found = language_id.examined(rows.select(F.col("_row").alias("doc_id"), "text", "lang"), remainder("doc_id", 3) == 1)
+    return without(rows, found.where("not has_letter"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ a new phrase wherever the automaton has no way on. Phrases, times the bits that
 training text, over characters estimate the cross entropy; the language needing fewest such bits wins.
 
 Texts are read whole, in blocks of BLOCK characters that each begin a phrase; letters are lower-cased and runs of
-other characters count as one space. At most TRAIN_CHARS characters a language are learned, from whole documents
-drawn by a hash of their id; up to TRAIN_DOCS are looked at. The automata are hence of bounded size.
+other characters count as one space. At most TRAIN_CHARS characters a language are learned, from about TRAIN_DOCS
+documents, at least one, with the smallest hashes of id and text. Those that fit are learned whole, and the others
+share the room left with their beginnings: a bound on what is learned only. The automata are hence of bounded size.
 
 A null text and a text without a letter get `und` and score 0, as does any text if no label was learned. Ties go
 to the alphabetically first language. One row per input row; null ids and extra columns do no harm.
@@ -26,7 +27,7 @@ from recall_spark.llm.common import only
 TRAIN_CHARS = 40_000
 TRAIN_DOCS = 100
 BLOCK = 512
-_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("has_letter", pa.bool_())])
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -123,33 +124,44 @@ class Languages:
             out[:, k] = np.bincount(owner, count, len(sizes))
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and whether it has a letter."""
         codes, sizes, has_letter = self.encode([(t or "").lower() for t in texts])
         if not self.names or not len(texts):
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), has_letter
         bits = self.phrases(codes, sizes) * np.array(self.bits) / np.maximum(sizes, 1)[:, None]
         best = bits.argmin(axis=1)
         ordered = np.sort(bits, axis=1)
         second = ordered[:, 1] if len(self.names) > 1 else ordered[:, 0] * np.inf
         score = np.where(has_letter, 1 - np.divide(ordered[:, 0], second, out=np.ones(len(texts)), where=second > 0), 0.0)
-        return [self.names[b] if ok else "und" for b, ok in zip(best, has_letter)], score
+        return [self.names[b] if ok else "und" for b, ok in zip(best, has_letter)], score, has_letter
 
 
 def learn(docs: DataFrame, usable: Column, train_chars: int = TRAIN_CHARS, train_docs: int = TRAIN_DOCS) -> Languages:
     """Automata from the rows of docs (text, lang, doc_id) where usable holds."""
     rows = docs.where(usable).where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    order = F.xxhash64("doc_id", "text", F.lit(17))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(order).alias("least")).collect()
     if not sizes:
         return Languages({})
-    limit = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, train_docs / n) * 1e6)))])
-    order = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
-    drawn = rows.where(order < limit[F.col("lang")]).select("lang", "text", order.alias("at"), "doc_id").collect()
+    # The smallest hash is drawn however small the share is.
+    limit = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(max(r["least"], min((1 << 63) - 1, (1 << 64) * train_docs // r["n"] - (1 << 63)))))])
+    excerpt = F.substring("text", 1, train_chars + 1).alias("text")
+    drawn = rows.where(order <= limit[F.col("lang")]).select("lang", excerpt, order.alias("at")).dropDuplicates(["lang", "at"]).collect()
     texts: dict[str, list[str]] = {}
-    room = dict.fromkeys(sizes, train_chars)
-    for r in sorted(drawn, key=lambda r: (r["at"], r["doc_id"] or 0, len(r["text"]))):
+    longer: dict[str, list[str]] = {}
+    room = {r["lang"]: train_chars for r in sizes}
+    for r in sorted(drawn, key=lambda r: r["at"]):
         if len(r["text"]) <= room[r["lang"]]:
             room[r["lang"]] -= len(r["text"])
             texts.setdefault(r["lang"], []).append(r["text"])
+        else:
+            longer.setdefault(r["lang"], []).append(r["text"])
+    for lang, those in longer.items():
+        each = max(BLOCK, room[lang] // len(those))
+        for text in those[: -(-room[lang] // each)]:
+            texts.setdefault(lang, []).append(text[: min(each, room[lang])])
+            room[lang] -= len(texts[lang][-1])
     return Languages(texts)
 
 
@@ -157,18 +169,24 @@ def _predicted(sent):
     def run(batches):
         model = sent.value
         for batch in batches:
-            names, scores = [], []
+            names, scores, letters = [], [], []
             for _, part in ta.slices(batch.column("text"), lower=False):
-                found, score = model.predict(part.to_pylist())
+                found, score, has_letter = model.predict(part.to_pylist())
                 names += found
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], schema=_OUT)
+                letters.append(has_letter)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(np.concatenate(letters) if letters else [], pa.bool_())], schema=_OUT)
 
     return run
 
 
-def identify(docs: DataFrame, held_out: Column, **bounds: int) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each document; learned from the rows that are not held out."""
+def examined(docs: DataFrame, held_out: Column, **bounds: int) -> DataFrame:
+    """identify() and whether a document has a letter."""
     rows = only(docs, "doc_id", "text", "lang").withColumn("held_out", held_out)
     sent = docs.sparkSession.sparkContext.broadcast(learn(rows, ~F.col("held_out"), **bounds))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predicted(sent), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.select("doc_id", "held_out", "text").mapInArrow(_predicted(sent), "doc_id long, held_out boolean, lang_pred string, score double, has_letter boolean")
+
+
+def identify(docs: DataFrame, held_out: Column, **bounds: int) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each document; learned from the rows that are not held out."""
+    return examined(docs, held_out, **bounds).drop("has_letter")

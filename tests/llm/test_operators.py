@@ -351,3 +351,53 @@ def test_stages_decide_by_row(spark):
     copies = ((6, near), (7, near + " more"), (5, f"five with {item}"))
     assert texts_of(corpus_pipeline.near(spark, exact, SF)) == [r for r in texts_of(exact) if r not in copies]
     assert texts_of(decontamination.decontaminate(docs, bench)) == [r for r in every if item not in r[1]]
+
+
+def test_languages_of_long_texts_or_none(spark):
+    """Languages whose documents are all longer than the room are learned; without any label texts with a letter stay."""
+    long = [(i, lang, " ".join(w[(i * k) % len(w)] for k in range(9000))) for i in range(8) for lang, w in (("en", ["the", "house", "with", "weather"]), ("de", ["das", "haus", "wetter", "mit"]))]
+    rows = [(2 * k + (lang == "de"), t, lang) for k, (_, lang, t) in enumerate(long)] + [(100, "the weather with the house", None), (101, "das wetter mit haus", None), (102, "12 3", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, lang in rows if lang) > 30_000
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, F.lit(False), train_chars=20_000).collect()}
+    assert got == {i: lang or {100: "en", 101: "de", 102: "und"}[i] for i, _, lang in rows}
+    model = language_id.learn(docs, F.lit(True), train_chars=20_000, train_docs=0)
+    assert model.names == ["de", "en"] and all(2 ** b <= 20_000 + 100 for b in model.bits)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in language_id.identify(unlabelled, F.lit(False)).collect()} == {"und"}
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, unlabelled, SF).collect()} == {i for i, *_ in rows} - {102}
+
+
+def test_each_stage_by_brute_force(spark):
+    """Language, near-dedup and mixing stages on a table small enough for all pairs."""
+    rows = common.documents(spark, SF).where("doc_id < 120").unionByName(common.documents(spark, SF).where("doc_id = 0").withColumns({"doc_id": F.lit(500).cast("long"), "text": F.lit("12 .")}))
+    rows = rows.unionByName(rows.where("doc_id = 3").withColumns({"doc_id": F.lit(501).cast("long"), "text": F.concat("text", F.lit(" more"))}))
+    kept = common.save(corpus_pipeline.language(spark, rows, SF), "step")
+    text = {r["doc_id"]: r["text"] for r in rows.collect()}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, t in text.items() if any(c.isalpha() for c in t or "")}
+    sets = {r["doc_id"]: shingles(r["text"]) for r in kept.collect()}
+    top = {i: i for i in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            common_n = len(sets[a] & sets[b]) if a < b else 0
+            if common_n and 100 * common_n >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    kept = common.save(corpus_pipeline.near(spark, kept, SF), "step")
+    assert {r["doc_id"] for r in kept.collect()} == {i for i in sets if find(i) == i} < set(sets)
+    mixed = corpus_pipeline.mixture(spark, kept, SF).collect()
+    count = {r["doc_id"]: (r["source"], len(words(r["text"]))) for r in kept.collect()}
+    assert all((r["source"], r["n_tokens"]) == count[r["doc_id"]] for r in mixed)
+    total = sum(n for _, n in count.values())
+    for source in {s for s, _ in count.values()}:
+        own = [r for r in mixed if r["source"] == source]
+        used, want = sum(r["n_tokens"] for r in own), own[0]["weight"] * total
+        assert want - 1e-6 <= used <= want + max(n for s, n in count.values() if s == source)
+        times = {i: sum(r["doc_id"] == i for r in own) for i, (s, _) in count.items() if s == source}
+        assert max(times.values()) - min(times.values()) <= 1 and len({(r["doc_id"], r["pass"]) for r in own}) == len(own)
