@@ -1,14 +1,17 @@
 """Benchmark decontamination: MinHash containment search for short items inside long documents.
 
 A short item and a long document have a tiny Jaccard similarity however well the item is contained, so both
-sides are partitioned by size. Items fall in classes of up to 8, 16, 32, ... distinct shingles. For a class of up
+sides are partitioned by size. Items of up to 8 distinct shingles need no sketch: a document that holds one to the
+limit holds one of any few of its shingles, one more than may lack, so that looking these up misses none. Larger
+items fall in classes of up to 16, 32, ... distinct shingles. For a class of up
 to u shingles a document is a row of overlapping windows of 2u shingles, one beginning every u, so that any
 passage of u shingles lies wholly in one window of comparable size. Windows and items get 64 minima; a window
-that shares one with an item of its class makes the document a candidate for it, and the candidate is verified
+that shares one with an item of its class makes the document a candidate for it. All candidates are verified
 by exact containment of the item's shingles in the whole document. An item of the class' smallest size,
-contained to 0.75, is missed with probability below 1e-5.
+contained to 0.75 in one passage, is missed with probability below 1e-5.
 
-The items are the query set: they are taken in blocks of ITEM_BLOCK, whose sketches (below 1 kB an item) go to the
+The items are the query set: they are taken in blocks of about ITEM_BLOCK items and ITEM_BYTES of text at most, whose
+sketches (below 1 kB an item) and shingle sets (8 bytes a word) go to the
 executors, and every document is searched in place, without a shuffle. A larger benchmark means more passes.
 
 Null, empty and blank items are contained in nothing; null texts count as empty. Items of fewer than five words
@@ -30,6 +33,7 @@ HASHES = 64
 LEAST_BLOCK = 8
 PERCENT = 75
 ITEM_BLOCK = 20_000
+ITEM_BYTES = 32 << 20
 _FILTER_BITS = 22
 
 _rng = np.random.Generator(np.random.PCG64(11))
@@ -64,7 +68,7 @@ class ItemIndex:
         self.percent, self.ids, self.sets, self.short, self.classes = percent, [], [], {}, {}
         column = ta.normalised(pa.array(texts, pa.large_string()))
         words, counts = ta.word_hashes(column)
-        at, keys, owners = 0, {}, {}
+        at, keys, owners, looked_up = 0, {}, {}, ([], [])
         for item, n in zip(ids, counts):
             own, at = words[at : at + n], at + n
             if not n:
@@ -76,9 +80,17 @@ class ItemIndex:
             if n < ta.WIDTH:
                 self.short.setdefault(int(n), {}).setdefault(int(s[0]), []).append(number)
                 continue
+            if len(s) <= LEAST_BLOCK:
+                some = s[: len(s) - max(1, -(-percent * len(s) // 100)) + 1]
+                looked_up[0].extend(some.tolist())
+                looked_up[1].extend([number] * len(some))
+                continue
             u = size_class(len(s))
             keys.setdefault(u, []).append(block_minima(s, 1 << 30 if len(s) > 4096 else len(s)).min(axis=0) if len(s) <= 4096 else block_minima(s, 4096).min(axis=0))
             owners.setdefault(u, []).append(number)
+        shingles = np.array(looked_up[0], np.uint64)
+        order = np.argsort(shingles, kind="stable")
+        self.some, self.some_of = shingles[order], np.array(looked_up[1], np.int64)[order]
         for u, rows in keys.items():
             flat = (np.array(rows, np.uint32).astype(np.uint64) | _SLOT).ravel()
             order = np.argsort(flat, kind="stable")
@@ -94,8 +106,12 @@ class ItemIndex:
         return {u: (flat, owners, np.unpackbits(seen).astype(bool)) for u, (flat, owners, seen) in self.classes.items()}
 
     def candidates(self, shingles: np.ndarray, classes: dict) -> set[int]:
-        """Items that share a minimum with a window of their class."""
+        """Small items of which a shingle was looked up, and those that share a minimum with a window of their class."""
         found: set[int] = set()
+        if len(self.some) and len(shingles):
+            low, high = np.searchsorted(self.some, shingles, "left"), np.searchsorted(self.some, shingles, "right")
+            for a, b in {(a, b) for a, b in zip(low[low < high].tolist(), high[low < high].tolist())}:
+                found.update(self.some_of[a:b].tolist())
         if not len(shingles) or not classes:
             return found
         least, rows = LEAST_BLOCK, block_minima(shingles, LEAST_BLOCK)
@@ -154,11 +170,12 @@ def _searched(sent):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, item_block: int = ITEM_BLOCK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, item_block: int = ITEM_BLOCK, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """doc_id, item_id, n_item, n_found, containment: each document and item whose shingles it holds to percent."""
     spark = docs.sparkSession
     items = only(benchmark, "item_id", "text").where("text is not null").distinct()
-    blocks = max(1, -(-items.count() // item_block))
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count // item_block), -(-size // item_bytes))
     whole = only(docs, "doc_id", "text")
     parts = []
     for block in range(blocks):

@@ -401,3 +401,28 @@ def test_each_stage_by_brute_force(spark):
         assert want - 1e-6 <= used <= want + max(n for s, n in count.values() if s == source)
         times = {i: sum(r["doc_id"] == i for r in own) for i, (s, _) in count.items() if s == source}
         assert max(times.values()) - min(times.values()) <= 1 and len({(r["doc_id"], r["pass"]) for r in own}) == len(own)
+
+
+def test_small_items_are_never_missed(spark):
+    """Items of one to nine shingles, each once, at the beginning of a document where one window covers it."""
+    items = [(1000 * n + k, " ".join(f"i{n}x{k}y{j}" for j in range(n + 4))) for n in range(1, 10) for k in range(1000 if n < 2 else 20)]
+    items += [(11_000, "ab ab ab ab ab ab ab")]
+    noise = " ".join(f"z{j}" for j in range(60))
+    held = [(i, f"{t} {noise}") for i, t in items] + [(20_000 + i, f"{noise} {t}") for i, t in items]
+    # Without its last word an item of eight shingles has seven, one of three has two, which is too few.
+    held += [(40_000 + i, " ".join(t.split()[:-1])) for i, t in items if i // 1000 in (3, 8)]
+    docs, bench = spark.createDataFrame(held, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    of_shingle = {}
+    for i, t in items:
+        for s in shingles(t):
+            of_shingle.setdefault(s, []).append((i, len(shingles(t))))
+    for d, t in held:
+        n = {}
+        for s in shingles(t):
+            for i in of_shingle.get(s, ()):
+                n[i] = n.get(i, 0) + 1
+        want |= {(d, i, size, k) for (i, size), k in n.items() if 100 * k >= 75 * size}
+    for bound in ({}, {"item_bytes": 30_000}):
+        got = decontamination.contaminated(docs, bench, **bound)
+        assert {(r["doc_id"], r["item_id"], r["n_item"], r["n_found"]) for r in got.collect()} == want
