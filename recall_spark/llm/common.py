@@ -16,11 +16,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or else, on one machine only, a temporary one."""
     global _own_dir
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="recall-")
     return f"file://{_own_dir}"
@@ -35,17 +37,18 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return kept
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that save() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that save() wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows; df has to be cheap to count, as a saved table is."""
+def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; df has to be cheap to count, as a saved table is."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n <= most else df
 
 
 def ascii_lower(column: str | Column) -> Column:
@@ -60,9 +63,12 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def share(column: str, fraction: float) -> Column:
-    """True for about this fraction of the values, always the same ones."""
-    return F.pmod(F.xxhash64(column, F.lit(17)), F.lit(1_000_000)) < int(round(1_000_000 * fraction))
+def share(column: str, wanted: int, of: int, seed: int = 17) -> Column:
+    """True for about wanted of so many values, always the same ones: those whose 64-bit hash lies in that part of its
+    range. It is drawn as finely as the hash, so that a bounded sample of any number of rows is not empty."""
+    if wanted >= of:
+        return F.lit(True)
+    return F.xxhash64(column, F.lit(seed)) < F.lit((1 << 64) * wanted // of - (1 << 63))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +79,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     """docs with _row, a number of each row's own in the order of doc_id, null first: doc_id itself where it is unique.
 
     Otherwise the numbered rows are saved, so that they keep their numbers however often they are read."""
-    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count():
+    if not repeats(docs):
         return docs.withColumn("_row", F.col("doc_id").cast("long"))
     # Rows that repeat an id and its text are told apart too: no range of the sort holds them all.
     ordered = docs.withColumn("_at", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "_at")
     return save(ordered.drop("_at").withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
+def repeats(docs: DataFrame) -> bool:
+    """Whether a doc_id is null or occurs twice."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count() > 0
+
+
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of keyed() whose _row isn't in the column doc_id of dropped."""
     gone = save(dropped.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
@@ -89,7 +100,8 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns, under these names: columns of the caller cannot clash with those an operator adds.
 
-    Texts go to Python in batches of BATCH_ROWS, unless the session has a size of its own."""
+    Texts go to Python in batches of BATCH_ROWS, unless the session has a size of its own. The setting is read when a
+    result is computed, which is after this call, so it stays set for the session."""
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

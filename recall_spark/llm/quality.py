@@ -156,8 +156,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable, train_docs: int = TRAIN_DO
     n_rows = rows.select("doc_id").count()
     if not n_trusted or not n_rows:
         return Scorer(np.zeros((1, len(NAMES))))
-    drawn = F.broadcast(trusted.where(share("id", min(1.0, train_docs / n_trusted))))  # at most about train_docs rows
-    web = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < int(1e6 * min(1.0, train_docs / n_rows))
+    drawn = F.broadcast(trusted.where(share("id", train_docs, n_trusted)))  # at most about train_docs rows
+    web = share("doc_id", train_docs, n_rows, seed=23)
     both = rows.join(drawn, rows["doc_id"] == F.col("id"), "left").where(F.col("id").isNotNull() | web)
     use = both.select("text", F.col("id").isNotNull().alias("trusted"), web.alias("web")).select("text", F.explode(F.expr("filter(array(if(trusted, 1, null), if(coalesce(web, false), 0, null)), x -> x is not null)")).alias("positive"))
     found = use.mapInArrow(_described, "positive int, features array<double>").collect()

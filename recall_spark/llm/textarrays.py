@@ -82,16 +82,34 @@ def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return data, start, end, np.diff(np.searchsorted(start, offsets))
 
 
+def byte_terms(values: np.ndarray, places: np.ndarray | int) -> np.ndarray:
+    """What bytes add to the hash of their run at these places, of which no two are alike, however long a run is."""
+    if isinstance(places, int):
+        return _BYTE[values] * _PLACE[places]
+    if not len(places) or places.max() < len(_PLACE):
+        return _BYTE[values] * _PLACE[places]
+    factors = _PLACE[np.minimum(places, len(_PLACE) - 1)]
+    far = np.flatnonzero(places >= len(_PLACE))
+    factors[far] = mix(places[far].astype(np.uint64)) | np.uint64(1)
+    return _BYTE[values] * factors
+
+
+def run_sums(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sum of byte_terms() over all bytes of each run; runs are not empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    within = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(within, size)
+    return np.add.reduceat(byte_terms(data[place + np.repeat(start, size)], place), within)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word, and the number of words in each text."""
     data, start, end, counts = word_spans(texts)
     if not len(start):
         return np.zeros(0, np.uint64), counts
     size = end - start
-    within = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(within, size)
-    terms = _BYTE[data[place + np.repeat(start, size)]] * _PLACE[place & 0xFFFF]
-    return mix(np.add.reduceat(terms, within) + size.astype(np.uint64)), counts
+    return mix(run_sums(data, start, size) + size.astype(np.uint64)), counts
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:

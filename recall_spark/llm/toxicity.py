@@ -55,18 +55,14 @@ def features(texts: pa.Array):
     stops = np.flatnonzero(_END[data])
     sentence = np.searchsorted(stops, start) + doc
     hashes = np.zeros((len(start), len(BEGINNINGS) + 1), np.uint64)
-    h, padded = np.zeros(len(start), np.uint64), np.concatenate([data, np.zeros(64, np.uint8)])
-    for j in range(64):
+    h, padded = np.zeros(len(start), np.uint64), np.concatenate([data, np.zeros(8, np.uint8)])
+    for j in range(8):
         more = size > j
-        if not more.any():
-            break
-        if j >= 8:
-            at = np.flatnonzero(more)
-            h[at] += ta._BYTE[padded[start[at] + j]] * ta._PLACE[j]
-            continue
-        h += np.where(more, ta._BYTE[padded[start + j]] * ta._PLACE[j], np.uint64(0))
+        h += np.where(more, ta.byte_terms(padded[start + j], j), np.uint64(0))
         if j + 1 in BEGINNINGS:
             hashes[:, j + 1 - BEGINNINGS[0]] = np.where(more, ta.mix(h + np.uint64(j + 1)), np.uint64(0))
+    longer = np.flatnonzero(size > 8)
+    h[longer] = ta.run_sums(data, start[longer], size[longer])
     hashes[:, -1] = ta.mix(h + size.astype(np.uint64) + np.uint64(1000))
     return doc, sentence, hashes, data, offsets
 
@@ -178,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> N
     """The sentence model from the labels (doc_id, toxic) of documents; labels are those to learn from only."""
     marks = only(labels, "doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = marks.count()
-    drawn = F.broadcast(marks.where(share("doc_id", min(1.0, train_docs / max(n, 1)))))  # at most about train_docs rows
+    drawn = F.broadcast(marks.where(share("doc_id", train_docs, n)))  # at most about train_docs rows
     sample = save(only(docs, "doc_id", "text").join(drawn, "doc_id").select("text", "toxic"), "toxic-sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
