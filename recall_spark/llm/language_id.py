@@ -5,8 +5,8 @@ occur in a language's training text (Ziv and Merhav's cross-parsing): one step o
 a new phrase wherever the automaton has no way on. Phrases, times the bits that point to one phrase of the
 training text, over characters estimate the cross entropy; the language needing fewest such bits wins.
 
-Texts are read whole, in blocks of BLOCK characters that each begin a phrase; letters are lower-cased and runs of
-other characters count as one space. At most TRAIN_CHARS characters a language are learned, from about TRAIN_DOCS
+Texts are parsed whole, blocks of BLOCK characters at once without effect on the phrases; letters are lower-cased
+and runs of other characters count as one space. At most TRAIN_CHARS characters a language are learned, from about TRAIN_DOCS
 documents, at least one, with the smallest hashes of id and text. Those that fit are learned whole, and the others
 share the room left with their beginnings: a bound on what is learned only. The automata are hence of bounded size.
 
@@ -102,26 +102,54 @@ class Languages:
         return codes[kept], total[ends] - total[ends - n], has_letter
 
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each text (row) in each language (column); all blocks take their steps side by side."""
+        """Phrases of each text (row) in each language (column).
+
+        Blocks of all texts take their steps side by side, as if each began a text. Then each takes up the state in
+        which the block before it ends, until it meets the state of its own first run: from there on the two are the
+        same. A block that never meets it ends otherwise, so the next one is run again. What comes out is the parse
+        of the whole text, wherever blocks end."""
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(sizes)), blocks)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = (np.cumsum(sizes) - sizes)[owner] + nth * BLOCK
         length = np.minimum(BLOCK, sizes[owner] - nth * BLOCK)
         order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
-        active = np.searchsorted(-length, -np.arange(BLOCK), "left")
+        by_length, begin = length[order], start[order]
+        active = np.searchsorted(-by_length, -np.arange(BLOCK), "left")
+        last = np.append(nth[1:] == 0, True)
+        texts = np.flatnonzero(sizes)
+        firsts = (np.cumsum(sizes) - sizes)[texts]
         out = np.zeros((len(sizes), len(self.tables)))
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
-            for t in range(int(length[0]) if len(length) else 0):
+            after, opens = np.empty(len(codes), np.int32), np.zeros(len(codes), bool)
+            state = np.zeros(len(begin), np.int32)
+            for t in range(int(by_length[0]) if len(by_length) else 0):
                 n = active[t]
-                to = table[state[:n] + codes[start[:n] + t]]
+                at = begin[:n] + t
+                to = table[state[:n] + codes[at]]
                 ended = to >> 31
-                count[:n] -= ended
-                state[:n] = to ^ ended
-            count += state != 0
-            out[:, k] = np.bincount(owner, count, len(sizes))
+                after[at] = state[:n] = to ^ ended
+                opens[at] = ended < 0
+            again = np.flatnonzero(nth > 0)
+            while len(again):
+                state, changed = after[start[again] - 1], []
+                for t in range(BLOCK):
+                    at = start[again] + t
+                    to = table[state + codes[at]]
+                    ended = to >> 31
+                    state = to ^ ended
+                    opens[at] = ended < 0
+                    apart = after[at] != state
+                    after[at] = state
+                    done = length[again] == t + 1
+                    changed.append(again[apart & done & ~last[again]])
+                    again, state = again[apart & ~done], state[apart & ~done]
+                    if not len(again):
+                        break
+                again = np.sort(np.concatenate(changed)) + 1
+            opens[firsts] = True
+            if len(texts):
+                out[texts, k] = np.add.reduceat(opens, firsts, dtype=np.int64)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
