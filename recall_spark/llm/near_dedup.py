@@ -12,14 +12,16 @@ those that share one of their rarest shingles, as all pairs at the limit do. Eve
 reach the limit is hence compared or already connected, and no key is capped. A pair at similarity 0.75 shares none of the
 32 keys with probability 5e-6, and lies below the margin of the estimate with probability 3e-6.
 
-Nulls and empty or blank texts have no shingles and are linked with nothing. Rows with one doc_id are one node.
-Rows with a null doc_id are kept and linked with nothing. Extra columns are ignored.
+Nulls and empty or blank texts have no shingles and are linked with nothing. Rows with one doc_id are one node: what
+one of their texts is linked with, all of them are. Rows with a null doc_id are kept and linked with nothing. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall_spark.llm import textarrays as ta
-from recall_spark.llm.common import discard, keyed, only, save, small, without
+from recall_spark.llm.common import discard, keyed, only, repeats, save, small, without
 
 HASHES, BANDS, ROWS, BITS = 256, 32, 4, 2
 PERCENT = 75
@@ -137,7 +139,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    return save(both.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "links")
+    links = save(both.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "links")
+    discard(named, pairs)
+    return links
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def connected(links: DataFrame) -> DataFrame:
         labels = after
         if not labels.where("component < before").limit(1).count():
             discard(edges)
-            return labels.select("node", "component")
+            return labels
 
 
 def _with_partner(rows: DataFrame, least: float) -> DataFrame:
@@ -175,12 +179,12 @@ def _shingles(batches):
             yield pa.RecordBatch.from_arrays([of, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "shingles"])
 
 
-def by_rare_shingles(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (rep, component) from different components that may reach the limit; none is missed.
+def by_rare_shingles(rows: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two tables that are saved on the way, then pairs (a, b) of rows (rep, component) from different components that may reach the limit; none is missed.
 
     In a common order of shingles, here by how many rows have them, two sets of similarity t share one of their
     first n - t n + 1: what a text shares with none costs no pair, however many texts are somewhat like it."""
-    texts = only(docs, "doc_id", "text").join(small(rows.select(F.col("rep").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    texts = only(docs, "doc_id", "text").join(small(rows.select(F.col("rep").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi")
     sets = save(texts.mapInArrow(_shingles, "rep long, shingles array<long>"), "sets")
     each = sets.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("often"))
@@ -192,51 +196,73 @@ def by_rare_shingles(rows: DataFrame, docs: DataFrame, percent: int) -> DataFram
     # With the first shingle that they share, no more can be common than either has left.
     room = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("na") + F.col("nb"))
     close = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & room
-    return a.join(b.withColumnRenamed("shingle", "same"), (F.col("shingle") == F.col("same")) & close).select("a", "b").distinct()
+    return sets, first, a.join(b.withColumnRenamed("shingle", "same"), (F.col("shingle") == F.col("same")) & close).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of documents whose doc_id is neither null nor repeated."""
     found = save(sketch(docs), "sketch")
-    classes = found.where("digest is not null and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = save(found.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left").select("doc_id", "n_shingles", "rep"), "member")
-    own = found.where("digest is not null").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    reps = save(own.select(F.col("doc_id").alias("rep"), "keys", "bits").dropDuplicates(["rep"]), "reps")
-    keyed = reps.select("rep", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = save(keyed.join(hubs, "key"), "shared")
+    classes = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    member = save(found.join(classes, "digest", "left").select("doc_id", "n_shingles", "rep"), "member")
+    reps = save(found.join(member.where("doc_id = rep").select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "keys", "bits"), "reps")
+    by_key = reps.select("rep", F.explode("keys").alias("key"))
+    hubs = by_key.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    shared = save(by_key.join(hubs, "key"), "shared")
+    discard(found)
     least = least_estimate(percent)
     bits_a = reps.select(F.col("rep").alias("a"), F.col("bits").alias("bits_a"))
     bits_b = reps.select(F.col("rep").alias("b"), F.col("bits").alias("bits_b"))
 
     def likely(pairs: DataFrame) -> DataFrame:
-        return pairs.join(bits_a, "a").join(bits_b, "b").where(estimate("bits_a", "bits_b") >= least).select("a", "b")
+        return save(pairs.join(bits_a, "a").join(bits_b, "b").where(estimate("bits_a", "bits_b") >= least).select("a", "b"), "pairs")
 
-    links = confirm(save(likely(shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()), "pairs"), docs, percent)
-    label = connected(links)
-    own_component = F.coalesce("component", "rep").alias("component")
+    def at_keys(label: DataFrame) -> DataFrame:
+        own = label.select(F.col("node").alias("rep"), "component")
+        return shared.where("n > 2").join(own, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+
+    found_links = [confirm(likely(shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()), docs, percent)]
+    label = connected(found_links[0])
     for turn in range(TURNS):
         # Another member of each key that holds several components is compared with those outside its own.
-        at = shared.where("n > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", own_component)
+        at = at_keys(label)
         mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("next")).where("low < high")
         pairs = at.join(mixed, "key").where("component <> next.component").select(F.col("rep").alias("a"), F.col("next.rep").alias("b")).distinct()
-        links = links.union(confirm(save(likely(pairs), "pairs"), docs, percent))
-        label = connected(links)
+        found_links.append(confirm(likely(pairs), docs, percent))
+        discard(label)
+        label = connected(reduce(DataFrame.union, found_links))
     # What is still apart is compared with all other components that share a key.
-    at = shared.where("n > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", own_component)
+    at = at_keys(label)
     mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("rep", "component"))["component"].alias("hub_component")).where("low < high").drop("low", "high")
     open_rows = save(at.join(mixed, "key").join(reps.select("rep", "bits"), "rep").select("key", "rep", "component", "bits", (F.col("component") == F.col("hub_component")).alias("settled")), "open")
-    pairs = by_rare_shingles(_with_partner(open_rows, least), docs, percent)
-    label = connected(links.union(confirm(save(likely(pairs), "pairs"), docs, percent)))
-    return member.join(label, member["rep"] == label["node"], "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component", "rep", "doc_id").alias("component_id"),
-        (F.col("doc_id").eqNullSafe(F.coalesce("component", "rep", "doc_id"))).alias("kept"),
-    )
+    apart = _with_partner(open_rows, least)
+    sets, first, pairs = by_rare_shingles(apart, docs, percent)
+    found_links.append(confirm(likely(pairs), docs, percent))
+    discard(label)
+    label = connected(reduce(DataFrame.union, found_links))
+    discard(reps, shared, open_rows, apart, sets, first, *found_links)
+    return member.join(label, member["rep"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    rows = only(docs, "doc_id", "text")
+    if not repeats(rows):
+        found = components(rows, percent)
+    else:
+        # Rows are nodes, in the order of their ids; those of one id are joined afterwards.
+        numbered = keyed(rows)
+        named = numbered.where("doc_id is not null")
+        by_row = save(components(named.select(F.col("_row").alias("doc_id"), "text"), percent).join(named.select("_row", F.col("doc_id").alias("id")), F.col("doc_id") == F.col("_row")).select("id", "n_shingles", "component_id"), "by-row")
+        least = by_row.groupBy("id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("high")).where("a < high")
+        one = connected(by_row.join(least, "id").where("component_id <> a").select("a", F.col("component_id").alias("b")).distinct())
+        joined = by_row.join(one.select(F.col("node").alias("component_id"), "component"), "component_id", "left").withColumn("component", F.coalesce("component", "component_id"))
+        found = joined.join(named.select(F.col("_row").alias("component"), F.col("doc_id").alias("top")), "component").select(F.col("id").alias("doc_id"), "n_shingles", F.col("top").alias("component_id"))
+        nameless = sketch(numbered.where("doc_id is null")).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+        found = found.unionByName(nameless)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of docs of each component, that of the smallest doc_id; rows are told apart whatever their ids are."""
     rows = keyed(docs)
-    return without(rows, near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent).where("not kept"))
+    return without(rows, components(rows.select(F.col("_row").alias("doc_id"), "text"), percent).where("doc_id <> component_id"))
