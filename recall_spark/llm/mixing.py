@@ -7,11 +7,12 @@ weights times a budget of tokens are realised in passes: each pass over a source
 documents, drawn by a keyed hash; the last pass ends where the source's budget is met, at the end of the document
 that meets it. A row's mix_key lies in [0, 1): any beginning of the mix in its order holds the sources at their weights.
 
-Sums over a source of any size are made in hash buckets: only the bucket in which its budget ends is ordered by row.
+Sums over a source are made in hash buckets, the more of them the more documents it has: only the bucket in which its
+budget ends is ordered by row.
 
 A null source is a source of its own. Documents without words (null, empty, blank texts) have 0 tokens and go
 along in full passes; sources without a token get none. Repeated rows of one doc_id are separate documents with
-one place. Extra columns are ignored.
+one place; those without an id have places by their texts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from recall_spark.llm.common import only, save, small
 
 ENTROPY = 0.995
 MAX_REPEATS = 4.0
-BUCKETS = 4096
+#: Documents of a source in one bucket, about, and the most buckets of a source.
+BUCKET_ROWS, MOST_BUCKETS = 1_000, 1 << 22
 SEED = 42
 _SECTIONS, _ROUNDS = 32, 5
 
@@ -36,12 +38,14 @@ _SECTIONS, _ROUNDS = 32, 5
 def _counted(batches):
     for batch in batches:
         counts = [ta.word_spans(part)[3] for _, part in ta.slices(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("source"), pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=["doc_id", "source", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("source"), batch.column("nameless"), pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=["doc_id", "source", "nameless", "n_tokens"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, n_tokens; a token is a word here."""
-    return only(docs, "doc_id", "source", "text").withColumn("source", F.col("source").cast("string")).mapInArrow(_counted, "doc_id long, source string, n_tokens long")
+    """doc_id, source, nameless (a hash of the text where there is no doc_id), n_tokens; a token is a word here."""
+    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    rows = only(docs, "doc_id", "source", "text").withColumns({"source": F.col("source").cast("string"), "nameless": nameless})
+    return rows.mapInArrow(_counted, "doc_id long, source string, nameless long, n_tokens long")
 
 
 def exponent(sources: DataFrame, budget: float, entropy: float = ENTROPY, max_repeats: float = MAX_REPEATS) -> float:
@@ -79,9 +83,9 @@ def exponent(sources: DataFrame, budget: float, entropy: float = ENTROPY, max_re
 
 def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, max_repeats: float = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """doc_id, source, n_tokens, weight, pass, mix_key: a row for each time that a document is used."""
-    place = F.pmod(F.xxhash64("doc_id", "source", "pass", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    place = F.pmod(F.xxhash64("doc_id", "source", "pass", F.lit(seed), "nameless"), F.lit(1 << 53)) / float(1 << 53)
     rows = save(word_counts(docs), "tokens")
-    sources = save(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "sources")
+    sources = save(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).where("tokens > 0"), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     budget = total if budget is None else budget
     a = exponent(sources, budget, entropy, max_repeats)
@@ -91,11 +95,12 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, ma
         .withColumn("share", F.col("weight") * budget / F.col("tokens"))
         .withColumn("passes", F.floor("share").cast("int"))
         .withColumn("rest", F.col("weight") * budget - F.col("passes") * F.col("tokens"))
+        .withColumn("buckets", F.least(F.ceil(F.col("docs") / BUCKET_ROWS), F.lit(MOST_BUCKETS)))
     )
     plan = save(plan, "plan")
     joined = rows.join(small(plan.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     # The last pass: tokens before each bucket, then rows only in the bucket where the budget ends.
-    last = joined.withColumn("pass", F.col("passes")).withColumn("place", place).withColumn("bucket", (F.col("place") * BUCKETS).cast("int"))
+    last = joined.withColumn("pass", F.col("passes")).withColumn("place", place).withColumn("bucket", (F.col("place") * F.col("buckets")).cast("int"))
     sums = last.groupBy("source", "bucket", "rest").agg(F.sum("n_tokens").alias("own"))
     before = sums.withColumn("before", F.sum("own").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.withColumn("before", F.coalesce("before", F.lit(0)))

@@ -70,9 +70,22 @@ def histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: DataFrame) -> DataFrame:
-    """limit, docs_cut, kept_tokens for any context limits (column limit), from the histogram alone."""
-    joined = limits.select("limit").distinct().join(F.broadcast(histogram.select("n_tokens", "n_docs")))  # one row a distinct length
-    return joined.groupBy("limit").agg(F.sum(F.when(F.col("n_tokens") > F.col("limit"), F.col("n_docs")).otherwise(0)).alias("docs_cut"), F.sum(F.least("n_tokens", "limit") * F.col("n_docs")).alias("kept_tokens"))
+    """limit, docs_cut, kept_tokens for any context limits (column limit), from the suffix sums alone.
+
+    Documents longer than a limit are those at or above the next length that occurs: they keep limit tokens each, the
+    others all of theirs. Limits and lengths are put in one order, in spans and within a span, as histogram() does."""
+    asked = limits.select(F.col("limit").cast("long").alias("at")).where("at is not null").distinct()
+    wanted = asked.select("at", F.lit(True).alias("asked"), F.lit(None).cast("struct<d:bigint,t:bigint>").alias("next"))
+    known = histogram.select(F.col("n_tokens").alias("at"), F.lit(False).alias("asked"), F.struct(F.col("docs_from").cast("long").alias("d"), F.col("tokens_from").cast("long").alias("t")).alias("next"))
+    rows = wanted.unionByName(known).withColumn("span", F.floor(F.col("at") / SPAN))
+    firsts = rows.groupBy("span").agg(F.min_by("next", F.when(F.col("next").isNotNull(), F.col("at"))).alias("first"))
+    beyond = firsts.select("span", F.first("first", ignorenulls=True).over(Window.orderBy("span").rowsBetween(1, Window.unboundedFollowing)).alias("beyond"))
+    # A limit that is a length itself cuts only what is longer, so it goes behind that length.
+    within = Window.partitionBy("span").orderBy("at", "asked").rowsBetween(1, Window.unboundedFollowing)
+    found = rows.join(beyond, "span").withColumn("next", F.coalesce(F.first("next", ignorenulls=True).over(within), "beyond")).where("asked")
+    total = histogram.agg(F.max("tokens_from").alias("total"))
+    cut, rest = F.coalesce("next.d", F.lit(0)), F.coalesce("next.t", F.lit(0))
+    return found.join(F.broadcast(total)).select(F.col("at").alias("limit"), cut.alias("docs_cut"), (F.coalesce("total", F.lit(0)) - rest + F.col("at") * cut).alias("kept_tokens"))  # total is one row
 
 
 def quantile(histogram: DataFrame, q: float) -> int:
