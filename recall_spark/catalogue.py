@@ -28,10 +28,23 @@ _ONE_LINE = r"""CASE WHEN length(trim(regexp_extract(text, '^[^.!?]+[.!?]'), E'
   WHEN length(trim(text, E' \n\t\r')) <= 100 THEN trim(text, E' \n\t\r') ELSE trim(left(text, 97), E' \n\t\r') || '...' END"""
 _NEAREST = """vectors AS (SELECT e.vec_id, e.embedding, e.label, m.repo_id, m.branch_name FROM embeddings e JOIN memories m ON e.vec_id = m.memory_id),
   d AS (SELECT q.vec_id AS query_id, v.vec_id AS memory_id, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (q.embedding[i]::DOUBLE - v.embedding[i]::DOUBLE) ^ 2)) AS distance
-        FROM vectors v, vectors q WHERE q.vec_id < 5),
+        FROM vectors v JOIN vectors q ON v.repo_id = q.repo_id AND v.branch_name = q.branch_name WHERE q.vec_id % 20 = 0),
   hits AS (SELECT query_id, memory_id, exp(-distance) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), memory_id) AS rank FROM d)"""
 
 
+#: Sources with the declarations that are cut out, and braces where they don't count.
+CODE = {
+    "javascript": "export class NAME {\n  // }\n  run(a = f(1)) { return `}`; }\n}\nasync function go() { if (x) { y(); } }\n",
+    "typescript": "interface NAME { a: string }\nclass C extends NAME {\n  private async run<T>(x: T): Promise<void> { '}' }\n}\nfunction go<T>(x: T): T { return x }\n",
+    "go": "package a\ntype NAME struct { x int }\nfunc (n *NAME) Run() rune { return '}' }\nfunc Go(x int) (int, error) { return 1, nil }\n",
+    "rust": "pub struct NAME;\npub trait T { fn sig(&self); }\nimpl<'a> T for NAME {\n  fn run(&self) { let c = '}'; }\n}\n",
+    "java": "public class NAME {\n  @Override\n  public String run(int a) throws E { return \"}\"; }\n}\ninterface I { void k(); }\n",
+    "c": "struct NAME { int a; };\nstatic int run(int a) { /* } */ return a; }\nint proto(int);\n",
+    "cpp": "class NAME : public B { int a; };\nint run(std::vector<int> v) { return 0; }\n",
+    "csharp": "namespace N { public sealed class NAME { public async Task<int> Run(int x) { return 1; } } interface I { void K(); } }\n",
+}
+
+
 def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL."""
 
@@ -44,13 +57,13 @@ def query(sql: str | None = None):
     return add
 
 
-def _hits(spark, d, k):
-    v = tb.vectors(spark, d)
-    return search.top_k(v, v.where("memory_id < 5").select(F.col("memory_id").alias("query_id"), "embedding"), k)
+def _prompts(spark, d):
+    """Every twentieth vector as a prompt in its repository and branch."""
+    return tb.vectors(spark, d).where("memory_id % 20 = 0").select(F.col("memory_id").alias("query_id"), "embedding", "repo_id", "branch_name")
 
 
-def _found(spark, d, k, least):
-    return _hits(spark, d, k).where(F.col("similarity") >= least).join(tb.memories(spark, d), "memory_id").where("not stale")
+def _found(spark, d, k, least, **options):
+    return search.similar(tb.vectors(spark, d), _prompts(spark, d), tb.memories(spark, d), k, least, **options)
 
 
 @query(f"WITH {_MEMORIES}, {_NEAREST} SELECT query_id, memory_id, rank, round(similarity, 6) AS similarity, content_type FROM hits JOIN memories USING (memory_id) WHERE rank <= 5 AND similarity >= 0.2 AND NOT stale")
@@ -65,7 +78,28 @@ def search_multi(spark, d):
 
 @query(f"WITH {_MEMORIES}, {_NEAREST} SELECT query_id, memory_id FROM hits JOIN memories USING (memory_id) WHERE rank <= 50 AND NOT stale AND language = 'en' AND list_has_all(tags, ['t1'])")
 def search_tags_lang(spark, d):
-    return _found(spark, d, 50, 0.0).where((F.col("language") == "en") & listing.has_tags(["t1"])).select("query_id", "memory_id")
+    return _found(spark, d, 50, 0.0, language="en", tags=["t1"]).select("query_id", "memory_id")
+
+
+@query(f"WITH {_MEMORIES}, {_NEAREST} SELECT query_id, memory_id, stale FROM hits JOIN memories USING (memory_id) WHERE rank <= 10 AND content_type = 'code_snippet'")
+def search_include_stale(spark, d):
+    return _found(spark, d, 10, 0.0, content_type="code_snippet", include_stale=True).select("query_id", "memory_id", "stale")
+
+
+_OTHER_SCOPES = """vectors AS (SELECT e.vec_id, e.embedding, m.repo_id, m.branch_name, content_type, stale FROM embeddings e JOIN memories m ON e.vec_id = m.memory_id),
+  d AS (SELECT q.vec_id AS query_id, v.vec_id AS memory_id, v.branch_name, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (q.embedding[i]::DOUBLE - v.embedding[i]::DOUBLE) ^ 2)) AS distance
+        FROM vectors v JOIN vectors q ON v.repo_id = q.repo_id AND ({scope}) WHERE q.vec_id % 20 = 0 AND ({first})),
+  hits AS (SELECT query_id, memory_id, exp(-distance) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), memory_id) AS rank FROM d)"""
+
+
+@query(f"WITH {_MEMORIES}, {_OTHER_SCOPES.format(scope='true', first='true')} SELECT query_id, memory_id, branch_name FROM hits JOIN memories USING (memory_id) WHERE rank <= 10 AND NOT stale")
+def search_cross_branch(spark, d):
+    return _found(spark, d, 10, 0.0, cross_branch=True).select("query_id", "memory_id", "branch_name")
+
+
+@query(f"""WITH {_MEMORIES}, {_OTHER_SCOPES.format(scope='v.branch_name = q.branch_name', first="v.content_type = 'decision' AND NOT v.stale")} SELECT query_id, memory_id, rank FROM hits WHERE rank <= 5""")
+def search_prefilter(spark, d):
+    return _found(spark, d, 5, 0.0, content_type="decision", prefilter=True).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_MEMORIES}, {_NEAREST}, r AS (SELECT query_id, memory_id, rank, content_type FROM hits JOIN memories USING (memory_id) WHERE rank <= 30 AND similarity >= 0.2 AND NOT stale AND content_type IN ('decision', 'analysis', 'context', 'conversation')) SELECT query_id, memory_id, content_type FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10")
@@ -111,7 +145,7 @@ def list_page(spark, d):
 @query(f"WITH {_MEMORIES} SELECT memory_id, content_type, sha256(text) AS checksum FROM memories WHERE memory_id = 7 AND branch_name = 'main'")
 def retrieve_by_id(spark, d):
     m = tb.memories(spark, d)
-    return m.where("memory_id = 7 and branch_name = 'main'").select("memory_id", "content_type", tx.checksum(F.col("text")).alias("checksum"))
+    return listing.filtered(m, memory_id=7, branch="main", include_stale=True).select("memory_id", "content_type", tx.checksum(F.col("text")).alias("checksum"))
 
 
 @query(f"WITH {_MEMORIES} SELECT memory_id, created_at, content_type FROM memories WHERE NOT stale ORDER BY created_at DESC, memory_id LIMIT 10")
@@ -157,9 +191,33 @@ def chunk_type(spark, d):
     return tb.memories(spark, d).select("memory_id", tx.chunk_type(F.col("function_name"), F.col("class_name")).alias("chunk_type"))
 
 
-@query(f"WITH {_MEMORIES} SELECT file_path, 'text' AS language, count(*) AS n FROM memories GROUP BY file_path")
+_SUFFIXES = """('.py', 'python', 'python_ast'), ('.pyw', 'python', 'python_ast'), ('.pyx', 'python', 'python_ast'), ('.pyi', 'python', 'python_ast'), ('.js', 'javascript', 'tree_sitter'),
+  ('.mjs', 'javascript', 'tree_sitter'), ('.cjs', 'javascript', 'tree_sitter'), ('.jsx', 'javascript', 'tree_sitter'), ('.ts', 'typescript', 'tree_sitter'), ('.mts', 'typescript', 'tree_sitter'),
+  ('.cts', 'typescript', 'tree_sitter'), ('.tsx', 'typescript', 'tree_sitter'), ('.go', 'go', 'tree_sitter'), ('.rs', 'rust', 'tree_sitter'), ('.c', 'c', 'tree_sitter'), ('.h', 'c', 'tree_sitter'),
+  ('.cpp', 'cpp', 'tree_sitter'), ('.cc', 'cpp', 'tree_sitter'), ('.cxx', 'cpp', 'tree_sitter'), ('.c++', 'cpp', 'tree_sitter'), ('.hpp', 'cpp', 'tree_sitter'), ('.hh', 'cpp', 'tree_sitter'),
+  ('.hxx', 'cpp', 'tree_sitter'), ('.h++', 'cpp', 'tree_sitter'), ('.cs', 'csharp', 'tree_sitter'), ('.java', 'java', 'tree_sitter'), ('.kt', 'kotlin', 'text'), ('.kts', 'kotlin', 'text'),
+  ('.scala', 'scala', 'text'), ('.rb', 'ruby', 'text'), ('.php', 'php', 'text'), ('.swift', 'swift', 'text'), ('.svelte', 'svelte', 'tree_sitter'), ('.vue', 'vue', 'text'), ('.md', 'markdown', 'text'),
+  ('.markdown', 'markdown', 'text')"""
+
+
+@query(f"""WITH x(suffix, language, chunker) AS (VALUES {_SUFFIXES}, ('.txt', NULL, 'text'), ('.json', NULL, 'text'), ('', NULL, 'text')),
+  p AS (SELECT doc_id, x.*, 'src/a.b/f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN upper(suffix) ELSE suffix END AS file_path FROM documents, x WHERE doc_id % 3 = 0)
+  SELECT file_path, language, chunker, language IS NOT NULL AS is_code FROM p""")
 def detect_language(spark, d):
-    return tb.memories(spark, d).groupBy("file_path", tx.language(F.col("file_path")).alias("language")).agg(F.count("*").alias("n"))
+    suffixes = F.array(*map(F.lit, [*tx.LANGUAGES, ".txt", ".json", ""]))
+    rows = tb.table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.explode(suffixes).alias("s"))
+    path = F.concat(F.lit("src/a.b/f"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, F.upper("s")).otherwise(F.col("s")))
+    return rows.select(path.alias("file_path")).withColumns({"language": tx.language(F.col("file_path")), "is_code": tx.is_code(F.col("file_path"))}).withColumn("chunker", tx.chunker(F.col("language")))
+
+
+@query(f"SELECT * FROM (VALUES {_SUFFIXES}) x(suffix, language, chunker)")
+def supported_languages(spark, d):
+    return tx.supported(spark)
+
+
+@query(f"WITH {_MEMORIES} SELECT memory_id, language, content_type FROM memories WHERE language = 'fr' AND NOT stale ORDER BY content_type, created_at DESC, memory_id LIMIT 50")
+def list_by_language(spark, d):
+    return listing.listed(tb.memories(spark, d), "type", 50, language="fr").select("memory_id", "language", "content_type")
 
 
 @query(f"WITH {_MEMORIES} SELECT repo_name || ' (' || repo_id || ')' AS repository, count(*) AS n, count(*) FILTER (WHERE stale) AS n_stale, count(*) * 3 / 1024.0::DOUBLE AS size_mb FROM memories GROUP BY repo_id, repo_name")
@@ -190,9 +248,9 @@ def cleanup_preview(spark, d):
     return maintenance.cleanup(tb.memories(spark, d), tb.AS_OF, 30, "conversation", True, True)
 
 
-@query(f"WITH {_MEMORIES} SELECT memory_id, content_type FROM memories WHERE content_type IN ('conversation', 'context') AND created_at < {tb.AS_OF} - 30 * 86400")
+@query(f"WITH {_MEMORIES} SELECT memory_id, content_type FROM memories WHERE (content_type = 'conversation' AND created_at < {tb.AS_OF} - 30 * 86400) OR (content_type = 'context' AND created_at < {tb.AS_OF} - 20 * 86400)")
 def ttl_expired(spark, d):
-    return maintenance.expired(tb.memories(spark, d), 30, tb.AS_OF).select("memory_id", "content_type")
+    return maintenance.expired(tb.memories(spark, d), tb.AS_OF, conversation_days=30, context_days=20).select("memory_id", "content_type")
 
 
 def _hashes(spark, d):
@@ -225,7 +283,7 @@ def last_commit(spark, d):
 
 _CENTROIDS = f"""{_MEMORIES}, {_NEAREST}, x AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM vectors, range(1, 65) r(i) WHERE label < 6 GROUP BY label, i),
   c AS (SELECT label, list(m / n ORDER BY i) AS centroid FROM x JOIN (SELECT label, sqrt(sum(m * m)) AS n FROM x GROUP BY label) USING (label) GROUP BY label)"""
-_INTENTS = "[" + ", ".join(f"'{i}'" for i in sc.INTENTS) + "]"
+_INTENTS = "['coding', 'debugging', 'architecture', 'testing', 'review', 'general']"
 
 
 @query(f"WITH {_CENTROIDS} SELECT ({_INTENTS})[label + 1] AS intent, len(centroid)::INT AS dims, round(centroid[1], 6) AS first, round(centroid[64], 6) AS last FROM c")
@@ -234,13 +292,20 @@ def intent_centroids(spark, d):
     return c.select("intent", F.size("centroid").alias("dims"), F.round(F.element_at("centroid", 1), 6).alias("first"), F.round(F.element_at("centroid", 64), 6).alias("last"))
 
 
-def _intents(spark, d, below=1 << 60):
+@query()
+def phrase_centroids(spark, d):
+    return search.phrase_centroids(spark)
+
+
+def _intents(spark, d, prompts=None):
     v = tb.vectors(spark, d)
-    return search.classified(v.where(F.col("memory_id") < below).select(F.col("memory_id").alias("query_id"), "embedding"), search.centroids(v, sc.INTENTS))
+    prompts = v.select(F.col("memory_id").alias("query_id"), "embedding") if prompts is None else prompts
+    return search.classified(prompts, search.centroids(v, sc.INTENTS))
 
 
 _CLASSIFIED = f"""{_CENTROIDS}, s AS (SELECT vec_id AS query_id, label, list_sum(list_transform(range(1, 65), lambda i: v.embedding[i]::DOUBLE * c.centroid[i])) / sqrt(list_sum(list_transform(v.embedding, lambda e: e::DOUBLE * e::DOUBLE))) AS score FROM (SELECT vec_id, embedding FROM vectors) v, c),
-  intents AS (SELECT query_id, ({_INTENTS})[max_by(label, round(score, 12) * 1e6 - label * 1e-9) + 1] AS intent, least(greatest(max(score), 0.0), 1.0) AS confidence FROM s GROUP BY query_id)"""
+  best AS (SELECT query_id, ({_INTENTS})[max_by(label, round(score, 12) * 1e6 - label * 1e-9) + 1] AS intent, least(greatest(max(score), 0.0), 1.0) AS confidence FROM s GROUP BY query_id),
+  intents AS (SELECT query_id, CASE WHEN confidence < 0.3 THEN 'general' ELSE intent END AS intent, confidence FROM best)"""
 
 
 @query(f"WITH {_CLASSIFIED} SELECT query_id, intent, round(confidence, 6) AS confidence FROM intents")
@@ -248,33 +313,42 @@ def classify_intent(spark, d):
     return _intents(spark, d).select("query_id", "intent", F.round("confidence", 6).alias("confidence"))
 
 
-_PRIORITY = "CASE " + " ".join(f"WHEN intent = '{i}' AND content_type = '{t}' THEN {w}::DOUBLE" for i, ts in sc.PRIORITY.items() for t, w in zip(ts, sc.WEIGHTS)) + " ELSE 0.1::DOUBLE END"
+_PRIORITIES = """p(intent, content_type, priority) AS (VALUES ('coding', 'code_snippet', 1.0), ('coding', 'context', 0.7), ('coding', 'decision', 0.4), ('coding', 'relationship', 0.2),
+  ('debugging', 'analysis', 1.0), ('debugging', 'code_snippet', 0.7), ('debugging', 'context', 0.4), ('debugging', 'conversation', 0.2),
+  ('architecture', 'decision', 1.0), ('architecture', 'analysis', 0.7), ('architecture', 'context', 0.4), ('architecture', 'summary', 0.2),
+  ('testing', 'code_snippet', 1.0), ('testing', 'analysis', 0.7), ('testing', 'context', 0.4), ('testing', 'decision', 0.2),
+  ('review', 'code_snippet', 1.0), ('review', 'decision', 0.7), ('review', 'context', 0.4), ('review', 'analysis', 0.2),
+  ('general', 'context', 1.0), ('general', 'decision', 0.7), ('general', 'conversation', 0.4), ('general', 'summary', 0.2))"""
 
 
-@query(f"WITH {_MEMORIES} SELECT intent, content_type, {_PRIORITY} AS priority, count(*) AS n FROM memories, (SELECT unnest({_INTENTS}) AS intent) GROUP BY intent, content_type")
+@query(f"WITH {_MEMORIES}, {_PRIORITIES} SELECT i.intent, m.content_type, coalesce(p.priority, 0.1)::DOUBLE AS priority, m.n FROM (SELECT content_type, count(*) AS n FROM memories GROUP BY content_type) m, (SELECT unnest({_INTENTS[:-1]}, 'unheard of']) AS intent) i LEFT JOIN p ON p.content_type = m.content_type AND p.intent = CASE WHEN i.intent = 'unheard of' THEN 'general' ELSE i.intent END")
 def type_priority(spark, d):
-    intents = spark.createDataFrame([(i,) for i in sc.INTENTS], "intent string")
+    intents = spark.createDataFrame([(i,) for i in (*sc.INTENTS, "unheard of")], "intent string")
     counts = tb.memories(spark, d).groupBy("content_type").agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(intents)).select("intent", "content_type", sc.type_priority(F.col("intent"), F.col("content_type")).alias("priority"), "n")
 
 
 def _ranked(spark, d):
-    return context.ranked(tb.derived(_found(spark, d, 20, 0.2)), _intents(spark, d, 5), tb.AS_OF)
+    return context.ranked(tb.derived(_found(spark, d, 20, context.SEARCH_FLOOR)), _intents(spark, d, _prompts(spark, d)), tb.AS_OF)
+
+
+_COMPOSITES = f"""{_CLASSIFIED}, {_PRIORITIES}, scored AS (SELECT query_id, memory_id, 0.6 * similarity + 0.3 * coalesce(priority, 0.1)::DOUBLE + 0.1 * greatest(0.3, exp(-(({tb.AS_OF} - created_at) / 86400.0::DOUBLE) / 60)) AS composite
+  FROM hits JOIN memories m USING (memory_id) JOIN intents i USING (query_id) LEFT JOIN p ON p.intent = i.intent AND p.content_type = m.content_type WHERE rank <= 20 AND similarity >= 0.25 AND NOT stale)"""
 
 
-@query(f"WITH {_CLASSIFIED} SELECT query_id, memory_id, round(0.6 * similarity + 0.3 * {_PRIORITY} + 0.1 * greatest(0.3, exp(-(({tb.AS_OF} - created_at) / 86400.0::DOUBLE) / 60)), 6) AS composite FROM hits JOIN memories USING (memory_id) JOIN intents USING (query_id) WHERE rank <= 20 AND similarity >= 0.2 AND NOT stale")
+@query(f"WITH {_COMPOSITES} SELECT query_id, memory_id, round(composite, 6) AS composite FROM scored")
 def composite_rank(spark, d):
     return _ranked(spark, d).select("query_id", "memory_id", F.round("composite", 6).alias("composite"))
 
 
-@query(f"WITH {_MEMORIES}, {_NEAREST} SELECT query_id, least(greatest(trunc(800 * (0.3 + 0.9 * max(similarity)))::INT, 200), 1200) AS budget FROM hits WHERE rank BETWEEN 2 AND 6 GROUP BY query_id")
+@query(f"WITH {_COMPOSITES} SELECT vec_id AS query_id, CASE WHEN max(composite) IS NULL THEN 200 ELSE least(greatest(trunc(800 * (0.3 + 0.9 * max(composite)))::INT, 200), 1200) END AS budget FROM vectors LEFT JOIN scored ON vec_id = query_id WHERE vec_id % 20 = 0 GROUP BY vec_id")
 def effective_budget(spark, d):
-    return _hits(spark, d, 6).where("rank >= 2").groupBy("query_id").agg(F.max("similarity").alias("s")).select("query_id", sc.budget(F.col("s")).alias("budget"))
+    return context.adaptive(_ranked(spark, d), _prompts(spark, d).select("query_id")).select("query_id", "budget")
 
 
 @query()
 def adaptive_block(spark, d):
-    return context.adaptive(_ranked(spark, d))
+    return context.adaptive(_ranked(spark, d), _prompts(spark, d).select("query_id"))
 
 
 @query()
@@ -282,9 +356,43 @@ def legacy_block(spark, d):
     return context.legacy(_ranked(spark, d), tb.PERSISTENT)
 
 
+def _smart(spark, d):
+    m = tb.memories(spark, d)
+    fresh = m.join(maintenance.expired(m, tb.AS_OF, 30, 20).select("memory_id"), "memory_id", "left_anti")
+    hits = search.similar(tb.vectors(spark, d), _prompts(spark, d), fresh, 20, context.SEARCH_FLOOR)
+    return context.smart(tb.derived(hits), _intents(spark, d, _prompts(spark, d)), tb.skills(spark, d), tb.AS_OF)
+
+
+@query()
+def smart_block(spark, d):
+    return _smart(spark, d)
+
+
+@query()
+def inject_message(spark, d):
+    return context.injected(_smart(spark, d))
+
+
 @query()
 def select_skills(spark, d):
-    return context.selected_skills(tb.skills(spark), 500)
+    return context.selected_skills(tb.skills(spark, d), 500)
+
+
+def _requests(spark, d):
+    """A list of ids for every twentieth memory: later ones first, one of them missing."""
+    i = F.col("memory_id")
+    return tb.memories(spark, d).where(i % 20 == 0).select(i.alias("request_id"), F.array(i + 3, i, i + 25, F.lit(-1).cast("long"), i + 1, i + 28).alias("ids"))
+
+
+@query(f"""WITH {_MEMORIES}, r AS (SELECT memory_id AS request_id, unnest([memory_id + 3, memory_id, memory_id + 25, -1, memory_id + 1, memory_id + 28]) AS id, generate_subscripts([1, 2, 3, 4, 5, 6], 1) AS pos FROM memories WHERE memory_id % 20 = 0),
+  j AS (SELECT request_id, pos, file_path AS f, {_ONE_LINE} AS one_line FROM r JOIN memories m ON m.memory_id = r.id),
+  k AS (SELECT *, row_number() OVER (PARTITION BY request_id, f ORDER BY pos) AS nth, min(pos) OVER (PARTITION BY request_id, f) AS ff FROM j),
+  l AS (SELECT request_id, ff, pos, 0 AS k, E'\\n## ' || f || E'\\n' AS piece FROM k WHERE nth = 1 UNION ALL SELECT request_id, ff, pos, 1, '- ' || one_line || E'\\n' FROM k),
+  t AS (SELECT *, sum({_TOKENS.format('piece')}) OVER (PARTITION BY request_id ORDER BY ff, pos, k) AS running FROM l),
+  s AS (SELECT request_id, string_agg(piece, '' ORDER BY ff, pos, k) AS summary FROM t WHERE running <= 60 GROUP BY request_id)
+  SELECT memory_id AS request_id, coalesce(summary, '') AS summary, {_TOKENS.format("coalesce(summary, '')")} AS token_count, 6 AS memories_included FROM memories LEFT JOIN s ON memory_id = request_id WHERE memory_id % 20 = 0""")
+def summarize_ids(spark, d):
+    return context.summarised(_requests(spark, d), tb.derived(tb.memories(spark, d)), 60)
 
 
 @query(f"""WITH {_MEMORIES}, m AS (SELECT repo_id, memory_id, file_path, {_ONE_LINE} AS one_line, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY memory_id) AS nth, min(memory_id) OVER (PARTITION BY repo_id, file_path) AS ff FROM memories),
@@ -299,19 +407,45 @@ def summarize_by_file(spark, d):
 def near_dup_capture(spark, d):
     v = tb.vectors(spark, d)
     first = F.transform("embedding", lambda x, i: F.when(i == 0, x * F.lit(1.01)).otherwise(x))
-    return search.near_copies(v, v.where("memory_id % 20 = 0").select((F.col("memory_id") + 1_000_000).alias("query_id"), first.alias("embedding")))
+    new = v.where("memory_id % 20 = 0").select((F.col("memory_id") + 1_000_000_000).alias("query_id"), first.alias("embedding"), "repo_id", "branch_name")
+    return search.near_copies(v, new, scoped=("repo_id", "branch_name"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role || ': ' || text AS line FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)
-  SELECT conv_id::VARCHAR AS session_id, string_agg(line, E'\\n\\n' ORDER BY turn) AS transcript FROM c GROUP BY conv_id""")
+@query()
+def capture_unstored(spark, d):
+    """Turns as items: those that no stored document and no earlier item of their conversation is like."""
+    t = tb.table(spark, d, "conversations")
+    items = t.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = items.unionByName(items.withColumn("place", F.col("place") + 1_000_000))
+    stored = search.embedded(items.where("session_id % 2 = 0 and place % 2 = 0").select(F.xxhash64("session_id", "place").alias("memory_id"), "text"))
+    return capturing.not_stored(texts, stored).select("session_id", "place")
+
+
+@query()
+def known_summaries(spark, d):
+    """For each conversation, lines of the documents that are most like the beginning of its transcript."""
+    sessions = capturing.to_capture(_lines(spark, d), 50)
+    m = tb.derived(tb.memories(spark, d).where("not stale"))
+    mixed = sessions.unionByName(m.where("memory_id % 20 = 0").select(F.concat(F.lit("m"), F.col("memory_id").cast("string")).alias("session_id"), F.left("text", F.lit(500)).alias("text")))
+    return capturing.known_for(mixed, search.embedded(m.select("memory_id", F.left("text", F.lit(500)).alias("text"))), m).select("session_id", F.array_join("known", "\n").alias("known"))
+
+
+def _lines(spark, d):
+    return tb.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("line_no"), F.to_json(F.struct("role", F.col("text").alias("content"))).alias("line"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, role || ': ' || coalesce(text, '') AS line FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)
+  SELECT conv_id::VARCHAR AS session_id, string_agg(line, E'\\n\\n' ORDER BY turn) AS transcript FROM c WHERE role IN ('user', 'assistant') GROUP BY conv_id""")
 def transcript_tail(spark, d):
-    lines = tb.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("line_no"), F.to_json(F.struct("role", F.col("text").alias("content"))).alias("line"))
-    return fl.tail(fl.transcript(lines), 3)
+    return fl.tail(_lines(spark, d), 3)
 
 
-@query(r"""SELECT conv_id, turn, trim(regexp_replace('A' || E'\n\n' || text || E'\n\n' || 'B', '\n{3,}', E'\n\n', 'g'), E' \n\t\r') AS text FROM conversations""")
+@query(r"""SELECT conv_id, turn, trim(regexp_replace('A' || E'\n\n' || text || E'\n\nassistance: \n\nB', '\n{3,}', E'\n\n', 'g'), E' \n\t\r') AS text FROM conversations""")
 def compress_basic(spark, d):
-    noisy = F.concat(F.lit("A<system-reminder>x\ny</system-reminder>\n\n\n\n"), "text", F.lit("\n\n\n=======\n\n<tool_use>z</tool_use>B"))
+    noisy = F.concat(
+        F.lit("A<system-reminder>x\ny</system-reminder>\n\n\n\n"), "text", F.lit("\n\n\n=====>\n\nassistance: █▌▐▓\nassistant: <tool_use>z\n</tool_use>"),
+        F.lit("Relevant memories from previous sessions:\n- [decision] one\n- [code] two — a.py:1-2\n......\n<tool_result>r</tool_result>\nB"),
+    )
     return tb.table(spark, d, "conversations").select("conv_id", "turn", tx.compressed(noisy).alias("text"))
 
 
@@ -321,6 +455,12 @@ def decision_markdown(spark, d):
     return t.select(F.col("doc_id").alias("memory_id"), tx.decision(F.col("source"), F.array(F.col("lang"), F.lit("none")), F.col("lang"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, "done")).alias("text"))
 
 
+@query("""SELECT d.doc_id AS memory_id, CASE WHEN d.doc_id % 2 = 0 AND a.doc_id IS NOT NULL THEN [a.doc_id] ELSE [] END AS depends_on, CASE WHEN d.doc_id % 3 = 0 AND b.doc_id IS NOT NULL THEN [b.doc_id] ELSE [] END AS related_to
+  FROM documents d LEFT JOIN documents a ON a.doc_id = d.doc_id + 1 LEFT JOIN documents b ON b.doc_id = d.doc_id + 2""")
+def rehydrated_edges(spark, d):
+    return listing.rehydrated(tb.memories(spark, d), tb.edges(spark, d)).select("memory_id", "depends_on", "related_to")
+
+
 @query(f"""WITH {_MEMORIES}, e AS (SELECT memory_id AS from_id, memory_id + 1 AS to_id, 'depends_on' AS relationship_type FROM memories WHERE memory_id % 2 = 0 UNION ALL SELECT memory_id, memory_id + 2, 'related_to' FROM memories WHERE memory_id % 3 = 0)
   SELECT from_id, to_id, relationship_type, content_type AS to_type, file_path AS to_path FROM e JOIN memories ON to_id = memory_id""")
 def edges_1hop(spark, d):
@@ -358,6 +498,14 @@ def code_fence_truncate(spark, d):
     return tb.table(spark, d, "conversations").select("conv_id", "turn", tx.fences_cut(F.concat(F.lit("x\n```py\n"), fence, F.lit("\n```\ny"))).alias("text"))
 
 
+@query()
+def chunk_code(spark, d):
+    """A file in each language that is cut by its declarations, for every memory."""
+    name = F.concat(F.lit("N"), F.col("memory_id").cast("string"))
+    files = tb.memories(spark, d).select(F.col("memory_id").cast("string").alias("path"), F.explode(F.create_map(*[x for lang, body in CODE.items() for x in (F.lit(lang), F.replace(F.lit(body), F.lit("NAME"), name))])).alias("language", "text"))
+    return chunking.chunked(files).select("path", "language", "kind", "name", "line_start", "line_end")
+
+
 @query()
 def hashed_embed(spark, d):
     return search.embedded(tb.memories(spark, d))
@@ -407,11 +555,10 @@ def capture_extracted(spark, d):
 
 
 @query(f"""WITH {_MEMORIES}, {_NEAREST}, k AS (SELECT query_id, string_agg('- [' || content_type || '] ' || {_ONE_LINE}, E'\\n' ORDER BY rank) AS lines FROM hits JOIN memories USING (memory_id) WHERE rank <= 5 AND similarity >= 0.25 AND NOT stale GROUP BY query_id)
-  SELECT vec_id AS query_id, CASE WHEN lines IS NULL THEN 'Extract.' ELSE E'Extract.\\n\\nAlready stored (do NOT re-extract these):\\n' || lines END AS prompt FROM vectors LEFT JOIN k ON vec_id = query_id WHERE vec_id < 5""")
+  SELECT vec_id AS query_id, CASE WHEN lines IS NULL THEN 'Extract.' ELSE E'Extract.\\n\\nAlready stored (do NOT re-extract these):\\n' || lines END AS prompt FROM vectors LEFT JOIN k ON vec_id = query_id WHERE vec_id % 20 = 0""")
 def enhanced_prompt(spark, d):
     known = capturing.known_lines(tb.derived(_found(spark, d, 5, 0.25)))
-    prompts = tb.vectors(spark, d).where("memory_id < 5").select(F.col("memory_id").alias("query_id"))
-    return prompts.join(known, "query_id", "left").select("query_id", capturing.prompt(F.lit("Extract."), F.coalesce("known", F.expr("cast(array() as array<string>)"))).alias("prompt"))
+    return _prompts(spark, d).select("query_id").join(known, "query_id", "left").select("query_id", capturing.prompt(F.lit("Extract."), F.coalesce("known", F.expr("cast(array() as array<string>)"))).alias("prompt"))
 
 
 @query(f"""WITH {_MEMORIES}, m AS (SELECT content_type, {_TOKENS.format('text')} AS a, {_TOKENS.format('(' + _ONE_LINE + ')')} AS b FROM memories)

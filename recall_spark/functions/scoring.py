@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INTENTS = ("debugging", "coding", "architecture", "review", "planning", "general")
+#: Intents, in the order in which ties between them are decided.
+INTENTS = ("coding", "debugging", "architecture", "testing", "review", "general")
 #: Types that matter most for an intent, in order.
 PRIORITY = {
-    "debugging": ("analysis", "code_snippet", "decision", "context"),
-    "coding": ("code_snippet", "relationship", "decision", "context"),
-    "architecture": ("decision", "analysis", "summary", "context"),
-    "review": ("code_snippet", "analysis", "decision", "context"),
-    "planning": ("decision", "context", "summary", "conversation"),
-    "general": ("context", "decision", "conversation", "analysis"),
+    "coding": ("code_snippet", "context", "decision", "relationship"),
+    "debugging": ("analysis", "code_snippet", "context", "conversation"),
+    "architecture": ("decision", "analysis", "context", "summary"),
+    "testing": ("code_snippet", "analysis", "context", "decision"),
+    "review": ("code_snippet", "decision", "context", "analysis"),
+    "general": ("context", "decision", "conversation", "summary"),
 }
 WEIGHTS = (1.0, 0.7, 0.4, 0.2)
 OTHER = 0.1
@@ -39,5 +40,5 @@ def composite(similar: Column, priority: Column, recent: Column) -> Column:
 
 
 def budget(best: Column, base: int = 800, least: int = 200, most: int = 1200) -> Column:
-    """Tokens to spend, more of them the better the best hit is."""
+    """Tokens to spend, more of them the higher the best composite score is."""
     return F.least(F.greatest((F.lit(base) * (0.3 + 0.9 * best)).cast("int"), F.lit(least)), F.lit(most))

@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 
 #: File suffix to language.
 LANGUAGES = {
-    ".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript",
-    ".go": "go", ".rs": "rust", ".java": "java", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".cs": "csharp", ".rb": "ruby", ".php": "php",
-    ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".md": "markdown", ".txt": "text", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".sh": "shell", ".svelte": "svelte",
+    ".py": "python", ".pyw": "python", ".pyx": "python", ".pyi": "python",
+    ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "javascript",
+    ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "typescript",
+    ".go": "go", ".rs": "rust", ".c": "c", ".h": "c",
+    ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".c++": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp", ".h++": "cpp",
+    ".cs": "csharp", ".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".scala": "scala", ".rb": "ruby", ".php": "php",
+    ".swift": "swift", ".svelte": "svelte", ".vue": "vue", ".md": "markdown", ".markdown": "markdown",
+}
+#: Languages that are cut by their structure, and how; all others are cut as text.
+CHUNKERS = {
+    "python": "python_ast", "javascript": "tree_sitter", "typescript": "tree_sitter", "go": "tree_sitter", "rust": "tree_sitter",
+    "java": "tree_sitter", "c": "tree_sitter", "cpp": "tree_sitter", "csharp": "tree_sitter", "svelte": "tree_sitter",
 }
 
 
@@ -65,6 +74,22 @@ def language(path: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])[suffix]
 
 
+def chunker(language: Column) -> Column:
+    """How files of a language are cut: python_ast, tree_sitter (by declarations) or text."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in CHUNKERS.items() for x in pair])[language], F.lit("text"))
+
+
+def is_code(path: Column) -> Column:
+    """Whether a file's language is known."""
+    return language(path).isNotNull()
+
+
+def supported(spark):
+    """suffix, language, chunker: all suffixes that are known."""
+    rows = spark.createDataFrame(sorted(LANGUAGES.items()), "suffix string, language string")
+    return rows.withColumn("chunker", chunker(F.col("language")))
+
+
 def decision(problem: Column, alternatives: Column, chosen: Column, rationale: Column, outcome: Column) -> Column:
     bullets = F.array_join(F.transform(alternatives, lambda x: F.concat(F.lit("- "), x)), "\n")
     return F.concat(F.lit("## Problem\n"), problem, F.lit("\n\n## Alternatives\n"), bullets, F.lit("\n\n## Chosen\n"), chosen, F.lit("\n\n## Rationale\n"), rationale, F.lit("\n\n## Outcome\n"), F.coalesce(outcome, F.lit("TBD")))
@@ -91,12 +116,16 @@ def sanitised(text: Column) -> Column:
     return reduce(lambda x, rule: F.regexp_replace(x, rule[1], "[REDACTED]"), SECRETS, text)
 
 
+#: What a transcript loses before its code fences are cut, and after.
+NOISE = (r"(?s)(?:assistant:\s*)?<tool_use>.*?</tool_use>|<tool_result>.*?</tool_result>", r"Relevant memories from previous sessions:\n(?:- \[.*\].*\n?)+", r"(?s)<system-reminder>.*?</system-reminder>")
+PROGRESS = r"[▓░█▌▐]{3,}|\.{6,}|={5,}>?"
+
+
 def compressed(text: Column) -> Column:
     """A transcript without tool blocks, injected context, reminders, progress bars and runs of empty lines; long fences keep both ends."""
-    for pattern in (r"(?s)<tool_[a-z]+>.*?</tool_[a-z]+>", r"(?s)<recalled-context>.*?</recalled-context>", r"(?s)<system-reminder>.*?</system-reminder>"):
+    for pattern in NOISE:
         text = F.regexp_replace(text, pattern, "")
-    text = fences_cut(text)
-    text = F.regexp_replace(text, r"[░▒▓█]{3,}|={5,}|\.{6,}", "")
+    text = F.regexp_replace(fences_cut(text), PROGRESS, "")
     return stripped(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 

@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recall_spark.functions import text as tx
+from recall_spark.operators import search
+from recall_spark.sources import files as fl
 
+#: Similarity from which an item counts as stored already, and from which a memory is named as known.
+COPY, KNOWN = 0.97, 0.85
+#: Characters of a transcript that are searched for what is known.
+QUERY_CHARS = 500
 #: Types that an extractor may give; all others count as context.
 EXTRACTED = ("decision", "analysis", "context", "conversation", "summary")
 _ITEMS = "array<struct<type:string,content:string,tags:array<string>>>"
@@ -45,6 +51,54 @@ def savings(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.sum(whole).alias("tokens"), F.sum(short).alias("short_tokens"), F.sum(whole - short).alias("saved"), F.avg(F.when(whole > 0, 1 - short / whole)).alias("mean_share"))
 
 
+def to_capture(lines: DataFrame, last: int = 200) -> DataFrame:
+    """session_id, text: the compressed transcript of the last lines of each session; blank ones go."""
+    text = tx.compressed(F.col("transcript"))
+    return fl.tail(lines, last).select("session_id", text.alias("text")).where("text <> ''")
+
+
+def known_for(sessions: DataFrame, vectors: DataFrame, memories: DataFrame, embed=search.embedded, scoped: tuple[str, ...] = (), most: int = 5) -> DataFrame:
+    """session_id, known: lines of the memories most like the beginning of each session's text (and scoped columns)."""
+    named = sessions.withColumn("query_id", F.xxhash64("session_id"))
+    queries = embed(named.select(F.col("query_id").alias("memory_id"), F.left("text", F.lit(QUERY_CHARS)).alias("text"))).withColumnRenamed("memory_id", "query_id")
+    if scoped:
+        queries = queries.join(named.select("query_id", *scoped), "query_id")
+    hits = search.top_k(vectors, queries, most, scoped).where(F.col("similarity") >= KNOWN)
+    lines = known_lines(search.with_memories(hits, memories, named.count() * most).where("not stale"), most)
+    return named.select("query_id", "session_id").join(lines, "query_id").select("session_id", "known")
+
+
+def not_stored(items: DataFrame, vectors: DataFrame, embed=search.embedded, least: float = COPY, scoped: tuple[str, ...] = ()) -> DataFrame:
+    """The items (session_id, place, text, ... and scoped columns) that are no near copies, with their embeddings.
+
+    An item is a copy of a stored vector, or of an earlier item of its session that is kept, as if items were stored one
+    after another. Items without a usable embedding, as blank texts have, are kept."""
+    named = items.withColumn("query_id", F.xxhash64(F.to_json(F.struct("session_id", "place"))))
+    with_vectors = embed(named.select(F.col("query_id").alias("memory_id"), "text")).select(F.col("memory_id").alias("query_id"), "embedding")
+    both = named.join(with_vectors, "query_id")
+    copies = search.near_copies(vectors, both.select("query_id", "embedding", *scoped), least, scoped).select("query_id")
+    fresh = both.join(copies, "query_id", "left_anti")
+    pairs = F.array_sort(F.collect_list(F.struct("place", "query_id", "embedding")))
+
+    def distance(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d.cast("double"))
+
+    def keep(done: Column, item: Column) -> Column:
+        known = F.exists(done, lambda k: F.exp(-distance(k["embedding"], item["embedding"])) >= least) & F.exists(item["embedding"], lambda x: x != 0)
+        return F.when(known, done).otherwise(F.concat(done, F.array(item)))
+
+    kind = fresh.select(F.array(F.struct("place", "query_id", "embedding")).alias("k")).schema["k"].dataType.simpleString()
+    kept = fresh.groupBy("session_id").agg(F.aggregate(pairs, F.expr(f"cast(array() as {kind})"), keep).alias("kept"))
+    ids = kept.select(F.explode(F.col("kept.query_id")).alias("query_id"))
+    return fresh.join(ids, "query_id", "left_semi").drop("query_id")
+
+
+def stored_counts(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """session_id, extracted, stored: how many items a session gave, and how many of them were stored."""
+    both = found.groupBy("session_id").agg(F.count("*").alias("extracted")).join(stored.groupBy("session_id").agg(F.count("*").alias("stored")), "session_id", "left")
+    return both.select("session_id", "extracted", F.coalesce("stored", F.lit(0)).alias("stored"))
+
+
 def stats(memories: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row on memories and vectors together."""
     a = memories.agg(F.count("*").alias("n_memories"), F.countDistinct("repo_id").alias("n_repos"), F.count_if("stale").alias("n_stale"))

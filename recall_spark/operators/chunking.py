@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,16 +12,44 @@ from pyspark.sql import functions as F
 
 SCHEMA = "path string, language string, chunk_text string, line_start int, line_end int, kind string, name string, parent string, docstring string, decorators array<string>"
 MAX_TOKENS, OVERLAP_TOKENS = 500, 50
-#: Declarations of a language: kind and pattern; the name is the last group.
+
+_COMMENT, _STRING, _CHAR = r"//[^\n]*|/\*.*?(?:\*/|\Z)", r'"(?:\\.|[^"\\\n])*"?', r"'(?:\\'|\\[^'\n]{1,9}|[^'\\\n])'"
+_QUOTED = r"'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?"
+#: What braces and words don't count in: comments, strings, and characters.
+HIDDEN = {"javascript": f"{_COMMENT}|{_STRING}|{_QUOTED}", "typescript": f"{_COMMENT}|{_STRING}|{_QUOTED}", "go": f"{_COMMENT}|{_STRING}|{_CHAR}|`[^`]*`?"}
+_PARAMETERS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+_JS_METHOD = rf"(?:^|[{{}};,])\s*(?P<def>(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*\*?\s*(?!(?:if|for|while|switch|catch|function|return|with|do|else|new|typeof|await)\b)(?P<name>[#\w$]+)\s*(?:<[^<>()]*>)?\s*{_PARAMETERS}\s*(?::[^;={{}}]+)?)(?=\{{)"
+_GO_TYPE = r"^[ \t]*(?P<def>type\s+(?P<name>\w+)[^\n({]*)"
+_MODIFIERS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|async|override|virtual|default|synchronized|native|readonly|extern|unsafe|new)\s+)*"
+_NOT_A_TYPE = r"(?!(?:return|new|throw|else|case|assert|package|import|using|await|yield|goto|delete|do|in|is|as|if|for|while|switch|catch|lock|foreach)\b)"
+_TYPED_METHOD = rf"(?:^|[{{}};])\s*(?P<def>(?:@\w+(?:\([^()]*\))?\s+|\[[^\[\]\n]*\]\s+)*{_MODIFIERS}(?:<[^<>()]*>\s*)?{_NOT_A_TYPE}[A-Za-z_][\w.]*(?:<[^;(){{}}]*>)?(?:\[\])*\??\s+(?P<name>\w+)\s*(?:<[^<>()]*>)?\s*{_PARAMETERS}\s*(?:throws\s+[\w., ]+|where\s+[^{{;]+)?)(?=\{{|;|=>)"
+_C_FUNCTION = rf"^[ \t]*(?P<def>{_NOT_A_TYPE}(?!(?:typedef|struct\s+\w+\s*\{{|class|enum|union|namespace)\b)[A-Za-z_][\w:<>,~ \t*&\[\]]*?[\s*&]+(?P<name>~?[A-Za-z_][\w:~]*)\s*{_PARAMETERS}\s*(?:const|noexcept|override|final|\s)*)(?=\{{)"
+
+
+def _typed(word: str, modifiers: str = "") -> str:
+    return rf"(?:^|[{{}};])\s*(?P<def>{modifiers}(?:{word})\s+(?P<name>\w+)[^;{{}}]*)(?=\{{)"
+
+
+#: Declarations of a language: kind and pattern of what comes before a body. Interfaces, structs, traits, types and impl
+#: blocks are classes; an impl block has no name of its own.
 DECLARATIONS = {
-    "javascript": (("function", r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+(\w+)"), ("class", r"(?:export\s+)?(?:default\s+)?class\s+(\w+)")),
-    "typescript": (("function", r"(?:export\s+)?(?:async\s+)?function\s+(\w+)"), ("class", r"(?:export\s+)?(?:abstract\s+)?(?:class|interface)\s+(\w+)")),
-    "go": (("function", r"func\s+(\w+)"), ("method", r"func\s+\([^)]*\)\s+(\w+)"), ("class", r"type\s+(\w+)\s+(?:struct|interface)")),
-    "rust": (("function", r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)"), ("class", r"(?:pub(?:\([^)]*\))?\s+)?(?:struct|trait|impl(?:<[^>]*>)?)\s+(\w+)")),
-    "java": (("class", r"(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface)\s+(\w+)"), ("method", r"\s+(?:(?:public|private|protected|static|final)\s+)+[\w<>\[\], ]+\s+(\w+)\s*\([^;{]*\)\s*(?:throws [\w, ]+)?")),
-    "c": (("function", r"(?:static\s+|inline\s+)*[A-Za-z_][\w ]*[\s*]+(\w+)\s*\([^;{]*\)\s*"), ("class", r"(?:typedef\s+)?struct\s+(\w+)")),
-    "cpp": (("function", r"(?:static\s+|inline\s+)*[A-Za-z_][\w:<> ]*[\s*&]+(\w+)\s*\([^;{]*\)\s*(?:const\s*)?"), ("class", r"(?:class|struct)\s+(\w+)")),
-    "csharp": (("class", r"\s*(?:(?:public|internal|private|protected|static|sealed|abstract|partial)\s+)*(?:class|interface)\s+(\w+)"), ("method", r"\s+(?:(?:public|private|protected|internal|static|async|override|virtual)\s+)+[\w<>\[\], ]+\s+(\w+)\s*\([^;{]*\)\s*")),
+    "javascript": (("function", rf"(?P<def>\b(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)\s*{_PARAMETERS}\s*)(?=\{{)"), ("class", r"(?P<def>\bclass\s+(?P<name>[\w$]+)[^;{}()]*(?:\([^()]*\))?\s*)(?=\{)"), ("method", _JS_METHOD)),
+    "typescript": (
+        ("function", rf"(?P<def>\b(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)\s*(?:<[^<>()]*>)?\s*{_PARAMETERS}\s*(?::[^;={{}}]+)?)(?=\{{)"),
+        ("class", r"(?P<def>\b(?:class|interface)\s+(?P<name>[\w$]+)[^;{}()]*(?:\([^()]*\))?\s*)(?=\{)"),
+        ("method", _JS_METHOD),
+    ),
+    "go": (("function", rf"^(?P<def>func\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\s*{_PARAMETERS}[^{{}}\n]*)(?=\{{)"), ("method", rf"^(?P<def>func\s+\([^()]*\)\s*(?P<name>\w+)\s*{_PARAMETERS}[^{{}}\n]*)(?=\{{)"), ("class", _GO_TYPE)),
+    "rust": (
+        ("function", rf"(?:^|[{{}};])\s*(?P<def>(?:pub(?:\([^()]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(?P<name>\w+)\s*(?:<[^()]*?>)?\s*{_PARAMETERS}[^;{{}}]*)(?=\{{)"),
+        ("impl", r"(?:^|[{};])\s*(?P<def>(?:unsafe\s+)?impl\b[^;{}]*)(?=\{)"),
+        ("class", r"(?:^|[{};])\s*(?P<def>(?:pub(?:\([^()]*\))?\s+)?struct\s+(?P<name>\w+)[^;{}]*)(?=\{|;)"),
+        ("class", r"(?:^|[{};])\s*(?P<def>(?:pub(?:\([^()]*\))?\s+)?(?:unsafe\s+)?trait\s+(?P<name>\w+)[^;{}]*)(?=\{)"),
+    ),
+    "java": (("class", _typed("class|interface", _MODIFIERS)), ("method", _TYPED_METHOD)),
+    "csharp": (("class", _typed("class|interface", _MODIFIERS)), ("method", _TYPED_METHOD)),
+    "c": (("function", _C_FUNCTION), ("class", r"(?P<def>\bstruct\s+(?P<name>\w+)\s*)(?=\{)")),
+    "cpp": (("function", _C_FUNCTION), ("class", r"(?P<def>(?<!enum )\b(?:class|struct)\s+(?P<name>\w+)(?:\s+final)?\s*(?::[^;{}()]*)?)(?=\{)")),
 }
 
 
@@ -49,39 +78,79 @@ def python_chunks(text: str):
         level = inner
 
 
+def visible(text: str, language: str) -> str:
+    """text with comments, strings and characters blanked, so that places stay as they are."""
+    return re.sub(HIDDEN.get(language, f"{_COMMENT}|{_STRING}|{_CHAR}"), lambda m: re.sub(r"[^\n]", " ", m.group()), text, flags=re.S)
+
+
 def brace_chunks(text: str, language: str):
-    """Declarations at the start of a line with the braces that follow."""
+    """Declarations, also those within others, each up to the brace that closes its body, by where they begin."""
+    bare = visible(text, language)
+    opened, closes = [], {}
+    for m in re.finditer(r"[{}]", bare):
+        if m.group() == "{":
+            opened.append(m.start())
+        elif opened:
+            closes[opened.pop()] = m.end()
+    newlines = [m.start() for m in re.finditer("\n", text)]
+    found = {}
     for kind, pattern in DECLARATIONS[language]:
-        for m in re.finditer(r"^" + pattern, text, re.M):
-            opened = re.compile(r"[{;]").search(text, m.end())
-            if not opened or opened.group() == ";":
-                continue
-            depth, end = 0, len(text)
-            for b in re.finditer(r"[{}]", text[opened.start() :]):
-                depth += 1 if b.group() == "{" else -1
-                if not depth:
-                    end = opened.start() + b.end()
-                    break
-            first = text.count("\n", 0, m.start()) + 1
-            yield text[m.start() : end], first, first + text.count("\n", m.start(), end), kind, m.group(1), None, None, []
+        for m in re.finditer(pattern, bare, re.M):
+            begin, at = m.start("def"), m.end()
+            if bare.startswith("{", at):
+                end = closes.get(at, len(text))
+            elif bare.startswith(("=>", ";"), at):
+                end = bare.find(";", at) + 1 or len(text)
+            else:
+                end = begin + len(bare[begin:at].rstrip())
+            name = "impl" if kind == "impl" else m.group("name")
+            found.setdefault((begin, end), ("class" if kind == "impl" else kind, name))
+    for (begin, end), (kind, name) in sorted(found.items()):
+        yield text[begin:end], bisect_right(newlines, begin - 1) + 1, bisect_right(newlines, end - 1) + 1, kind, name, None, None, []
 
 
 def text_chunks(text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS):
-    """Sentences packed up to most tokens; the last two are repeated in the next chunk if they are short."""
-    pieces = []
-    for sentence in re.findall(r".*?[.!?]\s+|.+$", text, re.S):
-        pieces += [sentence] if tokens(sentence) <= most else [line for line in sentence.splitlines(True) if line]
+    """Sentences packed up to most tokens; the last two are repeated in the next chunk if they are short.
+
+    A sentence of more tokens ends the chunk before it and is cut by lines, which are packed on their own."""
     pack: list[str] = []
+    used = 0
     first = line = 1
-    for piece in pieces:
-        if pack and tokens("".join(pack) + piece) > most:
-            yield "".join(pack), first, line, "text", None, None, None, []
-            kept = pack[-2:] if tokens("".join(pack[-2:])) <= overlap and len(pack) > 2 else []
-            first, pack = line - "".join(kept).count("\n"), kept
-        pack.append(piece)
-        line += piece.count("\n")
-    if pack or not pieces:
-        yield "".join(pack) or text, first, line, "text", None, None, None, []
+    made = False
+
+    def chunk(body: str):
+        nonlocal made
+        made = True
+        return body, first, line, "text", None, None, None, []
+
+    for sentence in re.findall(r".*?[.!?]\s+|.+\Z", text, re.S):
+        size = tokens(sentence)
+        if size > most:
+            if pack:
+                yield chunk("".join(pack))
+                pack, used, first = [], 0, line + 1
+            part: list[str] = []
+            taken = 0
+            for row in sentence.split("\n"):
+                if part and taken + tokens(row) > most:
+                    yield chunk("\n".join(part))
+                    part, taken, first = [], 0, line + 1
+                part.append(row)
+                taken += tokens(row)
+                line += 1
+            yield chunk("\n".join(part))
+            first = line + 1
+            continue
+        if pack and used + size > most:
+            yield chunk("".join(pack))
+            kept = tokens("".join(pack[-2:]))
+            pack, used = (pack[-2:], kept) if 0 < overlap >= kept else ([], 0)
+            first = line
+        pack.append(sentence)
+        used += size
+        line += sentence.count("\n")
+    if pack or not made:
+        yield chunk("".join(pack) or text)
 
 
 def chunks_of(text: str, language: str | None) -> list[tuple]:
@@ -91,7 +160,7 @@ def chunks_of(text: str, language: str | None) -> list[tuple]:
         if language == "python":
             found = list(python_chunks(text))
         elif language in DECLARATIONS:
-            found = list(dict.fromkeys((*c[:-1], tuple(c[-1])) for c in brace_chunks(text, language)))
+            found = list(brace_chunks(text, language))
     except (SyntaxError, ValueError, RecursionError):
         found = []
     return found or list(text_chunks(text))

@@ -40,6 +40,15 @@ def chunks(found: DataFrame) -> DataFrame:
     return chunking.chunked(todo).where("trim(chunk_text) <> ''").withColumn("tags", F.array(F.lit("indexed"), F.lit("repository")))
 
 
+def rows_of(chunks: DataFrame, repo: str, branch: str, tags: tuple[str, ...] = ("indexed", "repository")) -> DataFrame:
+    """Chunks as memories to be stored."""
+    kind, name = F.col("kind"), F.col("name")
+    return chunks.select(
+        F.lit(repo).alias("repo_id"), F.lit(branch).alias("branch_name"), F.lit("code_snippet").alias("content_type"), F.col("chunk_text").alias("text"), "language", F.col("path").alias("file_path"), "line_start", "line_end",
+        F.when(kind.isin("function", "method"), name).alias("function_name"), F.when(kind == "class", name).alias("class_name"), "docstring", "decorators", F.col("parent").alias("parent_class"), F.array(*map(F.lit, tags)).alias("tags"),
+    )
+
+
 def synced(memories: DataFrame, changed: DataFrame, patterns: tuple[str, ...], before: str, after: str) -> DataFrame:
     """A row for each repo_id and branch_name with changed files (path, still_there): files, and memories that turn stale."""
     scope = ["repo_id", "branch_name"]

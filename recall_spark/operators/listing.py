@@ -31,6 +31,21 @@ def listed(memories: DataFrame, order: str = "date", limit: int = 100, offset: i
     return (rows.offset(offset) if offset else rows).limit(limit)
 
 
+def by_ids(memories: DataFrame, ids: list) -> DataFrame:
+    """The memories of an ordered list of ids, with their position (pos) in it; missing ones are skipped."""
+    wanted = memories.sparkSession.createDataFrame(list(enumerate(ids)), f"pos int, memory_id {memories.schema['memory_id'].dataType.simpleString()}")
+    return memories.join(F.broadcast(wanted), "memory_id")  # as long as the list
+
+
+def rehydrated(memories: DataFrame, edges: DataFrame) -> DataFrame:
+    """memories with depends_on and related_to, the sorted ids that they point to."""
+    out = memories
+    for kind in ("depends_on", "related_to"):
+        to = edges.where(F.col("relationship_type") == kind).groupBy(F.col("from_id").alias("memory_id")).agg(F.array_sort(F.collect_set("to_id")).alias(kind))
+        out = out.join(to, "memory_id", "left").withColumn(kind, F.coalesce(kind, F.array().cast(to.schema[kind].dataType)))
+    return out
+
+
 def retrieved(memories: DataFrame, repo: str, branch: str, memory_id: int) -> DataFrame:
     return filtered(memories, repo=repo, branch=branch, memory_id=memory_id, include_stale=True)
 

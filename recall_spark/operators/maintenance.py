@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_spark.functions import text as tx
+from recall_spark.operators.joins import small
 from recall_spark.sources.tables import CODE
 
 DAY = 86_400
@@ -26,17 +27,20 @@ def marked_stale(memories: DataFrame, changed: DataFrame, commit: str) -> DataFr
     return rows.withColumns({"stale": F.col("stale") | turns, "stale_reason": F.when(turns, F.lit(f"File changed in commit {commit[:8]}")).otherwise(F.col("stale_reason"))}).drop("_changed")
 
 
-def expired(memories: DataFrame, days: int, as_of: int) -> DataFrame:
-    """Conversation and context older than so many days; none if days is 0."""
-    old = F.col("content_type").isin("conversation", "context") & (F.col("created_at") < as_of - days * DAY)
-    return memories.where(old if days > 0 else F.lit(False))
+def expired(memories: DataFrame, as_of: int, conversation_days: int = 0, context_days: int = 0) -> DataFrame:
+    """Conversations and contexts older than so many days, each kind by its own limit; 0 days: none of the kind."""
+    old = F.lit(False)
+    for kind, days in (("conversation", conversation_days), ("context", context_days)):
+        if days > 0:
+            old = old | ((F.col("content_type") == kind) & (F.col("created_at") < as_of - days * DAY))
+    return memories.where(old)
 
 
 def copies(memories: DataFrame) -> DataFrame:
     """Rows whose text an older row has; the oldest is taken by aggregation, so a text of any number of rows is no task's burden."""
     sums = memories.withColumn("checksum", tx.checksum(F.col("text")))
     first = sums.groupBy("checksum").agg(F.min(F.struct("created_at", "memory_id")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return sums.join(first, "checksum").where(F.struct("created_at", "memory_id") > F.col("first")).drop("first", "n")
+    return sums.join(small(first), "checksum").where(F.struct("created_at", "memory_id") > F.col("first")).drop("first", "n")
 
 
 def cleanup(memories: DataFrame, as_of: int, days: int | None = None, content_type: str | None = None, stale_only: bool = False, dedup: bool = False) -> DataFrame:
@@ -67,6 +71,19 @@ def screened(memories: DataFrame, sanitise: bool = True) -> DataFrame:
 
 
 def current(log: DataFrame) -> DataFrame:
-    """The newest version of each memory in an append-only log (memory_id, version, deleted, ...), without the deleted ones."""
-    newest = Window.partitionBy("memory_id").orderBy(F.desc("version"))
-    return log.withColumn("_n", F.row_number().over(newest)).where("_n = 1 and not deleted").drop("_n")
+    """The newest version of each memory in an append-only log (memory_id, version, deleted, ...), without the deleted ones.
+
+    Which version is newest is aggregated from ids alone; texts are only joined to it, not sorted."""
+    newest = log.groupBy("memory_id").agg(F.max("version").alias("version"), F.max_by("deleted", "version").alias("_gone")).where("not _gone")
+    return log.join(newest.drop("_gone"), ["memory_id", "version"], "left_semi").dropDuplicates(["memory_id"])
+
+
+def tracked(hashes: DataFrame) -> DataFrame:
+    """repo_id, branch_name, files, last_version: how many files each index holds hashes of."""
+    last = hashes.groupBy("repo_id", "branch_name").agg(F.max("version").alias("last_version"))
+    return hashes.join(last, ["repo_id", "branch_name"]).where("version = last_version").groupBy("repo_id", "branch_name", "last_version").agg(F.countDistinct("path").alias("files"))
+
+
+def needs_full_run(last_indexed_at: int | None, now: int, minutes: int) -> bool:
+    """Whether hashes are older than so many minutes, so that the next run looks at all files; 0 minutes: never."""
+    return last_indexed_at is None or (minutes > 0 and now - last_indexed_at > 60 * minutes)

@@ -1,51 +1,84 @@
-"""Exact vector search: a batch of queries against all vectors."""
+"""Exact vector search: a batch of queries against all vectors, or those of their repositories and branches."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Queries whose vectors are sent to the executors at once.
-QUERY_BLOCK = 2_000
-
-
-def _nearest(sent, k: int):
+from recall_spark.operators.joins import BROADCAST_ROWS, small
+
+#: Queries whose vectors are sent to the executors at once, and bytes of their vectors.
+QUERY_BLOCK, QUERY_BYTES = 2_000, 16 << 20
+#: Least cosine at which an intent is taken over `general`.
+INTENT_FLOOR = 0.3
+#: A few prompts of each intent, whose mean vector stands for it.
+PHRASES = {
+    "coding": ("write a function that parses the file", "implement the endpoint and its handler", "add a method to this class", "refactor this module to use async calls"),
+    "debugging": ("fix the bug that makes login fail", "why does this raise an exception", "the traceback shows an error in the index", "debug the crash when the connection times out"),
+    "architecture": ("which design fits the plugin system", "should we use a queue or a table here", "what are the tradeoffs of this storage layout", "plan the migration to the new service"),
+    "testing": ("write unit tests for the store", "improve test coverage of the parser", "mock the database in these tests", "add fixtures and assertions for the edge cases"),
+    "review": ("review this pull request", "check the diff for security issues", "does this change follow our standards", "look for code smells in the recent changes"),
+    "general": ("explain how the search works", "give me a summary of the project", "what does this option do", "tell me about the different kinds of memories"),
+}
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of this width as a matrix, and their rows; null, ragged and partly null ones are left out."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(sizes == width)
+    values = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
+    whole = ~np.isnan(values).any(axis=1)
+    return values[whole], rows[whole]
+
+
+def _nearest(sent, k: int, scoped: tuple[str, ...]):
     """Each batch keeps its own k nearest for each query, so that little is shuffled."""
 
     def run(batches):
-        ids, matrix = sent.value
+        blocks = sent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.array(batch.column("embedding").to_pylist(), np.float64)
-            distance = (matrix**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * matrix @ rows.T
-            take = min(k, batch.num_rows)
-            best = np.argpartition(distance, take - 1, axis=1)[:, :take]
-            # Ties at the edge: keep all that are as near as the k-th.
-            edge = np.take_along_axis(distance, best, 1).max(axis=1)
-            q, v = np.nonzero(distance <= edge[:, None] + 1e-12)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column("memory_id").take(pa.array(v)), pa.array(np.maximum(distance[q, v], 0.0))], names=["query_id", "memory_id", "distance"])
+            names = list(zip(*(batch.column(c).to_pylist() for c in scoped))) if scoped else [()] * batch.num_rows
+            for scope, ids, matrix in blocks:
+                rows, at = _matrix(batch.column("embedding"), matrix.shape[1])
+                own = np.array([names[i] == scope for i in at.tolist()], bool) if scoped else np.ones(len(at), bool)
+                rows, at = rows[own], at[own]
+                if not len(at):
+                    continue
+                distance = (matrix**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * matrix @ rows.T
+                take = min(k, len(at))
+                best = np.argpartition(distance, take - 1, axis=1)[:, :take]
+                # Ties at the edge: keep all that are as near as the k-th.
+                edge = np.take_along_axis(distance, best, 1).max(axis=1)
+                q, v = np.nonzero(distance <= edge[:, None] + 1e-9)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column("memory_id").take(pa.array(at[v])), pa.array(np.maximum(distance[q, v], 0.0))], names=["query_id", "memory_id", "distance"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, scoped: tuple[str, ...] = ()) -> DataFrame:
     """query_id, memory_id, similarity, rank: the k nearest vectors of each query, by squared distance, then id.
 
-    queries (query_id, embedding) are taken in blocks; vectors are read once for each block and never shuffled whole."""
+    scoped: columns, such as repo_id and branch_name, in which a vector and a query have to agree. queries (query_id,
+    embedding and these) are taken in blocks of bounded size; vectors are read once for each block and never shuffled.
+    Queries and vectors that are null, partly null or of another length find nothing."""
     spark = vectors.sparkSession
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    usable = queries.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()) & (F.size("embedding") > 0))
+    count, width = usable.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    blocks = max(1, -(-count // QUERY_BLOCK), -(-count * width * 8 // QUERY_BYTES))
+    kind = vectors.schema["memory_id"].dataType.simpleString()
     parts = []
     for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        matrix = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
-        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), matrix))
-        if rows:
-            parts.append(vectors.select("memory_id", "embedding").mapInArrow(_nearest(sent, k), "query_id long, memory_id long, distance double"))
+        groups: dict[tuple, list] = {}
+        for r in usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "embedding", *scoped).collect():
+            groups.setdefault((tuple(r[c] for c in scoped), len(r["embedding"])), []).append(r)
+        sent = spark.sparkContext.broadcast([(scope, np.array([r["query_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64)) for (scope, _), rows in groups.items()])
+        if groups:
+            parts.append(vectors.select("memory_id", "embedding", *scoped).mapInArrow(_nearest(sent, k, scoped), f"query_id long, memory_id {kind}, distance double"))
     if not parts:
-        return spark.createDataFrame([], "query_id long, memory_id long, similarity double, rank int")
+        return spark.createDataFrame([], f"query_id long, memory_id {kind}, similarity double, rank int")
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.union(part)
@@ -53,42 +86,93 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "memory_id", F.exp(-F.col("distance")).alias("similarity"), "rank")
 
 
-def similar(vectors: DataFrame, queries: DataFrame, memories: DataFrame, k: int = 5, least: float = 0.3, where=None) -> DataFrame:
-    """Hits of top_k with their memories; threshold and filters apply after the k nearest are chosen."""
-    hits = top_k(vectors, queries, k).where(F.col("similarity") >= least)
-    found = hits.join(memories, "memory_id")
-    found = found.where(~F.col("stale"))
-    return found if where is None else found.where(where)
+def with_memories(hits: DataFrame, memories: DataFrame, most: int) -> DataFrame:
+    """hits with the columns of their memories. most: a bound of the number of hits, which are broadcast if they are few."""
+    return small(hits, most).join(memories, "memory_id") if most <= BROADCAST_ROWS else hits.join(memories, "memory_id")
+
+
+def similar(
+    vectors: DataFrame, queries: DataFrame, memories: DataFrame, k: int = 5, least: float = 0.3, *, content_type: str | None = None, tags: list[str] | None = None, language: str | None = None,
+    include_stale: bool = False, cross_branch: bool = False, prefilter: bool = False,
+) -> DataFrame:
+    """Hits of each query within its repo_id and branch_name, with their memories.
+
+    Threshold and filters apply after the k nearest are chosen; with prefilter, only vectors of memories that pass are
+    searched. cross_branch: all branches of the repository. k is 1 to 50 and least 0 to 1."""
+    if not 1 <= k <= 50 or not 0 <= least <= 1:
+        raise ValueError("k has to be 1 to 50, and the least similarity 0 to 1")
+
+    def passing(rows: DataFrame) -> DataFrame:
+        for column, value in (("content_type", content_type), ("language", language)):
+            rows = rows if value is None else rows.where(F.col(column) == value)
+        if tags:
+            rows = rows.where(F.size(F.array_except(F.array(*map(F.lit, dict.fromkeys(tags))), "tags")) == 0)
+        return rows if include_stale else rows.where(~F.col("stale"))
+
+    if prefilter:
+        vectors = vectors.join(small(passing(memories).select("memory_id")), "memory_id", "left_semi")
+    scoped = ("repo_id",) if cross_branch else ("repo_id", "branch_name")
+    hits = top_k(vectors, queries, k, scoped).where(F.col("similarity") >= least)
+    return passing(with_memories(hits, memories, queries.count() * k))
+
 
+def classified(queries: DataFrame, centroids: DataFrame, least: float = INTENT_FLOOR) -> DataFrame:
+    """query_id, intent, confidence: the centroid (one of a handful) with the largest dot product; `general` below least.
 
-def classified(queries: DataFrame, centroids: DataFrame, least: float = 0.0) -> DataFrame:
-    """query_id, intent, confidence: the centroid (one of a handful) with the largest dot product; `general` below least."""
+    A query whose embedding is null or all zero is `general` with confidence 0."""
     unit = F.transform("embedding", lambda x: x.cast("double"))
-    dot = F.aggregate(F.zip_with(unit, "centroid", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda a, b: a + b * b))
-    scored = queries.join(F.broadcast(centroids)).withColumn("norm", norm).withColumn("score", F.when(F.col("norm") > 0, dot / F.col("norm")).otherwise(0.0))
-    best = scored.groupBy("query_id").agg(F.max_by("intent", F.struct(F.round("score", 12), -F.col("place"))).alias("best"), F.max("score").alias("score"), F.max("norm").alias("norm"))
-    confidence = F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
-    return best.select("query_id", F.when((F.col("norm") == 0) | (confidence < least), "general").otherwise(F.col("best")).alias("intent"), confidence.alias("confidence"))
+    norm = F.coalesce(F.sqrt(F.aggregate(unit, F.lit(0.0), lambda a, b: a + b * b)), F.lit(0.0))
+    # Centroids go along as one array: a row for each query, not one for each pair.
+    all_of_them = centroids.agg(F.array_sort(F.collect_list(F.struct("place", "intent", "centroid"))).alias("centroids"))
+    scores = F.transform("centroids", lambda c: F.struct(F.round(F.when(F.col("norm") > 0, F.aggregate(F.zip_with(unit, c["centroid"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) / F.col("norm")).otherwise(0.0), 12).alias("score"), (-c["place"]).alias("o"), c["intent"].alias("intent")))
+    scored = queries.join(F.broadcast(all_of_them)).withColumn("norm", norm).withColumn("best", F.array_max(scores))  # one row
+    confidence = F.when(F.col("norm") > 0, F.least(F.greatest(F.coalesce("best.score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    return scored.select("query_id", F.when((F.col("norm") == 0) | F.col("best").isNull() | (confidence < least), "general").otherwise(F.col("best.intent")).alias("intent"), confidence.alias("confidence"))
+
+
+def _mean_directions(rows: DataFrame, by: str) -> DataFrame:
+    """by, centroid: the normalised mean of the vectors of each group."""
+    parts = rows.select(by, F.posexplode("embedding").alias("pos", "x"))
+    means = parts.groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("p"))
+    plain = F.transform("p", lambda e: e["m"])
+    norm = F.sqrt(F.aggregate(plain, F.lit(0.0), lambda a, b: a + b * b))
+    return means.select(by, F.transform(plain, lambda x: F.when(norm > 0, x / norm).otherwise(x)).alias("centroid"))
 
 
 def centroids(vectors: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """intent, place, centroid: the normalised mean of the vectors with each label below len(names)."""
-    parts = vectors.where(F.col("label") < len(names)).select("label", F.posexplode("embedding").alias("pos", "x"))
-    means = parts.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("p"))
-    plain = F.transform("p", lambda e: e["m"])
-    norm = F.sqrt(F.aggregate(plain, F.lit(0.0), lambda a, b: a + b * b))
+    means = _mean_directions(vectors.where(F.col("label") < len(names)), "label")
     name = F.element_at(F.array(*map(F.lit, names)), (F.col("label") + 1).cast("int"))
-    return means.select(name.alias("intent"), F.col("label").cast("int").alias("place"), F.transform(plain, lambda x: x / norm).alias("centroid"))
+    return means.select(name.alias("intent"), F.col("label").cast("int").alias("place"), "centroid")
+
+
+def phrase_centroids(spark: SparkSession, path: str | None = None, phrases: dict[str, tuple[str, ...]] | None = None, embed=None) -> DataFrame:
+    """intent, place, centroid: the normalised mean of the embedded phrases of each intent.
+
+    With a path they are kept there, under a hash of the phrases and the embedding's name, and computed only once."""
+    phrases, embed = phrases or PHRASES, embed or embedded
+    rows = [(place, intent, text) for place, (intent, texts) in enumerate(phrases.items()) for text in texts]
+    texts = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "memory_id long, place int, intent string, text string")
+    key = texts.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws("\t", "place", "intent", "text"))), F.lit(embed.__name__)), 256).alias("k"))
+    if path is not None:
+        kept = f"{path.rstrip('/')}/{key.first()['k']}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{kept}/_SUCCESS")
+        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            phrase_centroids(spark, None, phrases, embed).write.mode("overwrite").parquet(kept)
+        return spark.read.parquet(kept)
+    vectors = embed(texts).join(texts.select("memory_id", "place"), "memory_id")
+    intents = texts.groupBy("place").agg(F.min("intent").alias("intent"))
+    return _mean_directions(vectors, "place").join(intents, "place").select("intent", "place", "centroid")
 
 
-def near_copies(vectors: DataFrame, new: DataFrame, least: float = 0.97) -> DataFrame:
+def near_copies(vectors: DataFrame, new: DataFrame, least: float = 0.97, scoped: tuple[str, ...] = ()) -> DataFrame:
     """memory_id of stored vectors nearest to each new one (query_id), if at least so similar."""
-    return top_k(vectors, new, 1).where(F.col("similarity") >= least).drop("rank")
+    return top_k(vectors, new, 1, scoped).where(F.col("similarity") >= least).drop("rank")
 
 
 def embedded(texts: DataFrame, dimensions: int = 64) -> DataFrame:
     """memory_id, embedding: hashed words, signed, summed and normalised; needs no model."""
+    kind = texts.schema["memory_id"].dataType.simpleString()
 
     def run(batches):
         import zlib
@@ -100,6 +184,8 @@ def embedded(texts: DataFrame, dimensions: int = 64) -> DataFrame:
                     h = zlib.crc32(w.encode())
                     out[i, h % dimensions] += 1.0 if h & 0x10000 else -1.0
             out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column("memory_id"), pa.array(out.tolist(), pa.list_(pa.float32()))], names=["memory_id", "embedding"])
+            flat = pa.array(out.ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dimensions, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("memory_id"), lists], names=["memory_id", "embedding"])
 
-    return texts.select("memory_id", "text").mapInArrow(run, "memory_id long, embedding array<float>")
+    return texts.select("memory_id", "text").mapInArrow(run, f"memory_id {kind}, embedding array<float>")

@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Directories that are never indexed.
-IGNORED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".next", ".cache", "target", "vendor", ".idea", ".vscode", "coverage", ".pytest_cache", ".mypy_cache", ".tox", "env", ".eggs")
+from recall_spark.functions import text as tx
+from recall_spark.operators.joins import small
+
+#: Directories that are never indexed.
+IGNORED = (
+    "__pycache__", ".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", ".pytest_cache", ".mypy_cache",
+    ".ruff_cache", "build", "dist", ".next", ".nuxt", "target", ".idea", ".vscode", ".coverage",
+)
+PATTERNS = ("**/*.py", "**/*.js", "**/*.ts", "**/*.go", "**/*.rs")
+
+
+def glob_regex(pattern: str) -> str:
+    """A glob over a whole relative path: ** is any number of folders, * and ? stay within one name."""
+    out, at = "", 0
+    for m in re.finditer(r"\*\*/|\*\*|\*|\?", pattern):
+        out += re.escape(pattern[at : m.start()]) + {"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*", "?": "[^/]"}[m.group()]
+        at = m.end()
+    return out + re.escape(pattern[at:])
 
 
-def repository(spark: SparkSession, root: str, patterns: tuple[str, ...] = ("*.py", "*.js", "*.ts", "*.go", "*.rs"), most: int = 1000, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
-    """path, content, sha256 of the files that match a pattern, outside ignored directories; the first by path."""
-    regex = "|".join("(?:" + p.replace(".", r"\.").replace("*", "[^/]*") + ")$" for p in patterns)
+def repository(spark: SparkSession, root: str, patterns: tuple[str, ...] = PATTERNS, most: int | None = None, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+    """path, content, sha256 of the files whose path a pattern matches, outside ignored directories.
+
+    With most, only so many by path: the paths are ordered, contents stay where they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + root.removeprefix("file://").rstrip("/").replace(".", r"\.") + "/", "")
-    files = files.withColumn("path", relative)
-    wanted = files.where(F.col("path").rlike("(?:^|/)(?:" + regex + ")")).where(~F.exists(F.split("path", "/"), lambda p: p.isin(*ignored)))
-    return wanted.orderBy("path").limit(most).select("path", "content", F.sha2("content", 256).alias("sha256"))
+    base = re.escape("/" + re.sub("^[a-z]+:/*", "", root).strip("/") + "/")
+    files = files.withColumn("path", F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + base, ""))
+    wanted = files.where(F.col("path").rlike("^(?:" + "|".join(map(glob_regex, patterns)) + r")\z")).where(~F.exists(F.split("path", "/"), lambda p: p.isin(*ignored)))
+    if most is not None:
+        first = wanted.select("path").orderBy("path").limit(most)
+        wanted = wanted.join(small(first, most), "path", "left_semi")
+    return wanted.select("path", "content", F.sha2("content", 256).alias("sha256"))
 
 
 def decoded(files: DataFrame) -> DataFrame:
@@ -26,26 +48,41 @@ def decoded(files: DataFrame) -> DataFrame:
 
 
 def transcript(lines: DataFrame) -> DataFrame:
-    """session_id, line_no, role, text of JSONL lines; a content list gives its first text block. Bad lines go."""
-    record = F.from_json("line", "role string, content string")
-    rows = lines.withColumn("r", record).where("r.role in ('user', 'assistant')")
-    blocks = F.filter(F.from_json("r.content", "array<struct<type:string,text:string>>"), lambda b: (b["type"] == "text") & (F.trim(b["text"]) != ""))
-    text = F.when(F.col("r.content").startswith("["), F.get(blocks, 0)["text"]).otherwise(F.col("r.content"))
-    return rows.select("session_id", "line_no", F.col("r.role").alias("role"), text.alias("text")).where("trim(text) <> ''")
+    """session_id, line_no, role, text of JSONL lines (session_id, line_no, line); bad lines and other roles go.
+
+    Content that is a JSON string is taken as it is; of a list of blocks the first text that is not blank, stripped."""
+    row = F.try_parse_json("line")
+    parsed = lines.withColumn("v", row).withColumn("role", F.try_variant_get("v", "$.role", "string")).where("role in ('user', 'assistant')")
+    kind = F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.content", "variant")), F.lit("STRING"))
+    blocks = F.try_variant_get("v", "$.content", "array<variant>")
+    texts = F.transform(blocks, lambda b: F.when(F.try_variant_get(b, "$.type", "string") == "text", tx.stripped(F.try_variant_get(b, "$.text", "string"))))
+    first = F.get(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) != ""), 0)
+    text = F.when(kind.startswith("ARRAY"), first).when(kind == "STRING", F.coalesce(F.try_variant_get("v", "$.content", "string"), F.lit("")))
+    return parsed.select("session_id", "line_no", "role", text.alias("text")).where("text is not null")
+
 
+def last_lines(lines: DataFrame, most: int) -> DataFrame:
+    """The last lines of each session, whatever they hold."""
+    back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("line_no")))
+    return lines.withColumn("back", back).where(F.col("back") <= most).drop("back")
 
-def tail(turns: DataFrame, most: int) -> DataFrame:
-    """session_id and the last turns as role-prefixed text, parted by empty lines."""
-    last = turns.withColumn("back", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("line_no")))).where(F.col("back") <= most)
+
+def joined_turns(turns: DataFrame) -> DataFrame:
+    """session_id, transcript: role-prefixed turns, parted by empty lines."""
     ordered = F.array_sort(F.collect_list(F.struct("line_no", F.concat_ws(": ", "role", "text").alias("turn"))))
-    return last.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda x: x["turn"]), "\n\n").alias("transcript"))
+    return turns.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda x: x["turn"]), "\n\n").alias("transcript"))
+
+
+def tail(lines: DataFrame, most: int) -> DataFrame:
+    """session_id, transcript of the turns among the last lines of each session."""
+    return joined_turns(transcript(last_lines(lines, most)))
 
 
 def skill_files(spark: SparkSession, root: str) -> DataFrame:
-    """Skills from YAML files, by name; files without a prompt go."""
-    import pandas as pd
+    """Skills from YAML files (name, intent, priority, prompt, tags, token_count), in the order of their files' names.
 
-    schema = "name string, intent string, priority int, prompt string, tags array<string>, token_count int"
+    A file that is no mapping, has no prompt or a priority that is no number gives none; what it lacks has defaults."""
+    import pandas as pd
 
     def parse(frames):
         import yaml
@@ -55,12 +92,14 @@ def skill_files(spark: SparkSession, root: str) -> DataFrame:
             for path, value in zip(frame["path"], frame["value"]):
                 try:
                     d = yaml.safe_load(value)
-                except yaml.YAMLError:
-                    continue
-                if isinstance(d, dict) and d.get("prompt"):
+                    if not isinstance(d, dict) or not str(d.get("prompt", "")).strip():
+                        continue
                     stem = path.rsplit("/", 1)[-1].removesuffix(".yaml")
-                    rows.append((d.get("name", stem), d.get("intent", "general"), int(d.get("priority", 0)), d["prompt"], [str(t) for t in d.get("tags") or []], int(d.get("token_count", 0))))
-            yield pd.DataFrame(rows, columns=["name", "intent", "priority", "prompt", "tags", "token_count"])
+                    rows.append((str(d.get("name", stem)), str(d.get("intent", "general")), int(d.get("priority", 0)), str(d["prompt"]), [str(t) for t in d.get("tags") or []]))
+                except (yaml.YAMLError, ValueError, TypeError):
+                    continue
+            yield pd.DataFrame(rows, columns=["name", "intent", "priority", "prompt", "tags"])
 
     files = spark.read.text(f"{root}/*.yaml", wholetext=True).select("value", F.input_file_name().alias("path"))
-    return files.mapInPandas(parse, schema)
+    found = files.mapInPandas(parse, "name string, intent string, priority int, prompt string, tags array<string>")
+    return found.withColumn("token_count", tx.tokens(F.col("prompt")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recall_spark.functions import text as tx
+from recall_spark.operators.joins import small
 
 TYPES = ("code_snippet", "context", "summary", "relationship", "decision", "analysis", "conversation")
 CODE = ("code_snippet", "relationship")
@@ -39,9 +40,12 @@ def derived(rows: DataFrame) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings of memories, with their scope."""
+    """Embeddings of memories, with their scope.
+
+    Here the scope comes from another table: ids and scopes go to the embeddings, as long as they are few, not
+    embeddings to them. A store writes the scope of a vector beside it."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("memory_id"), "embedding", "label")
-    return e.join(memories(spark, sf_dir).select("memory_id", "repo_id", "branch_name"), "memory_id")
+    return e.join(small(memories(spark, sf_dir).select("memory_id", "repo_id", "branch_name")), "memory_id")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +54,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("from_id", step.alias("e")).select("from_id", "e.to_id", "e.relationship_type").join(ids.select(F.col("from_id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id", "relationship_type")
 
 
-def skills(spark: SparkSession) -> DataFrame:
-    rows = [(f"skill_{i:02d}", ("debugging", "coding", "general")[i % 3], (i * 7) % 10, f"Prompt of skill {i}. " * (i + 1), 40 + 25 * i) for i in range(12)]
-    return spark.createDataFrame(rows, "name string, intent string, priority int, prompt string, token_count int")
+def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A skill for each conversation, by its first turn."""
+    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt")).where("trim(coalesce(prompt, '')) <> ''")
+    intent = F.element_at(F.array(*map(F.lit, ("debugging", "coding", "general"))), (F.col("conv_id") % 3 + 1).cast("int"))
+    return first.select(F.concat(F.lit("skill_"), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias("name"), intent.alias("intent"), (F.col("conv_id") * 7 % 10).cast("int").alias("priority"), F.left("prompt", F.lit(200)).alias("prompt")).withColumn("token_count", tx.tokens(F.col("prompt")))
