@@ -1,7 +1,7 @@
 """Exact duplicates by counting quotient filters.
 
 A document's fingerprint has 48 bits: the high ones (the quotient) name a slot, the low ones (the remainder) are
-stored. Each partition builds its own filter, in blocks of slots: which slots are occupied, where their runs end,
+stored. Each partition builds its own filter, in blocks of slots: which slots are occupied, how long their runs are,
 the sorted remainders and a counter for each. The blocks of all partitions merge without loss, because runs of
 sorted remainders merge like sorted lists and counters add. Fingerprints counted once belong to unique
 documents; the others route their documents to verification, which groups by the normalised text itself, so
@@ -16,6 +16,7 @@ doc_id is smaller than all others. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_spark.llm import textarrays as ta
-from recall_spark.llm.common import keyed, only, save, small, without
+from recall_spark.llm.common import discard, keyed, only, save, small, without
 
 FINGERPRINT_BITS = 48
-#: Fingerprints expected in one block of the merged filter.
-BLOCK_FINGERPRINTS = 1 << 15
-_BLOCK = "block long, slots int, occupied binary, ends binary, remainders binary, counts binary"
+#: Fingerprints expected in one block of the merged filter, at most: about 2 MB of numbers for a task.
+BLOCK_FINGERPRINTS = 1 << 17
+#: Least number of blocks, which are merged side by side, as a power of two.
+LEAST_BLOCKS = 5
+#: Rows of a hash and two numbers that may be broadcast (about 16 MB).
+GROUP_ROWS = 160_000
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64()), ("sha", pa.binary())])
 _TEXT = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64()), ("norm", pa.large_string())])
 
 
-def fingerprint(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) >> (64 - FINGERPRINT_BITS)
-
-
 def _digests(batches):
     for batch in batches:
         texts = [t.as_buffer() for t in ta.normalised(batch.column("text"))]
@@ -52,61 +52,89 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints, pa.int64()), texts], schema=_TEXT)
 
 
+_WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
+
+
+def _packed(values: np.ndarray) -> tuple[int, bytes]:
+    """Numbers in the narrowest width that holds them all, and which width it is."""
+    top = int(values.max())
+    width = next(i for i, t in enumerate(_WIDTHS) if top <= np.iinfo(t).max)
+    return width, values.astype(_WIDTHS[width]).tobytes()
+
+
 class Layout:
-    """How fingerprints split in block, slot (together the quotient) and remainder, for about n fingerprints."""
+    """How fingerprints split in block, slot (together the quotient) and remainder, for about n fingerprints.
+
+    A block of one partition's filter holds a few fingerprints or many. Its occupied slots are stored as gaps from one
+    to the next, then the size of each run (unless all are 1), the remainders of the runs, sorted within a run, and
+    their counts (unless all are 1): a few bytes a fingerprint, however sparse the block is."""
 
     def __init__(self, n: int):
         self.quotient_bits = min(FINGERPRINT_BITS - 8, max(4, max(n, 1).bit_length()))
-        self.slot_bits = min(self.quotient_bits, BLOCK_FINGERPRINTS.bit_length() - 1)
+        self.slot_bits = max(0, min(self.quotient_bits - LEAST_BLOCKS, BLOCK_FINGERPRINTS.bit_length() - 1))
         self.remainder_bits = FINGERPRINT_BITS - self.quotient_bits
 
     def encode(self, prints: np.ndarray, counts: np.ndarray):
-        """Blocks of the filter with these sorted distinct fingerprints."""
+        """Blocks (number, bytes) of the filter with these sorted distinct fingerprints."""
         quotient = prints >> self.remainder_bits
         blocks, first = np.unique(quotient >> self.slot_bits, return_index=True)
         for block, a, b in zip(blocks.tolist(), first, [*first[1:], len(prints)]):
-            slot = quotient[a:b] & ((1 << self.slot_bits) - 1)
-            occupied = np.zeros(1 << self.slot_bits, bool)
-            occupied[slot] = True
-            ends = np.append(slot[1:] != slot[:-1], True)
-            remainders = prints[a:b] & ((1 << self.remainder_bits) - 1)
-            yield block, b - a, np.packbits(occupied).tobytes(), np.packbits(ends).tobytes(), remainders.astype(np.int64).tobytes(), counts[a:b].astype(np.int64).tobytes()
-
-    def decode(self, block: int, slots: int, occupied: bytes, ends: bytes, remainders: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The fingerprints and counts of a block: the k-th run belongs to the k-th occupied slot."""
-        runs = np.flatnonzero(np.unpackbits(np.frombuffer(occupied, np.uint8)))
-        end = np.unpackbits(np.frombuffer(ends, np.uint8))[:slots].astype(np.int64)
-        slot = runs[np.cumsum(end) - end]
-        quotient = (np.int64(block) << self.slot_bits) | slot
-        return (quotient << self.remainder_bits) | np.frombuffer(remainders, np.int64), np.frombuffer(counts, np.int64)
-
-
-def _summed(prints: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    values, where = np.unique(np.concatenate(prints), return_inverse=True)
-    return values, np.bincount(where, np.concatenate(counts)).astype(np.int64)
+            slots, sizes = np.unique(quotient[a:b] & ((1 << self.slot_bits) - 1), return_counts=True)
+            gap_width, gaps = _packed(np.diff(slots, prepend=0))
+            size_width, runs = _packed(sizes) if len(slots) < b - a else (0, b"")
+            rest_width, rests = _packed(prints[a:b] & ((1 << self.remainder_bits) - 1))
+            count_width, counters = _packed(counts[a:b]) if counts[a:b].max() > 1 else (0, b"")
+            widths = gap_width | size_width << 2 | rest_width << 4 | count_width << 6
+            yield block, _HEAD.pack(widths, bool(runs) | bool(counters) << 1, len(slots), b - a if runs else 0)[: _HEAD.size if runs else _HEAD_SHORT.size] + gaps + runs + rests + counters
+
+    def decode(self, block: int, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted fingerprints of a block and their counts: the k-th run belongs to the k-th occupied slot."""
+        widths, has, slots = _HEAD_SHORT.unpack_from(body)
+        n, at = (int.from_bytes(body[_HEAD_SHORT.size : _HEAD.size], "little"), _HEAD.size) if has & 1 else (slots, _HEAD_SHORT.size)
+
+        def numbers(place: int, count: int) -> np.ndarray:
+            nonlocal at
+            kind = np.dtype(_WIDTHS[widths >> place & 3])
+            out = np.frombuffer(body, kind, count, at).astype(np.int64)
+            at += count * kind.itemsize
+            return out
+
+        slot = np.cumsum(numbers(0, slots))
+        if has & 1:
+            slot = np.repeat(slot, numbers(2, slots))
+        rest = numbers(4, n)
+        counts = numbers(6, n) if has & 2 else np.ones(n, np.int64)
+        return (((np.int64(block) << self.slot_bits) | slot) << self.remainder_bits) | rest, counts
+
+
+_HEAD, _HEAD_SHORT = struct.Struct("<BBII"), struct.Struct("<BBI")
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted lists of fingerprints as one (the stable sort merges runs that are sorted already); counts of equal ones add."""
+    prints, counts = np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(prints, kind="stable")
+    prints = prints[order]
+    first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
+    return prints[first], np.add.reduceat(counts[order], first)
 
 
 def quotient_filter(digests: DataFrame, layout: Layout) -> DataFrame:
     """The blocks of a counting quotient filter for each partition of the column fingerprint."""
 
     def build(batches):
-        prints, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            new = batch.column("fingerprint").to_numpy(zero_copy_only=False)
-            prints, counts = _summed([prints, new], [counts, np.ones(len(new), np.int64)])
-        rows = list(layout.encode(prints, counts)) if len(prints) else []
-        columns = list(zip(*rows)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.binary()] * 4))], names=["block", "slots", "occupied", "ends", "remainders", "counts"])
+        found = [batch.column("fingerprint").to_numpy(zero_copy_only=False) for batch in batches]
+        rows = list(layout.encode(*np.unique(np.concatenate(found), return_counts=True))) if sum(map(len, found)) else []
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "body"])
 
-    return digests.select("fingerprint").mapInArrow(build, _BLOCK)
+    return digests.select("fingerprint").mapInArrow(build, "block long, body binary")
 
 
 def merged(blocks: DataFrame, layout: Layout) -> DataFrame:
     """fingerprint, n of the merged filter. A block holds about BLOCK_FINGERPRINTS fingerprints however many rows there are."""
 
     def merge(table: pa.Table) -> pa.Table:
-        parts = [layout.decode(*row.values()) for row in table.select(["block", "slots", "occupied", "ends", "remainders", "counts"]).to_pylist()]
-        prints, counts = _summed(*zip(*parts))
+        prints, counts = _merged([layout.decode(block, body) for block, body in zip(table["block"].to_pylist(), table["body"].to_pylist())])
         return pa.table({"fingerprint": prints, "n": counts})
 
     return blocks.groupBy("block").applyInArrow(merge, "fingerprint long, n long")
@@ -121,7 +149,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     routed = rows.mapInArrow(_texts, "doc_id long, fingerprint long, norm string").join(small(repeated), "fingerprint", "left_semi")
     groups = routed.groupBy("fingerprint", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = save(groups.select(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "keep_id", "group_size").where("group_size > 1"), "groups")
-    return digests.join(groups, "sha", "left").select(
+    discard(repeated)
+    return digests.join(small(groups, most=GROUP_ROWS), "sha", "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
