@@ -1,8 +1,10 @@
 """Secret scans with an incremental ledger of blobs.
 
 Every version of a document is addressed by the SHA-256 of its content. The ledger is a table of findings keyed by
-blob and rule version; a run scans only pairs that it does not hold yet, one text for each blob however many
-paths have it, appends what it finds (also that nothing was found), and joins the findings back to all paths.
+blob and rule version; a run scans only pairs that it does not hold yet, appends what it finds (also that nothing
+was found), and joins the findings back to all paths. One text is scanned for each new blob, however many paths have
+it; where there are more repeated blobs than can be listed on every executor, copies of the less repeated ones are
+scanned where they lie, with the same findings, rather than moving all texts.
 Appending is one committed write: a run that fails before it leaves the ledger as it was and can be repeated.
 
 Only built-in functions are used. Null counts as empty; texts without matches give empty lists. Spans are in code
@@ -16,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recall_spark.llm.common import only, save, shared_dir
+from recall_spark.llm.common import discard, only, save, shared_dir, small
 from recall_spark.llm.spans import SPAN, joined, located, number_of, spans
 
 #: Change it with the rules: blobs are then scanned anew.
@@ -26,6 +28,8 @@ _BEFORE_VALUE = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x2
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 KINDS = ("assign", "access", "hex")
+#: Blobs, or findings and their spans, that may be broadcast: about 100 bytes each.
+LISTED = 160_000
 #: Further rules: name, pattern, and a string that every match holds.
 MORE = (
     ("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", "PRIVATE KEY-----"),
@@ -53,22 +57,39 @@ def _exists(df: DataFrame, path: str) -> bool:
 
 
 def scan(docs: DataFrame, ledger: str | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """doc_id, blob, base and added (arrays of spans) of each row, by the ledger at this path; without one, by a new ledger."""
+    """doc_id, blob, base and added (arrays of spans) of each row, by the ledger at this path; without one, by a new ledger.
+
+    No text moves between tasks unless more than LISTED blobs are new to a ledger that knows others already."""
     spark = docs.sparkSession
     ledger = ledger or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     rows = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     paths = save(rows.select("doc_id", "blob"), "paths")
-    unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("first_id"))
-    if _exists(docs, ledger):
-        unseen = unseen.join(spark.read.parquet(ledger).where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    first = unseen.withColumnRenamed("blob", "of").hint("shuffle_hash")
-    texts = rows.join(first, (rows["doc_id"].eqNullSafe(F.col("first_id"))) & (rows["blob"] == F.col("of")), "left_semi")
-    found = texts.select("blob", F.lit(rule_version).alias("rule_version"), base_spans(F.col("text")).cast(SPAN).alias("base"), added_spans(F.col("text")).cast(SPAN).alias("added"))
-    found.write.mode("append").parquet(ledger)
-    known = spark.read.parquet(ledger).where(F.col("rule_version") == rule_version).select("blob", "base", "added").dropDuplicates(["blob"])
+    unseen = paths.groupBy(F.col("blob").alias("of")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    kept = _exists(docs, ledger)
+    if kept:
+        known = spark.read.parquet(ledger).where(F.col("rule_version") == rule_version).select(F.col("blob").alias("of"))
+        kept = known.limit(1).count() > 0
+        unseen = unseen.join(known, "of", "left_anti")
+    unseen = save(unseen, "unseen")
+    new = unseen.count()
+    first = F.col("doc_id").eqNullSafe(F.col("first_id"))
+    if new > LISTED and not kept:
+        # All rows are new: each is scanned where it lies, but for the copies of the most repeated blobs.
+        copied = F.broadcast(unseen.where("n > 1").orderBy(F.desc("n"), "of").limit(LISTED))
+        texts = rows.join(copied, F.col("blob") == F.col("of"), "left").where(F.col("of").isNull() | first)
+    else:
+        texts = rows.join(small(unseen, new, LISTED), (F.col("blob") == F.col("of")) & first, "left_semi")
+    if new:
+        found = texts.select("blob", F.lit(rule_version).alias("rule_version"), base_spans(F.col("text")).cast(SPAN).alias("base"), added_spans(F.col("text")).cast(SPAN).alias("added"))
+        found.write.mode("append").parquet(ledger)
+    discard(unseen)
     none = F.expr(f"cast(array() as {SPAN})")
-    hits = known.where("size(base) + size(added) > 0")
-    return paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
+    if not new and not kept:
+        return paths.select("doc_id", "blob", none.alias("base"), none.alias("added"))
+    findings = spark.read.parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("base") + F.size("added") > 0))
+    hits = findings.select("blob", "base", "added").dropDuplicates(["blob"])
+    size = findings.agg(F.count("*"), F.coalesce(F.sum(F.size("base") + F.size("added")), F.lit(0))).first()
+    return paths.join(small(hits, size[0] + size[1], LISTED), "blob", "left").select("doc_id", "blob", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:
