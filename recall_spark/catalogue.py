@@ -210,6 +210,14 @@ def detect_language(spark, d):
     return rows.select(path.alias("file_path")).withColumns({"language": tx.language(F.col("file_path")), "is_code": tx.is_code(F.col("file_path"))}).withColumn("chunker", tx.chunker(F.col("language")))
 
 
+@query("""SELECT doc_id AS memory_id, CASE WHEN doc_id % 3 = 0 THEN 'repo/' || source WHEN doc_id % 3 = 1 THEN '/src/' || lang END AS folder FROM documents""")
+def scope_folder(spark, d):
+    i = F.col("memory_id")
+    given = F.when(i % 3 == 0, F.concat(F.lit("repo/"), "repo_id")).when(i % 6 == 1, "")
+    path = F.concat(F.when(i % 3 == 2, "").otherwise("/"), F.lit("src/"), "language", F.lit("/f.py"))
+    return tb.memories(spark, d).select("memory_id", tx.scope_folder(given, path).alias("folder"))
+
+
 @query(f"SELECT * FROM (VALUES {_SUFFIXES}) x(suffix, language, chunker)")
 def supported_languages(spark, d):
     return tx.supported(spark)
@@ -561,6 +569,13 @@ def enhanced_prompt(spark, d):
     return _prompts(spark, d).select("query_id").join(known, "query_id", "left").select("query_id", capturing.prompt(F.lit("Extract."), F.coalesce("known", F.expr("cast(array() as array<string>)"))).alias("prompt"))
 
 
+@query("""SELECT conv_id, turn, E'Find the facts in this text that are worth keeping and store each as a decision, analysis, context, conversation or summary.\\n\\n---\\n' || text || E'\\n---\\n'
+  || CASE WHEN role = 'user' THEN E'\\nHint: ' || role ELSE '' END AS prompt FROM conversations""")
+def extraction_prompt(spark, d):
+    hint = F.when(F.col("role") == "user", F.col("role"))
+    return tb.table(spark, d, "conversations").select("conv_id", "turn", capturing.to_extract(F.col("text"), hint).alias("prompt"))
+
+
 @query(f"""WITH {_MEMORIES}, m AS (SELECT content_type, {_TOKENS.format('text')} AS a, {_TOKENS.format('(' + _ONE_LINE + ')')} AS b FROM memories)
   SELECT content_type, sum(a)::BIGINT AS tokens, sum(b)::BIGINT AS short_tokens, sum(a - b)::BIGINT AS saved, round(avg(CASE WHEN a > 0 THEN 1 - b / a::DOUBLE END), 6) AS mean_share FROM m GROUP BY content_type""")
 def token_savings(spark, d):

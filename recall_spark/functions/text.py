@@ -37,6 +37,11 @@ def path_id(path: Column) -> Column:
     return F.left(F.sha2(path, 256), F.lit(16))
 
 
+def scope_folder(repo_path: Column, file_path: Column) -> Column:
+    """Where a memory's repository is looked for: the path given, else the folder of an absolute file path, else null."""
+    return F.coalesce(F.nullif(repo_path, F.lit("")), F.when(file_path.startswith("/"), F.nullif(F.regexp_replace(file_path, "/[^/]*$", ""), F.lit(""))), F.when(file_path.rlike("^/[^/]*$"), F.lit("/")))
+
+
 def tokens(text: Column) -> Column:
     """Estimated tokens: a token for each four characters begun."""
     return F.floor((F.length(text) + 3) / 4).cast("int")

@@ -45,6 +45,12 @@ def prompt(base: Column, known: Column, most: int = 20) -> Column:
     return F.when(F.size(known) > 0, F.concat(base, F.lit("\n\nAlready stored (do NOT re-extract these):\n"), bullets)).otherwise(base)
 
 
+def to_extract(text: Column, hint: Column) -> Column:
+    """What a caller without an extractor of its own is asked to do with a text; the hint may be null."""
+    ask = "Find the facts in this text that are worth keeping and store each as a decision, analysis, context, conversation or summary.\n\n---\n"
+    return F.concat(F.lit(ask), text, F.lit("\n---\n"), F.when(F.coalesce(hint, F.lit("")) != "", F.concat(F.lit("\nHint: "), hint)).otherwise(""))
+
+
 def savings(rows: DataFrame, *by: str) -> DataFrame:
     """Tokens of text and of one_line, what is saved, and the mean share saved, for each group."""
     whole, short = tx.tokens(F.col("text")), tx.tokens(F.col("one_line"))
@@ -63,8 +69,8 @@ def known_for(sessions: DataFrame, vectors: DataFrame, memories: DataFrame, embe
     queries = embed(named.select(F.col("query_id").alias("memory_id"), F.left("text", F.lit(QUERY_CHARS)).alias("text"))).withColumnRenamed("memory_id", "query_id")
     if scoped:
         queries = queries.join(named.select("query_id", *scoped), "query_id")
-    hits = search.top_k(vectors, queries, most, scoped).where(F.col("similarity") >= KNOWN)
-    lines = known_lines(search.with_memories(hits, memories, named.count() * most).where("not stale"), most)
+    hits = search.top_k(vectors, queries, most, scoped)
+    lines = known_lines(search.with_memories(hits.where(F.col("similarity") >= KNOWN), memories, hits.bound).where("not stale"), most)
     return named.select("query_id", "session_id").join(lines, "query_id").select("session_id", "known")
 
 

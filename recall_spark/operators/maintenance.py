@@ -73,9 +73,10 @@ def screened(memories: DataFrame, sanitise: bool = True) -> DataFrame:
 def current(log: DataFrame) -> DataFrame:
     """The newest version of each memory in an append-only log (memory_id, version, deleted, ...), without the deleted ones.
 
-    Which version is newest is aggregated from ids alone; texts are only joined to it, not sorted."""
-    newest = log.groupBy("memory_id").agg(F.max("version").alias("version"), F.max_by("deleted", "version").alias("_gone")).where("not _gone")
-    return log.join(newest.drop("_gone"), ["memory_id", "version"], "left_semi").dropDuplicates(["memory_id"])
+    Which version is newest is aggregated from ids alone. Ids go to the texts while they are few; otherwise both are
+    dealt by id once, and nothing is sorted with its text. No two calls that write a memory share a version."""
+    newest = log.groupBy("memory_id").agg(F.max("version").alias("version"), F.max_by("deleted", "version").alias("_gone")).where("not _gone").drop("_gone")
+    return log.join(small(newest), ["memory_id", "version"], "left_semi")
 
 
 def tracked(hashes: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recall_spark.operators.joins import BROADCAST_ROWS, small
+from recall_spark.operators.joins import small
 
 #: Queries whose vectors are sent to the executors at once, and bytes of their vectors.
 QUERY_BLOCK, QUERY_BYTES = 2_000, 16 << 20
@@ -61,34 +63,40 @@ def _nearest(sent, k: int, scoped: tuple[str, ...]):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, scoped: tuple[str, ...] = ()) -> DataFrame:
     """query_id, memory_id, similarity, rank: the k nearest vectors of each query, by squared distance, then id.
 
+    The result's attribute bound is the most rows that it can have.
     scoped: columns, such as repo_id and branch_name, in which a vector and a query have to agree. queries (query_id,
     embedding and these) are taken in blocks of bounded size; vectors are read once for each block and never shuffled.
     Queries and vectors that are null, partly null or of another length find nothing."""
     spark = vectors.sparkSession
-    usable = queries.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()) & (F.size("embedding") > 0))
-    count, width = usable.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
-    blocks = max(1, -(-count // QUERY_BLOCK), -(-count * width * 8 // QUERY_BYTES))
+    usable = queries.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()) & (F.size("embedding") > 0)).select("query_id", "embedding", *scoped)
     kind = vectors.schema["memory_id"].dataType.simpleString()
+    first = usable.limit(QUERY_BLOCK + 1).collect()
+    count, width = len(first), max((len(r["embedding"]) for r in first), default=1)
+    blocks = [first]
+    if count > QUERY_BLOCK or count * width * 8 > QUERY_BYTES:
+        count, width = usable.agg(F.count("*"), F.max(F.size("embedding"))).first()
+        n = max(1, -(-count // QUERY_BLOCK), -(-count * width * 8 // QUERY_BYTES))
+        blocks = (usable.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).collect() for block in range(n))
     parts = []
-    for block in range(blocks):
+    for rows in blocks:
         groups: dict[tuple, list] = {}
-        for r in usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "embedding", *scoped).collect():
+        for r in rows:
             groups.setdefault((tuple(r[c] for c in scoped), len(r["embedding"])), []).append(r)
-        sent = spark.sparkContext.broadcast([(scope, np.array([r["query_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64)) for (scope, _), rows in groups.items()])
         if groups:
+            sent = spark.sparkContext.broadcast([(scope, np.array([r["query_id"] for r in own], np.int64), np.array([r["embedding"] for r in own], np.float64)) for (scope, _), own in groups.items()])
             parts.append(vectors.select("memory_id", "embedding", *scoped).mapInArrow(_nearest(sent, k, scoped), f"query_id long, memory_id {kind}, distance double"))
     if not parts:
-        return spark.createDataFrame([], f"query_id long, memory_id {kind}, similarity double, rank int")
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.union(part)
+        parts = [spark.createDataFrame([], f"query_id long, memory_id {kind}, distance double")]
+    hits = reduce(DataFrame.union, parts)
     nearest = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "memory_id")
-    return hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "memory_id", F.exp(-F.col("distance")).alias("similarity"), "rank")
+    found = hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "memory_id", F.exp(-F.col("distance")).alias("similarity"), "rank")
+    found.bound = count * k
+    return found
 
 
 def with_memories(hits: DataFrame, memories: DataFrame, most: int) -> DataFrame:
     """hits with the columns of their memories. most: a bound of the number of hits, which are broadcast if they are few."""
-    return small(hits, most).join(memories, "memory_id") if most <= BROADCAST_ROWS else hits.join(memories, "memory_id")
+    return small(hits, most).join(memories, "memory_id")
 
 
 def similar(
@@ -112,8 +120,8 @@ def similar(
     if prefilter:
         vectors = vectors.join(small(passing(memories).select("memory_id")), "memory_id", "left_semi")
     scoped = ("repo_id",) if cross_branch else ("repo_id", "branch_name")
-    hits = top_k(vectors, queries, k, scoped).where(F.col("similarity") >= least)
-    return passing(with_memories(hits, memories, queries.count() * k))
+    hits = top_k(vectors, queries, k, scoped)
+    return passing(with_memories(hits.where(F.col("similarity") >= least), memories, hits.bound))
 
 
 def classified(queries: DataFrame, centroids: DataFrame, least: float = INTENT_FLOOR) -> DataFrame:

@@ -47,8 +47,9 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.withColumn("text", text).withColumn("skip_reason", F.when(text.isNull(), "binary"))
 
 
-def transcript(lines: DataFrame) -> DataFrame:
-    """session_id, line_no, role, text of JSONL lines (session_id, line_no, line); bad lines and other roles go.
+def transcript(lines: DataFrame, *also: str) -> DataFrame:
+    """session_id, line_no, role, text (and also these columns) of JSONL lines (session_id, line_no, line, ...); bad lines
+    and other roles go.
 
     Content that is a JSON string is taken as it is; of a list of blocks the first text that is not blank, stripped."""
     row = F.try_parse_json("line")
@@ -58,7 +59,7 @@ def transcript(lines: DataFrame) -> DataFrame:
     texts = F.transform(blocks, lambda b: F.when(F.try_variant_get(b, "$.type", "string") == "text", tx.stripped(F.try_variant_get(b, "$.text", "string"))))
     first = F.get(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) != ""), 0)
     text = F.when(kind.startswith("ARRAY"), first).when(kind == "STRING", F.coalesce(F.try_variant_get("v", "$.content", "string"), F.lit("")))
-    return parsed.select("session_id", "line_no", "role", text.alias("text")).where("text is not null")
+    return parsed.select("session_id", "line_no", *also, "role", text.alias("text")).where("text is not null")
 
 
 def last_lines(lines: DataFrame, most: int) -> DataFrame:

@@ -45,7 +45,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     Here the scope comes from another table: ids and scopes go to the embeddings, as long as they are few, not
     embeddings to them. A store writes the scope of a vector beside it."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("memory_id"), "embedding", "label")
-    return e.join(small(memories(spark, sf_dir).select("memory_id", "repo_id", "branch_name")), "memory_id")
+    scopes = memories(spark, sf_dir).select("memory_id", "repo_id", "branch_name")
+    return e.join(small(scopes, table(spark, sf_dir, "documents").count()), "memory_id")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

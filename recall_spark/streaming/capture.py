@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recall_spark.functions import text as tx
+from recall_spark.sources import files as fl
 
 LINES = "session_id string, line_no long, line string, at timestamp"
 
@@ -17,18 +18,15 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def captured(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Turns without secrets and noise, each text once a session within the watermark."""
-    rows = stream.withWatermark("at", late)
-    record = F.from_json("line", "role string, content string")
-    turns = rows.withColumn("r", record).where("r.role in ('user', 'assistant')")
-    text = tx.sanitised(tx.compressed(F.col("r.content")))
-    out = turns.select("session_id", "line_no", "at", F.col("r.role").alias("role"), text.alias("text")).where("text <> ''").withColumn("checksum", tx.checksum(F.col("text")))
+    turns = fl.transcript(stream.withWatermark("at", late), "at")
+    out = turns.withColumn("text", tx.sanitised(tx.compressed(F.col("text")))).where("text <> ''").withColumn("checksum", tx.checksum(F.col("text")))
     return out.dropDuplicatesWithinWatermark(["session_id", "checksum"])
 
 
 def activity(stream: DataFrame, late: str = "10 minutes", every: str = "5 minutes") -> DataFrame:
     """Turns of a role in each window of time."""
-    rows = stream.withWatermark("at", late).withColumn("r", F.from_json("line", "role string, content string"))
-    return rows.groupBy(F.window("at", every), F.col("r.role").alias("role")).agg(F.count("*").alias("n"))
+    turns = fl.transcript(stream.withWatermark("at", late), "at")
+    return turns.groupBy(F.window("at", every), "role").agg(F.count("*").alias("n"))
 
 
 def stored(turns: DataFrame, path: str, checkpoint: str):

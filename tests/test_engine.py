@@ -223,6 +223,12 @@ def test_stream_capture(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 1
 
 
+def test_scope_folders(spark):
+    rows = [("r", "/a/b.py", "r"), (None, "/a/b.py", "/a"), ("", "/b.py", "/"), (None, "a/b.py", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "r string, f string, want string")
+    assert all(x["want"] == x["got"] for x in df.withColumn("got", tx.scope_folder(F.col("r"), F.col("f"))).collect())
+
+
 def test_changes_and_empty_tables(spark):
     empty = spark.createDataFrame([], "path string, sha256 string")
     assert maintenance.changes(empty, empty).count() == 0
