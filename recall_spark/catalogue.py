@@ -68,7 +68,8 @@ def _found(spark, d, k, least, **options):
 
 @query(f"WITH {_MEMORIES}, {_NEAREST} SELECT query_id, memory_id, rank, round(similarity, 6) AS similarity, content_type FROM hits JOIN memories USING (memory_id) WHERE rank <= 5 AND similarity >= 0.2 AND NOT stale")
 def search_similar(spark, d):
-    return _found(spark, d, 5, 0.2).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"), "content_type")
+    return _found(spark, d, 5, 0.2).select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"),
+        F.round("similarity", 6).alias("similarity"), "content_type")
 
 
 @query(f"WITH {_MEMORIES}, {_NEAREST} SELECT query_id, count(*) AS n, round(max(similarity), 6) AS best FROM hits JOIN memories USING (memory_id) WHERE rank <= 20 AND similarity >= 0.2 AND NOT stale GROUP BY query_id")
@@ -107,7 +108,8 @@ def recall_context(spark, d):
     from pyspark.sql import Window
 
     rows = _found(spark, d, 30, 0.2).where(F.col("content_type").isin(*tb.RECALLED))
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("n <= 10").select("query_id", "memory_id", "content_type")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("n <= 10").select("query_id", "memory_id",
+        "content_type")
 
 
 @query(f"WITH {_MEMORIES} SELECT memory_id, created_at FROM memories WHERE repo_id = 'src3' AND branch_name = 'main' AND content_type = 'decision' AND NOT stale ORDER BY created_at DESC, memory_id LIMIT 100")
@@ -145,7 +147,8 @@ def list_page(spark, d):
 @query(f"WITH {_MEMORIES} SELECT memory_id, content_type, sha256(text) AS checksum FROM memories WHERE memory_id = 7 AND branch_name = 'main'")
 def retrieve_by_id(spark, d):
     m = tb.memories(spark, d)
-    return listing.filtered(m, memory_id=7, branch="main", include_stale=True).select("memory_id", "content_type", tx.checksum(F.col("text")).alias("checksum"))
+    return listing.filtered(m, memory_id=7, branch="main", include_stale=True).select("memory_id", "content_type",
+        tx.checksum(F.col("text")).alias("checksum"))
 
 
 @query(f"WITH {_MEMORIES} SELECT memory_id, created_at, content_type FROM memories WHERE NOT stale ORDER BY created_at DESC, memory_id LIMIT 10")
@@ -207,7 +210,8 @@ def detect_language(spark, d):
     suffixes = F.array(*map(F.lit, [*tx.LANGUAGES, ".txt", ".json", ""]))
     rows = tb.table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.explode(suffixes).alias("s"))
     path = F.concat(F.lit("src/a.b/f"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, F.upper("s")).otherwise(F.col("s")))
-    return rows.select(path.alias("file_path")).withColumns({"language": tx.language(F.col("file_path")), "is_code": tx.is_code(F.col("file_path"))}).withColumn("chunker", tx.chunker(F.col("language")))
+    return rows.select(path.alias("file_path")).withColumns({"language": tx.language(F.col("file_path")),
+        "is_code": tx.is_code(F.col("file_path"))}).withColumn("chunker", tx.chunker(F.col("language")))
 
 
 @query("""SELECT doc_id AS memory_id, CASE WHEN doc_id % 3 = 0 THEN 'repo/' || source WHEN doc_id % 3 = 1 THEN '/src/' || lang END AS folder FROM documents""")
@@ -235,12 +239,14 @@ def stats_by_repo(spark, d):
 
 @query(f"WITH {_MEMORIES}, {_NEAREST} SELECT count(*) AS n_vectors, count(DISTINCT repo_id) AS n_repos, ceil(count(*) / 50000.0)::BIGINT AS shards FROM vectors")
 def stats_vectors(spark, d):
-    return tb.vectors(spark, d).agg(F.count("*").alias("n_vectors"), F.countDistinct("repo_id").alias("n_repos"), F.ceil(F.count("*") / 50000.0).cast("long").alias("shards"))
+    return tb.vectors(spark, d).agg(F.count("*").alias("n_vectors"), F.countDistinct("repo_id").alias("n_repos"),
+        F.ceil(F.count("*") / 50000.0).cast("long").alias("shards"))
 
 
 @query(f"WITH {_MEMORIES}, {_NEAREST} SELECT file_path, round(max(similarity), 6) AS best FROM hits JOIN memories USING (memory_id) WHERE rank <= 20 AND NOT stale GROUP BY file_path ORDER BY round(max(similarity), 6) DESC, file_path LIMIT 5")
 def best_per_file(spark, d):
-    return _found(spark, d, 20, 0.0).groupBy("file_path").agg(F.round(F.max("similarity"), 6).alias("best")).orderBy(F.desc("best"), "file_path").limit(5)
+    return _found(spark, d, 20, 0.0).groupBy("file_path").agg(F.round(F.max("similarity"), 6).alias("best")).orderBy(F.desc("best"),
+        "file_path").limit(5)
 
 
 @query(f"WITH {_MEMORIES} SELECT memory_id, sha256(text) AS checksum FROM memories QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY created_at, memory_id) > 1")
@@ -262,9 +268,11 @@ def ttl_expired(spark, d):
 
 
 def _hashes(spark, d):
-    first = tb.memories(spark, d).groupBy(F.col("file_path").alias("path")).agg(F.min_by("text", "memory_id").alias("t"), F.min("memory_id").alias("i"))
+    first = tb.memories(spark, d).groupBy(F.col("file_path").alias("path")).agg(F.min_by("text", "memory_id").alias("t"),
+        F.min("memory_id").alias("i"))
     old = first.select("path", F.sha2("t", 256).alias("sha256"))
-    new = first.where("i % 10 <> 1").select("path", F.when(F.col("i") % 4 == 0, F.sha2(F.concat("t", F.lit("!")), 256)).otherwise(F.sha2("t", 256)).alias("sha256"))
+    new = first.where("i % 10 <> 1").select("path",
+        F.when(F.col("i") % 4 == 0, F.sha2(F.concat("t", F.lit("!")), 256)).otherwise(F.sha2("t", 256)).alias("sha256"))
     return old, new.union(spark.sql("SELECT concat('new/f', id) AS path, sha2(cast(id AS string), 256) AS sha256 FROM range(3)"))
 
 
@@ -280,12 +288,14 @@ def changed_files(spark, d):
 
 @query(f"WITH {_HASHES} SELECT memory_id, stale OR (path IS NOT NULL AND content_type IN ('code_snippet', 'relationship')) AS stale, CASE WHEN stale THEN 'File changed in commit abc12345' WHEN path IS NOT NULL AND content_type IN ('code_snippet', 'relationship') THEN 'File changed in commit 0123abcd' END AS stale_reason FROM memories LEFT JOIN changed ON file_path = path")
 def mark_stale(spark, d):
-    return maintenance.marked_stale(tb.memories(spark, d), maintenance.changes(*_hashes(spark, d)), "0123abcdef").select("memory_id", "stale", "stale_reason")
+    return maintenance.marked_stale(tb.memories(spark, d), maintenance.changes(*_hashes(spark, d)), "0123abcdef").select("memory_id", "stale",
+        "stale_reason")
 
 
 @query(f"WITH {_MEMORIES} SELECT repo_id, branch_name, max_by('c' || memory_id, created_at * 1000000 + memory_id) AS commit FROM memories GROUP BY ALL")
 def last_commit(spark, d):
-    log = tb.memories(spark, d).select("repo_id", "branch_name", F.concat(F.lit("c"), F.col("memory_id").cast("string")).alias("commit"), (F.col("created_at") * 1000000 + F.col("memory_id")).alias("at"))
+    log = tb.memories(spark, d).select("repo_id", "branch_name", F.concat(F.lit("c"), F.col("memory_id").cast("string")).alias("commit"),
+        (F.col("created_at") * 1000000 + F.col("memory_id")).alias("at"))
     return maintenance.last_commits(log)
 
 
@@ -297,7 +307,8 @@ _INTENTS = "['coding', 'debugging', 'architecture', 'testing', 'review', 'genera
 @query(f"WITH {_CENTROIDS} SELECT ({_INTENTS})[label + 1] AS intent, len(centroid)::INT AS dims, round(centroid[1], 6) AS first, round(centroid[64], 6) AS last FROM c")
 def intent_centroids(spark, d):
     c = search.centroids(tb.vectors(spark, d), sc.INTENTS)
-    return c.select("intent", F.size("centroid").alias("dims"), F.round(F.element_at("centroid", 1), 6).alias("first"), F.round(F.element_at("centroid", 64), 6).alias("last"))
+    return c.select("intent", F.size("centroid").alias("dims"), F.round(F.element_at("centroid", 1), 6).alias("first"),
+        F.round(F.element_at("centroid", 64), 6).alias("last"))
 
 
 @query()
@@ -333,7 +344,8 @@ _PRIORITIES = """p(intent, content_type, priority) AS (VALUES ('coding', 'code_s
 def type_priority(spark, d):
     intents = spark.createDataFrame([(i,) for i in (*sc.INTENTS, "unheard of")], "intent string")
     counts = tb.memories(spark, d).groupBy("content_type").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(intents)).select("intent", "content_type", sc.type_priority(F.col("intent"), F.col("content_type")).alias("priority"), "n")
+    return counts.join(F.broadcast(intents)).select("intent", "content_type",
+        sc.type_priority(F.col("intent"), F.col("content_type")).alias("priority"), "n")
 
 
 def _ranked(spark, d):
@@ -389,7 +401,8 @@ def select_skills(spark, d):
 def _requests(spark, d):
     """A list of ids for every twentieth memory: later ones first, one of them missing."""
     i = F.col("memory_id")
-    return tb.memories(spark, d).where(i % 20 == 0).select(i.alias("request_id"), F.array(i + 3, i, i + 25, F.lit(-1).cast("long"), i + 1, i + 28).alias("ids"))
+    return tb.memories(spark, d).where(i % 20 == 0).select(i.alias("request_id"),
+        F.array(i + 3, i, i + 25, F.lit(-1).cast("long"), i + 1, i + 28).alias("ids"))
 
 
 @query(f"""WITH {_MEMORIES}, r AS (SELECT memory_id AS request_id, unnest([memory_id + 3, memory_id, memory_id + 25, -1, memory_id + 1, memory_id + 28]) AS id, generate_subscripts([1, 2, 3, 4, 5, 6], 1) AS pos FROM memories WHERE memory_id % 20 = 0),
@@ -415,7 +428,8 @@ def summarize_by_file(spark, d):
 def near_dup_capture(spark, d):
     v = tb.vectors(spark, d)
     first = F.transform("embedding", lambda x, i: F.when(i == 0, x * F.lit(1.01)).otherwise(x))
-    new = v.where("memory_id % 20 = 0").select((F.col("memory_id") + 1_000_000_000).alias("query_id"), first.alias("embedding"), "repo_id", "branch_name")
+    new = v.where("memory_id % 20 = 0").select((F.col("memory_id") + 1_000_000_000).alias("query_id"), first.alias("embedding"), "repo_id",
+        "branch_name")
     return search.near_copies(v, new, scoped=("repo_id", "branch_name"))
 
 
@@ -434,12 +448,15 @@ def known_summaries(spark, d):
     """For each conversation, lines of the documents that are most like the beginning of its transcript."""
     sessions = capturing.to_capture(_lines(spark, d), 50)
     m = tb.derived(tb.memories(spark, d).where("not stale"))
-    mixed = sessions.unionByName(m.where("memory_id % 20 = 0").select(F.concat(F.lit("m"), F.col("memory_id").cast("string")).alias("session_id"), F.left("text", F.lit(500)).alias("text")))
-    return capturing.known_for(mixed, search.embedded(m.select("memory_id", F.left("text", F.lit(500)).alias("text"))), m).select("session_id", F.array_join("known", "\n").alias("known"))
+    mixed = sessions.unionByName(m.where("memory_id % 20 = 0").select(F.concat(F.lit("m"), F.col("memory_id").cast("string")).alias("session_id"),
+        F.left("text", F.lit(500)).alias("text")))
+    return capturing.known_for(mixed, search.embedded(m.select("memory_id", F.left("text", F.lit(500)).alias("text"))), m).select("session_id",
+        F.array_join("known", "\n").alias("known"))
 
 
 def _lines(spark, d):
-    return tb.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("line_no"), F.to_json(F.struct("role", F.col("text").alias("content"))).alias("line"))
+    return tb.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("line_no"),
+        F.to_json(F.struct("role", F.col("text").alias("content"))).alias("line"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, role || ': ' || coalesce(text, '') AS line FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)
@@ -451,7 +468,8 @@ def transcript_tail(spark, d):
 @query(r"""SELECT conv_id, turn, trim(regexp_replace('A' || E'\n\n' || text || E'\n\nassistance: \n\nB', '\n{3,}', E'\n\n', 'g'), E' \n\t\r') AS text FROM conversations""")
 def compress_basic(spark, d):
     noisy = F.concat(
-        F.lit("A<system-reminder>x\ny</system-reminder>\n\n\n\n"), "text", F.lit("\n\n\n=====>\n\nassistance: █▌▐▓\nassistant: <tool_use>z\n</tool_use>"),
+        F.lit("A<system-reminder>x\ny</system-reminder>\n\n\n\n"), "text",
+            F.lit("\n\n\n=====>\n\nassistance: █▌▐▓\nassistant: <tool_use>z\n</tool_use>"),
         F.lit("Relevant memories from previous sessions:\n- [decision] one\n- [code] two — a.py:1-2\n......\n<tool_result>r</tool_result>\nB"),
     )
     return tb.table(spark, d, "conversations").select("conv_id", "turn", tx.compressed(noisy).alias("text"))
@@ -460,7 +478,9 @@ def compress_basic(spark, d):
 @query(r"""SELECT doc_id AS memory_id, E'## Problem\n' || source || E'\n\n## Alternatives\n- ' || lang || E'\n- none\n\n## Chosen\n' || lang || E'\n\n## Rationale\n' || source || E'\n\n## Outcome\n' || CASE WHEN doc_id % 2 = 0 THEN 'done' ELSE 'TBD' END AS text FROM documents""")
 def decision_markdown(spark, d):
     t = tb.table(spark, d, "documents")
-    return t.select(F.col("doc_id").alias("memory_id"), tx.decision(F.col("source"), F.array(F.col("lang"), F.lit("none")), F.col("lang"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, "done")).alias("text"))
+    return t.select(F.col("doc_id").alias("memory_id"),
+        tx.decision(F.col("source"), F.array(F.col("lang"), F.lit("none")), F.col("lang"), F.col("source"),
+        F.when(F.col("doc_id") % 2 == 0, "done")).alias("text"))
 
 
 @query("""SELECT d.doc_id AS memory_id, CASE WHEN d.doc_id % 2 = 0 AND a.doc_id IS NOT NULL THEN [a.doc_id] ELSE [] END AS depends_on, CASE WHEN d.doc_id % 3 = 0 AND b.doc_id IS NOT NULL THEN [b.doc_id] ELSE [] END AS related_to
@@ -490,27 +510,31 @@ def secrets_sanitize(spark, d):
 
 @query()
 def chunk_text(spark, d):
-    return chunking.chunked(tb.memories(spark, d).select(F.col("memory_id").cast("string").alias("path"), "text", F.lit("text").alias("language"))).select("path", "chunk_text", "line_start", "line_end")
+    return chunking.chunked(tb.memories(spark, d).select(F.col("memory_id").cast("string").alias("path"), "text",
+        F.lit("text").alias("language"))).select("path", "chunk_text", "line_start", "line_end")
 
 
 @query()
 def chunk_python(spark, d):
     code = F.concat(F.lit("class C"), F.col("memory_id").cast("string"), F.lit("(Base):\n    def f(self):\n        return 1\n\ndef g():\n    pass\n"))
-    return chunking.chunked(tb.memories(spark, d).select(F.col("memory_id").cast("string").alias("path"), code.alias("text"), F.lit("python").alias("language")))
+    return chunking.chunked(tb.memories(spark, d).select(F.col("memory_id").cast("string").alias("path"), code.alias("text"),
+        F.lit("python").alias("language")))
 
 
 @query(r"""SELECT conv_id, turn, E'x\n```' || E'\n' || array_to_string([text || i FOR i IN range(1, 6)], E'\n') || E'\n... 30 lines omitted ...\n' || array_to_string([text || i FOR i IN range(36, 41)], E'\n') || E'\n```\ny' AS text FROM (SELECT conv_id, turn, regexp_replace(text, '\n', ' ', 'g') AS text FROM conversations)""")
 def code_fence_truncate(spark, d):
     line = F.regexp_replace("text", "\n", " ")
     fence = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(line, i.cast("string"))), "\n")
-    return tb.table(spark, d, "conversations").select("conv_id", "turn", tx.fences_cut(F.concat(F.lit("x\n```py\n"), fence, F.lit("\n```\ny"))).alias("text"))
+    return tb.table(spark, d, "conversations").select("conv_id", "turn",
+        tx.fences_cut(F.concat(F.lit("x\n```py\n"), fence, F.lit("\n```\ny"))).alias("text"))
 
 
 @query()
 def chunk_code(spark, d):
     """A file in each language that is cut by its declarations, for every memory."""
     name = F.concat(F.lit("N"), F.col("memory_id").cast("string"))
-    files = tb.memories(spark, d).select(F.col("memory_id").cast("string").alias("path"), F.explode(F.create_map(*[x for lang, body in CODE.items() for x in (F.lit(lang), F.replace(F.lit(body), F.lit("NAME"), name))])).alias("language", "text"))
+    texts = F.create_map(*[x for lang, body in CODE.items() for x in (F.lit(lang), F.replace(F.lit(body), F.lit("NAME"), name))])
+    files = tb.memories(spark, d).select(F.col("memory_id").cast("string").alias("path"), F.explode(texts).alias("language", "text"))
     return chunking.chunked(files).select("path", "language", "kind", "name", "line_start", "line_end")
 
 
@@ -522,11 +546,13 @@ def hashed_embed(spark, d):
 def _files(spark, d):
     """Files of memories, some not UTF-8 or blank, and the hashes that an earlier run left."""
     i = F.col("memory_id")
-    content = F.when(i % 17 == 0, F.unhex(F.lit("FF"))).when(i % 19 == 0, F.encode(F.lit(" "), "UTF-8")).otherwise(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    content = F.when(i % 17 == 0, F.unhex(F.lit("FF"))).when(i % 19 == 0,
+        F.encode(F.lit(" "), "UTF-8")).otherwise(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     path = F.concat(F.lit("src/f"), i.cast("string"), F.lit(".md"))
     m = tb.memories(spark, d)
     files = m.select("repo_id", path.alias("path"), content.alias("content")).withColumn("sha256", F.sha2("content", 256))
-    return files, m.where("memory_id % 4 <> 0").select(path.alias("path"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha256"))
+    return files, m.where("memory_id % 4 <> 0").select(path.alias("path"),
+        F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha256"))
 
 
 @query("""SELECT source AS repo_id, CASE WHEN doc_id % 17 = 0 THEN 'binary' WHEN doc_id % 19 = 0 THEN 'empty_chunks' WHEN doc_id % 4 <> 0 THEN 'unchanged'
@@ -546,7 +572,8 @@ def index_repository(spark, d):
   FROM c LEFT JOIN s USING (repo_id, branch_name) GROUP BY repo_id, branch_name""")
 def sync_commits(spark, d):
     m = tb.memories(spark, d)
-    changed = m.where("memory_id % 3 = 0").groupBy("repo_id", "branch_name", F.col("file_path").alias("path")).agg((F.max("memory_id") % 2 == 1).alias("still_there"))
+    changed = m.where("memory_id % 3 = 0").groupBy("repo_id", "branch_name",
+        F.col("file_path").alias("path")).agg((F.max("memory_id") % 2 == 1).alias("still_there"))
     return indexing.synced(m, changed, ("f1*.txt", "src/x/f2.txt"), "0123456789", "89abcdef01")
 
 
@@ -559,14 +586,16 @@ def capture_extracted(spark, d):
     second = F.struct(F.lit("nonsense").alias("type"), F.col("text").alias("content"), F.lit(None).cast("array<string>").alias("tags"))
     reply = F.concat(F.lit("```json\n"), F.to_json(F.array(first, second)), F.lit("\n```"))
     found = capturing.extracted(t.select(F.struct("conv_id", "turn").alias("session_id"), reply.alias("reply")))
-    return found.select(F.col("session_id.conv_id").cast("string").alias("session_id"), (F.col("session_id.turn") * 2 + F.col("place")).alias("place"), "content_type", "text", F.array_join("tags", ",").alias("tags"))
+    return found.select(F.col("session_id.conv_id").cast("string").alias("session_id"),
+        (F.col("session_id.turn") * 2 + F.col("place")).alias("place"), "content_type", "text", F.array_join("tags", ",").alias("tags"))
 
 
 @query(f"""WITH {_MEMORIES}, {_NEAREST}, k AS (SELECT query_id, string_agg('- [' || content_type || '] ' || {_ONE_LINE}, E'\\n' ORDER BY rank) AS lines FROM hits JOIN memories USING (memory_id) WHERE rank <= 5 AND similarity >= 0.25 AND NOT stale GROUP BY query_id)
   SELECT vec_id AS query_id, CASE WHEN lines IS NULL THEN 'Extract.' ELSE E'Extract.\\n\\nAlready stored (do NOT re-extract these):\\n' || lines END AS prompt FROM vectors LEFT JOIN k ON vec_id = query_id WHERE vec_id % 20 = 0""")
 def enhanced_prompt(spark, d):
     known = capturing.known_lines(tb.derived(_found(spark, d, 5, 0.25)))
-    return _prompts(spark, d).select("query_id").join(known, "query_id", "left").select("query_id", capturing.prompt(F.lit("Extract."), F.coalesce("known", F.expr("cast(array() as array<string>)"))).alias("prompt"))
+    return _prompts(spark, d).select("query_id").join(known, "query_id", "left").select("query_id",
+        capturing.prompt(F.lit("Extract."), F.coalesce("known", F.expr("cast(array() as array<string>)"))).alias("prompt"))
 
 
 @query("""SELECT conv_id, turn, E'Find the facts in this text that are worth keeping and store each as a decision, analysis, context, conversation or summary.\\n\\n---\\n' || text || E'\\n---\\n'
@@ -590,7 +619,8 @@ def stats_composite(spark, d):
 @query(f"""SELECT conv_id, '## Session — ' || strftime(make_timestamp(({tb.EPOCH} + conv_id * 3660) * 1000000), '%Y-%m-%d %H:%M') || ' [' || CASE WHEN conv_id % 2 = 0 THEN 'main' ELSE 'unknown' END || E']\\n\\n' || arg_max(text, turn) AS note
   FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id""")
 def session_notes(spark, d):
-    last = tb.table(spark, d, "conversations").where("role = 'assistant' and text is not null").groupBy("conv_id").agg(F.max_by("text", "turn").alias("summary"))
+    last = tb.table(spark, d,
+        "conversations").where("role = 'assistant' and text is not null").groupBy("conv_id").agg(F.max_by("text", "turn").alias("summary"))
     at = F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {tb.EPOCH} + conv_id * 3660)")
     return last.select("conv_id", tx.session_note(F.when(F.col("conv_id") % 2 == 0, "main"), F.col("summary"), at).alias("note"))
 

@@ -39,7 +39,9 @@ def path_id(path: Column) -> Column:
 
 def scope_folder(repo_path: Column, file_path: Column) -> Column:
     """Where a memory's repository is looked for: the path given, else the folder of an absolute file path, else null."""
-    return F.coalesce(F.nullif(repo_path, F.lit("")), F.when(file_path.startswith("/"), F.nullif(F.regexp_replace(file_path, "/[^/]*$", ""), F.lit(""))), F.when(file_path.rlike("^/[^/]*$"), F.lit("/")))
+    return F.coalesce(F.nullif(repo_path, F.lit("")),
+        F.when(file_path.startswith("/"), F.nullif(F.regexp_replace(file_path, "/[^/]*$", ""), F.lit(""))),
+        F.when(file_path.rlike("^/[^/]*$"), F.lit("/")))
 
 
 def tokens(text: Column) -> Column:
@@ -61,7 +63,8 @@ def truncated(text: Column, budget: int) -> Column:
 def one_line(text: Column) -> Column:
     sentence = stripped(F.regexp_extract(text, r"^[^.!?]+[.!?]", 0))
     short = stripped(text)
-    return F.when(F.length(sentence).between(1, 100), sentence).when(F.length(short) <= 100, short).otherwise(F.concat(stripped(F.left(text, F.lit(97))), F.lit("...")))
+    return F.when(F.length(sentence).between(1, 100), sentence).when(F.length(short) <= 100,
+        short).otherwise(F.concat(stripped(F.left(text, F.lit(97))), F.lit("...")))
 
 
 def detailed(text: Column, least: int = 200, budget: int = 500) -> Column:
@@ -97,11 +100,13 @@ def supported(spark):
 
 def decision(problem: Column, alternatives: Column, chosen: Column, rationale: Column, outcome: Column) -> Column:
     bullets = F.array_join(F.transform(alternatives, lambda x: F.concat(F.lit("- "), x)), "\n")
-    return F.concat(F.lit("## Problem\n"), problem, F.lit("\n\n## Alternatives\n"), bullets, F.lit("\n\n## Chosen\n"), chosen, F.lit("\n\n## Rationale\n"), rationale, F.lit("\n\n## Outcome\n"), F.coalesce(outcome, F.lit("TBD")))
+    return F.concat(F.lit("## Problem\n"), problem, F.lit("\n\n## Alternatives\n"), bullets, F.lit("\n\n## Chosen\n"), chosen,
+        F.lit("\n\n## Rationale\n"), rationale, F.lit("\n\n## Outcome\n"), F.coalesce(outcome, F.lit("TBD")))
 
 
 def session_note(branch: Column, summary: Column, at: Column) -> Column:
-    return F.concat(F.lit("## Session — "), F.date_format(at, "yyyy-MM-dd HH:mm"), F.lit(" ["), F.coalesce(branch, F.lit("unknown")), F.lit("]\n\n"), summary)
+    return F.concat(F.lit("## Session — "), F.date_format(at, "yyyy-MM-dd HH:mm"), F.lit(" ["), F.coalesce(branch, F.lit("unknown")), F.lit("]\n\n"),
+        summary)
 
 
 #: What counts as a secret: name and pattern.
@@ -122,7 +127,8 @@ def sanitised(text: Column) -> Column:
 
 
 #: What a transcript loses before its code fences are cut, and after.
-NOISE = (r"(?s)(?:assistant:\s*)?<tool_use>.*?</tool_use>|<tool_result>.*?</tool_result>", r"Relevant memories from previous sessions:\n(?:- \[.*\].*\n?)+", r"(?s)<system-reminder>.*?</system-reminder>")
+NOISE = (r"(?s)(?:assistant:\s*)?<tool_use>.*?</tool_use>|<tool_result>.*?</tool_result>",
+    r"Relevant memories from previous sessions:\n(?:- \[.*\].*\n?)+", r"(?s)<system-reminder>.*?</system-reminder>")
 PROGRESS = r"[▓░█▌▐]{3,}|\.{6,}|={5,}>?"
 
 
@@ -140,7 +146,9 @@ def fences_cut(text: Column, most: int = 30, ends: int = 5) -> Column:
 
     def cut(part: Column, i: Column) -> Column:
         lines = F.split(F.regexp_replace(part, r"^[^\n]*\n|\n$", ""), "\n", -1)
-        short = F.concat_ws("\n", F.lit(""), F.slice(lines, 1, ends), F.concat(F.lit("... "), (F.size(lines) - 2 * ends).cast("string"), F.lit(" lines omitted ...")), F.slice(lines, F.size(lines) - ends + 1, ends), F.lit(""))
+        short = F.concat_ws("\n", F.lit(""), F.slice(lines, 1, ends),
+            F.concat(F.lit("... "), (F.size(lines) - 2 * ends).cast("string"), F.lit(" lines omitted ...")),
+            F.slice(lines, F.size(lines) - ends + 1, ends), F.lit(""))
         closed = (i % 2 == 1) & (i < F.size(parts) - 1)
         return F.when(closed & (F.size(lines) > most), short).otherwise(part)
 

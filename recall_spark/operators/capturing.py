@@ -29,7 +29,8 @@ def extracted(replies: DataFrame) -> DataFrame:
     rows = replies.select("session_id", F.posexplode(items(F.col("reply"))).alias("place", "item"))
     kind = F.when(F.col("item.type").isin(*EXTRACTED), F.col("item.type")).otherwise("context")
     tags = F.filter(F.coalesce("item.tags", F.expr("cast(array() as array<string>)")), lambda t: t.isNotNull() & (t != ""))
-    return rows.select("session_id", "place", kind.alias("content_type"), tx.stripped(F.col("item.content")).alias("text"), tags.alias("tags")).where("text <> ''")
+    return rows.select("session_id", "place", kind.alias("content_type"), tx.stripped(F.col("item.content")).alias("text"),
+        tags.alias("tags")).where("text <> ''")
 
 
 def known_lines(hits: DataFrame, most: int = 5) -> DataFrame:
@@ -54,7 +55,8 @@ def to_extract(text: Column, hint: Column) -> Column:
 def savings(rows: DataFrame, *by: str) -> DataFrame:
     """Tokens of text and of one_line, what is saved, and the mean share saved, for each group."""
     whole, short = tx.tokens(F.col("text")), tx.tokens(F.col("one_line"))
-    return rows.groupBy(*by).agg(F.sum(whole).alias("tokens"), F.sum(short).alias("short_tokens"), F.sum(whole - short).alias("saved"), F.avg(F.when(whole > 0, 1 - short / whole)).alias("mean_share"))
+    return rows.groupBy(*by).agg(F.sum(whole).alias("tokens"), F.sum(short).alias("short_tokens"), F.sum(whole - short).alias("saved"),
+        F.avg(F.when(whole > 0, 1 - short / whole)).alias("mean_share"))
 
 
 def to_capture(lines: DataFrame, last: int = 200) -> DataFrame:
@@ -63,10 +65,12 @@ def to_capture(lines: DataFrame, last: int = 200) -> DataFrame:
     return fl.tail(lines, last).select("session_id", text.alias("text")).where("text <> ''")
 
 
-def known_for(sessions: DataFrame, vectors: DataFrame, memories: DataFrame, embed=search.embedded, scoped: tuple[str, ...] = (), most: int = 5) -> DataFrame:
+def known_for(sessions: DataFrame, vectors: DataFrame, memories: DataFrame, embed=search.embedded, scoped: tuple[str, ...] = (),
+    most: int = 5) -> DataFrame:
     """session_id, known: lines of the memories most like the beginning of each session's text (and scoped columns)."""
     named = sessions.withColumn("query_id", F.xxhash64("session_id"))
-    queries = embed(named.select(F.col("query_id").alias("memory_id"), F.left("text", F.lit(QUERY_CHARS)).alias("text"))).withColumnRenamed("memory_id", "query_id")
+    queries = embed(named.select(F.col("query_id").alias("memory_id"),
+        F.left("text", F.lit(QUERY_CHARS)).alias("text"))).withColumnRenamed("memory_id", "query_id")
     if scoped:
         queries = queries.join(named.select("query_id", *scoped), "query_id")
     hits = search.top_k(vectors, queries, most, scoped)
@@ -101,7 +105,8 @@ def not_stored(items: DataFrame, vectors: DataFrame, embed=search.embedded, leas
 
 def stored_counts(found: DataFrame, stored: DataFrame) -> DataFrame:
     """session_id, extracted, stored: how many items a session gave, and how many of them were stored."""
-    both = found.groupBy("session_id").agg(F.count("*").alias("extracted")).join(stored.groupBy("session_id").agg(F.count("*").alias("stored")), "session_id", "left")
+    both = found.groupBy("session_id").agg(F.count("*").alias("extracted")).join(stored.groupBy("session_id").agg(F.count("*").alias("stored")),
+        "session_id", "left")
     return both.select("session_id", "extracted", F.coalesce("stored", F.lit(0)).alias("stored"))
 
 

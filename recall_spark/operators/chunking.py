@@ -16,7 +16,8 @@ MAX_TOKENS, OVERLAP_TOKENS = 500, 50
 _COMMENT, _STRING, _CHAR = r"//[^\n]*|/\*.*?(?:\*/|\Z)", r'"(?:\\.|[^"\\\n])*"?', r"'(?:\\'|\\[^'\n]{1,9}|[^'\\\n])'"
 _QUOTED = r"'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?"
 #: What braces and words don't count in: comments, strings, and characters.
-HIDDEN = {"javascript": f"{_COMMENT}|{_STRING}|{_QUOTED}", "typescript": f"{_COMMENT}|{_STRING}|{_QUOTED}", "go": f"{_COMMENT}|{_STRING}|{_CHAR}|`[^`]*`?"}
+HIDDEN = {"javascript": f"{_COMMENT}|{_STRING}|{_QUOTED}", "typescript": f"{_COMMENT}|{_STRING}|{_QUOTED}",
+    "go": f"{_COMMENT}|{_STRING}|{_CHAR}|`[^`]*`?"}
 _PARAMETERS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
 _JS_METHOD = rf"(?:^|[{{}};,])\s*(?P<def>(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*\*?\s*(?!(?:if|for|while|switch|catch|function|return|with|do|else|new|typeof|await)\b)(?P<name>[#\w$]+)\s*(?:<[^<>()]*>)?\s*{_PARAMETERS}\s*(?::[^;={{}}]+)?)(?=\{{)"
 _GO_TYPE = r"^[ \t]*(?P<def>type\s+(?P<name>\w+)[^\n({]*)"
@@ -33,13 +34,15 @@ def _typed(word: str, modifiers: str = "") -> str:
 #: Declarations of a language: kind and pattern of what comes before a body. Interfaces, structs, traits, types and impl
 #: blocks are classes; an impl block has no name of its own.
 DECLARATIONS = {
-    "javascript": (("function", rf"(?P<def>\b(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)\s*{_PARAMETERS}\s*)(?=\{{)"), ("class", r"(?P<def>\bclass\s+(?P<name>[\w$]+)[^;{}()]*(?:\([^()]*\))?\s*)(?=\{)"), ("method", _JS_METHOD)),
+    "javascript": (("function", rf"(?P<def>\b(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)\s*{_PARAMETERS}\s*)(?=\{{)"),
+        ("class", r"(?P<def>\bclass\s+(?P<name>[\w$]+)[^;{}()]*(?:\([^()]*\))?\s*)(?=\{)"), ("method", _JS_METHOD)),
     "typescript": (
         ("function", rf"(?P<def>\b(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)\s*(?:<[^<>()]*>)?\s*{_PARAMETERS}\s*(?::[^;={{}}]+)?)(?=\{{)"),
         ("class", r"(?P<def>\b(?:class|interface)\s+(?P<name>[\w$]+)[^;{}()]*(?:\([^()]*\))?\s*)(?=\{)"),
         ("method", _JS_METHOD),
     ),
-    "go": (("function", rf"^(?P<def>func\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\s*{_PARAMETERS}[^{{}}\n]*)(?=\{{)"), ("method", rf"^(?P<def>func\s+\([^()]*\)\s*(?P<name>\w+)\s*{_PARAMETERS}[^{{}}\n]*)(?=\{{)"), ("class", _GO_TYPE)),
+    "go": (("function", rf"^(?P<def>func\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\s*{_PARAMETERS}[^{{}}\n]*)(?=\{{)"),
+        ("method", rf"^(?P<def>func\s+\([^()]*\)\s*(?P<name>\w+)\s*{_PARAMETERS}[^{{}}\n]*)(?=\{{)"), ("class", _GO_TYPE)),
     "rust": (
         ("function", rf"(?:^|[{{}};])\s*(?P<def>(?:pub(?:\([^()]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(?P<name>\w+)\s*(?:<[^()]*?>)?\s*{_PARAMETERS}[^;{{}}]*)(?=\{{)"),
         ("impl", r"(?:^|[{};])\s*(?P<def>(?:unsafe\s+)?impl\b[^;{}]*)(?=\{)"),
@@ -171,7 +174,10 @@ def chunked(files: DataFrame) -> DataFrame:
 
     def run(frames):
         for frame in frames:
-            rows = [(p, lang, *c[:-1], list(c[-1])) for p, text, lang in zip(frame["path"], frame["text"], frame["language"]) if isinstance(text, str) for c in chunks_of(text, lang if isinstance(lang, str) else None)]
-            yield pd.DataFrame(rows, columns=["path", "language", "chunk_text", "line_start", "line_end", "kind", "name", "parent", "docstring", "decorators"])
+            rows = [(p, lang, *c[:-1], list(c[-1])) for p, text,
+                lang in zip(frame["path"], frame["text"], frame["language"]) if isinstance(text, str) for c in chunks_of(text,
+                lang if isinstance(lang, str) else None)]
+            yield pd.DataFrame(rows,
+                columns=["path", "language", "chunk_text", "line_start", "line_end", "kind", "name", "parent", "docstring", "decorators"])
 
     return files.select("path", "text", F.col("language")).mapInPandas(run, SCHEMA)

@@ -28,9 +28,12 @@ def _packed(options: Column, budget: Column, stop_at_overflow: bool = False) ->
         fitting = F.filter(entry["texts"], lambda t: tx.tokens(t) <= budget - done["used"])
         chosen = F.get(fitting, 0)
         take = chosen.isNotNull() & ~done["full"]
-        return F.struct(F.when(take, F.concat(done["entries"], F.array(chosen))).otherwise(done["entries"]).alias("entries"), (done["used"] + F.when(take, tx.tokens(chosen)).otherwise(0)).alias("used"), (done["full"] | (F.lit(stop_at_overflow) & chosen.isNull())).alias("full"))
+        return F.struct(F.when(take, F.concat(done["entries"], F.array(chosen))).otherwise(done["entries"]).alias("entries"),
+            (done["used"] + F.when(take, tx.tokens(chosen)).otherwise(0)).alias("used"),
+            (done["full"] | (F.lit(stop_at_overflow) & chosen.isNull())).alias("full"))
 
-    return F.aggregate(options, F.struct(F.expr("cast(array() as array<string>)").alias("entries"), F.lit(0).alias("used"), F.lit(False).alias("full")), step)
+    return F.aggregate(options,
+        F.struct(F.expr("cast(array() as array<string>)").alias("entries"), F.lit(0).alias("used"), F.lit(False).alias("full")), step)
 
 
 def entries() -> tuple[Column, Column, Column]:
@@ -39,7 +42,8 @@ def entries() -> tuple[Column, Column, Column]:
     mark = F.concat(F.lit("- ["), "content_type", F.lit("] "))
     line = F.concat(mark, F.coalesce("one_line", F.lit("")))
     own = tx.stripped(text)
-    full = F.when(tx.tokens(own) <= 300, own).when(F.coalesce("detailed", F.lit("")) != "", F.col("detailed")).otherwise(F.coalesce("one_line", F.lit("")))
+    full = F.when(tx.tokens(own) <= 300, own).when(F.coalesce("detailed", F.lit("")) != "",
+        F.col("detailed")).otherwise(F.coalesce("one_line", F.lit("")))
     return F.concat(mark, full), F.when(path != "", F.concat(line, F.lit(" -- "), path)).otherwise(line), line
 
 
@@ -50,15 +54,18 @@ def adaptive(rows: DataFrame, prompts: DataFrame | None = None, base: int = 800,
     first, skill_tokens, which are taken off the budget): each gives a row, also without any hit (least tokens then)."""
     c = F.col("composite")
     full, medium, brief = entries()
-    texts = F.when(c >= 0.75, F.array(full, medium, brief)).when(c >= 0.55, F.array(medium, brief)).when(c >= 0.4, F.array(brief)).otherwise(F.expr("cast(array() as array<string>)"))
-    one = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-c).alias("o"), "rank", texts.alias("texts")))).alias("options"), F.max("composite").alias("best"))
+    texts = F.when(c >= 0.75, F.array(full, medium, brief)).when(c >= 0.55, F.array(medium, brief)).when(c >= 0.4,
+        F.array(brief)).otherwise(F.expr("cast(array() as array<string>)"))
+    one = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-c).alias("o"), "rank", texts.alias("texts")))).alias("options"),
+        F.max("composite").alias("best"))
     if prompts is not None:
         one = prompts.join(one, "query_id", "left")
     taken = F.coalesce("skill_tokens", F.lit(0)) if prompts is not None and "skill_tokens" in prompts.columns else F.lit(0)
     budget = F.when(F.col("best").isNull(), F.lit(least)).otherwise(F.greatest(sc.budget(F.col("best"), base, least, most) - taken, F.lit(0)))
     options = F.coalesce("options", F.expr("cast(array() as array<struct<o:double,rank:int,texts:array<string>>>)"))
     filled = one.withColumn("budget", budget).withColumn("p", _packed(options, F.col("budget")))
-    return filled.select("query_id", F.when(F.size("p.entries") > 0, F.array_join("p.entries", "\n")).alias("block"), F.size("p.entries").alias("entries"), F.col("p.used").alias("used"), "budget")
+    return filled.select("query_id", F.when(F.size("p.entries") > 0, F.array_join("p.entries", "\n")).alias("block"),
+        F.size("p.entries").alias("entries"), F.col("p.used").alias("used"), "budget")
 
 
 def legacy(rows: DataFrame, persistent: tuple[str, ...], budget: int = 800, most_code: int = 3, least: float = FLOOR) -> DataFrame:
@@ -74,7 +81,8 @@ def legacy(rows: DataFrame, persistent: tuple[str, ...], budget: int = 800, most
     ordered = F.array_sort(F.collect_list(F.struct("rank", keeps.alias("keeps"), F.array(F.when(keeps, lasting).otherwise(code)).alias("texts"))))
     rows = rows.groupBy("query_id").agg(ordered.alias("all"))
     first = _packed(F.filter("all", lambda x: x["keeps"]), F.lit(budget))
-    rows = rows.withColumn("a", first).withColumn("b", _packed(F.slice(F.filter("all", lambda x: ~x["keeps"]), 1, most_code), F.lit(budget) - F.col("a.used"), True))
+    rows = rows.withColumn("a", first).withColumn("b",
+        _packed(F.slice(F.filter("all", lambda x: ~x["keeps"]), 1, most_code), F.lit(budget) - F.col("a.used"), True))
     entries = F.concat("a.entries", "b.entries")
     return rows.select("query_id", F.when(F.size(entries) > 0, F.array_join(entries, "\n")).alias("block"), F.size(entries).alias("entries"))
 
@@ -84,12 +92,18 @@ def selected_skills(skills: DataFrame, budget: int) -> DataFrame:
 
     def step(done: Column, s: Column) -> Column:
         ok = done["used"] + s["token_count"] <= budget
-        return F.struct(F.when(ok, F.concat(done["chosen"], F.array(F.struct(s["name"].alias("name"), s["prompt"].alias("prompt"))))).otherwise(done["chosen"]).alias("chosen"), (done["used"] + F.when(ok, s["token_count"]).otherwise(0)).alias("used"))
-
-    rows = skills.groupBy("intent").agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("o"), "name", "token_count", tx.stripped(F.col("prompt")).alias("prompt")))).alias("s"))
-    folded = F.aggregate("s", F.struct(F.expr("cast(array() as array<struct<name:string,prompt:string>>)").alias("chosen"), F.lit(0).alias("used")), step)
+        return F.struct(F.when(ok,
+            F.concat(done["chosen"],
+            F.array(F.struct(s["name"].alias("name"), s["prompt"].alias("prompt"))))).otherwise(done["chosen"]).alias("chosen"),
+            (done["used"] + F.when(ok, s["token_count"]).otherwise(0)).alias("used"))
+
+    rows = skills.groupBy("intent").agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("o"), "name", "token_count",
+        tx.stripped(F.col("prompt")).alias("prompt")))).alias("s"))
+    folded = F.aggregate("s", F.struct(F.expr("cast(array() as array<struct<name:string,prompt:string>>)").alias("chosen"), F.lit(0).alias("used")),
+        step)
     out = rows.select("intent", folded.alias("f"))
-    return out.select("intent", F.array_join(F.col("f.chosen.name"), ",").alias("names"), F.col("f.used").alias("used"), F.when(F.size("f.chosen") > 0, F.array_join(F.col("f.chosen.prompt"), "\n")).alias("block"))
+    return out.select("intent", F.array_join(F.col("f.chosen.name"), ",").alias("names"), F.col("f.used").alias("used"),
+        F.when(F.size("f.chosen") > 0, F.array_join(F.col("f.chosen.prompt"), "\n")).alias("block"))
 
 
 def smart(hits: DataFrame, intents: DataFrame, skills: DataFrame | None, as_of: int, skill_budget: int = 300, **budgets: int) -> DataFrame:
@@ -120,11 +134,13 @@ def summary_lines(memories: DataFrame, budget: int) -> DataFrame:
     # A line has a token at least, so lines after the first budget ones can't fit: they don't go through the sums.
     place = Window.partitionBy("repo_id").orderBy("file_first", "memory_id")
     slim = memories.select("repo_id", "file_path", "memory_id", "one_line")
-    rows = slim.join(files, F.col("repo_id").eqNullSafe(F.col("_repo")) & (F.col("file_path") == F.col("_file"))).withColumn("place", F.row_number().over(place)).where(F.col("place") <= max(budget, 0))
+    rows = slim.join(files, F.col("repo_id").eqNullSafe(F.col("_repo")) & (F.col("file_path") == F.col("_file"))).withColumn("place",
+        F.row_number().over(place)).where(F.col("place") <= max(budget, 0))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("repo_id", "file_path").orderBy("place")))
     line = F.concat(F.when(F.col("nth") == 1, F.concat(F.lit("\n## "), "file_path", F.lit("\n"))).otherwise(""), F.lit("- "), "one_line", F.lit("\n"))
     rows = rows.withColumn("line", line).withColumn("tokens", tx.tokens(F.col("line")))
-    running = rows.withColumn("running", F.sum("tokens").over(Window.partitionBy("repo_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    running = rows.withColumn("running",
+        F.sum("tokens").over(Window.partitionBy("repo_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
     return running.where(F.col("running") <= budget).select("repo_id", "file_path", "memory_id", "line", "running")
 
 
@@ -146,5 +162,6 @@ def summarised(asked: DataFrame, memories: DataFrame, budget: int = 500, group_b
     fitting = pieces.withColumn("running", F.sum("tokens").over(order)).where(F.col("running") <= budget)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "pos", "k", "piece"))), lambda p: p["piece"]), "")
     summaries = fitting.groupBy("request_id").agg(text.alias("summary"))
-    out = asked.select("request_id", F.size("ids").alias("memories_included")).join(summaries, "request_id", "left").withColumn("summary", F.coalesce("summary", F.lit("")))
+    out = asked.select("request_id", F.size("ids").alias("memories_included")).join(summaries, "request_id", "left").withColumn("summary",
+        F.coalesce("summary", F.lit("")))
     return out.select("request_id", "summary", tx.tokens(F.col("summary")).alias("token_count"), "memories_included")

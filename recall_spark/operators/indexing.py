@@ -30,7 +30,8 @@ def outcomes(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
         before = known.select(F.col("path").alias("_path"), F.col("sha256").alias("_sha256")).distinct()
         rows = rows.join(before, (F.col("path") == F.col("_path")) & (F.col("sha256") == F.col("_sha256")), "left")
         same = F.col("_path").isNotNull()
-    kind = F.when(same, "unchanged").when(F.col("skip_reason").isNotNull(), F.col("skip_reason")).when(tx.stripped(F.col("text")) == "", "empty_chunks").otherwise("indexed")
+    kind = F.when(same, "unchanged").when(F.col("skip_reason").isNotNull(), F.col("skip_reason")).when(tx.stripped(F.col("text")) == "",
+        "empty_chunks").otherwise("indexed")
     return rows.withColumn("outcome", kind).drop("skip_reason", "_path", "_sha256")
 
 
@@ -44,8 +45,10 @@ def rows_of(chunks: DataFrame, repo: str, branch: str, tags: tuple[str, ...] = (
     """Chunks as memories to be stored."""
     kind, name = F.col("kind"), F.col("name")
     return chunks.select(
-        F.lit(repo).alias("repo_id"), F.lit(branch).alias("branch_name"), F.lit("code_snippet").alias("content_type"), F.col("chunk_text").alias("text"), "language", F.col("path").alias("file_path"), "line_start", "line_end",
-        F.when(kind.isin("function", "method"), name).alias("function_name"), F.when(kind == "class", name).alias("class_name"), "docstring", "decorators", F.col("parent").alias("parent_class"), F.array(*map(F.lit, tags)).alias("tags"),
+        F.lit(repo).alias("repo_id"), F.lit(branch).alias("branch_name"), F.lit("code_snippet").alias("content_type"),
+            F.col("chunk_text").alias("text"), "language", F.col("path").alias("file_path"), "line_start", "line_end",
+        F.when(kind.isin("function", "method"), name).alias("function_name"), F.when(kind == "class", name).alias("class_name"), "docstring",
+            "decorators", F.col("parent").alias("parent_class"), F.array(*map(F.lit, tags)).alias("tags"),
     )
 
 
@@ -56,4 +59,5 @@ def synced(memories: DataFrame, changed: DataFrame, patterns: tuple[str, ...], b
     files = changed.groupBy(*scope).agg(F.count_if(updated).alias("files_updated"), F.count_if(~updated).alias("files_removed"))
     fresh = memories.where(F.col("content_type").isin(*CODE) & ~F.col("stale")).withColumn("path", F.col("file_path"))
     staled = fresh.join(changed.select(*scope, "path").distinct(), [*scope, "path"], "left_semi").groupBy(*scope).agg(F.count("*").alias("n"))
-    return files.join(staled, scope, "left").select(*scope, F.lit(before[:8]).alias("from_commit"), F.lit(after[:8]).alias("to_commit"), "files_updated", "files_removed", F.coalesce("n", F.lit(0)).alias("memories_staled"))
+    return files.join(staled, scope, "left").select(*scope, F.lit(before[:8]).alias("from_commit"), F.lit(after[:8]).alias("to_commit"),
+        "files_updated", "files_removed", F.coalesce("n", F.lit(0)).alias("memories_staled"))

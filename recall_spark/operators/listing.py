@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDERS = {"date": ("created_at desc", "memory_id"), "file": ("file_path", "created_at desc", "memory_id"), "type": ("content_type", "created_at desc", "memory_id")}
+ORDERS = {"date": ("created_at desc", "memory_id"), "file": ("file_path", "created_at desc", "memory_id"),
+    "type": ("content_type", "created_at desc", "memory_id")}
 
 
 def has_tags(wanted: list[str]) -> Column:
@@ -13,9 +14,12 @@ def has_tags(wanted: list[str]) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, dict.fromkeys(wanted))), "tags")) == 0
 
 
-def filtered(memories: DataFrame, *, repo: str | None = None, branch: str | None = None, cross_branch: bool = False, memory_id: int | None = None, path: str | None = None, content_type: str | None = None, language: str | None = None, function_name: str | None = None, class_name: str | None = None, tags: list[str] | None = None, include_stale: bool = False) -> DataFrame:
+def filtered(memories: DataFrame, *, repo: str | None = None, branch: str | None = None, cross_branch: bool = False, memory_id: int | None = None,
+    path: str | None = None, content_type: str | None = None, language: str | None = None, function_name: str | None = None,
+    class_name: str | None = None, tags: list[str] | None = None, include_stale: bool = False) -> DataFrame:
     """Rows that pass all given filters; cross_branch drops the branch from the scope. path is a prefix, without regard to case."""
-    equal = {"repo_id": repo, "branch_name": None if cross_branch else branch, "memory_id": memory_id, "content_type": content_type, "language": language, "function_name": function_name, "class_name": class_name}
+    equal = {"repo_id": repo, "branch_name": None if cross_branch else branch, "memory_id": memory_id, "content_type": content_type,
+        "language": language, "function_name": function_name, "class_name": class_name}
     for column, value in equal.items():
         if value is not None:
             memories = memories.where(F.col(column) == value)
@@ -27,7 +31,8 @@ def filtered(memories: DataFrame, *, repo: str | None = None, branch: str | None
 
 
 def listed(memories: DataFrame, order: str = "date", limit: int = 100, offset: int = 0, **filters) -> DataFrame:
-    rows = filtered(memories, **filters).orderBy(*(F.expr(c.removesuffix(" desc")).desc() if c.endswith(" desc") else F.col(c) for c in ORDERS[order]))
+    rows = filtered(memories,
+        **filters).orderBy(*(F.expr(c.removesuffix(" desc")).desc() if c.endswith(" desc") else F.col(c) for c in ORDERS[order]))
     return (rows.offset(offset) if offset else rows).limit(limit)
 
 
@@ -52,7 +57,8 @@ def retrieved(memories: DataFrame, repo: str, branch: str, memory_id: int) -> Da
 
 def by_repository(memories: DataFrame) -> DataFrame:
     counts = memories.groupBy("repo_id", "repo_name").agg(F.count("*").alias("n"), F.count_if("stale").alias("n_stale"))
-    return counts.select(F.concat("repo_name", F.lit(" ("), "repo_id", F.lit(")")).alias("repository"), "n", "n_stale", (F.col("n") * 3 / 1024).alias("size_mb"))
+    return counts.select(F.concat("repo_name", F.lit(" ("), "repo_id", F.lit(")")).alias("repository"), "n", "n_stale",
+        (F.col("n") * 3 / 1024).alias("size_mb"))
 
 
 def neighbours(edges: DataFrame, memories: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def marked_stale(memories: DataFrame, changed: DataFrame, commit: str) -> DataFr
     hit = changed.select(F.col("path").alias("_changed")).distinct()
     rows = memories.join(hit, F.col("file_path") == F.col("_changed"), "left")
     turns = F.col("_changed").isNotNull() & F.col("content_type").isin(*CODE) & ~F.col("stale")
-    return rows.withColumns({"stale": F.col("stale") | turns, "stale_reason": F.when(turns, F.lit(f"File changed in commit {commit[:8]}")).otherwise(F.col("stale_reason"))}).drop("_changed")
+    return rows.withColumns({"stale": F.col("stale") | turns,
+        "stale_reason": F.when(turns, F.lit(f"File changed in commit {commit[:8]}")).otherwise(F.col("stale_reason"))}).drop("_changed")
 
 
 def expired(memories: DataFrame, as_of: int, conversation_days: int = 0, context_days: int = 0) -> DataFrame:
@@ -43,12 +44,14 @@ def copies(memories: DataFrame) -> DataFrame:
     return sums.join(small(first), "checksum").where(F.struct("created_at", "memory_id") > F.col("first")).drop("first", "n")
 
 
-def cleanup(memories: DataFrame, as_of: int, days: int | None = None, content_type: str | None = None, stale_only: bool = False, dedup: bool = False) -> DataFrame:
+def cleanup(memories: DataFrame, as_of: int, days: int | None = None, content_type: str | None = None, stale_only: bool = False,
+    dedup: bool = False) -> DataFrame:
     """memory_id, reason of what would go: by age, then stale, then copies; the first reason counts."""
     parts = []
     if days is not None:
         old = memories.where(F.col("created_at") < as_of - days * DAY)
-        parts.append((old if content_type is None else old.where(F.col("content_type") == content_type)).select("memory_id", F.lit(1).alias("o"), F.lit("age").alias("reason")))
+        parts.append((old if content_type is None else old.where(F.col("content_type") == content_type)).select("memory_id", F.lit(1).alias("o"),
+            F.lit("age").alias("reason")))
     if stale_only:
         parts.append(memories.where("stale").select("memory_id", F.lit(2).alias("o"), F.lit("stale").alias("reason")))
     if dedup:
@@ -75,14 +78,16 @@ def current(log: DataFrame) -> DataFrame:
 
     Which version is newest is aggregated from ids alone. Ids go to the texts while they are few; otherwise both are
     dealt by id once, and nothing is sorted with its text. No two calls that write a memory share a version."""
-    newest = log.groupBy("memory_id").agg(F.max("version").alias("version"), F.max_by("deleted", "version").alias("_gone")).where("not _gone").drop("_gone")
+    newest = log.groupBy("memory_id").agg(F.max("version").alias("version"),
+        F.max_by("deleted", "version").alias("_gone")).where("not _gone").drop("_gone")
     return log.join(small(newest), ["memory_id", "version"], "left_semi")
 
 
 def tracked(hashes: DataFrame) -> DataFrame:
     """repo_id, branch_name, files, last_version: how many files each index holds hashes of."""
     last = hashes.groupBy("repo_id", "branch_name").agg(F.max("version").alias("last_version"))
-    return hashes.join(last, ["repo_id", "branch_name"]).where("version = last_version").groupBy("repo_id", "branch_name", "last_version").agg(F.countDistinct("path").alias("files"))
+    return hashes.join(last, ["repo_id", "branch_name"]).where("version = last_version").groupBy("repo_id", "branch_name",
+        "last_version").agg(F.countDistinct("path").alias("files"))
 
 
 def needs_full_run(last_indexed_at: int | None, now: int, minutes: int) -> bool:

@@ -17,12 +17,18 @@ QUERY_BLOCK, QUERY_BYTES = 2_000, 16 << 20
 INTENT_FLOOR = 0.3
 #: A few prompts of each intent, whose mean vector stands for it.
 PHRASES = {
-    "coding": ("write a function that parses the file", "implement the endpoint and its handler", "add a method to this class", "refactor this module to use async calls"),
-    "debugging": ("fix the bug that makes login fail", "why does this raise an exception", "the traceback shows an error in the index", "debug the crash when the connection times out"),
-    "architecture": ("which design fits the plugin system", "should we use a queue or a table here", "what are the tradeoffs of this storage layout", "plan the migration to the new service"),
-    "testing": ("write unit tests for the store", "improve test coverage of the parser", "mock the database in these tests", "add fixtures and assertions for the edge cases"),
-    "review": ("review this pull request", "check the diff for security issues", "does this change follow our standards", "look for code smells in the recent changes"),
-    "general": ("explain how the search works", "give me a summary of the project", "what does this option do", "tell me about the different kinds of memories"),
+    "coding": ("write a function that parses the file", "implement the endpoint and its handler", "add a method to this class",
+        "refactor this module to use async calls"),
+    "debugging": ("fix the bug that makes login fail", "why does this raise an exception", "the traceback shows an error in the index",
+        "debug the crash when the connection times out"),
+    "architecture": ("which design fits the plugin system", "should we use a queue or a table here", "what are the tradeoffs of this storage layout",
+        "plan the migration to the new service"),
+    "testing": ("write unit tests for the store", "improve test coverage of the parser", "mock the database in these tests",
+        "add fixtures and assertions for the edge cases"),
+    "review": ("review this pull request", "check the diff for security issues", "does this change follow our standards",
+        "look for code smells in the recent changes"),
+    "general": ("explain how the search works", "give me a summary of the project", "what does this option do",
+        "tell me about the different kinds of memories"),
 }
 
 
@@ -55,7 +61,8 @@ def _nearest(sent, k: int, scoped: tuple[str, ...]):
                 # Ties at the edge: keep all that are as near as the k-th.
                 edge = np.take_along_axis(distance, best, 1).max(axis=1)
                 q, v = np.nonzero(distance <= edge[:, None] + 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column("memory_id").take(pa.array(at[v])), pa.array(np.maximum(distance[q, v], 0.0))], names=["query_id", "memory_id", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column("memory_id").take(pa.array(at[v])),
+                    pa.array(np.maximum(distance[q, v], 0.0))], names=["query_id", "memory_id", "distance"])
 
     return run
 
@@ -68,7 +75,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scoped: tuple[str, ...
     embedding and these) are taken in blocks of bounded size; vectors are read once for each block and never shuffled.
     Queries and vectors that are null, partly null or of another length find nothing."""
     spark = vectors.sparkSession
-    usable = queries.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()) & (F.size("embedding") > 0)).select("query_id", "embedding", *scoped)
+    usable = queries.where(F.col("embedding").isNotNull() & ~F.exists("embedding",
+        lambda x: x.isNull()) & (F.size("embedding") > 0)).select("query_id", "embedding", *scoped)
     kind = vectors.schema["memory_id"].dataType.simpleString()
     first = usable.limit(QUERY_BLOCK + 1).collect()
     count, width = len(first), max((len(r["embedding"]) for r in first), default=1)
@@ -83,13 +91,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scoped: tuple[str, ...
         for r in rows:
             groups.setdefault((tuple(r[c] for c in scoped), len(r["embedding"])), []).append(r)
         if groups:
-            sent = spark.sparkContext.broadcast([(scope, np.array([r["query_id"] for r in own], np.int64), np.array([r["embedding"] for r in own], np.float64)) for (scope, _), own in groups.items()])
-            parts.append(vectors.select("memory_id", "embedding", *scoped).mapInArrow(_nearest(sent, k, scoped), f"query_id long, memory_id {kind}, distance double"))
+            sent = spark.sparkContext.broadcast([(scope, np.array([r["query_id"] for r in own], np.int64),
+                np.array([r["embedding"] for r in own], np.float64)) for (scope, _), own in groups.items()])
+            parts.append(vectors.select("memory_id", "embedding", *scoped).mapInArrow(_nearest(sent, k, scoped),
+                f"query_id long, memory_id {kind}, distance double"))
     if not parts:
         parts = [spark.createDataFrame([], f"query_id long, memory_id {kind}, distance double")]
     hits = reduce(DataFrame.union, parts)
     nearest = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "memory_id")
-    found = hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "memory_id", F.exp(-F.col("distance")).alias("similarity"), "rank")
+    found = hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "memory_id",
+        F.exp(-F.col("distance")).alias("similarity"), "rank")
     found.bound = count * k
     return found
 
@@ -100,7 +111,8 @@ def with_memories(hits: DataFrame, memories: DataFrame, most: int) -> DataFrame:
 
 
 def similar(
-    vectors: DataFrame, queries: DataFrame, memories: DataFrame, k: int = 5, least: float = 0.3, *, content_type: str | None = None, tags: list[str] | None = None, language: str | None = None,
+    vectors: DataFrame, queries: DataFrame, memories: DataFrame, k: int = 5, least: float = 0.3, *, content_type: str | None = None,
+        tags: list[str] | None = None, language: str | None = None,
     include_stale: bool = False, cross_branch: bool = False, prefilter: bool = False,
 ) -> DataFrame:
     """Hits of each query within its repo_id and branch_name, with their memories.
@@ -132,16 +144,22 @@ def classified(queries: DataFrame, centroids: DataFrame, least: float = INTENT_F
     norm = F.coalesce(F.sqrt(F.aggregate(unit, F.lit(0.0), lambda a, b: a + b * b)), F.lit(0.0))
     # Centroids go along as one array: a row for each query, not one for each pair.
     all_of_them = centroids.agg(F.array_sort(F.collect_list(F.struct("place", "intent", "centroid"))).alias("centroids"))
-    scores = F.transform("centroids", lambda c: F.struct(F.round(F.when(F.col("norm") > 0, F.aggregate(F.zip_with(unit, c["centroid"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) / F.col("norm")).otherwise(0.0), 12).alias("score"), (-c["place"]).alias("o"), c["intent"].alias("intent")))
+    scores = F.transform("centroids",
+        lambda c: F.struct(F.round(F.when(F.col("norm") > 0,
+        F.aggregate(F.zip_with(unit, c["centroid"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) / F.col("norm")).otherwise(0.0),
+        12).alias("score"), (-c["place"]).alias("o"), c["intent"].alias("intent")))
     scored = queries.join(F.broadcast(all_of_them)).withColumn("norm", norm).withColumn("best", F.array_max(scores))  # one row
     confidence = F.when(F.col("norm") > 0, F.least(F.greatest(F.coalesce("best.score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    return scored.select("query_id", F.when((F.col("norm") == 0) | F.col("best").isNull() | (confidence < least), "general").otherwise(F.col("best.intent")).alias("intent"), confidence.alias("confidence"))
+    return scored.select("query_id",
+        F.when((F.col("norm") == 0) | F.col("best").isNull() | (confidence < least), "general").otherwise(F.col("best.intent")).alias("intent"),
+        confidence.alias("confidence"))
 
 
 def _mean_directions(rows: DataFrame, by: str) -> DataFrame:
     """by, centroid: the normalised mean of the vectors of each group."""
     parts = rows.select(by, F.posexplode("embedding").alias("pos", "x"))
-    means = parts.groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("p"))
+    means = parts.groupBy(by,
+        "pos").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("p"))
     plain = F.transform("p", lambda e: e["m"])
     norm = F.sqrt(F.aggregate(plain, F.lit(0.0), lambda a, b: a + b * b))
     return means.select(by, F.transform(plain, lambda x: F.when(norm > 0, x / norm).otherwise(x)).alias("centroid"))
@@ -161,7 +179,8 @@ def phrase_centroids(spark: SparkSession, path: str | None = None, phrases: dict
     phrases, embed = phrases or PHRASES, embed or embedded
     rows = [(place, intent, text) for place, (intent, texts) in enumerate(phrases.items()) for text in texts]
     texts = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "memory_id long, place int, intent string, text string")
-    key = texts.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws("\t", "place", "intent", "text"))), F.lit(embed.__name__)), 256).alias("k"))
+    key = texts.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws("\t", "place", "intent", "text"))), F.lit(embed.__name__)),
+        256).alias("k"))
     if path is not None:
         kept = f"{path.rstrip('/')}/{key.first()['k']}"
         where = spark._jvm.org.apache.hadoop.fs.Path(f"{kept}/_SUCCESS")

@@ -20,7 +20,8 @@ from recall_spark.sources import files as fl
 from recall_spark.sources.tables import TYPES, derived
 
 _OPTIONAL = {
-    "function_name": "string", "class_name": "string", "file_path": "string", "line_start": "int", "line_end": "int", "tags": "array<string>", "language": "string", "stale_reason": "string", "docstring": "string",
+    "function_name": "string", "class_name": "string", "file_path": "string", "line_start": "int", "line_end": "int", "tags": "array<string>",
+        "language": "string", "stale_reason": "string", "docstring": "string",
     "decorators": "array<string>", "parent_class": "string", "depends_on": "array<string>", "related_to": "array<string>",
 }
 _SCOPE = ("repo_id", "branch_name")
@@ -65,9 +66,11 @@ class Store:
         if "text" not in rows.columns or "content_type" not in rows.columns:
             raise ValueError("a memory needs a content_type and a text")
         screened = maintenance.screened(rows) if self.sanitise else rows.withColumn("has_secrets", tx.has_secrets(F.col("text")))
-        place = F.concat_ws("\x1f", "repo_id", "branch_name", F.coalesce("file_path", F.lit("")), tx.checksum(F.col("text")), F.coalesce(F.col("line_start").cast("string"), F.lit("")))
+        place = F.concat_ws("\x1f", "repo_id", "branch_name", F.coalesce("file_path", F.lit("")), tx.checksum(F.col("text")),
+            F.coalesce(F.col("line_start").cast("string"), F.lit("")))
         bad = ~F.col("content_type").isin(*TYPES) | F.col("content_type").isNull() | F.col("text").isNull() | (tx.stripped(F.col("text")) == "") | (F.col("has_secrets") & F.lit(not self.sanitise))
-        out = derived(screened).withColumns({"memory_id": F.left(F.sha2(place, 256), F.lit(32)), "version": F.lit(version).cast("long"), "deleted": F.lit(False), "stale": F.lit(False), "created_at": F.lit(version).cast("long"), "_bad": bad})
+        out = derived(screened).withColumns({"memory_id": F.left(F.sha2(place, 256), F.lit(32)), "version": F.lit(version).cast("long"),
+            "deleted": F.lit(False), "stale": F.lit(False), "created_at": F.lit(version).cast("long"), "_bad": bad})
         kept = self._once(out.dropDuplicates(["memory_id"]), "new")
         if kept.where("_bad").limit(1).count():
             self._forget(kept)
@@ -78,7 +81,9 @@ class Store:
         vectors = self.embed(unknown.select("memory_id", "text")).join(unknown.select("memory_id", *_SCOPE), "memory_id")
         self._write(vectors.select("memory_id", "embedding", *_SCOPE), "vectors")
         self._write(out.select(*sorted(out.columns)), "memories")
-        edges = reduce(DataFrame.unionByName, (out.select(F.col("memory_id").alias("from_id"), F.explode(kind).alias("to_id"), F.lit(kind).alias("relationship_type"), *_SCOPE) for kind in ("depends_on", "related_to")))
+        edges = reduce(DataFrame.unionByName,
+            (out.select(F.col("memory_id").alias("from_id"), F.explode(kind).alias("to_id"), F.lit(kind).alias("relationship_type"),
+            *_SCOPE) for kind in ("depends_on", "related_to")))
         self._write(edges.distinct(), "edges")
         self._forget(kept)
         return self.log().where(F.col("version") == version)
@@ -108,7 +113,8 @@ class Store:
 
     def search(self, texts: DataFrame, k: int = 5, least: float = 0.3, **options) -> DataFrame:
         """Memories like the texts (query_id, text, repo_id, branch_name), within their scope."""
-        queries = self.embed(texts.select(F.col("query_id").alias("memory_id"), "text")).withColumnRenamed("memory_id", "query_id").join(texts.drop("text"), "query_id")
+        queries = self.embed(texts.select(F.col("query_id").alias("memory_id"), "text")).withColumnRenamed("memory_id",
+            "query_id").join(texts.drop("text"), "query_id")
         return search.similar(self.vectors(), queries, self.memories(), k, least, **options)
 
     def _append(self, rows: DataFrame, version: int) -> None:
@@ -173,23 +179,28 @@ class Store:
 
         plain = asked.where("coalesce(text, '') <> ''").select("request_id", tx.truncated(F.col("text"), budget).alias("summary"))
         plain = plain.select("request_id", "summary", tx.tokens(F.col("summary")).alias("token_count"), F.lit(0).alias("memories_included"))
-        out = plain.unionByName(context.summarised(asked.where("coalesce(text, '') = ''").select("request_id", "ids"), self.memories(), budget, group_by))
+        out = plain.unionByName(context.summarised(asked.where("coalesce(text, '') = ''").select("request_id", "ids"), self.memories(), budget,
+            group_by))
         if version is not None:
-            self.create(out.where("summary <> ''").select(F.lit(repo).alias("repo_id"), F.lit(branch).alias("branch_name"), F.lit("summary").alias("content_type"), F.col("summary").alias("text")), version)
+            self.create(out.where("summary <> ''").select(F.lit(repo).alias("repo_id"), F.lit(branch).alias("branch_name"),
+                F.lit("summary").alias("content_type"), F.col("summary").alias("text")), version)
         return out
 
     def capture(self, items: DataFrame, repo: str, branch: str, version: int) -> DataFrame:
         """Store items (session_id, place, content_type, text, tags) that are not stored yet; session_id, extracted, stored."""
         scoped = items.withColumns({"repo_id": F.lit(repo), "branch_name": F.lit(branch)})
         fresh = self._once(capturing.not_stored(scoped, self.vectors(), self.embed, scoped=_SCOPE), "fresh")
-        counts = capturing.stored_counts(items, fresh).withColumns({"version": F.lit(version).cast("long"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)})
+        counts = capturing.stored_counts(items,
+            fresh).withColumns({"version": F.lit(version).cast("long"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)})
         self._write(counts.withColumn("session_id", F.col("session_id").cast("string")), "captures")
         self.create(fresh.select(*_SCOPE, "content_type", "text", "tags"), version)
         self._forget(fresh)
         rows = self._read("captures", "session_id string, extracted long, stored long, version long, repo_id string, branch_name string")
-        return rows.where((F.col("version") == version) & (F.col("repo_id") == repo) & (F.col("branch_name") == branch)).select("session_id", "extracted", "stored")
+        return rows.where((F.col("version") == version) & (F.col("repo_id") == repo) & (F.col("branch_name") == branch)).select("session_id",
+            "extracted", "stored")
 
-    def index(self, root: str, repo: str, branch: str, version: int, patterns: tuple[str, ...] = fl.PATTERNS, incremental: bool = True, most: int | None = None, commit: str | None = None, full_after_minutes: int = 0) -> DataFrame:
+    def index(self, root: str, repo: str, branch: str, version: int, patterns: tuple[str, ...] = fl.PATTERNS, incremental: bool = True,
+        most: int | None = None, commit: str | None = None, full_after_minutes: int = 0) -> DataFrame:
         """Chunk new and changed files; returns path, change, outcome (of files that are there). Hashes are written last,
         so that a failed run is repeated.
 
@@ -207,7 +218,8 @@ class Store:
         self.create(indexing.rows_of(indexing.chunks(looked_at), repo, branch), version)
         paths = whole.select("path") if most else new.select("path")
         old = known.join(paths, "path", "left_semi").join(new.select("path"), "path", "left_anti") if most else known.limit(0)
-        changed = self._once_kept(maintenance.changes(known.join(old, "path", "left_anti"), new).join(looked_at.select("path", "outcome"), "path", "left"), version, repo, branch)
+        changed = self._once_kept(maintenance.changes(known.join(old, "path", "left_anti"), new).join(looked_at.select("path", "outcome"), "path",
+            "left"), version, repo, branch)
         self._mark(new.unionByName(old), repo, branch, version)
         if commit is not None:
             self.set_commit(repo, branch, commit, version)
@@ -218,7 +230,8 @@ class Store:
         """The changes of an index run, as a table that stays."""
         self._write(changed.withColumns({"version": F.lit(version).cast("long"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)}), "changes")
         rows = self._read("changes", "path string, change string, outcome string, version long, repo_id string, branch_name string")
-        return rows.where((F.col("version") == version) & (F.col("repo_id") == repo) & (F.col("branch_name") == branch)).select("path", "change", "outcome")
+        return rows.where((F.col("version") == version) & (F.col("repo_id") == repo) & (F.col("branch_name") == branch)).select("path", "change",
+            "outcome")
 
     def sync(self, root: str, changed: list[str], repo: str, branch: str, commit: str, version: int, patterns: tuple[str, ...] = fl.PATTERNS) -> dict:
         """Bring memories from the last indexed commit to this one, by the files changed between them: code of these turns
@@ -234,10 +247,12 @@ class Store:
             return zero | {"message": f"No file changes between {last[:8]}..{commit[:8]}"}
         paths = self.spark.createDataFrame([(p,) for p in dict.fromkeys(changed)], "path string")
         matching = paths.where(indexing.name_matches(F.col("path"), patterns))
-        found = self._once(fl.repository(self.spark, root, ("**",), ignored=()).join(F.broadcast(matching), "path", "left_semi"), "files")  # as many as changed
+        found = self._once(fl.repository(self.spark, root, ("**",), ignored=()).join(F.broadcast(matching), "path", "left_semi"),
+            "files")  # as many as changed
         scope = (F.col("repo_id") == repo) & (F.col("branch_name") == branch)
         before = self.memories().where(scope)
-        staled = self._once(maintenance.marked_stale(before, paths, commit).where("stale").join(before.where("not stale").select("memory_id"), "memory_id", "left_semi"), "stale")
+        staled = self._once(maintenance.marked_stale(before, paths, commit).where("stale").join(before.where("not stale").select("memory_id"),
+            "memory_id", "left_semi"), "stale")
         n_staled, n_found, n_paths = staled.count(), found.count(), paths.count()
         self._append(staled, version)
         chunks = self._once(indexing.chunks(indexing.outcomes(found).drop("content")), "chunks")
@@ -247,7 +262,8 @@ class Store:
         self._mark(rest.unionByName(found.select("path", "sha256")), repo, branch, version + 1)
         self.set_commit(repo, branch, commit, version + 1)
         self._forget(found, staled, chunks)
-        return zero | {"files_updated": n_found, "files_removed": n_paths - n_found, "memories_staled": n_staled, "chunks_created": n_chunks, "message": f"Synced {last[:8]}..{commit[:8]}: {n_paths} files changed, {n_chunks} new chunks, {n_staled} memories staled"}
+        return zero | {"files_updated": n_found, "files_removed": n_paths - n_found, "memories_staled": n_staled, "chunks_created": n_chunks,
+            "message": f"Synced {last[:8]}..{commit[:8]}: {n_paths} files changed, {n_chunks} new chunks, {n_staled} memories staled"}
 
     def _hash_rows(self, repo: str, branch: str) -> DataFrame:
         rows = self._read("hashes", "path string, sha256 string, version long, repo_id string, branch_name string")
@@ -262,11 +278,14 @@ class Store:
     def _mark(self, files: DataFrame, repo: str, branch: str, version: int) -> None:
         """Write the hashes of all indexed files; a row without a path says that there may be none."""
         none = self.spark.createDataFrame([(None, None)], "path string, sha256 string")
-        self._write(files.select("path", "sha256").unionByName(none).withColumns({"version": F.lit(version).cast("long"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)}), "hashes")
+        self._write(files.select("path",
+            "sha256").unionByName(none).withColumns({"version": F.lit(version).cast("long"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)}),
+            "hashes")
 
     def mark_indexed(self, files: DataFrame, repo: str, branch: str, version: int) -> None:
         """Take these files (path, sha256) as indexed, besides those that are."""
-        self._mark(self._hashes(repo, branch).join(files.select("path"), "path", "left_anti").unionByName(files.select("path", "sha256")), repo, branch, version)
+        self._mark(self._hashes(repo, branch).join(files.select("path"), "path", "left_anti").unionByName(files.select("path", "sha256")), repo,
+            branch, version)
 
     def clear_hashes(self, repo: str, branch: str, version: int) -> None:
         """Forget which files are indexed, so that the next run takes all as new."""
@@ -286,7 +305,8 @@ class Store:
         return row["commit"] if row else None
 
     def audit(self, tool: str, repo: str, branch: str, at: int) -> None:
-        self.spark.createDataFrame([(at, tool, repo, branch)], "ts long, tool string, repo string, branch string").write.mode("append").json(f"{self.path}/audit")
+        self.spark.createDataFrame([(at, tool, repo, branch)],
+            "ts long, tool string, repo string, branch string").write.mode("append").json(f"{self.path}/audit")
 
 
 class Skills:
@@ -329,7 +349,8 @@ class Skills:
 
     def all(self) -> DataFrame:
         """The newest version of each skill, by name."""
-        newest = self._log().groupBy("name").agg(F.max_by(F.struct("intent", "priority", "prompt", "tags", "token_count", "deleted"), "version").alias("s"))
+        newest = self._log().groupBy("name").agg(F.max_by(F.struct("intent", "priority", "prompt", "tags", "token_count", "deleted"),
+            "version").alias("s"))
         return newest.where("not s.deleted").select("name", "s.intent", "s.priority", "s.prompt", "s.tags", "s.token_count").orderBy("name")
 
     def get(self, name: str):

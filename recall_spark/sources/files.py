@@ -27,14 +27,16 @@ def glob_regex(pattern: str) -> str:
     return out + re.escape(pattern[at:])
 
 
-def repository(spark: SparkSession, root: str, patterns: tuple[str, ...] = PATTERNS, most: int | None = None, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+def repository(spark: SparkSession, root: str, patterns: tuple[str, ...] = PATTERNS, most: int | None = None,
+    ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """path, content, sha256 of the files whose path a pattern matches, outside ignored directories.
 
     With most, only so many by path: the paths are ordered, contents stay where they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.escape("/" + re.sub("^[a-z]+:/*", "", root).strip("/") + "/")
     files = files.withColumn("path", F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + base, ""))
-    wanted = files.where(F.col("path").rlike("^(?:" + "|".join(map(glob_regex, patterns)) + r")\z")).where(~F.exists(F.split("path", "/"), lambda p: p.isin(*ignored)))
+    wanted = files.where(F.col("path").rlike("^(?:" + "|".join(map(glob_regex, patterns)) + r")\z")).where(~F.exists(F.split("path", "/"),
+        lambda p: p.isin(*ignored)))
     if most is not None:
         first = wanted.select("path").orderBy("path").limit(most)
         wanted = wanted.join(small(first, most), "path", "left_semi")
@@ -56,7 +58,8 @@ def transcript(lines: DataFrame, *also: str) -> DataFrame:
     parsed = lines.withColumn("v", row).withColumn("role", F.try_variant_get("v", "$.role", "string")).where("role in ('user', 'assistant')")
     kind = F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.content", "variant")), F.lit("STRING"))
     blocks = F.try_variant_get("v", "$.content", "array<variant>")
-    texts = F.transform(blocks, lambda b: F.when(F.try_variant_get(b, "$.type", "string") == "text", tx.stripped(F.try_variant_get(b, "$.text", "string"))))
+    texts = F.transform(blocks,
+        lambda b: F.when(F.try_variant_get(b, "$.type", "string") == "text", tx.stripped(F.try_variant_get(b, "$.text", "string"))))
     first = F.get(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) != ""), 0)
     text = F.when(kind.startswith("ARRAY"), first).when(kind == "STRING", F.coalesce(F.try_variant_get("v", "$.content", "string"), F.lit("")))
     return parsed.select("session_id", "line_no", *also, "role", text.alias("text")).where("text is not null")
@@ -96,7 +99,8 @@ def skill_files(spark: SparkSession, root: str) -> DataFrame:
                     if not isinstance(d, dict) or not str(d.get("prompt", "")).strip():
                         continue
                     stem = path.rsplit("/", 1)[-1].removesuffix(".yaml")
-                    rows.append((str(d.get("name", stem)), str(d.get("intent", "general")), int(d.get("priority", 0)), str(d["prompt"]), [str(t) for t in d.get("tags") or []]))
+                    rows.append((str(d.get("name", stem)), str(d.get("intent", "general")), int(d.get("priority", 0)), str(d["prompt"]),
+                        [str(t) for t in d.get("tags") or []]))
                 except (yaml.YAMLError, ValueError, TypeError):
                     continue
             yield pd.DataFrame(rows, columns=["name", "intent", "priority", "prompt", "tags"])

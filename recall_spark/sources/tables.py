@@ -25,10 +25,14 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (i % 7 + 1).cast("int"))
     out = table(spark, sf_dir, "documents").select(
-        i.alias("memory_id"), F.col("source").alias("repo_id"), F.col("source").alias("repo_name"), F.when(i % 4 != 0, "main").otherwise("dev").alias("branch_name"), kind.alias("content_type"), "text", F.col("lang").alias("language"),
-        F.concat(F.lit("src/"), "lang", F.lit("/f"), (i % 25).cast("string"), F.lit(".txt")).alias("file_path"), (i % 100 + 1).alias("line_start"), (i % 100 + 10).alias("line_end"),
-        F.when(i % 5 == 0, F.concat(F.lit("fn_"), (i % 13).cast("string"))).alias("function_name"), F.when(i % 5 == 1, F.concat(F.lit("Cls_"), (i % 11).cast("string"))).alias("class_name"),
-        F.array(F.col("lang"), F.concat(F.lit("t"), (i % 3).cast("string")), F.concat(F.lit("g"), (i % 5).cast("string"))).alias("tags"), (F.lit(EPOCH) + i % 1000 * 3600).alias("created_at"), (kind.isin(*CODE) & (i % 3 == 1)).alias("stale"),
+        i.alias("memory_id"), F.col("source").alias("repo_id"), F.col("source").alias("repo_name"),
+            F.when(i % 4 != 0, "main").otherwise("dev").alias("branch_name"), kind.alias("content_type"), "text", F.col("lang").alias("language"),
+        F.concat(F.lit("src/"), "lang", F.lit("/f"), (i % 25).cast("string"), F.lit(".txt")).alias("file_path"), (i % 100 + 1).alias("line_start"),
+            (i % 100 + 10).alias("line_end"),
+        F.when(i % 5 == 0, F.concat(F.lit("fn_"), (i % 13).cast("string"))).alias("function_name"),
+            F.when(i % 5 == 1, F.concat(F.lit("Cls_"), (i % 11).cast("string"))).alias("class_name"),
+        F.array(F.col("lang"), F.concat(F.lit("t"), (i % 3).cast("string")), F.concat(F.lit("g"), (i % 5).cast("string"))).alias("tags"),
+            (F.lit(EPOCH) + i % 1000 * 3600).alias("created_at"), (kind.isin(*CODE) & (i % 3 == 1)).alias("stale"),
     )
     return out.withColumn("stale_reason", F.when(F.col("stale"), "File changed in commit abc12345"))
 
@@ -36,7 +40,8 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derived(rows: DataFrame) -> DataFrame:
     """rows with checksum, token_count, one_line, detailed and chunk_type."""
     t = F.col("text")
-    return rows.withColumns({"checksum": tx.checksum(t), "token_count": tx.tokens(t), "one_line": tx.one_line(t), "detailed": tx.detailed(t), "chunk_type": tx.chunk_type(F.col("function_name"), F.col("class_name"))})
+    return rows.withColumns({"checksum": tx.checksum(t), "token_count": tx.tokens(t), "one_line": tx.one_line(t), "detailed": tx.detailed(t),
+        "chunk_type": tx.chunk_type(F.col("function_name"), F.col("class_name"))})
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,12 +56,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("from_id"))
-    step = F.explode(F.filter(F.array(F.when(F.col("from_id") % 2 == 0, F.struct((F.col("from_id") + 1).alias("to_id"), F.lit("depends_on").alias("relationship_type"))), F.when(F.col("from_id") % 3 == 0, F.struct((F.col("from_id") + 2).alias("to_id"), F.lit("related_to").alias("relationship_type")))), lambda x: x.isNotNull()))
-    return ids.select("from_id", step.alias("e")).select("from_id", "e.to_id", "e.relationship_type").join(ids.select(F.col("from_id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id", "relationship_type")
+    step = F.explode(F.filter(F.array(F.when(F.col("from_id") % 2 == 0,
+        F.struct((F.col("from_id") + 1).alias("to_id"), F.lit("depends_on").alias("relationship_type"))),
+        F.when(F.col("from_id") % 3 == 0, F.struct((F.col("from_id") + 2).alias("to_id"), F.lit("related_to").alias("relationship_type")))),
+        lambda x: x.isNotNull()))
+    return ids.select("from_id", step.alias("e")).select("from_id", "e.to_id",
+        "e.relationship_type").join(ids.select(F.col("from_id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id", "relationship_type")
 
 
 def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A skill for each conversation, by its first turn."""
-    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt")).where("trim(coalesce(prompt, '')) <> ''")
+    first = table(spark, sf_dir,
+        "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt")).where("trim(coalesce(prompt, '')) <> ''")
     intent = F.element_at(F.array(*map(F.lit, ("debugging", "coding", "general"))), (F.col("conv_id") % 3 + 1).cast("int"))
-    return first.select(F.concat(F.lit("skill_"), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias("name"), intent.alias("intent"), (F.col("conv_id") * 7 % 10).cast("int").alias("priority"), F.left("prompt", F.lit(200)).alias("prompt")).withColumn("token_count", tx.tokens(F.col("prompt")))
+    return first.select(F.concat(F.lit("skill_"), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias("name"), intent.alias("intent"),
+        (F.col("conv_id") * 7 % 10).cast("int").alias("priority"), F.left("prompt", F.lit(200)).alias("prompt")).withColumn("token_count",
+        tx.tokens(F.col("prompt")))
