@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from recall_spark.functions import text as tx
 from recall_spark.operators import capturing, indexing, listing, maintenance, search
@@ -89,7 +90,10 @@ class Store:
         return self.log().where(F.col("version") == version)
 
     def log(self) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/memories")
+        """Every version of each memory. Names of repositories and branches are strings, also where they look like numbers."""
+        stored = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/memories").schema
+        schema = StructType([StructField(f.name, StringType() if f.name in _SCOPE else f.dataType) for f in stored])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/memories")
 
     def memories(self) -> DataFrame:
         return maintenance.current(self.log())

@@ -82,6 +82,14 @@ def test_store_life_cycle(spark, tmp_path):
     assert store.compact(f"file://{tmp_path}/compact").memories().count() == 3
 
 
+def test_names_that_look_like_numbers(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.create(spark.createDataFrame([("007", "1.0", "context", "one two")], "repo_id string, branch_name string, content_type string, text string"), 1)
+    assert [(r["repo_id"], r["branch_name"]) for r in store.memories().collect()] == [("007", "1.0")]
+    asked = spark.createDataFrame([(1, "one two", "007", "1.0"), (2, "one two", "7", "1.0")], "query_id long, text string, repo_id string, branch_name string")
+    assert [r["query_id"] for r in store.search(asked).collect()] == [1]
+
+
 def test_secrets_are_screened(spark, tmp_path):
     rows = spark.createDataFrame([("r", "main", "context", "the password = 'hunter2hunter2' is set")], "repo_id string, branch_name string, content_type string, text string")
     store = Store(spark, f"file://{tmp_path}/a")
