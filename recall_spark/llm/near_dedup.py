@@ -37,6 +37,8 @@ PERCENT = 75
 MARGIN = 4.5
 #: Members of a key, besides its smallest, that are compared with the rest before all components are.
 TURNS = 1
+#: A list of keys or digests is broadcast if it has at most so many rows (about 5 MB); of longer ones, those of more rows than HOT.
+LISTED, HOT = 50_000, 1_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -134,9 +136,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     """Those pairs (a, b) whose full shingle sets reach the limit; only texts named in a pair are moved."""
     named = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")
     texts = only(docs, "doc_id", "text").join(small(named), F.col("doc_id") == F.col("id"), "left_semi")
+    # Many pairs may have one b: they are dealt by b as long as they are ids only, then by a with the text of b.
     both = (
-        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
     links = save(both.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "links")
@@ -199,16 +202,30 @@ def by_rare_shingles(rows: DataFrame, docs: DataFrame, percent: int) -> tuple[Da
     return sets, first, a.join(b.withColumnRenamed("shingle", "same"), (F.col("shingle") == F.col("same")) & close).select("a", "b").distinct()
 
 
+def looked_up(rows: DataFrame, listed: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a saved table (key, n: its number of rows, ...). No task gets all rows of one key, or those that
+    have none: what belongs to keys of many rows is sent to the rows, only the others are dealt by key."""
+    if listed.count() <= LISTED:
+        return rows.join(F.broadcast(listed), key, how)
+    hot = small(listed.where(F.col("n") > HOT).withColumn("hot", F.lit(True)))
+    first = rows.join(hot, key, "left")
+    rest = first.where("hot is null").select(*rows.columns)
+    out = first.where("hot").drop("hot").unionByName(rest.where(F.col(key).isNotNull()).join(listed.where(F.col("n") <= HOT), key, how))
+    return out.unionByName(rest.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+
+
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of documents whose doc_id is neither null nor repeated."""
     found = save(sketch(docs), "sketch")
-    classes = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = save(found.join(classes, "digest", "left").select("doc_id", "n_shingles", "rep"), "member")
+    # Most texts stand for themselves: only the digests of several documents are looked up.
+    classes = save(found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "classes")
+    rep = F.when(F.col("digest").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")
+    member = save(looked_up(found, classes, "digest", "left").select("doc_id", "n_shingles", rep), "member")
     reps = save(found.join(member.where("doc_id = rep").select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "keys", "bits"), "reps")
     by_key = reps.select("rep", F.explode("keys").alias("key"))
-    hubs = by_key.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = save(by_key.join(hubs, "key"), "shared")
-    discard(found)
+    hubs = save(by_key.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
+    shared = save(looked_up(by_key, hubs, "key"), "shared")
+    discard(found, classes, hubs)
     least = least_estimate(percent)
     bits_a = reps.select(F.col("rep").alias("a"), F.col("bits").alias("bits_a"))
     bits_b = reps.select(F.col("rep").alias("b"), F.col("bits").alias("bits_b"))
@@ -225,21 +242,23 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     for turn in range(TURNS):
         # Another member of each key that holds several components is compared with those outside its own.
         at = at_keys(label)
-        mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("next")).where("low < high")
-        pairs = at.join(mixed, "key").where("component <> next.component").select(F.col("rep").alias("a"), F.col("next.rep").alias("b")).distinct()
+        mixed = at.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("next")).where("low < high")
+        mixed = save(mixed, "mixed")
+        pairs = looked_up(at, mixed, "key").where("component <> next.component").select(F.col("rep").alias("a"), F.col("next.rep").alias("b")).distinct()
         found_links.append(confirm(likely(pairs), docs, percent))
-        discard(label)
+        discard(label, mixed)
         label = connected(reduce(DataFrame.union, found_links))
     # What is still apart is compared with all other components that share a key.
     at = at_keys(label)
-    mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("rep", "component"))["component"].alias("hub_component")).where("low < high").drop("low", "high")
-    open_rows = save(at.join(mixed, "key").join(reps.select("rep", "bits"), "rep").select("key", "rep", "component", "bits", (F.col("component") == F.col("hub_component")).alias("settled")), "open")
+    mixed = at.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("rep", "component"))["component"].alias("hub_component")).where("low < high").drop("low", "high")
+    mixed = save(mixed, "mixed")
+    open_rows = save(looked_up(at, mixed, "key").join(reps.select("rep", "bits"), "rep").select("key", "rep", "component", "bits", (F.col("component") == F.col("hub_component")).alias("settled")), "open")
     apart = _with_partner(open_rows, least)
     sets, first, pairs = by_rare_shingles(apart, docs, percent)
     found_links.append(confirm(likely(pairs), docs, percent))
     discard(label)
     label = connected(reduce(DataFrame.union, found_links))
-    discard(reps, shared, open_rows, apart, sets, first, *found_links)
+    discard(reps, shared, mixed, open_rows, apart, sets, first, *found_links)
     return member.join(label, member["rep"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
