@@ -27,6 +27,8 @@ from recall_spark.llm.common import only
 TRAIN_CHARS = 40_000
 TRAIN_DOCS = 100
 BLOCK = 512
+#: So few blocks take their steps one by one, and bytes of text that are parsed side by side.
+FEW, SLICE_BYTES = 32, 4 << 20
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("has_letter", pa.bool_())])
 
 
@@ -111,47 +113,72 @@ class Languages:
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(sizes)), blocks)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = (np.cumsum(sizes) - sizes)[owner] + nth * BLOCK
+        out = np.zeros((len(sizes), len(self.tables)))
+        if not len(owner):
+            return out
         length = np.minimum(BLOCK, sizes[owner] - nth * BLOCK)
         order = np.argsort(-length, kind="stable")
-        by_length, begin = length[order], start[order]
-        active = np.searchsorted(-by_length, -np.arange(BLOCK), "left")
+        lane = np.empty(len(order), np.int64)  # of each block: longer ones first
+        lane[order] = np.arange(len(order))
+        length, begin = length[order], ((np.cumsum(sizes) - sizes)[owner] + nth * BLOCK)[order]
+        steps = int(length[0])
+        active = np.searchsorted(-length, -np.arange(steps), "left")
+        read = np.zeros((steps, len(order)), np.int32)
+        for t, n in enumerate(active):
+            read[t, :n] = codes[begin[:n] + t]
         last = np.append(nth[1:] == 0, True)
         texts = np.flatnonzero(sizes)
-        firsts = (np.cumsum(sizes) - sizes)[texts]
-        out = np.zeros((len(sizes), len(self.tables)))
+        firsts = np.flatnonzero(nth == 0)
+        after, opens = np.empty((steps, len(order)), np.int32), np.empty((steps, len(order)), np.int8)
         for k, table in enumerate(self.tables):
-            after, opens = np.empty(len(codes), np.int32), np.zeros(len(codes), bool)
-            state = np.zeros(len(begin), np.int32)
-            for t in range(int(by_length[0]) if len(by_length) else 0):
-                n = active[t]
-                at = begin[:n] + t
-                to = table[state[:n] + codes[at]]
+            opens[:] = 0
+            state = np.zeros(len(order), np.int32)
+            for t, n in enumerate(active):
+                to = table[state[:n] + read[t, :n]]
                 ended = to >> 31
-                after[at] = state[:n] = to ^ ended
-                opens[at] = ended < 0
+                np.bitwise_xor(to, ended, out=state[:n])
+                after[t, :n] = state[:n]
+                opens[t, :n] = ended
             again = np.flatnonzero(nth > 0)
             while len(again):
-                state, changed = after[start[again] - 1], []
-                for t in range(BLOCK):
-                    at = start[again] + t
-                    to = table[state + codes[at]]
-                    ended = to >> 31
-                    state = to ^ ended
-                    opens[at] = ended < 0
-                    apart = after[at] != state
-                    after[at] = state
-                    done = length[again] == t + 1
-                    changed.append(again[apart & done & ~last[again]])
-                    again, state = again[apart & ~done], state[apart & ~done]
-                    if not len(again):
-                        break
-                again = np.sort(np.concatenate(changed)) + 1
-            opens[firsts] = True
-            if len(texts):
-                out[texts, k] = np.add.reduceat(opens, firsts, dtype=np.int64)
+                again = self._taken_up(table, again, lane, length, read, after, opens, last)
+            out[texts, k] = np.add.reduceat(-opens.sum(axis=0, dtype=np.int64)[lane], firsts) + 1
         return out
 
+    @staticmethod
+    def _taken_up(table, again, lane, length, read, after, opens, last) -> np.ndarray:
+        """Run blocks from where those before them end; which blocks have to be run again, because these end otherwise."""
+        lanes, before = lane[again], lane[again - 1]
+        state, changed, t = after[length[before] - 1, before], [], 0
+        while len(lanes) > FEW:
+            to = table[state + read[t, lanes]]
+            ended = to >> 31
+            state = to ^ ended
+            opens[t, lanes] = ended
+            apart = after[t, lanes] != state
+            after[t, lanes] = state
+            t += 1
+            done = length[lanes] == t
+            changed += again[apart & done & ~last[again]].tolist()
+            left = apart & ~done
+            again, lanes, state = again[left], lanes[left], state[left]
+        steps = memoryview(table)
+        for block, i, s in zip(again.tolist(), lanes.tolist(), state.tolist()):
+            end = int(length[i])
+            states, flags = [], []
+            for c, known in zip(read[t:end, i].tolist(), after[t:end, i].tolist()):
+                s = steps[s + c]
+                flags.append(-1 if s < 0 else 0)
+                s = ~s if s < 0 else s
+                states.append(s)
+                if s == known:
+                    break
+            else:
+                if not last[block]:
+                    changed.append(block)
+            after[t : t + len(states), i], opens[t : t + len(states), i] = states, flags
+        return np.array(sorted(changed), np.int64) + 1
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language and score of each text, and whether it has a letter."""
         codes, sizes, has_letter = self.encode([(t or "").lower() for t in texts])
@@ -198,7 +225,7 @@ def _predicted(sent):
         model = sent.value
         for batch in batches:
             names, scores, letters = [], [], []
-            for _, part in ta.slices(batch.column("text"), lower=False):
+            for _, part in ta.slices(batch.column("text"), lower=False, size=SLICE_BYTES):
                 found, score, has_letter = model.predict(part.to_pylist())
                 names += found
                 scores.append(score)

@@ -45,8 +45,8 @@ def normalised(column) -> pa.Array:
     return pc.ascii_lower(plain(column))
 
 
-def slices(texts, lower: bool = True) -> Iterator[tuple[int, pa.Array]]:
-    """Consecutive parts of about SLICE_BYTES of a column, normalised, each with the index of its first text.
+def slices(texts, lower: bool = True, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive parts of about size bytes of a column, normalised, each with the index of its first text.
 
     Only one part at a time is copied, however large the batch is."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
@@ -54,7 +54,7 @@ def slices(texts, lower: bool = True) -> Iterator[tuple[int, pa.Array]]:
     n, at = len(texts), 0
     while at < n:
         before = int(ends[at - 1]) if at else 0
-        to = min(n, max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
+        to = min(n, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
         part = texts.slice(at, to - at)
         yield at, normalised(part) if lower else plain(part)
         at = to
