@@ -11,8 +11,8 @@ by exact containment of the item's shingles in the whole document. An item of th
 contained to 0.75 in one passage, is missed with probability below 1e-5.
 
 The items are the query set: they are taken in blocks of about ITEM_BLOCK items and ITEM_BYTES of text at most, whose
-sketches (below 1 kB an item) and shingle sets (8 bytes a word) go to the
-executors, and every document is searched in place, without a shuffle. A larger benchmark means more passes.
+sketches (768 bytes an item) and shingle sets (8 bytes a word), some 160 MB together, go to the executors, and every
+document is searched in place, without a shuffle. A larger benchmark means a pass over the documents for each block.
 
 Null, empty and blank items are contained in nothing; null texts count as empty. Items of fewer than five words
 are one shingle of all their words and are looked up exactly, with runs of that many words. Items and documents
@@ -32,8 +32,8 @@ from recall_spark.llm.common import keyed, only, without
 HASHES = 64
 LEAST_BLOCK = 8
 PERCENT = 75
-ITEM_BLOCK = 20_000
-ITEM_BYTES = 32 << 20
+ITEM_BLOCK = 100_000
+ITEM_BYTES = 64 << 20
 _FILTER_BITS = 22
 
 _rng = np.random.Generator(np.random.PCG64(11))
@@ -90,13 +90,13 @@ class ItemIndex:
             owners.setdefault(u, []).append(number)
         shingles = np.array(looked_up[0], np.uint64)
         order = np.argsort(shingles, kind="stable")
-        self.some, self.some_of = shingles[order], np.array(looked_up[1], np.int64)[order]
+        self.some, self.some_of = shingles[order], np.array(looked_up[1], np.int32)[order]
         for u, rows in keys.items():
             flat = (np.array(rows, np.uint32).astype(np.uint64) | _SLOT).ravel()
             order = np.argsort(flat, kind="stable")
             seen = np.zeros(1 << _FILTER_BITS, bool)
             seen[self._hash(flat)] = True
-            self.classes[u] = (flat[order], np.repeat(np.array(owners[u]), HASHES)[order], np.packbits(seen))
+            self.classes[u] = (flat[order], np.repeat(np.array(owners[u], np.int32), HASHES)[order], np.packbits(seen))
 
     @staticmethod
     def _hash(keys: np.ndarray) -> np.ndarray:
