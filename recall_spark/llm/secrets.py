@@ -50,6 +50,17 @@ def added_spans(text: Column) -> Column:
     return F.concat(*(spans(located(text, pattern, text.contains(held)), kind, len(KINDS) + i) for i, (kind, pattern, held) in enumerate(MORE)))
 
 
+def _same() -> Column:
+    """Whether a row has the blob of a list. Rows meet by a number, which takes less memory in a list than 64 characters;
+    that the blobs agree too is then looked at, in a form that is no second key."""
+    return (F.xxhash64("blob") == F.col("number")) & F.col("blob").startswith(F.col("of"))
+
+
+def _by_number(listed: DataFrame) -> DataFrame:
+    """A list of blobs (column of) with the number to look them up by."""
+    return listed.withColumn("number", F.xxhash64("of"))
+
+
 def _exists(df: DataFrame, path: str) -> bool:
     spark = df.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,10 +86,10 @@ def scan(docs: DataFrame, ledger: str | None = None, rule_version: int = RULE_VE
     first = F.col("doc_id").eqNullSafe(F.col("first_id"))
     if new > LISTED and not kept:
         # All rows are new: each is scanned where it lies, but for the copies of the most repeated blobs.
-        copied = F.broadcast(unseen.where("n > 1").orderBy(F.desc("n"), "of").limit(LISTED))
-        texts = rows.join(copied, F.col("blob") == F.col("of"), "left").where(F.col("of").isNull() | first)
+        copied = F.broadcast(_by_number(unseen.where("n > 1").orderBy(F.desc("n"), "of").limit(LISTED)))
+        texts = rows.join(copied, _same(), "left").where(F.col("of").isNull() | first)
     else:
-        texts = rows.join(small(unseen, new, LISTED), (F.col("blob") == F.col("of")) & first, "left_semi")
+        texts = rows.join(small(_by_number(unseen), new, LISTED), _same()).where(first)
     if new:
         found = texts.select("blob", F.lit(rule_version).alias("rule_version"), base_spans(F.col("text")).cast(SPAN).alias("base"), added_spans(F.col("text")).cast(SPAN).alias("added"))
         found.write.mode("append").parquet(ledger)
@@ -87,9 +98,9 @@ def scan(docs: DataFrame, ledger: str | None = None, rule_version: int = RULE_VE
     if not new and not kept:
         return paths.select("doc_id", "blob", none.alias("base"), none.alias("added"))
     findings = spark.read.parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("base") + F.size("added") > 0))
-    hits = findings.select("blob", "base", "added").dropDuplicates(["blob"])
+    hits = _by_number(findings.select(F.col("blob").alias("of"), "base", "added").dropDuplicates(["of"]))
     size = findings.agg(F.count("*"), F.coalesce(F.sum(F.size("base") + F.size("added")), F.lit(0))).first()
-    return paths.join(small(hits, size[0] + size[1], LISTED), "blob", "left").select("doc_id", "blob", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
+    return paths.join(small(hits, size[0] + size[1], LISTED), _same(), "left").select("doc_id", "blob", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:
