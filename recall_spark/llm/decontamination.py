@@ -86,7 +86,8 @@ class ItemIndex:
                 looked_up[1].extend([number] * len(some))
                 continue
             u = size_class(len(s))
-            keys.setdefault(u, []).append(block_minima(s, 1 << 30 if len(s) > 4096 else len(s)).min(axis=0) if len(s) <= 4096 else block_minima(s, 4096).min(axis=0))
+            keys.setdefault(u,
+                []).append(block_minima(s, 1 << 30 if len(s) > 4096 else len(s)).min(axis=0) if len(s) <= 4096 else block_minima(s, 4096).min(axis=0))
             owners.setdefault(u, []).append(number)
         shingles = np.array(looked_up[0], np.uint64)
         order = np.argsort(shingles, kind="stable")
@@ -165,12 +166,14 @@ def _searched(sent):
                         items.append(index.ids[i])
                         sizes.append(size)
                         hits.append(n)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()).take(pa.array(docs, pa.int64())), pa.array(items, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64())], schema=_FOUND)
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()).take(pa.array(docs, pa.int64())), pa.array(items, pa.int64()),
+                pa.array(sizes, pa.int64()), pa.array(hits, pa.int64())], schema=_FOUND)
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, item_block: int = ITEM_BLOCK, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, item_block: int = ITEM_BLOCK,
+    item_bytes: int = ITEM_BYTES) -> DataFrame:
     """doc_id, item_id, n_item, n_found, containment: each document and item whose shingles it holds to percent."""
     spark = docs.sparkSession
     items = only(benchmark, "item_id", "text").where("text is not null").distinct()

@@ -42,7 +42,8 @@ def _digests(batches):
     for batch in batches:
         texts = [t.as_buffer() for t in ta.normalised(batch.column("text"))]
         prints = [xxhash.xxh3_64_intdigest(t) >> (64 - FINGERPRINT_BITS) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints, pa.int64()), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())], schema=_DIGEST)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints, pa.int64()),
+            pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())], schema=_DIGEST)
 
 
 def _texts(batches):
@@ -85,7 +86,8 @@ class Layout:
             rest_width, rests = _packed(prints[a:b] & ((1 << self.remainder_bits) - 1))
             count_width, counters = _packed(counts[a:b]) if counts[a:b].max() > 1 else (0, b"")
             widths = gap_width | size_width << 2 | rest_width << 4 | count_width << 6
-            yield block, _HEAD.pack(widths, bool(runs) | bool(counters) << 1, len(slots), b - a if runs else 0)[: _HEAD.size if runs else _HEAD_SHORT.size] + gaps + runs + rests + counters
+            yield block, _HEAD.pack(widths, bool(runs) | bool(counters) << 1, len(slots),
+                b - a if runs else 0)[: _HEAD.size if runs else _HEAD_SHORT.size] + gaps + runs + rests + counters
 
     def decode(self, block: int, body: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The sorted fingerprints of a block and their counts: the k-th run belongs to the k-th occupied slot."""
@@ -125,7 +127,8 @@ def quotient_filter(digests: DataFrame, layout: Layout) -> DataFrame:
     def build(batches):
         found = [batch.column("fingerprint").to_numpy(zero_copy_only=False) for batch in batches]
         rows = list(layout.encode(*np.unique(np.concatenate(found), return_counts=True))) if sum(map(len, found)) else []
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
+            names=["block", "body"])
 
     return digests.select("fingerprint").mapInArrow(build, "block long, body binary")
 
@@ -148,7 +151,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     repeated = save(merged(quotient_filter(digests, layout), layout).where("n > 1").select("fingerprint"), "repeated")
     routed = rows.mapInArrow(_texts, "doc_id long, fingerprint long, norm string").join(small(repeated), "fingerprint", "left_semi")
     groups = routed.groupBy("fingerprint", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = save(groups.select(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "keep_id", "group_size").where("group_size > 1"), "groups")
+    groups = save(groups.select(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "keep_id", "group_size").where("group_size > 1"),
+        "groups")
     discard(repeated)
     return digests.join(small(groups, most=GROUP_ROWS), "sha", "left").select(
         "doc_id",

@@ -200,7 +200,8 @@ def learn(docs: DataFrame, usable: Column, train_chars: int = TRAIN_CHARS, train
     if not sizes:
         return Languages({})
     # The smallest hash is drawn however small the share is.
-    limit = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(max(r["least"], min((1 << 63) - 1, (1 << 64) * train_docs // r["n"] - (1 << 63)))))])
+    limit = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]),
+        F.lit(max(r["least"], min((1 << 63) - 1, (1 << 64) * train_docs // r["n"] - (1 << 63)))))])
     excerpt = F.substring("text", 1, train_chars + 1).alias("text")
     drawn = rows.where(order <= limit[F.col("lang")]).select("lang", excerpt, order.alias("at")).dropDuplicates(["lang", "at"]).collect()
     texts: dict[str, list[str]] = {}
@@ -230,7 +231,9 @@ def _predicted(sent):
                 names += found
                 scores.append(score)
                 letters.append(has_letter)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(np.concatenate(letters) if letters else [], pa.bool_())], schema=_OUT)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(names, pa.string()),
+                pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(np.concatenate(letters) if letters else [], pa.bool_())],
+                schema=_OUT)
 
     return run
 
@@ -239,7 +242,8 @@ def examined(docs: DataFrame, held_out: Column, **bounds: int) -> DataFrame:
     """identify() and whether a document has a letter."""
     rows = only(docs, "doc_id", "text", "lang").withColumn("held_out", held_out)
     sent = docs.sparkSession.sparkContext.broadcast(learn(rows, ~F.col("held_out"), **bounds))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predicted(sent), "doc_id long, held_out boolean, lang_pred string, score double, has_letter boolean")
+    return rows.select("doc_id", "held_out", "text").mapInArrow(_predicted(sent),
+        "doc_id long, held_out boolean, lang_pred string, score double, has_letter boolean")
 
 
 def identify(docs: DataFrame, held_out: Column, **bounds: int) -> DataFrame:

@@ -38,7 +38,8 @@ _SECTIONS, _ROUNDS = 32, 5
 def _counted(batches):
     for batch in batches:
         counts = [ta.word_spans(part)[3] for _, part in ta.slices(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("source"), batch.column("nameless"), pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=["doc_id", "source", "nameless", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("source"), batch.column("nameless"),
+            pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=["doc_id", "source", "nameless", "n_tokens"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -104,11 +105,16 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, ma
     sums = last.groupBy("source", "bucket", "rest").agg(F.sum("n_tokens").alias("own"))
     before = sums.withColumn("before", F.sum("own").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.withColumn("before", F.coalesce("before", F.lit(0)))
-    edge = save(before.where("before < rest").groupBy(F.col("source").alias("of")).agg(F.max("bucket").alias("edge"), F.max_by("before", "bucket").alias("before")), "edge")
+    edge = save(before.where("before < rest").groupBy(F.col("source").alias("of")).agg(F.max("bucket").alias("edge"),
+        F.max_by("before", "bucket").alias("before")), "edge")
     last = last.join(small(edge), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     inside = last.where("bucket < edge")
-    at_edge = last.where("bucket = edge").withColumn("run", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at_edge = last.where("bucket = edge").withColumn("run",
+        F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding,
+        -1)), F.lit(0)))
     partial = inside.unionByName(at_edge.where("before + run < rest").drop("run"))
     full = joined.where("passes > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).withColumn("place", place)
-    columns = ["doc_id", "source", "n_tokens", "weight", "pass", ((F.col("pass") + F.col("place")) / F.greatest("share", F.col("pass") + 1.0 * (F.col("pass") < F.col("passes")).cast("int"))).alias("mix_key")]
+    columns = ["doc_id", "source", "n_tokens", "weight", "pass",
+        ((F.col("pass") + F.col("place")) / F.greatest("share",
+        F.col("pass") + 1.0 * (F.col("pass") < F.col("passes")).cast("int"))).alias("mix_key")]
     return full.select(*columns).unionByName(partial.select(*columns)).withColumn("mix_key", F.least("mix_key", F.lit(1 - 1e-12)))

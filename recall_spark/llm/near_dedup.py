@@ -45,7 +45,8 @@ _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _KEY = _rng.integers(1, 1 << 63, (BANDS, ROWS + 1), dtype=np.uint64) | np.uint64(1)
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())),
+    ("bits", pa.list_(pa.int64()))])
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -86,7 +87,8 @@ def _sketches(batches):
                     digests.append(None)
                     keys.append(None)
                     bits.append(None)
-            yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], schema=_SKETCH)
+            yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
+                pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], schema=_SKETCH)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -152,10 +154,12 @@ def connected(links: DataFrame) -> DataFrame:
     edges = save(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = save(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        near = edges.join(labels.select(F.col("node").alias("b"), "component"),
+            "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         pulled = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
         jumps = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        after = save(pulled.join(jumps, "component", "left").select("node", "before", F.least("component", F.coalesce("far", "component")).alias("component")), "labels")
+        after = save(pulled.join(jumps, "component", "left").select("node", "before",
+            F.least("component", F.coalesce("far", "component")).alias("component")), "labels")
         discard(labels)
         labels = after
         if not labels.where("component < before").limit(1).count():
@@ -195,7 +199,8 @@ def by_rare_shingles(rows: DataFrame, docs: DataFrame, percent: int) -> tuple[Da
     first = each.join(often, "shingle").withColumn("nth", F.row_number().over(order))
     first = first.where((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1))
     first = save(first.join(rows, "rep").select("rep", "component", "n", "nth", "shingle"), "first")
-    a, b = (first.select("shingle", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("nth") + 1).alias(f"left_{x}")) for x in "ab")
+    a, b = (first.select("shingle", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"),
+        (F.col("n") - F.col("nth") + 1).alias(f"left_{x}")) for x in "ab")
     # With the first shingle that they share, no more can be common than either has left.
     room = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("na") + F.col("nb"))
     close = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & room
@@ -218,7 +223,8 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of documents whose doc_id is neither null nor repeated."""
     found = save(sketch(docs), "sketch")
     # Most texts stand for themselves: only the digests of several documents are looked up.
-    classes = save(found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "classes")
+    classes = save(found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"),
+        "classes")
     rep = F.when(F.col("digest").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")
     member = save(looked_up(found, classes, "digest", "left").select("doc_id", "n_shingles", rep), "member")
     reps = save(found.join(member.where("doc_id = rep").select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "keys", "bits"), "reps")
@@ -242,24 +248,29 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     for turn in range(TURNS):
         # Another member of each key that holds several components is compared with those outside its own.
         at = at_keys(label)
-        mixed = at.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("next")).where("low < high")
+        mixed = at.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
+            F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("next")).where("low < high")
         mixed = save(mixed, "mixed")
-        pairs = looked_up(at, mixed, "key").where("component <> next.component").select(F.col("rep").alias("a"), F.col("next.rep").alias("b")).distinct()
+        pairs = looked_up(at, mixed, "key").where("component <> next.component").select(F.col("rep").alias("a"),
+            F.col("next.rep").alias("b")).distinct()
         found_links.append(confirm(likely(pairs), docs, percent))
         discard(label, mixed)
         label = connected(reduce(DataFrame.union, found_links))
     # What is still apart is compared with all other components that share a key.
     at = at_keys(label)
-    mixed = at.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("rep", "component"))["component"].alias("hub_component")).where("low < high").drop("low", "high")
+    mixed = at.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.min(F.struct("rep", "component"))["component"].alias("hub_component")).where("low < high").drop("low", "high")
     mixed = save(mixed, "mixed")
-    open_rows = save(looked_up(at, mixed, "key").join(reps.select("rep", "bits"), "rep").select("key", "rep", "component", "bits", (F.col("component") == F.col("hub_component")).alias("settled")), "open")
+    open_rows = save(looked_up(at, mixed, "key").join(reps.select("rep", "bits"), "rep").select("key", "rep", "component", "bits",
+        (F.col("component") == F.col("hub_component")).alias("settled")), "open")
     apart = _with_partner(open_rows, least)
     sets, first, pairs = by_rare_shingles(apart, docs, percent)
     found_links.append(confirm(likely(pairs), docs, percent))
     discard(label)
     label = connected(reduce(DataFrame.union, found_links))
     discard(reps, shared, mixed, open_rows, apart, sets, first, *found_links)
-    return member.join(label, member["rep"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return member.join(label, member["rep"] == label["node"], "left").select("doc_id", "n_shingles",
+        F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -271,11 +282,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         # Rows are nodes, in the order of their ids; those of one id are joined afterwards.
         numbered = keyed(rows)
         named = numbered.where("doc_id is not null")
-        by_row = save(components(named.select(F.col("_row").alias("doc_id"), "text"), percent).join(named.select("_row", F.col("doc_id").alias("id")), F.col("doc_id") == F.col("_row")).select("id", "n_shingles", "component_id"), "by-row")
+        by_row = save(components(named.select(F.col("_row").alias("doc_id"), "text"), percent).join(named.select("_row", F.col("doc_id").alias("id")),
+            F.col("doc_id") == F.col("_row")).select("id", "n_shingles", "component_id"), "by-row")
         least = by_row.groupBy("id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("high")).where("a < high")
         one = connected(by_row.join(least, "id").where("component_id <> a").select("a", F.col("component_id").alias("b")).distinct())
-        joined = by_row.join(one.select(F.col("node").alias("component_id"), "component"), "component_id", "left").withColumn("component", F.coalesce("component", "component_id"))
-        found = joined.join(named.select(F.col("_row").alias("component"), F.col("doc_id").alias("top")), "component").select(F.col("id").alias("doc_id"), "n_shingles", F.col("top").alias("component_id"))
+        joined = by_row.join(one.select(F.col("node").alias("component_id"), "component"), "component_id", "left").withColumn("component",
+            F.coalesce("component", "component_id"))
+        found = joined.join(named.select(F.col("_row").alias("component"), F.col("doc_id").alias("top")),
+            "component").select(F.col("id").alias("doc_id"), "n_shingles", F.col("top").alias("component_id"))
         nameless = sketch(numbered.where("doc_id is null")).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
         found = found.unionByName(nameless)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -48,8 +48,10 @@ KINDS = ("email", "ip", "card", "phone")
 GENERATORS = ("address", "number")
 #: The features of each generator's candidates.
 FEATURES = (
-    ("long name", "short name", "name with marks", "name with digits", "long host", "host with digits", "several labels", "upper case", "after a mark", "before a mark", "after a letter"),
-    ("dotted groups", "nine digits", "twelve digits", "sixteen digits", "spaces", "hyphens", "dots", "brackets", "groups of four", "ends in four", "short first group"),
+    ("long name", "short name", "name with marks", "name with digits", "long host", "host with digits", "several labels", "upper case",
+        "after a mark", "before a mark", "after a letter"),
+    ("dotted groups", "nine digits", "twelve digits", "sixteen digits", "spaces", "hyphens", "dots", "brackets", "groups of four", "ends in four",
+        "short first group"),
 )
 PRECISION = 0.9
 TREES, RATE = 24, 0.5
@@ -61,7 +63,12 @@ def digits(text: Column) -> Column:
 
 def luhn(number: Column) -> Column:
     """Whether a string of digits passes the check: from the right, every second digit counts double, less 9 above 9."""
-    places = F.transform(F.split(F.reverse(number), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0)))
+
+    def value(d: Column, i: Column) -> Column:
+        n = d.cast("int")
+        return F.when(i % 2 == 0, n).otherwise(n * 2 - F.when(n > 4, 9).otherwise(0))
+
+    places = F.transform(F.split(F.reverse(number), ""), value)
     return F.aggregate(places, F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0))) % 10 == 0
 
 
@@ -79,7 +86,8 @@ def base_spans(text: Column) -> Column:
     """The spans of the four rules, unsorted."""
     email = located(text, EMAIL, text.contains("@"))
     ip = F.filter(located(text, IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]")), lambda m: parts_fit(m["match"]))
-    card = F.filter(located(text, CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")), lambda m: F.length(digits(m["match"])).between(12, 19) & luhn(digits(m["match"])))
+    card = F.filter(located(text, CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")),
+        lambda m: F.length(digits(m["match"])).between(12, 19) & luhn(digits(m["match"])))
     phone = F.filter(located(text, PHONE, text.contains("+")), lambda m: F.length(digits(m["match"])).between(9, 15))
     return F.concat(*(spans(m, kind, i) for i, (kind, m) in enumerate(zip(KINDS, (email, ip, card, phone)))))
 
@@ -98,7 +106,8 @@ def _address(m: Column) -> tuple[Column, Column]:
     own = plain_form(m["match"])
     name, host = F.substring_index(own, "@", 1), F.substring_index(own, "@", -1)
     flags = (
-        F.length(name) >= 3, F.length(name) < 2, name.rlike("[._%+-]"), name.rlike("[0-9]"), F.length(host) >= 8, host.rlike("[0-9]"), host.rlike(r"\..*\."), own.rlike("[A-Z]"),
+        F.length(name) >= 3, F.length(name) < 2, name.rlike("[._%+-]"), name.rlike("[0-9]"), F.length(host) >= 8, host.rlike("[0-9]"),
+            host.rlike(r"\..*\."), own.rlike("[A-Z]"),
         m["before"].rlike(r"[:<(\[,;]\x20?$"), m["after"].rlike(r"^[>)\].,;!?]"), m["before"].rlike(r"\p{L}$"),
     )
     return _bits(flags), (own != m["match"]) & own.rlike(f"^(?:{EMAIL})$") & host.rlike(r"\.[A-Za-z]{2,}$")
@@ -117,12 +126,14 @@ def _number(m: Column) -> tuple[Column, Column]:
 def candidates(text: Column, base: Column) -> Column:
     """Spans of the generators: begin, end, generator, pattern of features, whether a rule confirms just this span, and
     whether it counts as personal data."""
-    found = [(located(text, ADDRESS_LIKE, text.rlike(r"@|\(at\)|\[at\]|\{at\}|\x20at\x20")), _address), (located(text, NUMBER_LIKE, text.rlike("[0-9]")), _number)]
+    found = [(located(text, ADDRESS_LIKE, text.rlike(r"@|\(at\)|\[at\]|\{at\}|\x20at\x20")), _address),
+        (located(text, NUMBER_LIKE, text.rlike("[0-9]")), _number)]
 
     def described(g: int, describe):
         def run(x: Column) -> Column:
             pattern, likely = describe(x)
-            return F.struct(x["begin"].alias("begin"), x["end"].alias("end"), F.lit(g).alias("generator"), pattern.alias("pattern"), likely.alias("likely"))
+            return F.struct(x["begin"].alias("begin"), x["end"].alias("end"), F.lit(g).alias("generator"), pattern.alias("pattern"),
+                likely.alias("likely"))
 
         return run
 
@@ -131,11 +142,14 @@ def candidates(text: Column, base: Column) -> Column:
         def judge(x: Column, i: Column) -> Column:
             before = F.get(both, i - 1)
             confirmed = F.coalesce((before["begin"] == x["begin"]) & (before["end"] == x["end"]) & (before["generator"] < 0), F.lit(False))
-            return F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["generator"].alias("generator"), x["pattern"].alias("pattern"), confirmed.alias("confirmed"), (confirmed | x["likely"]).alias("personal"))
+            return F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["generator"].alias("generator"), x["pattern"].alias("pattern"),
+                confirmed.alias("confirmed"), (confirmed | x["likely"]).alias("personal"))
 
         return F.filter(F.transform(both, judge), lambda x: x["generator"] >= 0)
 
-    rules = F.transform(base, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), F.lit(-1).alias("generator"), F.lit(0).alias("pattern"), F.lit(False).alias("likely")))
+    rules = F.transform(base,
+        lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), F.lit(-1).alias("generator"), F.lit(0).alias("pattern"),
+        F.lit(False).alias("likely")))
     return let(F.sort_array(F.concat(rules, *(F.transform(m, described(g, describe)) for g, (m, describe) in enumerate(found)))), judged)
 
 
@@ -184,14 +198,17 @@ class Boosted:
 
         if math.isinf(self.threshold):
             return F.lit(False)
-        score = reduce(lambda x, y: x + y, (F.when(bit(a), F.when(bit(b), v[3]).otherwise(v[2])).otherwise(F.when(bit(b), v[1]).otherwise(v[0])) for a, b, v in self.trees), F.lit(0.0))
+        score = reduce(lambda x, y: x + y,
+            (F.when(bit(a), F.when(bit(b), v[3]).otherwise(v[2])).otherwise(F.when(bit(b), v[1]).otherwise(v[0])) for a, b, v in self.trees),
+            F.lit(0.0))
         return score >= self.threshold
 
 
 def fitted(found: DataFrame, precision: float = PRECISION) -> list[Boosted]:
     """Trees and a threshold for each generator, from a table with columns doc_id and candidates."""
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")
-    counts = found.select(half, F.explode("candidates").alias("c")).groupBy("half", "c.generator", "c.pattern").agg(F.count_if(F.col("c.personal")).alias("yes"), F.count_if(~F.col("c.personal")).alias("no"))
+    counts = found.select(half, F.explode("candidates").alias("c")).groupBy("half", "c.generator",
+        "c.pattern").agg(F.count_if(F.col("c.personal")).alias("yes"), F.count_if(~F.col("c.personal")).alias("no"))
     rows = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 5)  # bounded by the number of patterns
     rows = rows[np.lexsort(rows.T)]
     models = []
@@ -211,8 +228,11 @@ def find(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     found = only(docs, "doc_id", "text").select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
     found = save(found.withColumn("candidates", candidates(F.col("text"), F.col("base"))).drop("text"), "candidates")
     models = fitted(found, precision)
-    more = F.filter("candidates", lambda c: ~c["confirmed"] & reduce(lambda a, b: a | b, ((c["generator"] == g) & m.selects(c["pattern"]) for g, m in enumerate(models))))
-    added = F.transform(more, lambda c: F.struct(c["begin"].alias("begin"), (c["generator"] + len(KINDS)).alias("place"), F.when(c["generator"] == 0, F.lit(GENERATORS[0])).otherwise(F.lit(GENERATORS[1])).alias("kind"), c["end"].alias("end")))
+    more = F.filter("candidates",
+        lambda c: ~c["confirmed"] & reduce(lambda a, b: a | b, ((c["generator"] == g) & m.selects(c["pattern"]) for g, m in enumerate(models))))
+    added = F.transform(more,
+        lambda c: F.struct(c["begin"].alias("begin"), (c["generator"] + len(KINDS)).alias("place"),
+        F.when(c["generator"] == 0, F.lit(GENERATORS[0])).otherwise(F.lit(GENERATORS[1])).alias("kind"), c["end"].alias("end")))
     return found.select("doc_id", "base", added.cast(SPAN).alias("added"))
 
 
@@ -221,7 +241,8 @@ def redacted(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
 
     Each row has the spans of its own text replaced, also where rows share a doc_id or have none."""
     rows = keyed(only(docs, "doc_id", "text"))
-    found = find(rows.select(F.col("_row").alias("doc_id"), "text"), precision).select(F.col("doc_id").alias("_of"), F.array_sort(F.concat("base", "added")).alias("spans")).where("size(spans) > 0")
+    found = find(rows.select(F.col("_row").alias("doc_id"), "text"), precision).select(F.col("doc_id").alias("_of"),
+        F.array_sort(F.concat("base", "added")).alias("spans")).where("size(spans) > 0")
     rows = rows.join(found, F.col("_row") == F.col("_of"), "left")
 
     def step(done: Column, s: Column) -> Column:
@@ -230,10 +251,12 @@ def redacted(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
         mark = F.when(s["begin"] >= done["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("")
         return F.struct(end.alias("at"), F.concat(done["out"], kept, mark).alias("out"))
 
-    folded = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
+    folded = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+        lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
     return rows.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(folded).alias("text"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the check: counts and a hash of the base spans, and all spans as text."""
-    return found.select("doc_id", *(number_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *(number_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS),
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))

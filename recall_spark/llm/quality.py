@@ -28,7 +28,8 @@ from recall_spark.llm.common import only, remainder, share
 TRAIN_DOCS = 10_000
 #: Where features are cut; a value at a cut falls below it, so that none (0) and a little are told apart.
 QUANTILES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.94, 0.97, 0.99)
-NAMES = ("log words", "word length", "upper case", "exclamation", "bar", "marks", "stops", "digits", "doubled marks", "next word equal", "next two equal", "distinct words", "capital words", "lines a word")
+NAMES = ("log words", "word length", "upper case", "exclamation", "bar", "marks", "stops", "digits", "doubled marks", "next word equal",
+    "next two equal", "distinct words", "capital words", "lines a word")
 
 
 def _class(chars: str) -> np.ndarray:
@@ -77,7 +78,8 @@ def describe(texts: pa.Array) -> np.ndarray:
     capital = _UPPER[data[start]] & _UPPER[data[np.minimum(start + 1, end - 1)]] & (end - start > 1) if len(start) else np.zeros(0, bool)
     return np.stack([
         np.log1p(counts), per_word(end - start) / total, per_text(_UPPER[data]) / letters, per_text(_BANG[data]) / size, per_text(_BAR[data]) / size,
-        per_text(_MARK[data]) / size, per_text(_STOP[data]) / size, per_text(_DIGIT[data]) / size, per_text(doubled) / size, per_word(again) / total, per_word(thrice) / total,
+        per_text(_MARK[data]) / size, per_text(_STOP[data]) / size, per_text(_DIGIT[data]) / size, per_text(doubled) / size, per_word(again) / total,
+            per_word(thrice) / total,
         distinct / total, per_word(capital) / total, per_text(_LINE[data]) / total,
     ], axis=1)
 
@@ -145,12 +147,14 @@ def _described(batches):
     for batch in batches:
         rows = [describe(part) for _, part in ta.slices(batch.column("text"), lower=False)]
         if rows:
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(np.concatenate(rows).tolist(), pa.list_(pa.float64()))], names=["positive", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(np.concatenate(rows).tolist(), pa.list_(pa.float64()))],
+                names=["positive", "features"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable, train_docs: int = TRAIN_DOCS, prior: float | None = None) -> Scorer:
     """A scorer from labels (doc_id, quality = 1) and the text of documents, of the rows where usable holds."""
-    trusted = only(labels, "doc_id", "quality").where("quality = 1 and doc_id is not null").where(usable).select(F.col("doc_id").alias("id")).distinct()
+    trusted = only(labels, "doc_id",
+        "quality").where("quality = 1 and doc_id is not null").where(usable).select(F.col("doc_id").alias("id")).distinct()
     n_trusted = trusted.count()
     rows = only(docs, "doc_id", "text").where(usable)
     n_rows = rows.select("doc_id").count()
@@ -159,7 +163,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable, train_docs: int = TRAIN_DO
     drawn = F.broadcast(trusted.where(share("id", train_docs, n_trusted)))  # at most about train_docs rows
     web = share("doc_id", train_docs, n_rows, seed=23)
     both = rows.join(drawn, rows["doc_id"] == F.col("id"), "left").where(F.col("id").isNotNull() | web)
-    use = both.select("text", F.col("id").isNotNull().alias("trusted"), web.alias("web")).select("text", F.explode(F.expr("filter(array(if(trusted, 1, null), if(coalesce(web, false), 0, null)), x -> x is not null)")).alias("positive"))
+    use = both.select("text", F.col("id").isNotNull().alias("trusted"), web.alias("web")).select("text",
+        F.explode(F.expr("filter(array(if(trusted, 1, null), if(coalesce(web, false), 0, null)), x -> x is not null)")).alias("positive"))
     found = use.mapInArrow(_described, "positive int, features array<double>").collect()
     positive = np.array([r["features"] for r in found if r["positive"] == 1])
     unlabelled = np.array([r["features"] for r in found if r["positive"] == 0])
@@ -172,7 +177,8 @@ def _scored(sent):
     def run(batches):
         for batch in batches:
             scores = [sent.value.score(part) for _, part in ta.slices(batch.column("text"), lower=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()),
+                pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])
 
     return run
 
@@ -186,4 +192,5 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted; rows whose crc32 modulo 5 is 0 are held out."""
     scorer = learn(docs, labels, remainder("doc_id", 5) != 0)
-    return score(docs, scorer).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return score(docs, scorer).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= least).cast("int").alias("predicted"))

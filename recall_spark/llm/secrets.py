@@ -41,7 +41,8 @@ MORE = (
 
 
 def base_spans(text: Column) -> Column:
-    assign = F.filter(located(text, ASSIGN, text.contains("=") | text.contains(":")), lambda m: F.length(F.regexp_replace(m["match"], _BEFORE_VALUE, "")) >= 8)
+    assign = F.filter(located(text, ASSIGN, text.contains("=") | text.contains(":")),
+        lambda m: F.length(F.regexp_replace(m["match"], _BEFORE_VALUE, "")) >= 8)
     access = F.filter(located(text, ACCESS, text.contains("AKIA")), lambda m: F.length(m["match"]) >= 16)
     return F.concat(*(spans(m, kind, i) for i, (kind, m) in enumerate(zip(KINDS, (assign, access, located(text, HEX, F.lit(True)))))))
 
@@ -91,7 +92,8 @@ def scan(docs: DataFrame, ledger: str | None = None, rule_version: int = RULE_VE
     else:
         texts = rows.join(small(_by_number(unseen), new, LISTED), _same()).where(first)
     if new:
-        found = texts.select("blob", F.lit(rule_version).alias("rule_version"), base_spans(F.col("text")).cast(SPAN).alias("base"), added_spans(F.col("text")).cast(SPAN).alias("added"))
+        found = texts.select("blob", F.lit(rule_version).alias("rule_version"), base_spans(F.col("text")).cast(SPAN).alias("base"),
+            added_spans(F.col("text")).cast(SPAN).alias("added"))
         found.write.mode("append").parquet(ledger)
     discard(unseen)
     none = F.expr(f"cast(array() as {SPAN})")
@@ -100,9 +102,11 @@ def scan(docs: DataFrame, ledger: str | None = None, rule_version: int = RULE_VE
     findings = spark.read.parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("base") + F.size("added") > 0))
     hits = _by_number(findings.select(F.col("blob").alias("of"), "base", "added").dropDuplicates(["of"]))
     size = findings.agg(F.count("*"), F.coalesce(F.sum(F.size("base") + F.size("added")), F.lit(0))).first()
-    return paths.join(small(hits, size[0] + size[1], LISTED), _same(), "left").select("doc_id", "blob", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
+    return paths.join(small(hits, size[0] + size[1], LISTED), _same(), "left").select("doc_id", "blob", F.coalesce("base", none).alias("base"),
+        F.coalesce("added", none).alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the check: counts and a hash of the base spans, and all spans as text."""
-    return found.select("doc_id", *(number_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *(number_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS),
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))

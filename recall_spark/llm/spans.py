@@ -28,7 +28,8 @@ def located(text: Column, pattern: str, when: Column) -> Column:
     def rows(p: Column) -> Column:
         def row(match: Column, i: Column) -> Column:
             before, after = F.get(p["pieces"], i), F.get(p["pieces"], i + 1)
-            return F.struct((F.length(before) + F.length(match)).alias("on"), F.length(match).alias("size"), match.alias("match"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"))
+            return F.struct((F.length(before) + F.length(match)).alias("on"), F.length(match).alias("size"), match.alias("match"),
+                F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"))
 
         return F.transform(p["matches"], row)
 
@@ -38,15 +39,23 @@ def located(text: Column, pattern: str, when: Column) -> Column:
     def starts(ps: Column) -> Column:
         sums = F.transform(ps, lambda part: F.aggregate(part, F.lit(0), lambda at, r: at + r["on"]))
         first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all"))
-        return F.aggregate(sums, first, lambda done, n: F.struct((done["at"] + n).alias("at"), F.concat(done["all"], F.array(done["at"])).alias("all")), lambda done: done["all"])
+
+        def add(done: Column, n: Column) -> Column:
+            return F.struct((done["at"] + n).alias("at"), F.concat(done["all"], F.array(done["at"])).alias("all"))
+
+        return F.aggregate(sums, first, add, lambda done: done["all"])
 
     def step(done: Column, r: Column) -> Column:
         end = done["at"] + r["on"]
-        here = F.struct((end - r["size"]).alias("begin"), end.alias("end"), r["match"].alias("match"), r["before"].alias("before"), r["after"].alias("after"))
+        here = F.struct((end - r["size"]).alias("begin"), end.alias("end"), r["match"].alias("match"), r["before"].alias("before"),
+            r["after"].alias("after"))
         return F.struct(end.alias("at"), F.concat(done["found"], F.array(here)).alias("found"))
 
     def placed(ps: Column) -> Column:
-        return F.flatten(F.zip_with(ps, starts(ps), lambda part, at: F.aggregate(part, F.struct(at.alias("at"), empty.alias("found")), step, lambda done: done["found"])))
+        def part_from(part: Column, at: Column) -> Column:
+            return F.aggregate(part, F.struct(at.alias("at"), empty.alias("found")), step, lambda done: done["found"])
+
+        return F.flatten(F.zip_with(ps, starts(ps), part_from))
 
     both = F.struct(pieces.alias("pieces"), matches.alias("matches"))
     folded = let(both, lambda p: let(rows(p), lambda r: let(parts(r), placed)))
@@ -55,12 +64,14 @@ def located(text: Column, pattern: str, when: Column) -> Column:
 
 def spans(matches: Column, kind: str, place: int) -> Column:
     """Matches of one kind as spans that sort by begin, then by place (the kind's number)."""
-    return F.transform(matches, lambda m: F.struct(m["begin"].alias("begin"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), m["end"].alias("end")))
+    return F.transform(matches,
+        lambda m: F.struct(m["begin"].alias("begin"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
 
 def joined(all_spans: Column) -> Column:
     """kind:start:end of sorted spans, comma-joined."""
-    return F.array_join(F.transform(F.sort_array(all_spans), lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(F.sort_array(all_spans),
+        lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def number_of(all_spans: Column, kind: str) -> Column:

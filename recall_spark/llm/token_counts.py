@@ -56,9 +56,12 @@ def histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     spans = counts.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     after = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
     total = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    spans = spans.select("span", F.coalesce(F.sum("d").over(after), F.lit(0)).alias("d_after"), F.coalesce(F.sum("t").over(after), F.lit(0)).alias("t_after"), F.sum("d").over(total).alias("all_docs"), F.sum("t").over(total).alias("all_tokens"))
+    spans = spans.select("span", F.coalesce(F.sum("d").over(after), F.lit(0)).alias("d_after"),
+        F.coalesce(F.sum("t").over(after), F.lit(0)).alias("t_after"), F.sum("d").over(total).alias("all_docs"),
+        F.sum("t").over(total).alias("all_tokens"))
     own = Window.partitionBy("span").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = counts.join(spans, "span").withColumn("docs_from", F.col("d_after") + F.sum("n_docs").over(own)).withColumn("tokens_from", F.col("t_after") + F.sum(F.col("n_docs") * F.col("n_tokens")).over(own))
+    rows = counts.join(spans, "span").withColumn("docs_from", F.col("d_after") + F.sum("n_docs").over(own)).withColumn("tokens_from",
+        F.col("t_after") + F.sum(F.col("n_docs") * F.col("n_tokens")).over(own))
     return rows.select(
         "n_tokens",
         "n_docs",
@@ -76,16 +79,19 @@ def at_limits(histogram: DataFrame, limits: DataFrame) -> DataFrame:
     others all of theirs. Limits and lengths are put in one order, in spans and within a span, as histogram() does."""
     asked = limits.select(F.col("limit").cast("long").alias("at")).where("at is not null").distinct()
     wanted = asked.select("at", F.lit(True).alias("asked"), F.lit(None).cast("struct<d:bigint,t:bigint>").alias("next"))
-    known = histogram.select(F.col("n_tokens").alias("at"), F.lit(False).alias("asked"), F.struct(F.col("docs_from").cast("long").alias("d"), F.col("tokens_from").cast("long").alias("t")).alias("next"))
+    known = histogram.select(F.col("n_tokens").alias("at"), F.lit(False).alias("asked"),
+        F.struct(F.col("docs_from").cast("long").alias("d"), F.col("tokens_from").cast("long").alias("t")).alias("next"))
     rows = wanted.unionByName(known).withColumn("span", F.floor(F.col("at") / SPAN))
     firsts = rows.groupBy("span").agg(F.min_by("next", F.when(F.col("next").isNotNull(), F.col("at"))).alias("first"))
-    beyond = firsts.select("span", F.first("first", ignorenulls=True).over(Window.orderBy("span").rowsBetween(1, Window.unboundedFollowing)).alias("beyond"))
+    beyond = firsts.select("span",
+        F.first("first", ignorenulls=True).over(Window.orderBy("span").rowsBetween(1, Window.unboundedFollowing)).alias("beyond"))
     # A limit that is a length itself cuts only what is longer, so it goes behind that length.
     within = Window.partitionBy("span").orderBy("at", "asked").rowsBetween(1, Window.unboundedFollowing)
     found = rows.join(beyond, "span").withColumn("next", F.coalesce(F.first("next", ignorenulls=True).over(within), "beyond")).where("asked")
     total = histogram.agg(F.max("tokens_from").alias("total"))
     cut, rest = F.coalesce("next.d", F.lit(0)), F.coalesce("next.t", F.lit(0))
-    return found.join(F.broadcast(total)).select(F.col("at").alias("limit"), cut.alias("docs_cut"), (F.coalesce("total", F.lit(0)) - rest + F.col("at") * cut).alias("kept_tokens"))  # total is one row
+    return found.join(F.broadcast(total)).select(F.col("at").alias("limit"), cut.alias("docs_cut"),
+        (F.coalesce("total", F.lit(0)) - rest + F.col("at") * cut).alias("kept_tokens"))  # total is one row
 
 
 def quantile(histogram: DataFrame, q: float) -> int:

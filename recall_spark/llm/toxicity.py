@@ -122,7 +122,8 @@ def _counted(batches):
             if sets:
                 values, n = np.unique(np.concatenate(sets), return_counts=True)
                 values, n = values[values != 0], n[values != 0]
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.full(len(n), label, np.int32)), pa.array(n, pa.int64())], names=["feature", "toxic", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.full(len(n), label, np.int32)),
+                    pa.array(n, pa.int64())], names=["feature", "toxic", "n"])
 
 
 def _hits(sent):
@@ -136,7 +137,9 @@ def _hits(sent):
                 count = np.bincount(doc[np.unique(sentence, return_index=True)[1]], minlength=len(part))
                 where = doc[row]
                 bags = [np.unique(np.stack([sentence[row[where == k]], feature[where == k]]), axis=1) for k in range(len(part))]
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[at : at + len(part)], pa.int32()), pa.array(count, pa.int64()), pa.array([b[0].tolist() for b in bags], pa.list_(pa.int64())), pa.array([b[1].tolist() for b in bags], pa.list_(pa.int64()))], names=["toxic", "n_sentences", "sentence", "feature"])
+                yield pa.RecordBatch.from_arrays([pa.array(toxic[at : at + len(part)], pa.int32()), pa.array(count, pa.int64()),
+                    pa.array([b[0].tolist() for b in bags], pa.list_(pa.int64())), pa.array([b[1].tolist() for b in bags], pa.list_(pa.int64()))],
+                    names=["toxic", "n_sentences", "sentence", "feature"])
 
     return run
 
@@ -172,7 +175,8 @@ def _descend(rows: list, n_features: int, rounds: int = 400, rate: float = 0.1,
 
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> NoisyOr:
     """The sentence model from the labels (doc_id, toxic) of documents; labels are those to learn from only."""
-    marks = only(labels, "doc_id", "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    marks = only(labels, "doc_id",
+        "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = marks.count()
     drawn = F.broadcast(marks.where(share("doc_id", train_docs, n)))  # at most about train_docs rows
     sample = save(only(docs, "doc_id", "text").join(drawn, "doc_id").select("text", "toxic"), "toxic-sample")
@@ -180,11 +184,15 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> N
     bad, good = size.get(1, 0), size.get(0, 0)
     lookup = Lookup(np.zeros(0, np.uint64))
     if bad:
-        counts = sample.mapInArrow(_counted, "feature long, toxic int, n long").groupBy("feature").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good"))
+        counts = sample.mapInArrow(_counted,
+            "feature long, toxic int, n long").groupBy("feature").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"),
+            F.sum(F.col("n") * (1 - F.col("toxic"))).alias("good"))
         share_bad, share_good = (F.col("bad") + 0.5) / (bad + 1), (F.col("good") + 0.5) / (good + 1)
-        chosen = counts.where((F.col("bad") >= max(2, bad // 200)) & (share_bad >= LEAST_LIFT * share_good)).orderBy((share_bad - share_good).desc(), "feature").limit(FEATURES)
+        chosen = counts.where((F.col("bad") >= max(2, bad // 200)) & (share_bad >= LEAST_LIFT * share_good)).orderBy((share_bad - share_good).desc(),
+            "feature").limit(FEATURES)
         lookup = Lookup(np.array([r["feature"] for r in chosen.collect()], np.int64).view(np.uint64))
-    rows = sample.mapInArrow(_hits(docs.sparkSession.sparkContext.broadcast(lookup)), "toxic int, n_sentences long, sentence array<long>, feature array<long>").collect()
+    rows = sample.mapInArrow(_hits(docs.sparkSession.sparkContext.broadcast(lookup)),
+        "toxic int, n_sentences long, sentence array<long>, feature array<long>").collect()
     discard(sample)
     if not rows:
         return NoisyOr(lookup, np.zeros(0), -20.0)
@@ -196,7 +204,8 @@ def _scored(sent):
         for batch in batches:
             texts = batch.column("text")
             scores = [sent.value.score(part) for _, part in ta.slices(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()),
+                pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])
 
     return run
 
@@ -215,7 +224,8 @@ def _located(sent, least: float):
                 begin = np.maximum(offsets[doc[bad]], np.where(gap > 0, np.append(stops, 0)[gap - 1] + 1, 0))
                 end = np.minimum(offsets[doc[bad] + 1], np.append(stops, len(data))[gap])
                 base = points[offsets[doc[bad]]]
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()).take(pa.array(doc[bad] + at)), pa.array(points[begin] - base), pa.array(points[end] - base), pa.array(score[bad])], names=["doc_id", "begin", "end", "score"])
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()).take(pa.array(doc[bad] + at)), pa.array(points[begin] - base),
+                    pa.array(points[end] - base), pa.array(score[bad])], names=["doc_id", "begin", "end", "score"])
 
     return run
 
@@ -235,4 +245,5 @@ def offending(docs: DataFrame, model: NoisyOr, least: float = 0.5) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted; rows whose crc32 modulo 3 is 1 are held out."""
     model = learn(docs, labels.where(remainder("doc_id", 3) != 1))
-    return score(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= least).cast("int").alias("predicted"))

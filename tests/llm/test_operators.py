@@ -95,6 +95,18 @@ def test_near_group_without_all_pairs(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in sets}
 
 
+def test_near_group_where_keys_are_hot(spark, docs, texts, monkeypatch):
+    """The same components whether lists are sent to the rows or dealt by key, hot ones apart."""
+    want = sorted(map(tuple, near_dedup.components(docs.where("doc_id < 9000")).collect()))
+    monkeypatch.setattr(near_dedup, "LISTED", 0)
+    monkeypatch.setattr(near_dedup, "HOT", 2)
+    assert sorted(map(tuple, near_dedup.components(docs.where("doc_id < 9000")).collect())) == want
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4), (None, 5)], "k string, v int")
+    listed = spark.createDataFrame([("a", 3, "x"), ("b", 1, "y")], "k string, n long, w string")
+    for how, want in (("inner", [(1, "x"), (2, "x"), (3, "y")]), ("left", [(1, "x"), (2, "x"), (3, "y"), (4, None), (5, None)])):
+        assert sorted((r["v"], r["w"]) for r in near_dedup.looked_up(rows, listed, "k", how).collect()) == want
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Rows of one id are one node: what either of its texts is linked with belongs to it; null ids are linked with nothing."""
     one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
@@ -308,6 +320,26 @@ def test_quality_and_toxicity(spark, docs, empty):
     assert all("Été. Fine words here. You stupid idiot moron! Fine."[r["begin"] : r["end"]].strip() == "You stupid idiot moron" for r in bad) and len(bad) == 1
 
 
+def test_labels_that_conflict_and_columns_that_clash(spark, docs):
+    """Two labels of one document, null labels and ids, columns named like those of the result, and labels all alike."""
+    names = ("score", "predicted", "held_out", "toxic", "quality", "positive", "trusted", "web", "features", "n")
+    some = docs.where("doc_id < 150 or doc_id > 9000").withColumns({c: F.lit("x") for c in names})
+    rows = [(i, int(i % 3 == 0), int(i % 4 == 0)) for i in range(150)] + [(i, 0, 1) for i in range(0, 30)] + [(None, 1, 1), (5, None, None), (99_999, 1, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int").withColumns({"text": F.lit("y"), "score": F.lit(1)})
+    for run in (quality.classify, toxicity.classify):
+        for marks in (labels, labels.withColumns({"quality": F.lit(1), "toxic": F.lit(1)}), labels.withColumns({"quality": F.lit(0), "toxic": F.lit(0)}), labels.limit(0)):
+            got = run(some, marks).collect()
+            assert len(got) == some.count() and list(got[0].asDict()) == ["doc_id", "held_out", "score", "predicted"]
+            assert all(0 <= r["score"] <= 1 for r in got)
+    # A document with labels 0 and 1 counts as toxic.
+    marks = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    three = spark.createDataFrame([(1, "vile words here"), (2, "calm words here"), (3, "vile words")] * 1, "doc_id long, text string")
+    many = three.unionByName(three.withColumn("doc_id", F.col("doc_id") + 10))
+    twice = marks.unionByName(marks.withColumn("doc_id", F.col("doc_id") + 10))
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(many, toxicity.learn(many, twice)).collect()}
+    assert score[1] > 0.5 > score[2] and score[3] > 0.5
+
+
 def test_mixing(docs, texts, empty):
     rows = mixing.mix(docs).collect()
     size = {}
