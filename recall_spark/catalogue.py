@@ -508,6 +508,17 @@ def secrets_sanitize(spark, d):
     return maintenance.screened(tb.memories(spark, d)).select("memory_id", "text")
 
 
+_RULES = {"assignment": r"""(?i:(?:password|passwd|secret|token|api_?key)["'']?\s*[:=]\s*["''][^"''\s]{8,}["''])""", "access key": "AKIA[0-9A-Z]{16}", "private key": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "bearer": r"(?i:bearer\s+[A-Za-z0-9._-]{20,})"}
+_LENGTHS = "coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0)"
+
+
+@query("WITH f AS (" + " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, regexp_split_to_array(text, '{p}') AS parts, regexp_extract_all(text, '{p}') AS found FROM documents WHERE regexp_matches(text, '{p}')" for rule, p in _RULES.items()) + f""")
+  SELECT doc_id AS memory_id, rule, ({_LENGTHS.format('parts[1:i]')} + {_LENGTHS.format('found[1:i - 1]')})::INT AS begin, ({_LENGTHS.format('parts[1:i]')} + {_LENGTHS.format('found[1:i]')})::INT AS "end"
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM f)""")
+def secrets_report(spark, d):
+    return maintenance.findings(tb.memories(spark, d)).select("memory_id", "rule", "begin", "end")
+
+
 @query()
 def chunk_text(spark, d):
     return chunking.chunked(tb.memories(spark, d).select(F.col("memory_id").cast("string").alias("path"), "text",

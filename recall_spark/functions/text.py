@@ -126,6 +126,23 @@ def sanitised(text: Column) -> Column:
     return reduce(lambda x, rule: F.regexp_replace(x, rule[1], "[REDACTED]"), SECRETS, text)
 
 
+def findings(text: Column) -> Column:
+    """rule, begin, end (in characters, end exclusive) of all secrets, by begin; a place that several rules find is given for each."""
+
+    def places(rule: str, pattern: str) -> Column:
+        # What lies between two matches, and the matches: their lengths, added up, are the places.
+        found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        sizes = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own")))
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<begin:int,end:int>>)").alias("all"))
+        step = lambda done, x: F.struct((done["at"] + x["gap"] + x["own"]).alias("at"), F.concat(done["all"],
+            F.array(F.struct((done["at"] + x["gap"]).alias("begin"), (done["at"] + x["gap"] + x["own"]).alias("end")))).alias("all"))
+        spans = F.aggregate(sizes, start, step, lambda done: done["all"])
+        return F.transform(spans, lambda p: F.struct(p["begin"].alias("begin"), p["end"].alias("end"), F.lit(rule).alias("rule")))
+
+    return F.array_sort(F.concat(*(places(*rule) for rule in SECRETS)))
+
+
 #: What a transcript loses before its code fences are cut, and after.
 NOISE = (r"(?s)(?:assistant:\s*)?<tool_use>.*?</tool_use>|<tool_result>.*?</tool_result>",
     r"Relevant memories from previous sessions:\n(?:- \[.*\].*\n?)+", r"(?s)<system-reminder>.*?</system-reminder>")

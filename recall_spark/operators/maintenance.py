@@ -73,6 +73,12 @@ def screened(memories: DataFrame, sanitise: bool = True) -> DataFrame:
     return rows.withColumn("text", tx.sanitised(F.col("text"))) if sanitise else rows.where(~F.col("has_secrets"))
 
 
+def findings(memories: DataFrame) -> DataFrame:
+    """memories, a row for each secret that a text holds, with its rule, begin and end; texts without any give none."""
+    found = memories.where(tx.has_secrets(F.col("text"))).withColumn("_s", F.explode(tx.findings(F.col("text"))))
+    return found.select(*memories.columns, "_s.rule", "_s.begin", "_s.end")
+
+
 def current(log: DataFrame) -> DataFrame:
     """The newest version of each memory in an append-only log (memory_id, version, deleted, ...), without the deleted ones.
 

@@ -3,11 +3,19 @@
 Tables at one path, each partitioned by repo_id and branch_name: memories (every version of each), vectors (with their
 scope beside them, so that a search reads the partitions it needs), edges, hashes of indexed files, and commits.
 A version is a number that grows from call to call, such as seconds since 1970.
+
+Writes are all or nothing. Each call writes its rows, to as many tables as it needs, under a batch of its own, and last of
+all puts a file named after its version into the folder transactions. Readers take rows of named batches only, so what a
+failed call left behind is never seen, and the same call can be made again with the same version. A version that was
+committed is taken: a second writer of it is refused, whether it came later or at the same time.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from recall_spark.functions import text as tx
-from recall_spark.operators import capturing, indexing, listing, maintenance, search
+from recall_spark.operators import capturing, indexing, listing, maintenance, scopes, search
 from recall_spark.operators.joins import small
 from recall_spark.sources import files as fl
 from recall_spark.sources.tables import TYPES, derived
@@ -26,6 +34,30 @@ _OPTIONAL = {
     "decorators": "array<string>", "parent_class": "string", "depends_on": "array<string>", "related_to": "array<string>",
 }
 _SCOPE = ("repo_id", "branch_name")
+#: Places of secrets that an error reports at most.
+REPORTED = 100
+#: Tables besides memories, whose columns grow with what is stored.
+_TABLES = {
+    "vectors": "memory_id string, embedding array<float>, batch string, repo_id string, branch_name string",
+    "edges": "from_id string, to_id string, relationship_type string, batch string, repo_id string, branch_name string",
+    "hashes": "path string, sha256 string, version long, batch string, repo_id string, branch_name string",
+    "commits": "commit string, at long, batch string, repo_id string, branch_name string",
+    "captures": "session_id string, extracted long, stored long, version long, batch string, repo_id string, branch_name string",
+    "changes": "path string, change string, outcome string, version long, batch string, repo_id string, branch_name string",
+}
+
+
+class VersionTaken(ValueError):
+    """Another call committed this version, or a later one, before."""
+
+
+class RejectedSecrets(ValueError):
+    """Texts hold secrets and may not be stored. report: repo_id, branch_name, file_path, checksum, rule, begin, end."""
+
+    def __init__(self, report: list):
+        lines = "\n".join(f"{r['file_path'] or '-'} ({r['checksum'][:8]}): {r['rule']} at {r['begin']}-{r['end']}" for r in report)
+        super().__init__(f"a memory needs a known content_type and a text without secrets; nothing was stored\n{lines}")
+        self.report = report
 
 
 class Store:
@@ -33,34 +65,102 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, embed=search.embedded, sanitise: bool = True):
         self.spark, self.path, self.embed, self.sanitise = spark, path.rstrip("/"), embed, sanitise
+        self._batch: str | None = None
+        self._highest = 0
+        self._work: list[str] = []
 
-    def _exists(self, name: str) -> bool:
+    def _file(self, name: str):
+        """A path within the store, and its file system."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _exists(self, name: str) -> bool:
+        p, files = self._file(name)
+        return files.exists(p)
+
+    @contextmanager
+    def _transaction(self, operation: str, version: int) -> Iterator[None]:
+        """What is written in the block counts once it has ended well, else not at all. A block within another is part of it."""
+        if self._batch is not None:
+            self._highest = max(self._highest, version)
+            yield
+            return
+        newest = self.transactions().agg(F.max("version")).first()[0]
+        if newest is not None and version <= newest:
+            raise VersionTaken(f"version {version} is not above {newest}, the last one that was committed")
+        self._batch, self._highest = uuid.uuid4().hex, version
+        try:
+            yield
+            self._commit(operation)
+        finally:
+            self._batch = None
+            for name in self._work:
+                p, files = self._file(name)
+                files.delete(p, True)
+            self._work = []
+
+    def _commit(self, operation: str) -> None:
+        """Name the batch, under its highest version. The file is written aside and moved, so it is there whole or not at all;
+        a move to a name that is taken fails where the file system refuses it (as HDFS does), and is not tried where it is seen."""
+        row = json.dumps({"version": self._highest, "batch": self._batch, "operation": operation})
+        aside, files = self._file(f"_work/{self._batch}.json")
+        out = files.create(aside, True)
+        out.write(bytearray(row.encode()))
+        out.close()
+        to, _ = self._file(f"transactions/{self._highest:020d}.json")
+        files.mkdirs(to.getParent())
+        if files.exists(to) or not files.rename(aside, to):
+            files.delete(aside, False)
+            raise VersionTaken(f"version {self._highest} was committed meanwhile; nothing was stored")
+
+    def transactions(self) -> DataFrame:
+        """version, batch, operation of each call that ended well."""
+        schema = "version long, batch string, operation string"
+        return self.spark.read.schema(schema).json(f"{self.path}/transactions") if self._exists("transactions") else self.spark.createDataFrame([], schema)
+
+    def _counted(self, rows: DataFrame) -> DataFrame:
+        """The rows of committed batches, and of the one that is being written. There is one batch for each call."""
+        batches = self.transactions().select("batch")
+        if self._batch is not None:
+            batches = batches.union(self.spark.createDataFrame([(self._batch,)], "batch string"))
+        return rows.join(small(batches), "batch", "left_semi").drop("batch")
+
+    def _read(self, name: str) -> DataFrame:
         """A table of the store, empty if nothing was written to it."""
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
+        schema = _TABLES[name]
+        if not self._exists(name):
+            return self.spark.createDataFrame([], schema).drop("batch")
+        return self._counted(self.spark.read.schema(schema).parquet(f"{self.path}/{name}"))
 
     def _write(self, rows: DataFrame, name: str) -> None:
-        rows.write.mode("append").partitionBy(*_SCOPE).parquet(f"{self.path}/{name}")
+        if self._batch is None:
+            raise RuntimeError("rows are written within a transaction only")
+        rows.withColumn("batch", F.lit(self._batch)).write.mode("append").partitionBy(*_SCOPE).parquet(f"{self.path}/{name}")
 
     def _once(self, rows: DataFrame, name: str) -> DataFrame:
-        """rows computed once, in the store's own folder for work in progress, until _forget()."""
-        kept = f"{self.path}/_work/{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(kept)
-        out = self.spark.read.schema(rows.schema).parquet(kept)
-        out._kept_at = kept
-        return out
+        """rows computed once, in the store's own folder for work in progress, until the transaction ends."""
+        kept = f"_work/{name}-{uuid.uuid4().hex}"
+        self._work.append(kept)
+        rows.write.parquet(f"{self.path}/{kept}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{kept}")
+
+    def tidy(self) -> None:
+        """Delete what calls left in the folder of work in progress when their process was lost. No writer may be active."""
+        p, files = self._file("_work")
+        files.delete(p, True)
+
+    def create(self, rows: DataFrame, version: int, folders: DataFrame | None = None) -> DataFrame:
+        """Append rows (repo_id, branch_name, content_type, text, ...) with ids from their content and place, their
+        vectors, and edges to the ids in depends_on and related_to. If any row is invalid, nothing is stored.
 
-    def _forget(self, *tables: DataFrame) -> None:
-        for table in tables:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(table._kept_at)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        folders (folder, repo_id, branch_name): rows without a repo_id belong to the deepest one that holds their file."""
+        if folders is not None:
+            rows = scopes.placed(rows, folders)
+        with self._transaction("create", version):
+            self._create(rows, version)
+        return self.log().where(F.col("version") == version)
 
-    def create(self, rows: DataFrame, version: int) -> DataFrame:
-        """Append rows (repo_id, branch_name, content_type, text, ...) with ids from their content and place, their
-        vectors, and edges to the ids in depends_on and related_to. If any row is invalid, nothing is stored."""
+    def _create(self, rows: DataFrame, version: int) -> None:
         for column, kind in _OPTIONAL.items():
             if column not in rows.columns:
                 rows = rows.withColumn(column, F.lit(None).cast(kind))
@@ -69,12 +169,15 @@ class Store:
         screened = maintenance.screened(rows) if self.sanitise else rows.withColumn("has_secrets", tx.has_secrets(F.col("text")))
         place = F.concat_ws("\x1f", "repo_id", "branch_name", F.coalesce("file_path", F.lit("")), tx.checksum(F.col("text")),
             F.coalesce(F.col("line_start").cast("string"), F.lit("")))
-        bad = ~F.col("content_type").isin(*TYPES) | F.col("content_type").isNull() | F.col("text").isNull() | (tx.stripped(F.col("text")) == "") | (F.col("has_secrets") & F.lit(not self.sanitise))
+        bad = F.col("repo_id").isNull() | F.col("branch_name").isNull() | ~F.col("content_type").isin(*TYPES) | F.col("content_type").isNull() | F.col("text").isNull() | (tx.stripped(F.col("text")) == "") | (F.col("has_secrets") & F.lit(not self.sanitise))
         out = derived(screened).withColumns({"memory_id": F.left(F.sha2(place, 256), F.lit(32)), "version": F.lit(version).cast("long"),
             "deleted": F.lit(False), "stale": F.lit(False), "created_at": F.lit(version).cast("long"), "_bad": bad})
         kept = self._once(out.dropDuplicates(["memory_id"]), "new")
         if kept.where("_bad").limit(1).count():
-            self._forget(kept)
+            held = kept.where("has_secrets and _bad").limit(REPORTED)
+            report = maintenance.findings(held).select(*_SCOPE, "file_path", "checksum", "rule", "begin", "end").limit(REPORTED).collect()
+            if report:
+                raise RejectedSecrets(report)
             raise ValueError("a memory needs a known content_type and a text without secrets; nothing was stored")
         out = kept.drop("_bad", "has_secrets")
         # Ids stand for content and place: one that was stored before has its vector already.
@@ -86,20 +189,18 @@ class Store:
             (out.select(F.col("memory_id").alias("from_id"), F.explode(kind).alias("to_id"), F.lit(kind).alias("relationship_type"),
             *_SCOPE) for kind in ("depends_on", "related_to")))
         self._write(edges.distinct(), "edges")
-        self._forget(kept)
-        return self.log().where(F.col("version") == version)
 
     def log(self) -> DataFrame:
         """Every version of each memory. Names of repositories and branches are strings, also where they look like numbers."""
         stored = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/memories").schema
         schema = StructType([StructField(f.name, StringType() if f.name in _SCOPE else f.dataType) for f in stored])
-        return self.spark.read.schema(schema).parquet(f"{self.path}/memories")
+        return self._counted(self.spark.read.schema(schema).parquet(f"{self.path}/memories"))
 
     def memories(self) -> DataFrame:
         return maintenance.current(self.log())
 
     def _vectors(self) -> DataFrame:
-        return self._read("vectors", "memory_id string, embedding array<float>, repo_id string, branch_name string")
+        return self._read("vectors")
 
     def vectors(self) -> DataFrame:
         """The vectors of current memories. Ids of deleted ones go to the vectors, as long as they are few."""
@@ -109,7 +210,7 @@ class Store:
         return self._vectors().join(small(gone, most=200_000), "memory_id", "left_anti")
 
     def edges(self) -> DataFrame:
-        return self._read("edges", "from_id string, to_id string, relationship_type string, repo_id string, branch_name string").distinct()
+        return self._read("edges").distinct()
 
     def rehydrated(self) -> DataFrame:
         """Current memories with the ids that their edges point to."""
@@ -130,10 +231,12 @@ class Store:
     def delete(self, ids: DataFrame, version: int, confirm: bool = False) -> None:
         if not confirm:
             raise ValueError("deleting needs confirm=True")
-        self._append(self._named(ids).withColumn("deleted", F.lit(True)), version)
+        with self._transaction("delete", version):
+            self._append(self._named(ids).withColumn("deleted", F.lit(True)), version)
 
     def retag(self, ids: DataFrame, tags: list[str], version: int) -> None:
-        self._append(self._named(ids).withColumn("tags", F.array(*map(F.lit, tags)).cast("array<string>")), version)
+        with self._transaction("retag", version):
+            self._append(self._named(ids).withColumn("tags", F.array(*map(F.lit, tags)).cast("array<string>")), version)
 
     def refresh(self, changes: DataFrame, version: int) -> None:
         """changes: memory_id and new_content, tags or both. New content makes a new memory with the metadata of the old
@@ -144,32 +247,43 @@ class Store:
         if changes.where("new_content is null and tags is null").limit(1).count():
             raise ValueError("a refresh needs new_content or tags")
         asked = changes.select("memory_id", "new_content", F.col("tags").alias("_tags"))
-        found = self._once(self.rehydrated().join(asked, "memory_id").withColumn("tags", F.coalesce("_tags", "tags")), "refresh")
-        anew = found.where("new_content is not null").withColumn("text", F.col("new_content"))
-        retagged = found.where("new_content is null").drop("new_content", "_tags")
-        if retagged.limit(1).count():
-            self._append(retagged, version)
-        if anew.limit(1).count():
-            self.create(anew.select(*_SCOPE, "content_type", "text", *(c for c in _OPTIONAL if c != "stale_reason")), version)
-            fresh = self.log().where(F.col("version") == version).select("memory_id")
-            gone = anew.select("memory_id").join(fresh, "memory_id", "left_anti")
-            self.delete(gone, version, confirm=True)
-        self._forget(found)
+        with self._transaction("refresh", version):
+            found = self._once(self.rehydrated().join(asked, "memory_id").withColumn("tags", F.coalesce("_tags", "tags")), "refresh")
+            anew = found.where("new_content is not null").withColumn("text", F.col("new_content"))
+            retagged = found.where("new_content is null").drop("new_content", "_tags")
+            if retagged.limit(1).count():
+                self._append(retagged, version)
+            if anew.limit(1).count():
+                self.create(anew.select(*_SCOPE, "content_type", "text", *(c for c in _OPTIONAL if c != "stale_reason")), version)
+                fresh = self.log().where(F.col("version") == version).select("memory_id")
+                gone = anew.select("memory_id").join(fresh, "memory_id", "left_anti")
+                self.delete(gone, version, confirm=True)
 
     def mark_stale(self, changed: DataFrame, commit: str, version: int) -> None:
-        before = self.memories()
-        after = maintenance.marked_stale(before, changed, commit)
-        self._append(after.join(before.where("not stale").select("memory_id"), "memory_id", "left_semi").where("stale"), version)
+        with self._transaction("mark_stale", version):
+            before = self.memories()
+            after = maintenance.marked_stale(before, changed, commit)
+            self._append(after.join(before.where("not stale").select("memory_id"), "memory_id", "left_semi").where("stale"), version)
 
     def expire(self, as_of: int, version: int, conversation_days: int = 0, context_days: int = 0) -> None:
         """Delete conversations and contexts that are too old."""
-        self._append(maintenance.expired(self.memories(), as_of, conversation_days, context_days).withColumn("deleted", F.lit(True)), version)
+        with self._transaction("expire", version):
+            self._append(maintenance.expired(self.memories(), as_of, conversation_days, context_days).withColumn("deleted", F.lit(True)), version)
 
     def compact(self, to: str) -> "Store":
-        """The current state as a store of its own, one version a memory."""
-        for name in ("memories", "vectors", "edges"):
-            getattr(self, name)().write.mode("overwrite").partitionBy(*_SCOPE).parquet(f"{to}/{name}")
-        return Store(self.spark, to, self.embed, self.sanitise)
+        """The current state as a store of its own, at a path where there is none: one version a memory, one batch, nothing of
+        calls that failed, and the hashes and commits that count."""
+        other = Store(self.spark, to, self.embed, self.sanitise)
+        newest = self.transactions().agg(F.max("version")).first()[0] or 0
+        with other._transaction("compact", newest):
+            last = self.tracked_files().select(*_SCOPE, F.col("last_version").alias("version"))
+            other._write(self.memories(), "memories")
+            other._write(self.vectors(), "vectors")
+            other._write(self.edges(), "edges")
+            other._write(self._read("hashes").join(last, [*_SCOPE, "version"], "left_semi"), "hashes")
+            commits = self._read("commits").groupBy(*_SCOPE).agg(F.max(F.struct("at", "commit")).alias("c"))
+            other._write(commits.select("c.commit", "c.at", *_SCOPE), "commits")
+        return other
 
     def summarise(self, asked: DataFrame, repo: str, branch: str, version: int | None = None, budget: int = 500, group_by: str = "file") -> DataFrame:
         """request_id, summary, token_count, memories_included of requests (request_id, ids or text); with a version,
@@ -193,13 +307,13 @@ class Store:
     def capture(self, items: DataFrame, repo: str, branch: str, version: int) -> DataFrame:
         """Store items (session_id, place, content_type, text, tags) that are not stored yet; session_id, extracted, stored."""
         scoped = items.withColumns({"repo_id": F.lit(repo), "branch_name": F.lit(branch)})
-        fresh = self._once(capturing.not_stored(scoped, self.vectors(), self.embed, scoped=_SCOPE), "fresh")
-        counts = capturing.stored_counts(items,
-            fresh).withColumns({"version": F.lit(version).cast("long"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)})
-        self._write(counts.withColumn("session_id", F.col("session_id").cast("string")), "captures")
-        self.create(fresh.select(*_SCOPE, "content_type", "text", "tags"), version)
-        self._forget(fresh)
-        rows = self._read("captures", "session_id string, extracted long, stored long, version long, repo_id string, branch_name string")
+        with self._transaction("capture", version):
+            fresh = self._once(capturing.not_stored(scoped, self.vectors(), self.embed, scoped=_SCOPE), "fresh")
+            counts = capturing.stored_counts(items,
+                fresh).withColumns({"version": F.lit(version).cast("long"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)})
+            self._write(counts.withColumn("session_id", F.col("session_id").cast("string")), "captures")
+            self.create(fresh.select(*_SCOPE, "content_type", "text", "tags"), version)
+        rows = self._read("captures")
         return rows.where((F.col("version") == version) & (F.col("repo_id") == repo) & (F.col("branch_name") == branch)).select("session_id",
             "extracted", "stored")
 
@@ -210,67 +324,61 @@ class Store:
 
         Files are read once. With most, only so many are looked at, and files beyond are not taken for removed.
         full_after_minutes: hashes older than that (by their version, in seconds) don't count."""
-        whole = fl.repository(self.spark, root, patterns)
-        found = self._once(fl.repository(self.spark, root, patterns, most) if most else whole, "files")
-        new = found.select("path", "sha256")
-        last = self._hash_rows(repo, branch).agg(F.max("version")).first()[0]
-        if full_after_minutes and maintenance.needs_full_run(last, version, full_after_minutes):
-            incremental = False
-        known = self._hashes(repo, branch)
-        looked_at = indexing.outcomes(found, known if incremental else None)
-        looked_at = self._once(looked_at.drop("content"), "outcomes")
-        self.create(indexing.rows_of(indexing.chunks(looked_at), repo, branch), version)
-        paths = whole.select("path") if most else new.select("path")
-        old = known.join(paths, "path", "left_semi").join(new.select("path"), "path", "left_anti") if most else known.limit(0)
-        changed = self._once_kept(maintenance.changes(known.join(old, "path", "left_anti"), new).join(looked_at.select("path", "outcome"), "path",
-            "left"), version, repo, branch)
-        self._mark(new.unionByName(old), repo, branch, version)
-        if commit is not None:
-            self.set_commit(repo, branch, commit, version)
-        self._forget(found, looked_at)
-        return changed
-
-    def _once_kept(self, changed: DataFrame, version: int, repo: str, branch: str) -> DataFrame:
-        """The changes of an index run, as a table that stays."""
-        self._write(changed.withColumns({"version": F.lit(version).cast("long"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)}), "changes")
-        rows = self._read("changes", "path string, change string, outcome string, version long, repo_id string, branch_name string")
+        with self._transaction("index", version):
+            whole = fl.repository(self.spark, root, patterns)
+            found = self._once(fl.repository(self.spark, root, patterns, most) if most else whole, "files")
+            new = found.select("path", "sha256")
+            last = self._hash_rows(repo, branch).agg(F.max("version")).first()[0]
+            if full_after_minutes and maintenance.needs_full_run(last, version, full_after_minutes):
+                incremental = False
+            known = self._hashes(repo, branch)
+            looked_at = indexing.outcomes(found, known if incremental else None)
+            looked_at = self._once(looked_at.drop("content"), "outcomes")
+            self.create(indexing.rows_of(indexing.chunks(looked_at), repo, branch), version)
+            paths = whole.select("path") if most else new.select("path")
+            old = known.join(paths, "path", "left_semi").join(new.select("path"), "path", "left_anti") if most else known.limit(0)
+            changed = maintenance.changes(known.join(old, "path", "left_anti"), new).join(looked_at.select("path", "outcome"), "path", "left")
+            self._write(changed.withColumns({"version": F.lit(version).cast("long"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)}), "changes")
+            self._mark(new.unionByName(old), repo, branch, version)
+            if commit is not None:
+                self.set_commit(repo, branch, commit, version)
+        rows = self._read("changes")
         return rows.where((F.col("version") == version) & (F.col("repo_id") == repo) & (F.col("branch_name") == branch)).select("path", "change",
             "outcome")
 
     def sync(self, root: str, changed: list[str], repo: str, branch: str, commit: str, version: int, patterns: tuple[str, ...] = fl.PATTERNS) -> dict:
         """Bring memories from the last indexed commit to this one, by the files changed between them: code of these turns
-        stale, and those still there are chunked anew. Counts, and a message that says why nothing was done."""
-        zero = {"success": True, "files_updated": 0, "files_removed": 0, "memories_staled": 0, "chunks_created": 0}
+        stale, and those still there are chunked anew. Counts, and a status: never indexed, unchanged, no files or synced."""
+        done = {"status": "synced", "from_commit": None, "to_commit": commit, "files_updated": 0, "files_removed": 0, "memories_staled": 0, "chunks_created": 0}
         last = self.last_commit(repo, branch)
         if last is None:
-            return zero | {"success": False, "message": f"No previous index found for {repo}/{branch}. Run index first."}
+            return done | {"status": "never indexed"}
+        done["from_commit"] = last
         if last == commit:
-            return zero | {"message": f"Already up to date at {commit[:8]}"}
+            return done | {"status": "unchanged"}
         if not changed:
             self.set_commit(repo, branch, commit, version)
-            return zero | {"message": f"No file changes between {last[:8]}..{commit[:8]}"}
+            return done | {"status": "no files"}
         paths = self.spark.createDataFrame([(p,) for p in dict.fromkeys(changed)], "path string")
         matching = paths.where(indexing.name_matches(F.col("path"), patterns))
-        found = self._once(fl.repository(self.spark, root, ("**",), ignored=()).join(F.broadcast(matching), "path", "left_semi"),
-            "files")  # as many as changed
         scope = (F.col("repo_id") == repo) & (F.col("branch_name") == branch)
-        before = self.memories().where(scope)
-        staled = self._once(maintenance.marked_stale(before, paths, commit).where("stale").join(before.where("not stale").select("memory_id"),
-            "memory_id", "left_semi"), "stale")
-        n_staled, n_found, n_paths = staled.count(), found.count(), paths.count()
-        self._append(staled, version)
-        chunks = self._once(indexing.chunks(indexing.outcomes(found).drop("content")), "chunks")
-        n_chunks = chunks.count()
-        self.create(indexing.rows_of(chunks, repo, branch, ("indexed", "repository", "synced")), version + 1)
-        rest = self._hashes(repo, branch).join(paths, "path", "left_anti")
-        self._mark(rest.unionByName(found.select("path", "sha256")), repo, branch, version + 1)
-        self.set_commit(repo, branch, commit, version + 1)
-        self._forget(found, staled, chunks)
-        return zero | {"files_updated": n_found, "files_removed": n_paths - n_found, "memories_staled": n_staled, "chunks_created": n_chunks,
-            "message": f"Synced {last[:8]}..{commit[:8]}: {n_paths} files changed, {n_chunks} new chunks, {n_staled} memories staled"}
+        with self._transaction("sync", version + 1):
+            found = self._once(fl.repository(self.spark, root, ("**",), ignored=()).join(F.broadcast(matching), "path", "left_semi"),
+                "files")  # as many as changed
+            before = self.memories().where(scope)
+            staled = self._once(maintenance.marked_stale(before, paths, commit).where("stale").join(before.where("not stale").select("memory_id"),
+                "memory_id", "left_semi"), "stale")
+            self._append(staled, version)
+            chunks = self._once(indexing.chunks(indexing.outcomes(found).drop("content")), "chunks")
+            n_staled, n_found, n_paths, n_chunks = staled.count(), found.count(), paths.count(), chunks.count()
+            self.create(indexing.rows_of(chunks, repo, branch, ("indexed", "repository", "synced")), version + 1)
+            rest = self._hashes(repo, branch).join(paths, "path", "left_anti")
+            self._mark(rest.unionByName(found.select("path", "sha256")), repo, branch, version + 1)
+            self.set_commit(repo, branch, commit, version + 1)
+        return done | {"files_updated": n_found, "files_removed": n_paths - n_found, "memories_staled": n_staled, "chunks_created": n_chunks}
 
     def _hash_rows(self, repo: str, branch: str) -> DataFrame:
-        rows = self._read("hashes", "path string, sha256 string, version long, repo_id string, branch_name string")
+        rows = self._read("hashes")
         return rows.where((F.col("repo_id") == repo) & (F.col("branch_name") == branch))
 
     def _hashes(self, repo: str, branch: str) -> DataFrame:
@@ -282,9 +390,9 @@ class Store:
     def _mark(self, files: DataFrame, repo: str, branch: str, version: int) -> None:
         """Write the hashes of all indexed files; a row without a path says that there may be none."""
         none = self.spark.createDataFrame([(None, None)], "path string, sha256 string")
-        self._write(files.select("path",
-            "sha256").unionByName(none).withColumns({"version": F.lit(version).cast("long"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)}),
-            "hashes")
+        rows = files.select("path", "sha256").unionByName(none)
+        with self._transaction("mark", version):
+            self._write(rows.withColumns({"version": F.lit(version).cast("long"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)}), "hashes")
 
     def mark_indexed(self, files: DataFrame, repo: str, branch: str, version: int) -> None:
         """Take these files (path, sha256) as indexed, besides those that are."""
@@ -297,18 +405,20 @@ class Store:
 
     def tracked_files(self) -> DataFrame:
         """repo_id, branch_name, last_version, files."""
-        return maintenance.tracked(self._read("hashes", "path string, sha256 string, version long, repo_id string, branch_name string"))
+        return maintenance.tracked(self._read("hashes"))
 
     def set_commit(self, repo: str, branch: str, commit: str, version: int) -> None:
         row = self.spark.createDataFrame([(repo, branch, commit, version)], "repo_id string, branch_name string, commit string, at long")
-        self._write(row, "commits")
+        with self._transaction("set_commit", version):
+            self._write(row, "commits")
 
     def last_commit(self, repo: str, branch: str) -> str | None:
-        log = self._read("commits", "commit string, at long, repo_id string, branch_name string")
+        log = self._read("commits")
         row = maintenance.last_commits(log.where((F.col("repo_id") == repo) & (F.col("branch_name") == branch))).first()
         return row["commit"] if row else None
 
     def audit(self, tool: str, repo: str, branch: str, at: int) -> None:
+        """One line of JSON for a call, whatever became of it."""
         self.spark.createDataFrame([(at, tool, repo, branch)],
             "ts long, tool string, repo string, branch string").write.mode("append").json(f"{self.path}/audit")
 

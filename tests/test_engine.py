@@ -182,14 +182,15 @@ def test_sync_to_a_commit(spark, tmp_path):
     (src / "a.py").write_text("def a():\n    return 1\n")
     (src / "b.py").write_text("def b(): pass\n")
     store = Store(spark, f"file://{tmp_path}/store")
-    assert not store.sync(f"file://{src}", ["a.py"], "r", "main", "c2", 1)["success"]
+    assert store.sync(f"file://{src}", ["a.py"], "r", "main", "c2", 1)["status"] == "never indexed"
     store.index(f"file://{src}", "r", "main", 10, commit="c" * 40)
-    assert store.sync(f"file://{src}", ["a.py"], "r", "main", "c" * 40, 20)["message"] == "Already up to date at cccccccc"
-    assert store.sync(f"file://{src}", [], "r", "main", "d" * 40, 30)["message"].startswith("No file changes") and store.last_commit("r", "main") == "d" * 40
+    assert store.sync(f"file://{src}", ["a.py"], "r", "main", "c" * 40, 20)["status"] == "unchanged"
+    assert store.sync(f"file://{src}", [], "r", "main", "d" * 40, 30)["status"] == "no files" and store.last_commit("r", "main") == "d" * 40
     (src / "a.py").write_text("def a2():\n    return 2\n")
     (src / "b.py").unlink()
     (src / "n.txt").write_text("new")
     got = store.sync(f"file://{src}", ["a.py", "b.py", "n.txt"], "r", "main", "e" * 40, 40)
+    assert (got["status"], got["from_commit"], got["to_commit"]) == ("synced", "d" * 40, "e" * 40)
     assert (got["files_updated"], got["files_removed"], got["memories_staled"], got["chunks_created"]) == (1, 2, 2, 1) and store.last_commit("r", "main") == "e" * 40
     rows = {(r["function_name"], r["stale"], tuple(r["tags"]), r["stale_reason"]) for r in store.memories().collect()}
     assert rows == {("a", True, ("indexed", "repository"), "File changed in commit eeeeeeee"), ("b", True, ("indexed", "repository"), "File changed in commit eeeeeeee"), ("a2", False, ("indexed", "repository", "synced"), None)}
