@@ -32,17 +32,37 @@ _NEAREST = """vectors AS (SELECT e.vec_id, e.embedding, e.label, m.repo_id, m.br
   hits AS (SELECT query_id, memory_id, exp(-distance) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), memory_id) AS rank FROM d)"""
 
 
-#: Sources with the declarations that are cut out, and braces where they don't count.
+#: Sources with a comment that holds a document, and braces where they don't count.
 CODE = {
-    "javascript": "export class NAME {\n  // }\n  run(a = f(1)) { return `}`; }\n}\nasync function go() { if (x) { y(); } }\n",
-    "typescript": "interface NAME { a: string }\nclass C extends NAME {\n  private async run<T>(x: T): Promise<void> { '}' }\n}\nfunction go<T>(x: T): T { return x }\n",
-    "go": "package a\ntype NAME struct { x int }\nfunc (n *NAME) Run() rune { return '}' }\nfunc Go(x int) (int, error) { return 1, nil }\n",
-    "rust": "pub struct NAME;\npub trait T { fn sig(&self); }\nimpl<'a> T for NAME {\n  fn run(&self) { let c = '}'; }\n}\n",
-    "java": "public class NAME {\n  @Override\n  public String run(int a) throws E { return \"}\"; }\n}\ninterface I { void k(); }\n",
-    "c": "struct NAME { int a; };\nstatic int run(int a) { /* } */ return a; }\nint proto(int);\n",
-    "cpp": "class NAME : public B { int a; };\nint run(std::vector<int> v) { return 0; }\n",
-    "csharp": "namespace N { public sealed class NAME { public async Task<int> Run(int x) { return 1; } } interface I { void K(); } }\n",
+    "javascript": "export class NAME {\n  // }\n  run(a = f(1)) { /* TEXT */ return `}`; }\n}\nasync function go() { if (x) { y(); } }\n",
+    "typescript": "interface NAME { a: string }\nclass C extends NAME {\n  private async run<T>(x: T): Promise<void> { /* TEXT */ '}' }\n}\nfunction go<T>(x: T): T { return x }\n",
+    "go": "package a\ntype NAME struct { x int }\nfunc (n *NAME) Run() rune { /* TEXT */ return '}' }\nfunc Go(x int) (int, error) { return 1, nil }\n",
+    "rust": "pub struct NAME;\npub trait T { fn sig(&self); }\nimpl<'a> T for NAME {\n  fn run(&self) { /* TEXT */ let c = '}'; }\n}\n",
+    "java": "public class NAME {\n  @Override\n  public String run(int a) throws E { /* TEXT */ return \"}\"; }\n}\ninterface I { void k(); }\n",
+    "c": "struct NAME { int a; };\nstatic int run(int a) { /* TEXT */ return a; }\nint proto(int);\n",
+    "cpp": "class NAME : public B { int a; };\nint run(std::vector<int> v) { /* TEXT */ return 0; }\nint main() { }\n",
+    "csharp": "namespace N { public sealed class NAME { public async Task<int> Run(int x) { /* TEXT */ return 1; } } interface I { void K(); } }\n",
+    "svelte": "<script>\nfunction NAME() { /* TEXT */ }\n</script>\n<p>{ x }</p>\n<script lang=\"ts\">\ninterface I { }\n</script>\n",
+    "python": "class NAME(Base):\n    \"\"\"TEXT\"\"\"\n    def f(self):\n        return 1\n\ndef g():\n    pass\n",
 }
+#: What is cut out of them, written by hand: language, kind, name, the chunk, its first line, and whether the document is before it.
+CUTS = (
+    ("javascript", "class", "NAME", "class NAME {\n  // }\n  run(a = f(1)) { /* TEXT */ return `}`; }\n}", 1, 0), ("javascript", "method", "run", "run(a = f(1)) { /* TEXT */ return `}`; }", 3, 0),
+    ("javascript", "function", "go", "async function go() { if (x) { y(); } }", 5, 1), ("typescript", "class", "NAME", "interface NAME { a: string }", 1, 0),
+    ("typescript", "class", "C", "class C extends NAME {\n  private async run<T>(x: T): Promise<void> { /* TEXT */ '}' }\n}", 2, 0), ("typescript", "method", "run", "private async run<T>(x: T): Promise<void> { /* TEXT */ '}' }", 3, 0),
+    ("typescript", "function", "go", "function go<T>(x: T): T { return x }", 5, 1), ("go", "class", "NAME", "type NAME struct { x int }", 2, 0),
+    ("go", "method", "Run", "func (n *NAME) Run() rune { /* TEXT */ return '}' }", 3, 0), ("go", "function", "Go", "func Go(x int) (int, error) { return 1, nil }", 4, 1),
+    ("rust", "class", "NAME", "pub struct NAME;", 1, 0), ("rust", "class", "T", "pub trait T { fn sig(&self); }", 2, 0), ("rust", "class", "impl", "impl<'a> T for NAME {\n  fn run(&self) { /* TEXT */ let c = '}'; }\n}", 3, 0),
+    ("rust", "function", "run", "fn run(&self) { /* TEXT */ let c = '}'; }", 4, 0), ("java", "class", "NAME", "public class NAME {\n  @Override\n  public String run(int a) throws E { /* TEXT */ return \"}\"; }\n}", 1, 0),
+    ("java", "method", "run", "@Override\n  public String run(int a) throws E { /* TEXT */ return \"}\"; }", 2, 0), ("java", "class", "I", "interface I { void k(); }", 5, 1), ("java", "method", "k", "void k();", 5, 1),
+    ("c", "class", "NAME", "struct NAME { int a; }", 1, 0), ("c", "function", "run", "static int run(int a) { /* TEXT */ return a; }", 2, 0), ("cpp", "class", "NAME", "class NAME : public B { int a; }", 1, 0),
+    ("cpp", "function", "run", "int run(std::vector<int> v) { /* TEXT */ return 0; }", 2, 0), ("cpp", "function", "main", "int main() { }", 3, 1),
+    ("csharp", "class", "NAME", "public sealed class NAME { public async Task<int> Run(int x) { /* TEXT */ return 1; } }", 1, 0), ("csharp", "method", "Run", "public async Task<int> Run(int x) { /* TEXT */ return 1; }", 1, 0),
+    ("csharp", "class", "I", "interface I { void K(); }", 1, 1), ("csharp", "method", "K", "void K();", 1, 1), ("svelte", "function", "NAME", "function NAME() { /* TEXT */ }", 2, 0), ("svelte", "class", "I", "interface I { }", 6, 1),
+    ("python", "class", "NAME", "class NAME(Base):\n    \"\"\"TEXT\"\"\"\n    def f(self):\n        return 1", 1, 0), ("python", "method", "f", "    def f(self):\n        return 1", 3, 1), ("python", "function", "g", "def g():\n    pass", 6, 1),
+)
+#: Signs that would end a comment or a docstring, or a line within it.
+_ENDING = "*/\"\\\r\0"
 
 
 def query(sql: str | None = None):
@@ -525,9 +545,12 @@ def chunk_text(spark, d):
         F.lit("text").alias("language"))).select("path", "chunk_text", "line_start", "line_end")
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, 'class C' || doc_id AS c, '(Base):' || chr(10) AS b, '    def f(self):' || chr(10) || '        return 1' AS f, 'def g():' || chr(10) || '    return ' || '"'||'""' || translate(coalesce(text, ''), '*/"\' || chr(13), '') || '"'||'""' AS g FROM documents),
+  x AS (SELECT doc_id, c || b || f AS chunk_text, 1 AS line_start, 'class' AS kind, substr(c, 7) AS name, 'Base' AS parent FROM t UNION ALL SELECT doc_id, f, 2, 'method', 'f', NULL FROM t UNION ALL SELECT doc_id, g, 5, 'function', 'g', NULL FROM t)
+  SELECT doc_id::VARCHAR AS path, 'python' AS language, chunk_text, line_start, (line_start + length(chunk_text) - length(replace(chunk_text, chr(10), '')))::INT AS line_end, kind, name, parent, NULL::VARCHAR AS docstring, []::VARCHAR[] AS decorators FROM x""")
 def chunk_python(spark, d):
-    code = F.concat(F.lit("class C"), F.col("memory_id").cast("string"), F.lit("(Base):\n    def f(self):\n        return 1\n\ndef g():\n    pass\n"))
+    text = F.translate(F.coalesce("text", F.lit("")), _ENDING, "")
+    code = F.concat(F.lit("class C"), F.col("memory_id").cast("string"), F.lit("(Base):\n    def f(self):\n        return 1\n\ndef g():\n    return \"\"\""), text, F.lit("\"\"\"\n"))
     return chunking.chunked(tb.memories(spark, d).select(F.col("memory_id").cast("string").alias("path"), code.alias("text"),
         F.lit("python").alias("language")))
 
@@ -540,13 +563,23 @@ def code_fence_truncate(spark, d):
         tx.fences_cut(F.concat(F.lit("x\n```py\n"), fence, F.lit("\n```\ny"))).alias("text"))
 
 
-@query()
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_CUTS = ", ".join(f"({_quoted(lang)}, {_quoted(kind)}, {_quoted(name)}, {_quoted(chunk)}, {line}, {after})" for lang, kind, name, chunk, line, after in CUTS)
+
+
+@query(f"""WITH c(language, kind, name, chunk, line, after) AS (VALUES {_CUTS}), t AS (SELECT doc_id, translate(coalesce(text, ''), '*/"\' || chr(13), '') AS t FROM documents),
+  x AS (SELECT doc_id::VARCHAR AS path, language, kind, replace(name, 'NAME', 'N' || doc_id) AS name, replace(replace(chunk, 'NAME', 'N' || doc_id), 'TEXT', t) AS chunk, (line + after * (length(t) - length(replace(t, E'\\n', ''))))::INT AS line_start FROM t, c)
+  SELECT path, language, kind, name, line_start, (line_start + length(chunk) - length(replace(chunk, E'\\n', '')))::INT AS line_end, sha256(chunk) AS chunk_sha256 FROM x""")
 def chunk_code(spark, d):
-    """A file in each language that is cut by its declarations, for every memory."""
+    """A file in each language for every memory, with its text in a comment, cut by declarations."""
+    text = F.translate(F.coalesce("text", F.lit("")), _ENDING, "")
     name = F.concat(F.lit("N"), F.col("memory_id").cast("string"))
-    texts = F.create_map(*[x for lang, body in CODE.items() for x in (F.lit(lang), F.replace(F.lit(body), F.lit("NAME"), name))])
+    texts = F.create_map(*[x for lang, body in CODE.items() for x in (F.lit(lang), F.replace(F.replace(F.lit(body), F.lit("NAME"), name), F.lit("TEXT"), text))])
     files = tb.memories(spark, d).select(F.col("memory_id").cast("string").alias("path"), F.explode(texts).alias("language", "text"))
-    return chunking.chunked(files).select("path", "language", "kind", "name", "line_start", "line_end")
+    return chunking.chunked(files).select("path", "language", "kind", "name", "line_start", "line_end", F.sha2("chunk_text", 256).alias("chunk_sha256"))
 
 
 @query()

@@ -10,50 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recall_spark.operators import declarations, lexing
+
 SCHEMA = "path string, language string, chunk_text string, line_start int, line_end int, kind string, name string, parent string, docstring string, decorators array<string>"
 MAX_TOKENS, OVERLAP_TOKENS = 500, 50
 
-_COMMENT, _STRING, _CHAR = r"//[^\n]*|/\*.*?(?:\*/|\Z)", r'"(?:\\.|[^"\\\n])*"?', r"'(?:\\'|\\[^'\n]{1,9}|[^'\\\n])'"
-_QUOTED = r"'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?"
-#: What braces and words don't count in: comments, strings, and characters.
-HIDDEN = {"javascript": f"{_COMMENT}|{_STRING}|{_QUOTED}", "typescript": f"{_COMMENT}|{_STRING}|{_QUOTED}",
-    "go": f"{_COMMENT}|{_STRING}|{_CHAR}|`[^`]*`?"}
-_PARAMETERS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-_JS_METHOD = rf"(?:^|[{{}};,])\s*(?P<def>(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*\*?\s*(?!(?:if|for|while|switch|catch|function|return|with|do|else|new|typeof|await)\b)(?P<name>[#\w$]+)\s*(?:<[^<>()]*>)?\s*{_PARAMETERS}\s*(?::[^;={{}}]+)?)(?=\{{)"
-_GO_TYPE = r"^[ \t]*(?P<def>type\s+(?P<name>\w+)[^\n({]*)"
-_MODIFIERS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|async|override|virtual|default|synchronized|native|readonly|extern|unsafe|new)\s+)*"
-_NOT_A_TYPE = r"(?!(?:return|new|throw|else|case|assert|package|import|using|await|yield|goto|delete|do|in|is|as|if|for|while|switch|catch|lock|foreach)\b)"
-_TYPED_METHOD = rf"(?:^|[{{}};])\s*(?P<def>(?:@\w+(?:\([^()]*\))?\s+|\[[^\[\]\n]*\]\s+)*{_MODIFIERS}(?:<[^<>()]*>\s*)?{_NOT_A_TYPE}[A-Za-z_][\w.]*(?:<[^;(){{}}]*>)?(?:\[\])*\??\s+(?P<name>\w+)\s*(?:<[^<>()]*>)?\s*{_PARAMETERS}\s*(?:throws\s+[\w., ]+|where\s+[^{{;]+)?)(?=\{{|;|=>)"
-_C_FUNCTION = rf"^[ \t]*(?P<def>{_NOT_A_TYPE}(?!(?:typedef|struct\s+\w+\s*\{{|class|enum|union|namespace)\b)[A-Za-z_][\w:<>,~ \t*&\[\]]*?[\s*&]+(?P<name>~?[A-Za-z_][\w:~]*)\s*{_PARAMETERS}\s*(?:const|noexcept|override|final|\s)*)(?=\{{)"
-
-
-def _typed(word: str, modifiers: str = "") -> str:
-    return rf"(?:^|[{{}};])\s*(?P<def>{modifiers}(?:{word})\s+(?P<name>\w+)[^;{{}}]*)(?=\{{)"
-
-
-#: Declarations of a language: kind and pattern of what comes before a body. Interfaces, structs, traits, types and impl
-#: blocks are classes; an impl block has no name of its own.
-DECLARATIONS = {
-    "javascript": (("function", rf"(?P<def>\b(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)\s*{_PARAMETERS}\s*)(?=\{{)"),
-        ("class", r"(?P<def>\bclass\s+(?P<name>[\w$]+)[^;{}()]*(?:\([^()]*\))?\s*)(?=\{)"), ("method", _JS_METHOD)),
-    "typescript": (
-        ("function", rf"(?P<def>\b(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)\s*(?:<[^<>()]*>)?\s*{_PARAMETERS}\s*(?::[^;={{}}]+)?)(?=\{{)"),
-        ("class", r"(?P<def>\b(?:class|interface)\s+(?P<name>[\w$]+)[^;{}()]*(?:\([^()]*\))?\s*)(?=\{)"),
-        ("method", _JS_METHOD),
-    ),
-    "go": (("function", rf"^(?P<def>func\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\s*{_PARAMETERS}[^{{}}\n]*)(?=\{{)"),
-        ("method", rf"^(?P<def>func\s+\([^()]*\)\s*(?P<name>\w+)\s*{_PARAMETERS}[^{{}}\n]*)(?=\{{)"), ("class", _GO_TYPE)),
-    "rust": (
-        ("function", rf"(?:^|[{{}};])\s*(?P<def>(?:pub(?:\([^()]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(?P<name>\w+)\s*(?:<[^()]*?>)?\s*{_PARAMETERS}[^;{{}}]*)(?=\{{)"),
-        ("impl", r"(?:^|[{};])\s*(?P<def>(?:unsafe\s+)?impl\b[^;{}]*)(?=\{)"),
-        ("class", r"(?:^|[{};])\s*(?P<def>(?:pub(?:\([^()]*\))?\s+)?struct\s+(?P<name>\w+)[^;{}]*)(?=\{|;)"),
-        ("class", r"(?:^|[{};])\s*(?P<def>(?:pub(?:\([^()]*\))?\s+)?(?:unsafe\s+)?trait\s+(?P<name>\w+)[^;{}]*)(?=\{)"),
-    ),
-    "java": (("class", _typed("class|interface", _MODIFIERS)), ("method", _TYPED_METHOD)),
-    "csharp": (("class", _typed("class|interface", _MODIFIERS)), ("method", _TYPED_METHOD)),
-    "c": (("function", _C_FUNCTION), ("class", r"(?P<def>\bstruct\s+(?P<name>\w+)\s*)(?=\{)")),
-    "cpp": (("function", _C_FUNCTION), ("class", r"(?P<def>(?<!enum )\b(?:class|struct)\s+(?P<name>\w+)(?:\s+final)?\s*(?::[^;{}()]*)?)(?=\{)")),
-}
+#: Languages that are cut by their declarations.
+STRUCTURED = (*lexing.LANGUAGES, "svelte")
 
 
 def tokens(text: str) -> int:
@@ -81,34 +44,10 @@ def python_chunks(text: str):
         level = inner
 
 
-def visible(text: str, language: str) -> str:
-    """text with comments, strings and characters blanked, so that places stay as they are."""
-    return re.sub(HIDDEN.get(language, f"{_COMMENT}|{_STRING}|{_CHAR}"), lambda m: re.sub(r"[^\n]", " ", m.group()), text, flags=re.S)
-
-
 def brace_chunks(text: str, language: str):
-    """Declarations, also those within others, each up to the brace that closes its body, by where they begin."""
-    bare = visible(text, language)
-    opened, closes = [], {}
-    for m in re.finditer(r"[{}]", bare):
-        if m.group() == "{":
-            opened.append(m.start())
-        elif opened:
-            closes[opened.pop()] = m.end()
+    """Declarations, also those within others, by where they begin."""
     newlines = [m.start() for m in re.finditer("\n", text)]
-    found = {}
-    for kind, pattern in DECLARATIONS[language]:
-        for m in re.finditer(pattern, bare, re.M):
-            begin, at = m.start("def"), m.end()
-            if bare.startswith("{", at):
-                end = closes.get(at, len(text))
-            elif bare.startswith(("=>", ";"), at):
-                end = bare.find(";", at) + 1 or len(text)
-            else:
-                end = begin + len(bare[begin:at].rstrip())
-            name = "impl" if kind == "impl" else m.group("name")
-            found.setdefault((begin, end), ("class" if kind == "impl" else kind, name))
-    for (begin, end), (kind, name) in sorted(found.items()):
+    for begin, end, kind, name in declarations.declarations(text, language):
         yield text[begin:end], bisect_right(newlines, begin - 1) + 1, bisect_right(newlines, end - 1) + 1, kind, name, None, None, []
 
 
@@ -162,7 +101,7 @@ def chunks_of(text: str, language: str | None) -> list[tuple]:
     try:
         if language == "python":
             found = list(python_chunks(text))
-        elif language in DECLARATIONS:
+        elif language in STRUCTURED:
             found = list(brace_chunks(text, language))
     except (SyntaxError, ValueError, RecursionError):
         found = []

@@ -286,30 +286,7 @@ def test_hashed_embed(spark, memories):
         assert np.allclose(r["embedding"], embed(memories[r["memory_id"]]["text"]), atol=1e-6)
 
 
-def test_chunk_code(spark):
-    got = {}
-    for r in catalogue.queries()["chunk_code"](spark, SF).where("path = '7'").collect():
-        got.setdefault(r["language"], []).append((r["line_start"], r["line_end"], r["kind"], r["name"]))
-    assert {k: sorted(v, key=str) for k, v in got.items()} == {
-        k: sorted(v, key=str)
-        for k, v in {
-            "javascript": [(1, 4, "class", "N7"), (3, 3, "method", "run"), (5, 5, "function", "go")],
-            "typescript": [(1, 1, "class", "N7"), (2, 4, "class", "C"), (3, 3, "method", "run"), (5, 5, "function", "go")],
-            "go": [(2, 2, "class", "N7"), (3, 3, "method", "Run"), (4, 4, "function", "Go")],
-            "rust": [(1, 1, "class", "N7"), (2, 2, "class", "T"), (3, 5, "class", "impl"), (4, 4, "function", "run")],
-            "java": [(1, 4, "class", "N7"), (2, 3, "method", "run"), (5, 5, "class", "I"), (5, 5, "method", "k")],
-            "c": [(1, 1, "class", "N7"), (2, 2, "function", "run")],
-            "cpp": [(1, 1, "class", "N7"), (2, 2, "function", "run")],
-            "csharp": [(1, 1, "class", "N7"), (1, 1, "method", "Run"), (1, 1, "class", "I"), (1, 1, "method", "K")],
-        }.items()
-    }
-
-
-def test_chunk_python_and_repository(spark, memories):
-    got = {}
-    for r in catalogue.queries()["chunk_python"](spark, SF).collect():
-        got.setdefault(r["path"], set()).add((r["kind"], r["name"], r["parent"], r["line_start"], r["line_end"]))
-    assert got == {str(i): {("class", f"C{i}", "Base", 1, 3), ("method", "f", None, 2, 3), ("function", "g", None, 5, 6)} for i in memories}
+def test_index_repository(spark, memories):
     chunks = catalogue.queries()["index_repository"](spark, SF)
     want = sorted((f"src/f{i}.md", *c[:3]) for i, m in memories.items() if i % 17 and i % 19 and i % 4 == 0 and m["text"].strip() for c in chunking.text_chunks(m["text"]) if c[0].strip(" "))
     assert sorted((r["path"], r["chunk_text"], r["line_start"], r["line_end"]) for r in chunks.collect()) == want
