@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -197,22 +198,24 @@ def near_copies(vectors: DataFrame, new: DataFrame, least: float = 0.97, scoped:
     return top_k(vectors, new, 1, scoped).where(F.col("similarity") >= least).drop("rank")
 
 
+def hashed(texts: list[str | None], dimensions: int = 64) -> np.ndarray:
+    """A vector for each text: hashed words, signed, summed and normalised; zero for a text without words."""
+    out = np.zeros((len(texts), dimensions), np.float32)
+    for i, t in enumerate(texts):
+        for w in (t or "").lower().split():
+            h = zlib.crc32(w.encode())
+            out[i, h % dimensions] += 1.0 if h & 0x10000 else -1.0
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
 def embedded(texts: DataFrame, dimensions: int = 64) -> DataFrame:
-    """memory_id, embedding: hashed words, signed, summed and normalised; needs no model."""
+    """memory_id, embedding: the vectors of hashed(); needs no model."""
     kind = texts.schema["memory_id"].dataType.simpleString()
 
     def run(batches):
-        import zlib
-
         for batch in batches:
-            out = np.zeros((batch.num_rows, dimensions), np.float32)
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                for w in (t or "").lower().split():
-                    h = zlib.crc32(w.encode())
-                    out[i, h % dimensions] += 1.0 if h & 0x10000 else -1.0
-            out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-            flat = pa.array(out.ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dimensions, dtype=np.int32)), flat)
+            flat = hashed(batch.column("text").to_pylist(), dimensions).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dimensions, dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("memory_id"), lists], names=["memory_id", "embedding"])
 
     return texts.select("memory_id", "text").mapInArrow(run, f"memory_id {kind}, embedding array<float>")
