@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +81,58 @@ def known_for(sessions: DataFrame, vectors: DataFrame, memories: DataFrame, embe
     return named.select("query_id", "session_id").join(lines, "query_id").select("session_id", "known")
 
 
+#: What an extractor is told, before the lines that are known.
+EXTRACT = "List what this conversation settles or explains as a JSON list of objects with type, content and tags."
+Extractor = Callable[[list[tuple[str, str]]], list[str | None]]
+
+
+def replies(sessions: DataFrame, extractor: Extractor | None = None, base: str = EXTRACT) -> DataFrame:
+    """session_id, status, reply, error, prompt of sessions (session_id, text; and known, hint if they have them).
+
+    extractor: gets (instructions, text) of a batch of sessions and gives their replies, None where it has none. Without an
+    extractor, or where it has no reply or fails, status is passthrough or failed, and prompt is what the caller may ask a
+    model of their own. If a batch fails, its sessions are tried one by one, so that one of them doesn't cost the others."""
+    for column, kind in (("known", "array<string>"), ("hint", "string")):
+        if column not in sessions.columns:
+            sessions = sessions.withColumn(column, F.lit(None).cast(kind))
+    known = F.coalesce("known", F.expr("cast(array() as array<string>)"))
+    asked = F.when(F.coalesce("hint", F.lit("")) != "", F.concat(F.lit("Hint: "), "hint", F.lit("\n\n"), "text")).otherwise(F.col("text"))
+    rows = sessions.select("session_id", prompt(F.lit(base), known).alias("told"), asked.alias("asked"), to_extract(F.col("text"), F.col("hint")).alias("prompt"))
+    if extractor is None:
+        return rows.select("session_id", F.lit("passthrough").alias("status"), F.lit(None).cast("string").alias("reply"), F.lit(None).cast("string").alias("error"), "prompt")
+
+    def run(batches):
+        for batch in batches:
+            pairs = list(zip(batch.column("told").to_pylist(), batch.column("asked").to_pylist()))
+            errors: list[str | None] = [None] * len(pairs)
+            try:
+                got = list(extractor(pairs))
+                if len(got) != len(pairs):
+                    raise ValueError(f"{len(got)} replies to {len(pairs)} sessions")
+            except Exception:  # of the caller's code, whatever it is: rows are tried one by one
+                got = []
+                for i, pair in enumerate(pairs):
+                    try:
+                        got += extractor([pair])[:1] or [None]
+                    except Exception as error:
+                        errors[i] = f"{type(error).__name__}: {error}"
+                        got.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("session_id"), batch.column("prompt"), pa.array(got, pa.string()), pa.array(errors, pa.string())], names=["session_id", "prompt", "reply", "error"])
+
+    kind = rows.schema["session_id"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"session_id {kind}, prompt string, reply string, error string")
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("reply").isNull(), "passthrough").otherwise("extracted")
+    return out.select("session_id", status.alias("status"), "reply", "error", F.when(status != "extracted", F.col("prompt")).alias("prompt"))
+
+
+def captured(replied: DataFrame, vectors: DataFrame, embed=search.embedded, scoped: dict[str, str] | None = None) -> DataFrame:
+    """The items of replies() that neither vectors (and in scoped, columns with their values) nor earlier items of their session are like."""
+    found = extracted(replied.where("status = 'extracted'").select("session_id", "reply"))
+    for column, value in (scoped or {}).items():
+        found = found.withColumn(column, F.lit(value))
+    return not_stored(found, vectors, embed, scoped=tuple(scoped or ()))
+
+
 def not_stored(items: DataFrame, vectors: DataFrame, embed=search.embedded, least: float = COPY, scoped: tuple[str, ...] = ()) -> DataFrame:
     """The items (session_id, place, text, ... and scoped columns) that are no near copies, with their embeddings.
 

@@ -7,31 +7,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recall_spark.functions.scoring import INTENTS
 from recall_spark.operators.joins import small
 
 #: Queries whose vectors are sent to the executors at once, and bytes of their vectors.
 QUERY_BLOCK, QUERY_BYTES = 2_000, 16 << 20
+#: Distances computed at once.
+PAIRS = 1 << 22
 #: Least cosine at which an intent is taken over `general`.
 INTENT_FLOOR = 0.3
-#: A few prompts of each intent, whose mean vector stands for it.
-PHRASES = {
-    "coding": ("write a function that parses the file", "implement the endpoint and its handler", "add a method to this class",
-        "refactor this module to use async calls"),
-    "debugging": ("fix the bug that makes login fail", "why does this raise an exception", "the traceback shows an error in the index",
-        "debug the crash when the connection times out"),
-    "architecture": ("which design fits the plugin system", "should we use a queue or a table here", "what are the tradeoffs of this storage layout",
-        "plan the migration to the new service"),
-    "testing": ("write unit tests for the store", "improve test coverage of the parser", "mock the database in these tests",
-        "add fixtures and assertions for the edge cases"),
-    "review": ("review this pull request", "check the diff for security issues", "does this change follow our standards",
-        "look for code smells in the recent changes"),
-    "general": ("explain how the search works", "give me a summary of the project", "what does this option do",
-        "tell me about the different kinds of memories"),
-}
-
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The vectors of this width as a matrix, and their rows; null, ragged and partly null ones are left out."""
@@ -43,37 +31,68 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return values[whole], rows[whole]
 
 
-def _nearest(sent, k: int, scoped: tuple[str, ...]):
-    """Each batch keeps its own k nearest for each query, so that little is shuffled."""
+def _nearest(sent, k: int):
+    """Each task keeps its own k nearest of each query, by rounded distance and id, so that little is shuffled.
+
+    Rows have the number of their scope; a batch is decoded once and sorted by it, and only scopes that are asked are scored."""
 
     def run(batches):
-        blocks = sent.value
+        groups = sent.value
+        widths = sorted({matrix.shape[1] for _, matrix in groups.values()})
+        best: dict[tuple[int, int], list[list[tuple]]] = {key: [[] for _ in ids] for key, (ids, _) in groups.items()}
         for batch in batches:
-            names = list(zip(*(batch.column(c).to_pylist() for c in scoped))) if scoped else [()] * batch.num_rows
-            for scope, ids, matrix in blocks:
-                rows, at = _matrix(batch.column("embedding"), matrix.shape[1])
-                own = np.array([names[i] == scope for i in at.tolist()], bool) if scoped else np.ones(len(at), bool)
-                rows, at = rows[own], at[own]
-                if not len(at):
-                    continue
-                distance = (matrix**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * matrix @ rows.T
-                take = min(k, len(at))
-                best = np.argpartition(distance, take - 1, axis=1)[:, :take]
-                # Ties at the edge: keep all that are as near as the k-th.
-                edge = np.take_along_axis(distance, best, 1).max(axis=1)
-                q, v = np.nonzero(distance <= edge[:, None] + 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column("memory_id").take(pa.array(at[v])),
-                    pa.array(np.maximum(distance[q, v], 0.0))], names=["query_id", "memory_id", "distance"])
+            scopes = batch.column("_scope").to_numpy(zero_copy_only=False)
+            ids = batch.column("memory_id")
+            place = np.empty(batch.num_rows, np.int64)
+            place[pc.sort_indices(ids).to_numpy()] = np.arange(batch.num_rows)
+            for width in widths:
+                rows, at = _matrix(batch.column("embedding"), width)
+                order = np.argsort(scopes[at], kind="stable")
+                rows, at = rows[order], at[order]
+                names, first = np.unique(scopes[at], return_index=True)
+                for scope, a, b in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(at)]):
+                    if (scope, width) in groups:
+                        _merge(best[scope, width], groups[scope, width][1], rows[a:b], at[a:b], place, ids, k)
+        found = [(q, i, d) for key, (queries, _) in groups.items() for q, kept in zip(queries.tolist(), best[key]) for d, i in kept]
+        columns = list(zip(*found)) if found else [[], [], []]
+        kind = batch.schema.field("memory_id").type if "batch" in locals() else pa.int64()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], kind), pa.array(columns[2], pa.float64())], names=["query_id", "memory_id", "distance"])
 
     return run
 
 
+def _merge(best: list[list[tuple]], matrix: np.ndarray, rows: np.ndarray, at: np.ndarray, place: np.ndarray, ids: pa.Array, k: int) -> None:
+    """Put what is nearer than the k nearest so far into best, a list of (distance, id) for each query."""
+    worst = np.array([kept[-1][0] if len(kept) == k else np.inf for kept in best])
+    squares = (rows**2).sum(1)
+    for q0 in range(0, len(matrix), PAIRS // max(len(rows), 1) + 1):
+        part = matrix[q0 : q0 + PAIRS // max(len(rows), 1) + 1]
+        distance = np.round(np.maximum((part**2).sum(1)[:, None] + squares[None, :] - 2 * part @ rows.T, 0.0), 9)
+        edge = np.partition(distance, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
+        q, v = np.nonzero(distance <= np.minimum(edge, worst[q0 : q0 + len(part)])[:, None])
+        if not len(q):
+            continue
+        # Of those that are equally near, the k with the smallest ids.
+        order = np.lexsort((place[at[v]], distance[q, v], q))
+        q, v = q[order], v[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        q, v = q[nth < k], v[nth < k]
+        names = ids.take(pa.array(at[v])).to_pylist()
+        new: dict[int, list[tuple]] = {}
+        for i, d, name in zip(q.tolist(), distance[q, v].tolist(), names):
+            new.setdefault(i, []).append((d, name))
+        for i, found in new.items():
+            best[q0 + i] = sorted(best[q0 + i] + found)[:k]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, scoped: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, memory_id, similarity, rank: the k nearest vectors of each query, by squared distance, then id.
+    """query_id, memory_id, similarity, rank: the k nearest vectors of each query, by squared distance (nine decimals), then id.
 
     The result's attribute bound is the most rows that it can have.
-    scoped: columns, such as repo_id and branch_name, in which a vector and a query have to agree. queries (query_id,
-    embedding and these) are taken in blocks of bounded size; vectors are read once for each block and never shuffled.
+    scoped: columns, such as repo_id and branch_name, in which a vector and a query have to agree (null as null); vectors of
+    other scopes are left out before they are decoded, whole partitions where vectors are stored by these columns. queries
+    (query_id, embedding and these) are taken in blocks of bounded size; vectors are read once for each block, never shuffled.
     Queries and vectors that are null, partly null or of another length find nothing."""
     spark = vectors.sparkSession
     usable = queries.where(F.col("embedding").isNotNull() & ~F.exists("embedding",
@@ -88,18 +107,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scoped: tuple[str, ...
         blocks = (usable.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).collect() for block in range(n))
     parts = []
     for rows in blocks:
-        groups: dict[tuple, list] = {}
+        scopes = {s: i for i, s in enumerate(dict.fromkeys(tuple(r[c] for c in scoped) for r in rows))}
+        groups: dict[tuple[int, int], list] = {}
         for r in rows:
-            groups.setdefault((tuple(r[c] for c in scoped), len(r["embedding"])), []).append(r)
-        if groups:
-            sent = spark.sparkContext.broadcast([(scope, np.array([r["query_id"] for r in own], np.int64),
-                np.array([r["embedding"] for r in own], np.float64)) for (scope, _), own in groups.items()])
-            parts.append(vectors.select("memory_id", "embedding", *scoped).mapInArrow(_nearest(sent, k, scoped),
-                f"query_id long, memory_id {kind}, distance double"))
+            groups.setdefault((scopes[tuple(r[c] for c in scoped)], len(r["embedding"])), []).append(r)
+        if not groups:
+            continue
+        sent = spark.sparkContext.broadcast({key: (np.array([r["query_id"] for r in own], np.int64), np.array([r["embedding"] for r in own], np.float64)) for key, own in groups.items()})
+        theirs = vectors.select("memory_id", "embedding", *scoped)
+        if scoped:
+            fields = ", ".join(f"_{c} {vectors.schema[c].dataType.simpleString()}" for c in scoped)
+            asked = spark.createDataFrame([(*s, i) for s, i in scopes.items()], f"{fields}, _scope int")  # as many as the block has queries at most
+            same = reduce(lambda a, b: a & b, (theirs[c].eqNullSafe(asked[f"_{c}"]) for c in scoped))
+            for i, c in enumerate(scoped):  # literals prune partitions and row groups
+                values = {s[i] for s in scopes}
+                named = F.col(c).isin(*(x for x in values if x is not None))
+                theirs = theirs.where(named | F.col(c).isNull() if None in values else named)
+            theirs = theirs.join(F.broadcast(asked), same).select("memory_id", "embedding", "_scope")
+        else:
+            theirs = theirs.withColumn("_scope", F.lit(0))
+        parts.append(theirs.mapInArrow(_nearest(sent, k), f"query_id long, memory_id {kind}, distance double"))
     if not parts:
         parts = [spark.createDataFrame([], f"query_id long, memory_id {kind}, distance double")]
     hits = reduce(DataFrame.union, parts)
-    nearest = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "memory_id")
+    nearest = Window.partitionBy("query_id").orderBy("distance", "memory_id")
     found = hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "memory_id",
         F.exp(-F.col("distance")).alias("similarity"), "rank")
     found.bound = count * k
@@ -173,24 +204,29 @@ def centroids(vectors: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return means.select(name.alias("intent"), F.col("label").cast("int").alias("place"), "centroid")
 
 
-def phrase_centroids(spark: SparkSession, path: str | None = None, phrases: dict[str, tuple[str, ...]] | None = None, embed=None) -> DataFrame:
-    """intent, place, centroid: the normalised mean of the embedded phrases of each intent.
+def phrase_centroids(phrases: DataFrame, path: str | None = None, embed=None) -> DataFrame:
+    """intent, place, centroid: the normalised mean of the embedded phrases (intent, text) of each intent.
 
-    With a path they are kept there, under a hash of the phrases and the embedding's name, and computed only once."""
-    phrases, embed = phrases or PHRASES, embed or embedded
-    rows = [(place, intent, text) for place, (intent, texts) in enumerate(phrases.items()) for text in texts]
-    texts = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "memory_id long, place int, intent string, text string")
-    key = texts.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws("\t", "place", "intent", "text"))), F.lit(embed.__name__)),
-        256).alias("k"))
+    Which of intents that fit equally well is taken goes by place: that of scoring.INTENTS, others after them by name.
+    Phrases that are null or blank don't count; an intent without others has no centroid. With a path the centroids are kept
+    there, under a hash of phrases and the embedding's name, and computed only once."""
+    embed = embed or embedded
+    rows = phrases.where("intent is not null and trim(coalesce(text, '')) <> ''").select("intent", "text")
     if path is not None:
-        kept = f"{path.rstrip('/')}/{key.first()['k']}"
+        spark = phrases.sparkSession
+        each = F.xxhash64("intent", "text").cast("decimal(38,0)")
+        n, total, squares = rows.agg(F.count("*"), F.sum(each), F.sum(F.pmod(F.xxhash64("text", "intent"), F.lit(1 << 31)))).first()
+        kept = f"{path.rstrip('/')}/{embed.__name__}-{n}-{total}-{squares}"
         where = spark._jvm.org.apache.hadoop.fs.Path(f"{kept}/_SUCCESS")
         if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            phrase_centroids(spark, None, phrases, embed).write.mode("overwrite").parquet(kept)
+            phrase_centroids(phrases, None, embed).write.mode("overwrite").parquet(kept)
         return spark.read.parquet(kept)
-    vectors = embed(texts).join(texts.select("memory_id", "place"), "memory_id")
-    intents = texts.groupBy("place").agg(F.min("intent").alias("intent"))
-    return _mean_directions(vectors, "place").join(intents, "place").select("intent", "place", "centroid")
+    named = rows.withColumn("memory_id", F.xxhash64("intent", "text")).dropDuplicates(["memory_id"])
+    vectors = embed(named.select("memory_id", "text")).join(named.select("memory_id", "intent"), "memory_id")
+    means = _mean_directions(vectors, "intent")
+    known = F.array_position(F.array(*map(F.lit, INTENTS)), F.col("intent")).cast("int")
+    others = F.row_number().over(Window.partitionBy(F.when(known > 0, "known").otherwise("other")).orderBy("intent"))  # a row for each intent
+    return means.select("intent", F.when(known > 0, known - 1).otherwise(F.lit(len(INTENTS) - 1) + others).alias("place"), "centroid")
 
 
 def near_copies(vectors: DataFrame, new: DataFrame, least: float = 0.97, scoped: tuple[str, ...] = ()) -> DataFrame:

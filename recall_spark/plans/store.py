@@ -43,6 +43,7 @@ _TABLES = {
     "hashes": "path string, sha256 string, version long, batch string, repo_id string, branch_name string",
     "commits": "commit string, at long, batch string, repo_id string, branch_name string",
     "captures": "session_id string, extracted long, stored long, version long, batch string, repo_id string, branch_name string",
+    "sessions": "session_id string, status string, error string, prompt string, extracted long, stored long, version long, batch string, repo_id string, branch_name string",
     "changes": "path string, change string, outcome string, version long, batch string, repo_id string, branch_name string",
 }
 
@@ -75,8 +76,9 @@ class Store:
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _exists(self, name: str) -> bool:
-        p, files = self._file(name)
-        return files.exists(p)
+        """Whether rows were written to a table; of the folder of transactions, whether it is there."""
+        p, files = self._file(name if name == "transactions" else f"{name}/repo_id=*")
+        return files.exists(p) if name == "transactions" else len(files.globStatus(p) or ()) > 0
 
     @contextmanager
     def _transaction(self, operation: str, version: int) -> Iterator[None]:
@@ -192,6 +194,10 @@ class Store:
 
     def log(self) -> DataFrame:
         """Every version of each memory. Names of repositories and branches are strings, also where they look like numbers."""
+        if not self._exists("memories"):
+            fields = ", ".join(f"{c} {kind}" for c, kind in sorted({"memory_id": "string", "content_type": "string", "text": "string", "checksum": "string", "token_count": "int", "one_line": "string",
+                "detailed": "string", "chunk_type": "string", "version": "long", "created_at": "long", "deleted": "boolean", "stale": "boolean", **dict.fromkeys(_SCOPE, "string"), **_OPTIONAL}.items()))
+            return self.spark.createDataFrame([], fields)
         stored = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/memories").schema
         schema = StructType([StructField(f.name, StringType() if f.name in _SCOPE else f.dataType) for f in stored])
         return self._counted(self.spark.read.schema(schema).parquet(f"{self.path}/memories"))
@@ -313,10 +319,43 @@ class Store:
                 fresh).withColumns({"version": F.lit(version).cast("long"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)})
             self._write(counts.withColumn("session_id", F.col("session_id").cast("string")), "captures")
             self.create(fresh.select(*_SCOPE, "content_type", "text", "tags"), version)
+        return self._captured(repo, branch, version)
+
+    def capture_sessions(self, sessions: DataFrame, repo: str, branch: str, version: int, extractor: capturing.Extractor | None = None) -> DataFrame:
+        """The whole capture of sessions (session_id, text, and hint if they have one), such as to_capture() makes of lines:
+        what is known goes to the extractor, its replies give items, copies are dropped and the rest is stored.
+
+        session_id, status, error, prompt, extracted, stored of each session. An extractor is asked once for each session,
+        whatever happens to executors after it."""
+        with self._transaction("capture", version):
+            asked = self._once(sessions.withColumns({"session_id": F.col("session_id").cast("string"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)}), "sessions")
+            known = capturing.known_for(asked, self.vectors(), self.memories(), self.embed, _SCOPE)
+            asked = asked.join(known, "session_id", "left")
+            replied = self._once(capturing.replies(asked, extractor), "replies")
+            self.capture(capturing.extracted(replied.where("status = 'extracted'").select("session_id", "reply")), repo, branch, version)
+            outcome = replied.join(self._captured(repo, branch, version), "session_id", "left")
+            outcome = outcome.select("session_id", "status", "error", "prompt", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("extracted", "stored")))
+            self._write(outcome.withColumns({"version": F.lit(version).cast("long"), "repo_id": F.lit(repo), "branch_name": F.lit(branch)}), "sessions")
+        rows = self._read("sessions").where((F.col("version") == version) & (F.col("repo_id") == repo) & (F.col("branch_name") == branch))
+        return rows.select("session_id", "status", "error", "prompt", "extracted", "stored")
+
+    def _captured(self, repo: str, branch: str, version: int) -> DataFrame:
         rows = self._read("captures")
         return rows.where((F.col("version") == version) & (F.col("repo_id") == repo) & (F.col("branch_name") == branch)).select("session_id",
             "extracted", "stored")
 
+    def next_version(self, at_least: int = 0) -> int:
+        """A version above all that were committed."""
+        return max(at_least, (self.transactions().agg(F.max("version")).first()[0] or 0) + 1)
+
+    def done(self, operation: str) -> bool:
+        """Whether a call under this name was committed."""
+        return self.transactions().where(F.col("operation") == operation).limit(1).count() > 0
+
+    def transaction(self, operation: str, version: int):
+        """Calls in a with block of it count together or not at all, under a name that done() knows."""
+        return self._transaction(operation, version)
+
     def index(self, root: str, repo: str, branch: str, version: int, patterns: tuple[str, ...] = fl.PATTERNS, incremental: bool = True,
         most: int | None = None, commit: str | None = None, full_after_minutes: int = 0) -> DataFrame:
         """Chunk new and changed files; returns path, change, outcome (of files that are there). Hashes are written last,

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from recall_spark.functions import text as tx
 from recall_spark.operators import capturing, search
+from recall_spark.plans.store import Store
 from recall_spark.sources import files as fl
 
 #: The state store that timers need.
@@ -50,8 +51,10 @@ class _Session(StatefulProcessor):
         self.open = handle.getValueState("open", _OPEN)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(u), int(n), r, t) for frame in rows for u, n, r, t in zip(frame["us"], frame["line_no"], frame["role"], frame["text"])]
-        self.waiting.appendList(new)
+        passed = timerValues.getCurrentWatermarkInMs() * 1000  # Spark drops what an earlier watermark has passed; this one counts
+        new = [(int(u), int(n), r, t) for frame in rows for u, n, r, t in zip(frame["us"], frame["line_no"], frame["role"], frame["text"]) if u > passed]
+        if new:
+            self.waiting.appendList(new)
         for ms in {-(-u // 1000) for u, *_ in new}:
             self.handle.registerTimer(ms)
         return iter(())
@@ -136,3 +139,26 @@ def notes(ends: DataFrame, branch: str | None = None) -> DataFrame:
     """session_id, text: what is remembered of each session that has ended with words of the assistant."""
     at = F.timestamp_micros("at").cast("timestamp_ntz")
     return ends.where("kind = 'end' and note is not null").select("session_id", tx.session_note(F.lit(branch), F.col("note"), at).alias("text"))
+
+
+def into_store(rows: DataFrame, store: Store, repo: str, branch: str, checkpoint: str, extractor: capturing.Extractor | None = None, name: str = "sessions"):
+    """Capture each session of a stream (SCHEMA) that has ended: what the extractor finds in its transcript, and its note.
+
+    A batch is one transaction named after it, so a batch that is run again after a failure is stored once."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        operation = f"{name} {number}"
+        if store.done(operation):
+            return
+        ends = df.where("kind = 'end' and text <> ''").withColumn("session_id", F.concat_ws("@", "session_id", "began")).persist()
+        try:
+            if ends.limit(1).count():
+                version = store.next_version()
+                with store.transaction(operation, version):
+                    store.capture_sessions(ends.select("session_id", "text"), repo, branch, version, extractor)
+                    kept = notes(ends, branch).select(F.lit(repo).alias("repo_id"), F.lit(branch).alias("branch_name"), F.lit("conversation").alias("content_type"), "text")
+                    store.create(kept, version)
+        finally:
+            ends.unpersist()
+
+    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

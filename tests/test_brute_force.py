@@ -268,17 +268,61 @@ def test_no_exchange_of_embeddings(spark):
     assert "BroadcastHashJoin" in plan and all("query_id" in m for m in moved)
 
 
-def test_phrase_centroids(spark, tmp_path):
-    got = {r["intent"]: np.array(r["centroid"]) for r in search.phrase_centroids(spark, f"file://{tmp_path}").collect()}
-    for intent, phrases in search.PHRASES.items():
-        mean = np.mean([embed(p).astype(float) for p in phrases], axis=0)
-        assert np.allclose(got[intent], mean / np.linalg.norm(mean), atol=1e-6)
-    kept = list(tmp_path.iterdir())
-    again = search.phrase_centroids(spark, f"file://{tmp_path}")
-    assert list(tmp_path.iterdir()) == kept and again.count() == 6
-    queries = search.embedded(spark.createDataFrame([(1, "fix the bug that makes login fail"), (2, ""), (3, "zebra"), (4, "write unit tests for the store")], "memory_id long, text string")).withColumnRenamed("memory_id", "query_id")
-    found = {r["query_id"]: (r["intent"], round(r["confidence"], 3)) for r in search.classified(queries, again).collect()}
-    assert found[1][0] == "debugging" and found[2] == ("general", 0.0) and found[3][0] == "general" and found[4][0] == "testing"
+def test_phrase_centroids(spark, memories, tmp_path):
+    """Of a table, against means by hand; texts are classified by them; kept ones are read again until phrases change."""
+    phrases = {}
+    names = ("coding", "debugging", "architecture", "testing", "review", "general")
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").collect():
+        if (r["text"] or "").strip(" "):
+            phrases.setdefault(names[r["conv_id"] % 6], set()).add(r["text"])
+    want = {}
+    for intent, texts in phrases.items():
+        mean = np.mean([embed(p).astype(float) for p in texts], axis=0)
+        want[intent] = mean / np.linalg.norm(mean)
+    got = {r["intent"]: r for r in catalogue.queries()["phrase_centroids"](spark, SF).collect()}
+    assert set(got) == set(want) and all(np.allclose(r["centroid"], want[i], atol=1e-6) and r["place"] == names.index(i) for i, r in got.items())
+    for r in catalogue.queries()["classify_texts"](spark, SF).collect():
+        v = embed(memories[r["query_id"]]["text"]).astype(float)
+        cos = {i: float(v @ c) for i, c in want.items()}
+        best = max(cos.values())
+        assert abs(r["confidence"] - max(0, best)) < 1e-5
+        assert r["intent"] in ([i for i, c in cos.items() if c > best - 1e-6] if best > 0.3 + 1e-6 else ["general"] + ([max(cos, key=cos.get)] if best > 0.3 - 1e-6 else []))
+    own = spark.createDataFrame([("debugging", "the parser is broken"), ("zeta", "count sheep"), ("alpha", "count cats"), ("debugging", None), ("none", "  "), ("debugging", "the parser is broken")], "intent string, text string")
+    kept = search.phrase_centroids(own, f"file://{tmp_path}")
+    assert {r["intent"]: r["place"] for r in kept.collect()} == {"debugging": 1, "alpha": 6, "zeta": 7}
+    before = sorted(tmp_path.iterdir())
+    again = search.phrase_centroids(own.orderBy("text"), f"file://{tmp_path}")
+    assert sorted(tmp_path.iterdir()) == before and again.count() == 3
+    search.phrase_centroids(own.limit(1), f"file://{tmp_path}")
+    assert len(list(tmp_path.iterdir())) == 2
+    queries = search.embedded(spark.createDataFrame([(1, "the parser is broken again"), (2, ""), (3, "zebra"), (4, "count sheep")], "memory_id long, text string")).withColumnRenamed("memory_id", "query_id")
+    found = {r["query_id"]: r["intent"] for r in search.classified(queries, again).collect()}
+    assert found == {1: "debugging", 2: "general", 3: "general", 4: "zeta"}
+
+
+def test_many_scopes(spark):
+    """A search over hundreds of scopes gives what one search a scope gives, without looking at others' vectors; ties and copies by id."""
+    rng = np.random.default_rng(3)
+    rows = [(f"m{i:04d}", [float(x) for x in rng.integers(0, 3, 4)], f"r{i % 40}" if i % 41 else None) for i in range(2_000)]
+    v = spark.createDataFrame(rows, "memory_id string, embedding array<double>, repo_id string").repartition(5)
+    q = spark.createDataFrame([(i, rows[i][1], rows[i][2]) for i in range(0, 2_000, 9)] + [(9_999, [1.0] * 4, "none")], "query_id long, embedding array<double>, repo_id string")
+    got = {}
+    for r in search.top_k(v, q, 4, ("repo_id",)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["memory_id"]))
+    for i in range(0, 2_000, 9):
+        near = sorted((sum((a - b) ** 2 for a, b in zip(rows[i][1], e)), m) for m, e, s in rows if s == rows[i][2])[:4]
+        assert sorted(got[i]) == [(n, m) for n, (_, m) in enumerate(near, 1)]
+    assert 9_999 not in got
+
+
+def test_scopes_prune_partitions(spark, tmp_path):
+    rows = [(i, [float(i), 1.0], f"r{i % 6}") for i in range(60)]
+    spark.createDataFrame(rows, "memory_id long, embedding array<double>, repo_id string").write.partitionBy("repo_id").parquet(f"file://{tmp_path}/v")
+    v = spark.read.parquet(f"file://{tmp_path}/v")
+    q = spark.createDataFrame([(1, [3.0, 1.0], "r3")], "query_id long, embedding array<double>, repo_id string")
+    found = search.top_k(v, q, 2, ("repo_id",))
+    assert [r["memory_id"] for r in found.orderBy("rank").collect()] == [3, 9]
+    assert re.search(r"PartitionFilters: \[[^\]]*r3", found._jdf.queryExecution().executedPlan().toString())
 
 
 def test_hashed_embed(spark, memories):

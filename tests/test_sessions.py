@@ -3,33 +3,11 @@
 import json
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from recall_spark.operators import search
 from recall_spark.streaming import capture, sessions
-
-T0 = 1_704_067_200
-
-
-def line(session, n, second, text, role="user"):
-    return {"session_id": session, "line_no": n, "line": json.dumps({"role": role, "content": text}), "at": f"{second_text(second)}Z"}
-
-
-def second_text(s):
-    import datetime
-
-    return datetime.datetime.fromtimestamp(T0 + s, datetime.UTC).strftime("%Y-%m-%dT%H:%M:%S")
-
-
-@pytest.fixture
-def provider(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, sessions.PROVIDER)
-    yield
-    spark.conf.set(key, before)
-
+from streams import T0, line, provider, put  # noqa: F401
 
 def run(spark, folder, out, checkpoint, **options):
     stream = spark.readStream.schema(capture.LINES).option("maxFilesPerTrigger", 1).json(f"file://{folder}")
@@ -38,11 +16,6 @@ def run(spark, folder, out, checkpoint, **options):
     assert query.awaitTermination(240)
 
 
-def put(folder, name, rows):
-    folder.mkdir(exist_ok=True)
-    (folder / name).write_text("\n".join(json.dumps(r) for r in rows))
-
-
 def plain(df):
     return sorted(tuple(r) for r in df.select("session_id", "kind", "began", "at", F.coalesce("line_no", F.lit(-1)).alias("n"), F.coalesce("role", F.lit("")).alias("r"), "text", F.coalesce("note", F.lit("")).alias("note"), F.coalesce("turns", F.lit(-1)).alias("t")).collect())
 
@@ -67,7 +40,7 @@ def test_stream_equals_batch(spark, tmp_path, provider):
     put(tmp_path / "in", "901.json", [line("z", 1, 200_000, "farther ahead")])
     run(spark, tmp_path / "in", tmp_path / "out", tmp_path / "ck", gap_seconds=300, last=4)
     got = [r for r in plain(spark.read.parquet(f"file://{tmp_path}/out")) if r[0] != "z"]
-    put(tmp_path / "all", "all.json", again)
+    put(tmp_path / "all", "0.json", again)
     lines = spark.read.schema(capture.LINES).json(f"file://{tmp_path}/all")
     want = plain(sessions.in_batch(lines, 300, last=4))
     assert got == want

@@ -186,3 +186,15 @@ def test_scope_from_folders(spark, tmp_path):
     assert sorted((r["repo_id"], r["text"]) for r in store.memories().collect()) == [("ra", "text 0"), ("root", "text 2"), ("root", "text 3"), ("rs", "text 1")]
     with pytest.raises(ValueError):
         store.create(memories.withColumn("file_path", F.lit("no/where.py")), 2, folders.where("folder <> '/'"))
+
+
+def test_a_store_without_memories(store, rows, spark):
+    assert store.memories().count() == 0 and store.vectors().count() == 0 and store.rehydrated().count() == 0
+    store.create(rows.limit(0), 1)
+    store.delete(spark.createDataFrame([("x",)], "memory_id string"), 2, confirm=True)
+    assert store.log().count() == 0 and store.next_version() == 3 and store.next_version(10) == 10
+    with store.transaction("two calls", 3):
+        store.create(rows.where("branch_name = 'dev'"), 3)
+        store.set_commit("r", "dev", "c", 3)
+    assert store.done("two calls") and not store.done("create ") and store.last_commit("r", "dev") == "c"
+    assert set(store.log().columns) == set(st.Store(spark, store.path + "-none").log().columns)
