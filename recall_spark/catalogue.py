@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from recall_spark.functions import scoring as sc
 from recall_spark.functions import text as tx
-from recall_spark.operators import capturing, chunking, context, indexing, listing, maintenance, search
+from recall_spark.operators import capturing, cells, chunking, context, graphs, indexing, listing, maintenance, search
+from recall_spark.operators.joins import shared_dir
 from recall_spark.sources import files as fl
 from recall_spark.sources import tables as tb
 
@@ -558,6 +560,27 @@ def edges_1hop(spark, d):
     return listing.neighbours(tb.edges(spark, d), tb.memories(spark, d))
 
 
+@query(f"""WITH RECURSIVE {_MEMORIES}, e AS (SELECT f.memory_id AS from_id, t.memory_id AS to_id FROM memories f JOIN memories t ON (f.memory_id % 2 = 0 AND t.memory_id = f.memory_id + 1) OR (f.memory_id % 3 = 0 AND t.memory_id = f.memory_id + 2)),
+  c(from_id, to_id, depth) AS (SELECT from_id, to_id, 1 FROM e UNION SELECT c.from_id, e.to_id, depth + 1 FROM c JOIN e ON e.from_id = c.to_id)
+  SELECT from_id, to_id, min(depth) AS depth FROM c GROUP BY from_id, to_id""")
+def edges_closure(spark, d):
+    return graphs.closure(tb.edges(spark, d))
+
+
+@query()
+def dedup_similar(spark, d):
+    """Every memory whose text is much like that of an older one, or hangs together with it over others."""
+    m = tb.memories(spark, d)
+    return cells.near_groups(m, search.embedded(m.select("memory_id", "text")), 0.97)
+
+
+@query()
+def search_approximate(spark, d):
+    """Every twentieth vector against an index of all vectors by cells."""
+    index = cells.Cells.build(tb.vectors(spark, d), f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}")
+    return index.top_k(_prompts(spark, d), 10).withColumn("similarity", F.round("similarity", 6))
+
+
 _SECRET = r"""(?i:(?:password|passwd|secret|token|api_?key)["'']?\s*[:=]\s*["''][^"''\s]{8,}["''])|AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----|(?i:bearer\s+[A-Za-z0-9._-]{20,})"""
 
 

@@ -72,13 +72,14 @@ class Cells:
         self.probes = rows[0]["probes"] if rows else 0
 
     @staticmethod
-    def build(vectors: DataFrame, path: str, cells: int | None = None, recall: float = 0.9, k: int = 10) -> "Cells":
+    def build(vectors: DataFrame, path: str, cells: int | None = None, recall: float = 0.95, k: int = 50) -> "Cells":
         """Index vectors (memory_id, embedding, and such as repo_id). cells: about the root of their number by default, 4,096 at
         most. The number of cells that a search takes is the smallest at which a sample of vectors finds so much of its k nearest."""
         spark, path = vectors.sparkSession, path.rstrip("/")
         cells = cells or int(max(1, min(4_096, vectors.count() ** 0.5)))
         centres = fitted(vectors, cells)
         Cells._write(spark, centres, 0, f"{path}/centres")
+        vectors.limit(0).withColumn("cell", F.lit(0)).write.mode("overwrite").parquet(f"{path}/schema")
         index = Cells(spark, path)
         index.add(vectors)
         index.probes = index._calibrated(recall, k)
@@ -95,7 +96,8 @@ class Cells:
         assigned(vectors, self.centres).hint("rebalance", "cell").write.mode("append").partitionBy("cell").parquet(f"{self.path}/vectors")
 
     def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
+        schema = self.spark.read.parquet(f"{self.path}/schema").schema
+        return self.spark.read.schema(schema).parquet(f"{self.path}/vectors")
 
     def _cells_of(self, queries: DataFrame, probes: int) -> DataFrame:
         """queries, a row for each of the nearest cells."""
@@ -180,7 +182,7 @@ def near_edges(vectors: DataFrame, least: float, centres: np.ndarray) -> DataFra
     paired = dealt.select("head", "embedding", "cell", "home", "block", other.alias("with"))
     paired = paired.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
 
-    def trees(key, table: pa.Table) -> pa.Table:
+    def trees(key, table):
         table = table.combine_chunks()
         x, at = search._matrix(table.column("embedding"), sent.value.shape[1])
         low, high, block = key[1].as_py(), key[2].as_py(), table.column("block").to_numpy()[at]

@@ -24,6 +24,10 @@ class Rounds:
         out._number = self.number
         return out
 
+    def read(self, numbers: list[int], like: DataFrame) -> DataFrame:
+        """Tables that were kept, as one scan."""
+        return self.spark.read.schema(like.schema).parquet(*(f"{self.folder}/{n}" for n in numbers))
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table._number}")
@@ -40,35 +44,14 @@ def closure(edges: DataFrame, most: int | None = None, seeds: DataFrame | None =
     steps = rounds.keep(edges.select("from_id", "to_id").where("from_id is not null and to_id is not null").distinct())
     first = steps if seeds is None else steps.join(small(seeds.select("from_id").distinct()), "from_id", "left_semi")
     new = rounds.keep(first.withColumn("depth", F.lit(1)))
-    found = [new]
     hop = steps.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("next"))
-    while (most is None or len(found) < most) and new.limit(1).count():
-        known = found[0]
-        for part in found[1:]:
-            known = known.unionByName(part)
-        ahead = new.join(hop, "to_id").select("from_id", F.col("next").alias("to_id")).distinct()
-        new = rounds.keep(ahead.join(known.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti").withColumn("depth", F.lit(len(found) + 1)))
-        found.append(new)
-        if len(found) > 16:  # many rounds: their tables become one
-            whole = rounds.keep(known.unionByName(new))
-            rounds.drop(*[p for p in found if p is not new])
-            return _longer(rounds, whole, new, hop, len(found), most)
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _longer(rounds: Rounds, whole: DataFrame, new: DataFrame, hop: DataFrame, depth: int, most: int | None) -> DataFrame:
-    """closure() from a depth on, where all pairs so far are one table."""
-    while (most is None or depth < most) and new.limit(1).count():
-        depth += 1
+    numbers = [new._number]
+    while (most is None or len(numbers) < most) and new.limit(1).count():
         ahead = new.join(hop, "to_id").select("from_id", F.col("next").alias("to_id")).distinct()
-        found = rounds.keep(ahead.join(whole.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        more = rounds.keep(whole.unionByName(found))
-        rounds.drop(whole, new)
-        whole, new = more, found
-    return whole
+        known = rounds.read(numbers, new).select("from_id", "to_id")
+        new = rounds.keep(ahead.join(known, ["from_id", "to_id"], "left_anti").withColumn("depth", F.lit(len(numbers) + 1)))
+        numbers.append(new._number)
+    return rounds.read(numbers, new)
 
 
 def components(edges: DataFrame) -> DataFrame:
