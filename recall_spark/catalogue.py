@@ -9,13 +9,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recall_spark import sql
 from recall_spark.functions import scoring as sc
 from recall_spark.functions import text as tx
+from recall_spark.functions import vocabulary
 from recall_spark.operators import capturing, cells, chunking, context, graphs, indexing, listing, maintenance, search
 from recall_spark.operators.joins import shared_dir
 from recall_spark.sources import files as fl
 from recall_spark.sources import tables as tb
 
+#: A public vocabulary, which executors can open.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -735,6 +739,55 @@ def session_notes(spark, d):
     return last.select("conv_id", tx.session_note(F.when(F.col("conv_id") % 2 == 0, "main"), F.col("summary"), at).alias("note"))
 
 
+def _in_sql(spark, d):
+    sql.functions(spark, VOCABULARY)
+    sql.views(spark, d)
+    return spark
+
+
+@query(f"WITH {_MEMORIES} SELECT memory_id, sha256(text) AS checksum, {_TOKENS.format('text')} AS tokens, {_ONE_LINE} AS one_line, {_cut_sql('text', 100)} AS cut FROM memories WHERE NOT stale")
+def sql_scalars(spark, d):
+    return _in_sql(spark, d).sql("SELECT memory_id, text_checksum(text) AS checksum, estimated_tokens(text) AS tokens, one_line(text) AS one_line, truncate_tokens(text, 100) AS cut FROM memories WHERE NOT stale")
+
+
+@query(f"WITH {_MEMORIES} SELECT file_path, count(*) AS n, sum({_TOKENS.format('text')})::BIGINT AS tokens, max(created_at) AS newest FROM memories WHERE NOT stale AND list_has_all(tags, ['t1']) GROUP BY file_path HAVING count(*) > 1")
+def sql_files(spark, d):
+    return _in_sql(spark, d).sql("SELECT file_path, count(*) AS n, sum(estimated_tokens(text)) AS tokens, max(created_at) AS newest FROM memories WHERE NOT stale AND array_contains(tags, 't1') GROUP BY file_path HAVING count(*) > 1")
+
+
+@query(f"WITH {_COMPOSITES} SELECT query_id, memory_id, round(composite, 6) AS composite FROM scored")
+def sql_composite(spark, d):
+    """Ranking in SQL over the hits of a search."""
+    _in_sql(spark, d)
+    _found(spark, d, 20, context.FLOOR).createOrReplaceTempView("hits")
+    _intents(spark, d, _prompts(spark, d)).createOrReplaceTempView("intents")
+    return spark.sql(f"""SELECT query_id, memory_id, round(composite_score(similarity, type_priority(intent, content_type), recency(({tb.AS_OF} - created_at) / 86400D)), 6) AS composite
+        FROM hits JOIN intents USING (query_id)""")
+
+
+@query(f"WITH {_MEMORIES}, {_NEAREST} SELECT query_id, memory_id, rank, round(similarity, 6) AS similarity FROM hits WHERE rank <= 3")
+def sql_nearest(spark, d):
+    """Exact search in SQL, with vectors of a scope joined."""
+    return _in_sql(spark, d).sql("""WITH d AS (SELECT q.memory_id AS query_id, v.memory_id, squared_distance(q.embedding, v.embedding) AS distance
+        FROM vectors q JOIN vectors v ON q.repo_id = v.repo_id AND q.branch_name = v.branch_name WHERE q.memory_id % 20 = 0),
+      r AS (SELECT query_id, memory_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), memory_id) AS rank FROM d)
+      SELECT query_id, memory_id, CAST(rank AS BIGINT) AS rank, round(vector_similarity(distance), 6) AS similarity FROM r WHERE rank <= 3""")
+
+
+@query()
+def sql_chunks(spark, d):
+    """Every document cut by the table function."""
+    return _in_sql(spark, d).sql("SELECT m.memory_id, c.chunk_text, c.line_start, c.line_end FROM memories m, LATERAL chunks(m.text, 'text') c")
+
+
+@query()
+def vocabulary_tokens(spark, d):
+    """Tokens of every document by a public vocabulary, and what is left of it within 100 of them."""
+    t = F.col("text")
+    cut = vocabulary.truncated(t, 100, VOCABULARY)
+    return tb.memories(spark, d).select("memory_id", vocabulary.counted(t, VOCABULARY).alias("tokens"), F.length(cut).alias("cut_length"), F.sha2(cut, 256).alias("cut_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
