@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recall_spark.functions import text as tx
-from recall_spark.operators.joins import small
 
 #: Directories that are never indexed.
 IGNORED = (
@@ -31,16 +30,19 @@ def repository(spark: SparkSession, root: str, patterns: tuple[str, ...] = PATTE
     ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """path, content, sha256 of the files whose path a pattern matches, outside ignored directories.
 
-    With most, only so many by path: the paths are ordered, contents stay where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    With most, only so many by path. Paths are listed first, without a byte of the files; only files that are wanted are
+    opened. Their paths go through the driver, as all paths of a folder do that Spark reads."""
     base = re.escape("/" + re.sub("^[a-z]+:/*", "", root).strip("/") + "/")
-    files = files.withColumn("path", F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + base, ""))
-    wanted = files.where(F.col("path").rlike("^(?:" + "|".join(map(glob_regex, patterns)) + r")\z")).where(~F.exists(F.split("path", "/"),
-        lambda p: p.isin(*ignored)))
-    if most is not None:
-        first = wanted.select("path").orderBy("path").limit(most)
-        wanted = wanted.join(small(first, most), "path", "left_semi")
-    return wanted.select("path", "content", F.sha2("content", 256).alias("sha256"))
+    relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + base, "")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("at"), relative.alias("path"))
+    wanted = there.where(F.col("path").rlike("^(?:" + "|".join(map(glob_regex, patterns)) + r")\z")).where(~F.exists(F.split("path", "/"),
+        lambda p: p.isin(*ignored))).orderBy("path")
+    # Names with signs of a glob are escaped, as load() takes globs.
+    paths = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r["at"]) for r in (wanted.limit(most) if most is not None else wanted).collect()]
+    if not paths:
+        return spark.createDataFrame([], "path string, content binary, sha256 string")
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select(relative.alias("path"), "content", F.sha2("content", 256).alias("sha256"))
 
 
 def decoded(files: DataFrame) -> DataFrame:

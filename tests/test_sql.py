@@ -93,6 +93,17 @@ def test_truncation_is_maximal(session):
     assert session.range(1).select(vo.counted(F.lit("abcde")), vo.truncated(F.lit("abcdefghij"), 2)).first()[:] == (2, "abcdefgh")
 
 
+def test_queries_without_sql(session):
+    v = vo.Vocabulary.at(PATH)
+    texts = {r["memory_id"]: r["text"] for r in session.table("memories").collect()}
+    got = catalogue.queries()["vocabulary_tokens"](session, SF).collect()
+    assert {r["memory_id"]: (r["tokens"], r["cut_length"]) for r in got} == {i: (len(v.encoded(t)), len(v.truncated(t, 100))) for i, t in texts.items()}
+    chunks = {}
+    for r in catalogue.queries()["sql_chunks"](session, SF).collect():
+        chunks.setdefault(r["memory_id"], []).append((r["chunk_text"], r["line_start"], r["line_end"]))
+    assert {i: sorted(c) for i, c in chunks.items()} == {i: sorted(c[:3] for c in chunking.text_chunks(t)) for i, t in texts.items()}
+
+
 def test_long_blanks(monkeypatch):
     """Runs of white space of any length have the tokens that they have within a short text."""
     import regex
