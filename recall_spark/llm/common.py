@@ -71,6 +71,12 @@ def share(column: str, wanted: int, of: int, seed: int = 17) -> Column:
     return F.xxhash64(column, F.lit(seed)) < F.lit((1 << 64) * wanted // of - (1 << 63))
 
 
+def lowest(hashes: DataFrame, wanted: int) -> int:
+    """The wanted-th smallest of the distinct values of h, or the largest if there are fewer; below all of them without any."""
+    row = hashes.select("h").where("h is not null").distinct().orderBy("h").limit(wanted).agg(F.max("h")).first()
+    return -(1 << 63) if row[0] is None else row[0]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

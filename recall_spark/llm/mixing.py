@@ -83,12 +83,16 @@ def exponent(sources: DataFrame, budget: float, entropy: float = ENTROPY, max_re
 
 
 def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, max_repeats: float = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, n_tokens, weight, pass, mix_key: a row for each time that a document is used."""
+    """doc_id, source, n_tokens, weight, pass, mix_key: a row for each time that a document is used.
+
+    A budget of more than max_repeats times all tokens can't be met by any weights: it is an error."""
     place = F.pmod(F.xxhash64("doc_id", "source", "pass", F.lit(seed), "nameless"), F.lit(1 << 53)) / float(1 << 53)
     rows = save(word_counts(docs), "tokens")
     sources = save(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).where("tokens > 0"), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     budget = total if budget is None else budget
+    if total and budget > max_repeats * total:
+        raise ValueError(f"{total} tokens, each at most {max_repeats} times, don't make a budget of {budget}")
     a = exponent(sources, budget, entropy, max_repeats)
     scale = sources.agg(F.sum(F.exp(a * F.log("tokens")))).first()[0] or 1.0
     plan = (

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_spark.llm import textarrays as ta
-from recall_spark.llm.common import only, remainder, share
+from recall_spark.llm.common import discard, lowest, only, remainder, save, share
 
 TRAIN_DOCS = 10_000
 #: Where features are cut; a value at a cut falls below it, so that none (0) and a little are told apart.
@@ -147,12 +147,15 @@ def _described(batches):
     for batch in batches:
         rows = [describe(part) for _, part in ta.slices(batch.column("text"), lower=False)]
         if rows:
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(np.concatenate(rows).tolist(), pa.list_(pa.float64()))],
-                names=["positive", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("h"),
+                pa.array(np.concatenate(rows).tolist(), pa.list_(pa.float64()))], names=["positive", "h", "features"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable, train_docs: int = TRAIN_DOCS, prior: float | None = None) -> Scorer:
-    """A scorer from labels (doc_id, quality = 1) and the text of documents, of the rows where usable holds."""
+    """A scorer from labels (doc_id, quality = 1) and the text of documents, of the rows where usable holds.
+
+    train_docs rows with such a label and as many of all rows are learned from at most: those whose hash of id and text is
+    lowest. Rows that repeat an id and its text count once, those that have no id are told apart by their texts."""
     trusted = only(labels, "doc_id",
         "quality").where("quality = 1 and doc_id is not null").where(usable).select(F.col("doc_id").alias("id")).distinct()
     n_trusted = trusted.count()
@@ -160,12 +163,17 @@ def learn(docs: DataFrame, labels: DataFrame, usable, train_docs: int = TRAIN_DO
     n_rows = rows.select("doc_id").count()
     if not n_trusted or not n_rows:
         return Scorer(np.zeros((1, len(NAMES))))
-    drawn = F.broadcast(trusted.where(share("id", train_docs, n_trusted)))  # at most about train_docs rows
-    web = share("doc_id", train_docs, n_rows, seed=23)
-    both = rows.join(drawn, rows["doc_id"] == F.col("id"), "left").where(F.col("id").isNotNull() | web)
-    use = both.select("text", F.col("id").isNotNull().alias("trusted"), web.alias("web")).select("text",
-        F.explode(F.expr("filter(array(if(trusted, 1, null), if(coalesce(web, false), 0, null)), x -> x is not null)")).alias("positive"))
-    found = use.mapInArrow(_described, "positive int, features array<double>").collect()
+    drawn = F.broadcast(trusted.where(share("id", 4 * train_docs, n_trusted)))  # at most about 4 * train_docs ids
+    h, web_h = F.xxhash64("doc_id", "text", F.lit(17)), F.xxhash64("doc_id", "text", F.lit(23))
+    both = rows.join(drawn, rows["doc_id"] == F.col("id"), "left").withColumns({"h": F.when(F.col("id").isNotNull(), h), "web_h": web_h})
+    some = F.lit(True) if 4 * train_docs >= n_rows else F.col("web_h") < F.lit((1 << 64) * 4 * train_docs // n_rows - (1 << 63))
+    hashes = save(both.select("h", F.when(some, F.col("web_h")).alias("web_h")).where("h is not null or web_h is not null"), "sample-hashes")
+    least, web_least = lowest(hashes, train_docs), lowest(hashes.select(F.col("web_h").alias("h")), train_docs)
+    discard(hashes)
+    use = both.select("text", F.explode(F.array_compact(F.array(F.when(F.col("h") <= least, F.struct(F.lit(1).alias("positive"), "h")),
+        F.when(some & (F.col("web_h") <= web_least), F.struct(F.lit(0).alias("positive"), F.col("web_h").alias("h")))))).alias("use"))
+    described = use.select("text", "use.positive", "use.h").mapInArrow(_described, "positive int, h long, features array<double>")
+    found = described.dropDuplicates(["positive", "h"]).collect()  # 2 * train_docs rows at most
     positive = np.array([r["features"] for r in found if r["positive"] == 1])
     unlabelled = np.array([r["features"] for r in found if r["positive"] == 0])
     if not len(positive) or not len(unlabelled):

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recall_spark.functions.vocabulary import Vocabulary
 from recall_spark.llm.common import only, save
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -36,12 +37,12 @@ def encoding(vocabulary: str, pattern: str = PATTERN):
 
 
 def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens of each document."""
+    """doc_id, n_tokens of each document. Runs of white space of any length are counted as the vocabulary's pattern splits them."""
 
     def run(batches):
-        encode = encoding(vocabulary).encode_ordinary
+        encoded = Vocabulary.at(vocabulary).encoded
         for batch in batches:
-            n = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
+            n = [len(encoded(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")

@@ -6,7 +6,7 @@ its features), and a document is toxic if any sentence is: its score is the nois
 noisy-or, which then tells the offending sentences apart. Features are words and their beginnings of 3 to 8
 bytes, so that inflected forms share evidence.
 
-At most TRAIN_DOCS labelled documents, drawn by a hash of their id, are learned from. Features are counted there
+At most TRAIN_DOCS labelled rows, those whose hash of id and text is lowest, are learned from. Features are counted there
 by document, and those that speak for toxicity are kept (FEATURES at most).
 
 Null and empty texts score as documents without a sentence: 0. One row per input row; null labels are not
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_spark.llm import textarrays as ta
-from recall_spark.llm.common import discard, only, remainder, save, share
+from recall_spark.llm.common import discard, lowest, only, remainder, save, share
 
 TRAIN_DOCS = 12_000
 FEATURES = 400
@@ -174,12 +174,18 @@ def _descend(rows: list, n_features: int, rounds: int = 400, rate: float = 0.1,
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> NoisyOr:
-    """The sentence model from the labels (doc_id, toxic) of documents; labels are those to learn from only."""
+    """The sentence model from the labels (doc_id, toxic) of documents; labels are those to learn from only.
+
+    train_docs labelled rows are learned from at most; rows that repeat an id and its text count once."""
     marks = only(labels, "doc_id",
         "toxic").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = marks.count()
-    drawn = F.broadcast(marks.where(share("doc_id", train_docs, n)))  # at most about train_docs rows
-    sample = save(only(docs, "doc_id", "text").join(drawn, "doc_id").select("text", "toxic"), "toxic-sample")
+    drawn = F.broadcast(marks.where(share("doc_id", 4 * train_docs, n)))  # at most about 4 * train_docs ids
+    labelled = only(docs, "doc_id", "text").join(drawn, "doc_id").withColumn("h", F.xxhash64("doc_id", "text", F.lit(17)))
+    hashes = save(labelled.select("h"), "sample-hashes")
+    least = lowest(hashes, train_docs)
+    discard(hashes)
+    sample = save(labelled.where(F.col("h") <= least).dropDuplicates(["h"]).select("text", "toxic"), "toxic-sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
     lookup = Lookup(np.zeros(0, np.uint64))
@@ -215,21 +221,49 @@ def _located(sent, least: float):
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for at, part in ta.slices(texts):
-                numbers, doc, logits, data, offsets = sent.value.sentences(part)
-                score = 1 / (1 + np.exp(-logits))
-                bad = np.flatnonzero(score >= least)
-                stops = np.flatnonzero(_END[data])
-                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                gap = numbers[bad] - doc[bad]  # marks before the sentence
-                begin = np.maximum(offsets[doc[bad]], np.where(gap > 0, np.append(stops, 0)[gap - 1] + 1, 0))
-                end = np.minimum(offsets[doc[bad] + 1], np.append(stops, len(data))[gap])
-                base = points[offsets[doc[bad]]]
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()).take(pa.array(doc[bad] + at)), pa.array(points[begin] - base),
-                    pa.array(points[end] - base), pa.array(score[bad])], names=["doc_id", "begin", "end", "score"])
+                doc, begin, end, score = _places(*sent.value.sentences(part), least)
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()).take(pa.array(doc + at)), pa.array(begin),
+                    pa.array(end), pa.array(score)], names=["doc_id", "begin", "end", "score"])
 
     return run
 
 
+def _places(numbers, doc, logits, data, offsets, least: float):
+    """Document, begin, end (code points) and score of each sentence with such a score at least."""
+    score = 1 / (1 + np.exp(-logits))
+    bad = np.flatnonzero(score >= least)
+    stops = np.flatnonzero(_END[data])
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    gap = numbers[bad] - doc[bad]  # marks before the sentence
+    begin = np.maximum(offsets[doc[bad]], np.where(gap > 0, np.append(stops, 0)[gap - 1] + 1, 0))
+    end = np.minimum(offsets[doc[bad] + 1], np.append(stops, len(data))[gap])
+    base = points[offsets[doc[bad]]]
+    return doc[bad], points[begin] - base, points[end] - base, score[bad]
+
+
+def _marked(sent, least: float):
+    """Scores and places of one pass."""
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text")
+            for at, part in ta.slices(texts):
+                found = sent.value.sentences(part)
+                scores = -np.expm1(-np.bincount(found[1], np.logaddexp(0, found[2]), len(part)))
+                doc, begin, end, own = _places(*found, least)
+                spans = pa.StructArray.from_arrays([pa.array(begin), pa.array(end), pa.array(own)], names=["begin", "end", "score"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32)), spans)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(scores), lists], names=["doc_id", "score", "offending"])
+
+    return run
+
+
+def marked(docs: DataFrame, model: NoisyOr, least: float = 0.5) -> DataFrame:
+    """doc_id, score, offending: the sentences (begin, end, score; in order) that make a document toxic, as offending() has them."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return only(docs, "doc_id", "text").mapInArrow(_marked(sent, least), "doc_id long, score double, offending array<struct<begin:long,end:long,score:double>>")
+
+
 def score(docs: DataFrame, model: NoisyOr) -> DataFrame:
     """doc_id, score of each document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -244,6 +278,11 @@ def offending(docs: DataFrame, model: NoisyOr, least: float = 0.5) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted; rows whose crc32 modulo 3 is 1 are held out."""
+    return located(docs, labels, least).drop("offending")
+
+
+def located(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
+    """What classify() gives, with the offending sentences of each document."""
     model = learn(docs, labels.where(remainder("doc_id", 3) != 1))
-    return score(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score",
-        (F.col("score") >= least).cast("int").alias("predicted"))
+    return marked(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= least).cast("int").alias("predicted"), "offending")
