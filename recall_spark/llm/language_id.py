@@ -8,7 +8,9 @@ training text, over characters estimate the cross entropy; the language needing
 Texts are parsed whole, blocks of BLOCK characters at once without effect on the phrases; letters are lower-cased
 and runs of other characters count as one space. At most TRAIN_CHARS characters a language are learned, from about TRAIN_DOCS
 documents, at least one, with the smallest hashes of id and text. Those that fit are learned whole, and the others
-share the room left with their beginnings: a bound on what is learned only. The automata are hence of bounded size.
+share the room left with their beginnings: a bound on what is learned only. Of more than LANGUAGES languages those with the
+most rows are learned. The automata are hence of bounded size: an automaton whose table of states and letters would pass
+CELLS is kept as its edges, and with many letters each language numbers its own.
 
 A null text and a text without a letter get `und` and score 0, as does any text if no label was learned. Ties go
 to the alphabetically first language. One row per input row; null ids and extra columns do no harm.
@@ -26,6 +28,9 @@ from recall_spark.llm.common import only
 
 TRAIN_CHARS = 40_000
 TRAIN_DOCS = 100
+LANGUAGES = 1_000
+#: Cells of a table of states and letters at most, and letters of all languages that all of them number alike.
+CELLS, ALIKE = 1 << 23, 250
 BLOCK = 512
 #: So few blocks take their steps one by one, and bytes of text that are parsed side by side.
 FEW, SLICE_BYTES = 32, 4 << 20
@@ -60,8 +65,79 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
+class Table:
+    """An automaton as a table of states and codes. A negative entry ends a phrase and holds the state after its first character."""
+
+    def __init__(self, step: list[dict[int, int]], width: int):
+        # The last row: a phrase of one character that the language doesn't have.
+        begin = np.full(width, len(step) * width, np.int32)
+        for c, s in step[0].items():
+            begin[c] = s * width
+        table = np.tile(~begin, (len(step) + 1, 1))
+        table[0] = begin
+        for i, edges in enumerate(step[1:], 1):
+            for c, s in edges.items():
+                table[i, c] = s * width
+        self.table = table.ravel()
+
+    def to(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return self.table[state + code]
+
+    def one(self):
+        """The same for one state and code."""
+        steps = memoryview(self.table)
+        return lambda s, c: steps[s + c]
+
+
+class Edges:
+    """The same as its edges only: a state is a number of its own, at which (plus the code) its edges lie among those of others.
+
+    Room grows with the edges, not with states times letters. What isn't an edge of a state ends a phrase."""
+
+    def __init__(self, step: list[dict[int, int]], width: int):
+        order = sorted(range(1, len(step)), key=lambda i: -len(step[i]))
+        room = sum(map(len, step)) + len(step) + 4 * width
+        owner, base, used, free = [-1] * room, [0] * (len(step) + 1), {0}, width
+        owner[:width] = [0] * width  # the first state has an edge for each code
+        tried: dict[int, int] = {}  # where the last state with so many edges found room: before that there is hardly any
+        for i in order:
+            codes = sorted(step[i]) or [0]
+            at = max(free, tried.get(len(codes), 0))
+            while True:
+                if at + width >= len(owner):
+                    owner += [-1] * (len(owner) + width)
+                if owner[at] < 0:
+                    here = at - codes[0]
+                    if here > 0 and here not in used and all(owner[here + c] < 0 for c in step[i]):
+                        break
+                at += 1
+            used.add(here)
+            tried[len(codes)] = at
+            base[i] = here
+            for c in step[i]:
+                owner[here + c] = here
+        base[-1] = next(b for b in range(1, len(used) + 2) if b not in used)  # a phrase that the language doesn't have
+        self.owner = np.array([*owner, *[-1] * (max(base) + width - len(owner))], np.int32)
+        self.next = np.zeros(len(self.owner), np.int32)
+        self.begin = np.full(width, base[-1], np.int32)
+        for c, s in step[0].items():
+            self.begin[c] = base[s]
+        self.next[:width] = self.begin
+        for i in order:
+            for c, s in step[i].items():
+                self.next[base[i] + c] = base[s]
+
+    def to(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        at = state + code
+        return np.where(self.owner[at] == state, self.next[at], ~self.begin[code])
+
+    def one(self):
+        owner, following, begin = memoryview(self.owner), memoryview(self.next), memoryview(self.begin)
+        return lambda s, c: following[s + c] if owner[s + c] == s else ~begin[c]
+
+
 class Languages:
-    """Automata as tables. A negative entry ends a phrase and holds the state after its first character."""
+    """Automata of the languages, and the codes of letters."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.names = sorted(texts)
@@ -71,23 +147,23 @@ class Languages:
         # 0: other than letters, 1...: letters seen in training, then letters not seen, then what parts documents.
         self.codes = np.fromiter((len(letters) + 1 if chr(i).isalpha() else 0 for i in range(0x110000)), np.int32, 0x110000)
         self.codes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.tables, self.bits = [], []
+        self.tables, self.bits, self.own = [], [], []
         for lang in self.names:
             all_codes: list[int] = []
             for t in joined[lang]:
                 all_codes += self.encode([t])[0].tolist() + [len(letters) + 2]
+            width, own = self.width, None
+            if len(letters) > ALIKE:
+                # Letters of this language from 1 on; all others are one letter that it doesn't have.
+                seen = sorted(set(all_codes) - {0, len(letters) + 1, len(letters) + 2})
+                width, own = len(seen) + 3, np.full(self.width, len(seen) + 1, np.int32)
+                own[seen] = np.arange(1, len(seen) + 1)
+                own[[0, len(letters) + 2]] = 0, len(seen) + 2
+                all_codes = own[all_codes].tolist() if all_codes else []
             step = suffix_automaton(all_codes)
-            # The last row: a phrase of one character that the language doesn't have.
-            begin = np.full(self.width, len(step) * self.width, np.int32)
-            for c, s in step[0].items():
-                begin[c] = s * self.width
-            table = np.tile(~begin, (len(step) + 1, 1))
-            table[0] = begin
-            for i, edges in enumerate(step[1:], 1):
-                for c, s in edges.items():
-                    table[i, c] = s * self.width
-            self.tables.append(table.ravel())
+            self.tables.append((Table if (len(step) + 1) * width <= CELLS else Edges)(step, width))
             self.bits.append(np.log2(max(2, len(all_codes))))
+            self.own.append(own)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of lower-cased texts in a row, codes a text, and whether a text has a letter."""
@@ -130,11 +206,13 @@ class Languages:
         texts = np.flatnonzero(sizes)
         firsts = np.flatnonzero(nth == 0)
         after, opens = np.empty((steps, len(order)), np.int32), np.empty((steps, len(order)), np.int8)
+        all_read = read
         for k, table in enumerate(self.tables):
+            read = all_read if self.own[k] is None else self.own[k][all_read]
             opens[:] = 0
             state = np.zeros(len(order), np.int32)
             for t, n in enumerate(active):
-                to = table[state[:n] + read[t, :n]]
+                to = table.to(state[:n], read[t, :n])
                 ended = to >> 31
                 np.bitwise_xor(to, ended, out=state[:n])
                 after[t, :n] = state[:n]
@@ -151,7 +229,7 @@ class Languages:
         lanes, before = lane[again], lane[again - 1]
         state, changed, t = after[length[before] - 1, before], [], 0
         while len(lanes) > FEW:
-            to = table[state + read[t, lanes]]
+            to = table.to(state, read[t, lanes])
             ended = to >> 31
             state = to ^ ended
             opens[t, lanes] = ended
@@ -162,12 +240,12 @@ class Languages:
             changed += again[apart & done & ~last[again]].tolist()
             left = apart & ~done
             again, lanes, state = again[left], lanes[left], state[left]
-        steps = memoryview(table)
+        step = table.one()
         for block, i, s in zip(again.tolist(), lanes.tolist(), state.tolist()):
             end = int(length[i])
             states, flags = [], []
             for c, known in zip(read[t:end, i].tolist(), after[t:end, i].tolist()):
-                s = steps[s + c]
+                s = step(s, c)
                 flags.append(-1 if s < 0 else 0)
                 s = ~s if s < 0 else s
                 states.append(s)
@@ -196,7 +274,7 @@ def learn(docs: DataFrame, usable: Column, train_chars: int = TRAIN_CHARS, train
     """Automata from the rows of docs (text, lang, doc_id) where usable holds."""
     rows = docs.where(usable).where("lang is not null and text is not null").select("doc_id", "lang", "text")
     order = F.xxhash64("doc_id", "text", F.lit(17))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(order).alias("least")).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(order).alias("least")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return Languages({})
     # The smallest hash is drawn however small the share is.
