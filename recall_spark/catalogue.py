@@ -14,7 +14,7 @@ from recall_spark.functions import scoring as sc
 from recall_spark.functions import text as tx
 from recall_spark.functions import vocabulary
 from recall_spark.operators import capturing, cells, chunking, context, graphs, indexing, listing, maintenance, search
-from recall_spark.operators.joins import shared_dir
+from recall_spark.operators.joins import shared_dir, small
 from recall_spark.sources import files as fl
 from recall_spark.sources import tables as tb
 
@@ -33,7 +33,8 @@ _MEMORIES = f"""memories AS (
 _TOKENS = "((length({0}) + 3) // 4)::INT"
 _ONE_LINE = r"""CASE WHEN length(trim(regexp_extract(text, '^[^.!?]+[.!?]'), E' \n\t\r')) BETWEEN 1 AND 100 THEN trim(regexp_extract(text, '^[^.!?]+[.!?]'), E' \n\t\r')
   WHEN length(trim(text, E' \n\t\r')) <= 100 THEN trim(text, E' \n\t\r') ELSE trim(left(text, 97), E' \n\t\r') || '...' END"""
-_NEAREST = """vectors AS (SELECT e.vec_id, e.embedding, e.label, m.repo_id, m.branch_name FROM embeddings e JOIN memories m ON e.vec_id = m.memory_id),
+_VECTORS = "vectors AS (SELECT e.vec_id, e.embedding, e.label, m.repo_id, m.branch_name FROM embeddings e JOIN memories m ON e.vec_id = m.memory_id)"
+_NEAREST = f"""{_VECTORS},
   d AS (SELECT q.vec_id AS query_id, v.vec_id AS memory_id, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (q.embedding[i]::DOUBLE - v.embedding[i]::DOUBLE) ^ 2)) AS distance
         FROM vectors v JOIN vectors q ON v.repo_id = q.repo_id AND v.branch_name = q.branch_name WHERE q.vec_id % 20 = 0),
   hits AS (SELECT query_id, memory_id, exp(-distance) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), memory_id) AS rank FROM d)"""
@@ -231,11 +232,11 @@ _SUFFIXES = """('.py', 'python', 'python_ast'), ('.pyw', 'python', 'python_ast')
 
 
 @query(f"""WITH x(suffix, language, chunker) AS (VALUES {_SUFFIXES}, ('.txt', NULL, 'text'), ('.json', NULL, 'text'), ('', NULL, 'text')),
-  p AS (SELECT doc_id, x.*, 'src/a.b/f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN upper(suffix) ELSE suffix END AS file_path FROM documents, x WHERE doc_id % 3 = 0)
+  p AS (SELECT doc_id, x.*, 'src/a.b/f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN upper(suffix) ELSE suffix END AS file_path FROM documents, x)
   SELECT file_path, language, chunker, language IS NOT NULL AS is_code FROM p""")
 def detect_language(spark, d):
     suffixes = F.array(*map(F.lit, [*tx.LANGUAGES, ".txt", ".json", ""]))
-    rows = tb.table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.explode(suffixes).alias("s"))
+    rows = tb.table(spark, d, "documents").select("doc_id", F.explode(suffixes).alias("s"))
     path = F.concat(F.lit("src/a.b/f"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, F.upper("s")).otherwise(F.col("s")))
     return rows.select(path.alias("file_path")).withColumns({"language": tx.language(F.col("file_path")),
         "is_code": tx.is_code(F.col("file_path"))}).withColumn("chunker", tx.chunker(F.col("language")))
@@ -413,13 +414,14 @@ def adaptive_block(spark, d):
 
 @query()
 def legacy_block(spark, d):
-    return context.legacy(_ranked(spark, d), tb.PERSISTENT)
+    return context.legacy(_ranked(spark, d), tb.PERSISTENT, prompts=_prompts(spark, d))
 
 
 def _smart(spark, d):
     m = tb.memories(spark, d)
-    fresh = m.join(maintenance.expired(m, tb.AS_OF, 30, 20).select("memory_id"), "memory_id", "left_anti")
-    hits = search.similar(tb.vectors(spark, d), _prompts(spark, d), fresh, 20, context.SEARCH_FLOOR)
+    # What has expired takes no place among the nearest. Ids go to the vectors, as long as they are few.
+    gone = small(maintenance.expired(m, tb.AS_OF, 30, 20).select("memory_id"))
+    hits = search.similar(tb.vectors(spark, d).join(gone, "memory_id", "left_anti"), _prompts(spark, d), m, 20, context.SEARCH_FLOOR)
     return context.smart(tb.derived(hits), _intents(spark, d, _prompts(spark, d)), tb.skills(spark, d), tb.AS_OF)
 
 
@@ -433,7 +435,13 @@ def inject_message(spark, d):
     return context.injected(_smart(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE f AS (SELECT conv_id, min_by(text, turn) AS prompt FROM conversations GROUP BY conv_id),
+  s AS (SELECT 'skill_' || lpad(conv_id::VARCHAR, 9, '0') AS name, (['debugging', 'coding', 'general'])[conv_id % 3 + 1] AS intent, conv_id * 7 % 10 AS priority, trim(prompt, E' \\n\\t\\r') AS prompt, {_TOKENS.format('prompt')} AS n FROM f WHERE trim(coalesce(prompt, '')) <> ''),
+  o AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY priority DESC, name) AS place FROM s),
+  r(intent, place, used, names, prompts) AS (SELECT DISTINCT intent, 0::BIGINT, 0, []::VARCHAR[], []::VARCHAR[] FROM o UNION ALL
+    SELECT o.intent, o.place, CASE WHEN used + n <= 500 THEN used + n ELSE used END, CASE WHEN used + n <= 500 THEN list_append(names, name) ELSE names END, CASE WHEN used + n <= 500 THEN list_append(prompts, prompt) ELSE prompts END
+    FROM r JOIN o ON o.intent = r.intent AND o.place = r.place + 1)
+  SELECT intent, array_to_string(names, ',') AS names, used, CASE WHEN len(prompts) > 0 THEN array_to_string(prompts, E'\\n') END AS block FROM r QUALIFY row_number() OVER (PARTITION BY intent ORDER BY place DESC) = 1""")
 def select_skills(spark, d):
     return context.selected_skills(tb.skills(spark, d), 500)
 
@@ -464,13 +472,16 @@ def summarize_by_file(spark, d):
     return context.summary_lines(tb.derived(tb.memories(spark, d)), 500)
 
 
-@query()
+@query(f"""WITH {_MEMORIES}, {_VECTORS},
+  n AS (SELECT vec_id + 1000000000 AS query_id, list_prepend(embedding[1]::DOUBLE * 1.01::DOUBLE, list_transform(embedding[2:], lambda e: e::DOUBLE)) AS embedding, repo_id, branch_name FROM vectors WHERE vec_id % 20 = 0),
+  d AS (SELECT query_id, v.vec_id AS memory_id, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (n.embedding[i] - v.embedding[i]::DOUBLE) ^ 2)) AS distance FROM n JOIN vectors v USING (repo_id, branch_name))
+  SELECT query_id, memory_id, round(exp(-distance), 6) AS similarity FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), memory_id) = 1 AND exp(-distance) >= 0.97""")
 def near_dup_capture(spark, d):
     v = tb.vectors(spark, d)
     first = F.transform("embedding", lambda x, i: F.when(i == 0, x * F.lit(1.01)).otherwise(x))
     new = v.where("memory_id % 20 = 0").select((F.col("memory_id") + 1_000_000_000).alias("query_id"), first.alias("embedding"), "repo_id",
         "branch_name")
-    return search.near_copies(v, new, scoped=("repo_id", "branch_name"))
+    return search.near_copies(v, new, scoped=("repo_id", "branch_name")).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
@@ -518,8 +529,8 @@ def known_summaries(spark, d):
     sessions = capturing.to_capture(_lines(spark, d), 50)
     m = tb.derived(tb.memories(spark, d).where("not stale"))
     mixed = sessions.unionByName(m.where("memory_id % 20 = 0").select(F.concat(F.lit("m"), F.col("memory_id").cast("string")).alias("session_id"),
-        F.left("text", F.lit(500)).alias("text")))
-    return capturing.known_for(mixed, search.embedded(m.select("memory_id", F.left("text", F.lit(500)).alias("text"))), m).select("session_id",
+        "text"))
+    return capturing.known_for(mixed, search.embedded(m.select("memory_id", "text")), m).select("session_id",
         F.array_join("known", "\n").alias("known"))
 
 

@@ -68,8 +68,10 @@ def adaptive(rows: DataFrame, prompts: DataFrame | None = None, base: int = 800,
         F.size("p.entries").alias("entries"), F.col("p.used").alias("used"), "budget")
 
 
-def legacy(rows: DataFrame, persistent: tuple[str, ...], budget: int = 800, most_code: int = 3, least: float = FLOOR) -> DataFrame:
-    """query_id, block, entries: lasting memories first, then a few lines of code until one doesn't fit."""
+def legacy(rows: DataFrame, persistent: tuple[str, ...], budget: int = 800, most_code: int = 3, least: float = FLOOR,
+    prompts: DataFrame | None = None) -> DataFrame:
+    """query_id, block, entries: lasting memories first, then a few lines of code until one doesn't fit. Each of prompts
+    (query_id) gives a row, also without any hit."""
     rows = rows.where(F.col("similarity") >= least)
     keeps = F.col("content_type").isin(*persistent)
     line = F.coalesce("one_line", F.lit(""))
@@ -84,7 +86,10 @@ def legacy(rows: DataFrame, persistent: tuple[str, ...], budget: int = 800, most
     rows = rows.withColumn("a", first).withColumn("b",
         _packed(F.slice(F.filter("all", lambda x: ~x["keeps"]), 1, most_code), F.lit(budget) - F.col("a.used"), True))
     entries = F.concat("a.entries", "b.entries")
-    return rows.select("query_id", F.when(F.size(entries) > 0, F.array_join(entries, "\n")).alias("block"), F.size(entries).alias("entries"))
+    out = rows.select("query_id", F.when(F.size(entries) > 0, F.array_join(entries, "\n")).alias("block"), F.size(entries).alias("entries"))
+    if prompts is None:
+        return out
+    return prompts.select("query_id").join(out, "query_id", "left").select("query_id", "block", F.coalesce("entries", F.lit(0)).alias("entries"))
 
 
 def selected_skills(skills: DataFrame, budget: int) -> DataFrame:

@@ -70,5 +70,4 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt")).where("trim(coalesce(prompt, '')) <> ''")
     intent = F.element_at(F.array(*map(F.lit, ("debugging", "coding", "general"))), (F.col("conv_id") % 3 + 1).cast("int"))
     return first.select(F.concat(F.lit("skill_"), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias("name"), intent.alias("intent"),
-        (F.col("conv_id") * 7 % 10).cast("int").alias("priority"), F.left("prompt", F.lit(200)).alias("prompt")).withColumn("token_count",
-        tx.tokens(F.col("prompt")))
+        (F.col("conv_id") * 7 % 10).cast("int").alias("priority"), "prompt").withColumn("token_count", tx.tokens(F.col("prompt")))

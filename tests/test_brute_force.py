@@ -120,8 +120,7 @@ def test_legacy_block(spark, prompts):
                 break
             lines.append(entry)
             used += tokens(entry)
-        if fitting:
-            want[q] = ("\n".join(lines) or None, len(lines))
+        want[q] = ("\n".join(lines) or None, len(lines))
     got = {r["query_id"]: (r["block"], r["entries"]) for r in catalogue.queries()["legacy_block"](spark, SF).collect()}
     assert got == want
 
@@ -231,15 +230,15 @@ def test_items_are_dropped_one_after_another(spark):
 
 def test_known_summaries(spark, memories):
     fresh = {i: m for i, m in memories.items() if not m["stale"]}
-    vectors = {i: embed(m["text"][:500]).astype(float) for i, m in fresh.items()}
+    vectors = {i: embed(m["text"]).astype(float) for i, m in fresh.items()}
     got = {r["session_id"]: r["known"] for r in catalogue.queries()["known_summaries"](spark, SF).collect()}
     for i, m in fresh.items():
         if i % 20:
             continue
-        x = vectors[i]
+        x = embed(m["text"][:500]).astype(float)  # the beginning is asked for, whole texts are stored
         near = sorted((round(float(((v - x) ** 2).sum()), 9), j) for j, v in vectors.items())[:5]
         lines = [f"[{memories[j]['content_type']}] {memories[j]['one_line']}" for d, j in near if math.exp(-d) >= 0.85]
-        assert got[f"m{i}"] == "\n".join(lines)
+        assert got.get(f"m{i}", "") == "\n".join(lines)
 
 
 def test_search_of_awkward_vectors(spark):
