@@ -250,9 +250,12 @@ def scope_folder(spark, d):
     return tb.memories(spark, d).select("memory_id", tx.scope_folder(given, path).alias("folder"))
 
 
-@query(f"SELECT * FROM (VALUES {_SUFFIXES}) x(suffix, language, chunker)")
+@query(f"""WITH x(suffix, language, chunker) AS (VALUES {_SUFFIXES}), f AS (SELECT ([suffix FOR suffix IN {[*tx.LANGUAGES, '.txt']}])[doc_id % {len(tx.LANGUAGES) + 1} + 1] AS suffix FROM documents)
+  SELECT suffix, language, chunker, count(f.suffix) AS files FROM x LEFT JOIN f USING (suffix) GROUP BY ALL""")
 def supported_languages(spark, d):
-    return tx.supported(spark)
+    """Known suffixes, and how many files of documents have each."""
+    suffix = F.element_at(F.array(*map(F.lit, [*tx.LANGUAGES, ".txt"])), (F.col("doc_id") % (len(tx.LANGUAGES) + 1) + 1).cast("int"))
+    return tx.supported(tb.table(spark, d, "documents").select(F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.upper(suffix)).alias("path")))
 
 
 @query(f"WITH {_MEMORIES} SELECT memory_id, language, content_type FROM memories WHERE language = 'fr' AND NOT stale ORDER BY content_type, created_at DESC, memory_id LIMIT 50")

@@ -45,7 +45,7 @@ def scope_folder(repo_path: Column, file_path: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Estimated tokens: a token for each four characters begun."""
+    """Estimated tokens (a fixed rule): a token for each four characters begun."""
     return F.floor((F.length(text) + 3) / 4).cast("int")
 
 
@@ -92,12 +92,15 @@ def is_code(path: Column) -> Column:
     return language(path).isNotNull()
 
 
-def supported(spark):
-    """suffix, language, chunker: all suffixes that are known."""
-    rows = spark.createDataFrame(sorted(LANGUAGES.items()), "suffix string, language string")
-    return rows.withColumn("chunker", chunker(F.col("language")))
+def supported(files):
+    """suffix, language, chunker, files: all suffixes that are known, and how many of files (path) have each."""
+    rows = files.sparkSession.createDataFrame(sorted(LANGUAGES.items()), "suffix string, language string")
+    suffix = F.lower(F.regexp_extract("path", r"[^/](\.[^./]+)$", 1))
+    counts = files.groupBy(suffix.alias("suffix")).agg(F.count("*").alias("files"))
+    return rows.join(counts, "suffix", "left").select("suffix", "language", chunker(F.col("language")).alias("chunker"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
+# The templates of decisions and of session notes.
 def decision(problem: Column, alternatives: Column, chosen: Column, rationale: Column, outcome: Column) -> Column:
     bullets = F.array_join(F.transform(alternatives, lambda x: F.concat(F.lit("- "), x)), "\n")
     return F.concat(F.lit("## Problem\n"), problem, F.lit("\n\n## Alternatives\n"), bullets, F.lit("\n\n## Chosen\n"), chosen,

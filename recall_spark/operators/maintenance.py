@@ -38,10 +38,12 @@ def expired(memories: DataFrame, as_of: int, conversation_days: int = 0, context
 
 
 def copies(memories: DataFrame) -> DataFrame:
-    """Rows whose text an older row has; the oldest is taken by aggregation, so a text of any number of rows is no task's burden."""
+    """Rows whose text an older row has; the oldest is taken by aggregation, so a text of any number of rows is no task's burden.
+
+    Which join it takes is decided by the size that the aggregate turns out to have: nothing is counted beforehand."""
     sums = memories.withColumn("checksum", tx.checksum(F.col("text")))
     first = sums.groupBy("checksum").agg(F.min(F.struct("created_at", "memory_id")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return sums.join(small(first), "checksum").where(F.struct("created_at", "memory_id") > F.col("first")).drop("first", "n")
+    return sums.join(first, "checksum").where(F.struct("created_at", "memory_id") > F.col("first")).drop("first", "n")
 
 
 def cleanup(memories: DataFrame, as_of: int, days: int | None = None, content_type: str | None = None, stale_only: bool = False,

@@ -14,6 +14,7 @@ IGNORED = (
     "__pycache__", ".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", ".pytest_cache", ".mypy_cache",
     ".ruff_cache", "build", "dist", ".next", ".nuxt", "target", ".idea", ".vscode", ".coverage",
 )
+#: Files that are indexed where no patterns are given.
 PATTERNS = ("**/*.py", "**/*.js", "**/*.ts", "**/*.go", "**/*.rs")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recall_spark.functions import text as tx
 from recall_spark.operators.joins import small
 
+#: Kinds of memories, and those that count as code, as lasting, and as recalled.
 TYPES = ("code_snippet", "context", "summary", "relationship", "decision", "analysis", "conversation")
 CODE = ("code_snippet", "relationship")
 PERSISTENT = ("context", "summary", "decision", "analysis", "conversation")
