@@ -410,12 +410,38 @@ def effective_budget(spark, d):
     return context.adaptive(_ranked(spark, d), _prompts(spark, d).select("query_id")).select("query_id", "budget")
 
 
-@query()
+def _entries_sql(rows: str, budgets: str, name: str) -> str:
+    """CTEs that fill each prompt's budget from rows (query_id, memory_id, rank, composite): name, with query_id, lines and used."""
+    own = "trim(text, E' \\n\\t\\r')"
+    return f"""{name}_t AS (SELECT s.query_id, s.composite, s.rank, content_type, file_path, text, {_ONE_LINE} AS one_line, CASE WHEN {_TOKENS.format('text')} > 200 THEN {_cut_sql("split_part(text, E'\\n\\n', 1)", 500)} END AS detailed FROM {rows} s JOIN memories m USING (memory_id)),
+  {name}_e AS (SELECT *, '- [' || content_type || '] ' || one_line AS brief, '- [' || content_type || '] ' || one_line || ' -- ' || file_path AS medium,
+    '- [' || content_type || '] ' || CASE WHEN {_TOKENS.format(own)} <= 300 THEN {own} WHEN coalesce(detailed, '') <> '' THEN detailed ELSE one_line END AS whole FROM {name}_t),
+  {name}_o AS (SELECT query_id, CASE WHEN composite >= 0.75 THEN [whole, medium, brief] WHEN composite >= 0.55 THEN [medium, brief] WHEN composite >= 0.4 THEN [brief] ELSE [] END AS texts, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, rank) AS place FROM {name}_e),
+  {name}_r(query_id, place, used, lines) AS (SELECT query_id, 0::BIGINT, 0, []::VARCHAR[] FROM {budgets} UNION ALL
+    SELECT query_id, o.place, used + CASE WHEN o.fit IS NULL THEN 0 ELSE {_TOKENS.format('o.fit')} END, CASE WHEN o.fit IS NULL THEN lines ELSE list_append(lines, o.fit) END
+    FROM (SELECT r.query_id, o.place, r.used, r.lines, list_filter(o.texts, lambda t: {_TOKENS.format('t')} <= b.budget - r.used)[1] AS fit FROM {name}_r r JOIN {name}_o o ON o.query_id = r.query_id AND o.place = r.place + 1 JOIN {budgets} b ON b.query_id = r.query_id) o),
+  {name} AS (SELECT query_id, lines, used FROM {name}_r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place DESC) = 1)"""
+
+
+_SPENT = "least(greatest(trunc(800 * (0.3 + 0.9 * max(composite)))::INT, 200), 1200)"
+
+
+@query(f"""WITH RECURSIVE {_COMPOSITES}, ranked AS (SELECT s.*, h.rank FROM scored s JOIN hits h USING (query_id, memory_id)),
+  budgets AS (SELECT vec_id AS query_id, CASE WHEN max(composite) IS NULL THEN 200 ELSE {_SPENT} END AS budget FROM vectors LEFT JOIN scored ON vec_id = query_id WHERE vec_id % 20 = 0 GROUP BY vec_id),
+  {_entries_sql('ranked', 'budgets', 'filled')}
+  SELECT query_id, CASE WHEN len(lines) > 0 THEN array_to_string(lines, E'\\n') END AS block, len(lines)::INT AS entries, used, budget FROM filled JOIN budgets USING (query_id)""")
 def adaptive_block(spark, d):
     return context.adaptive(_ranked(spark, d), _prompts(spark, d).select("query_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MEMORIES}, {_NEAREST}, t AS (SELECT query_id, rank, content_type NOT IN ('code_snippet', 'relationship') AS lasts, m.*, {_ONE_LINE} AS one_line FROM hits JOIN memories m USING (memory_id) WHERE rank <= 20 AND similarity >= 0.25 AND NOT stale),
+  e AS (SELECT *, row_number() OVER (PARTITION BY query_id, lasts ORDER BY rank) AS nth, CASE WHEN lasts THEN '- [' || content_type || '] ' || CASE WHEN {_TOKENS.format('text')} <= 200 THEN trim(text, E' \\n\\t\\r') ELSE one_line END
+    ELSE '- [code] ' || one_line || ' — ' || file_path || ':' || line_start || '-' || line_end END AS line FROM t),
+  o AS (SELECT query_id, lasts, line, {_TOKENS.format('line')} AS n, row_number() OVER (PARTITION BY query_id ORDER BY lasts DESC, nth) AS place FROM e WHERE lasts OR nth <= 3),
+  r(query_id, place, used, closed, lines) AS (SELECT vec_id, 0::BIGINT, 0, false, []::VARCHAR[] FROM vectors WHERE vec_id % 20 = 0 UNION ALL
+    SELECT r.query_id, o.place, CASE WHEN NOT closed AND used + n <= 800 THEN used + n ELSE used END, closed OR (NOT lasts AND used + n > 800), CASE WHEN NOT closed AND used + n <= 800 THEN list_append(lines, line) ELSE lines END
+    FROM r JOIN o ON o.query_id = r.query_id AND o.place = r.place + 1)
+  SELECT query_id, CASE WHEN len(lines) > 0 THEN array_to_string(lines, E'\\n') END AS block, len(lines)::INT AS entries FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place DESC) = 1""")
 def legacy_block(spark, d):
     return context.legacy(_ranked(spark, d), tb.PERSISTENT, prompts=_prompts(spark, d))
 
@@ -428,23 +454,42 @@ def _smart(spark, d):
     return context.smart(tb.derived(hits), _intents(spark, d, _prompts(spark, d)), tb.skills(spark, d), tb.AS_OF)
 
 
-@query()
+def _skills_sql(budget: int) -> str:
+    """CTEs that choose the skills of each intent: chosen, with intent, names, used and prompts."""
+    return f"""skill_f AS (SELECT conv_id, min_by(text, turn) AS prompt FROM conversations GROUP BY conv_id),
+  skill_s AS (SELECT 'skill_' || lpad(conv_id::VARCHAR, 9, '0') AS name, (['debugging', 'coding', 'general'])[conv_id % 3 + 1] AS intent, conv_id * 7 % 10 AS priority, trim(prompt, E' \\n\\t\\r') AS prompt, {_TOKENS.format('prompt')} AS n FROM skill_f WHERE trim(coalesce(prompt, '')) <> ''),
+  skill_o AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY priority DESC, name) AS place FROM skill_s),
+  skill_r(intent, place, used, names, prompts) AS (SELECT DISTINCT intent, 0::BIGINT, 0, []::VARCHAR[], []::VARCHAR[] FROM skill_o UNION ALL
+    SELECT o.intent, o.place, CASE WHEN used + n <= {budget} THEN used + n ELSE used END, CASE WHEN used + n <= {budget} THEN list_append(names, name) ELSE names END, CASE WHEN used + n <= {budget} THEN list_append(prompts, prompt) ELSE prompts END
+    FROM skill_r r JOIN skill_o o ON o.intent = r.intent AND o.place = r.place + 1),
+  chosen AS (SELECT intent, names, used, CASE WHEN len(prompts) > 0 THEN array_to_string(prompts, E'\\n') END AS block FROM skill_r QUALIFY row_number() OVER (PARTITION BY intent ORDER BY place DESC) = 1)"""
+
+
+# As _COMPOSITES, but what has expired takes no place among the nearest.
+_SMART = f"""WITH RECURSIVE {_CLASSIFIED}, {_PRIORITIES}, {_skills_sql(300)},
+  lasting AS (SELECT v.* FROM vectors v JOIN memories m ON v.vec_id = m.memory_id WHERE NOT ((content_type = 'conversation' AND created_at < {tb.AS_OF} - 30 * 86400) OR (content_type = 'context' AND created_at < {tb.AS_OF} - 20 * 86400))),
+  near AS (SELECT q.vec_id AS query_id, v.vec_id AS memory_id, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (q.embedding[i]::DOUBLE - v.embedding[i]::DOUBLE) ^ 2)) AS distance
+    FROM lasting v JOIN vectors q ON v.repo_id = q.repo_id AND v.branch_name = q.branch_name WHERE q.vec_id % 20 = 0),
+  nearest AS (SELECT query_id, memory_id, exp(-distance) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), memory_id) AS rank FROM near),
+  ranked AS (SELECT query_id, memory_id, rank, 0.6 * similarity + 0.3 * coalesce(priority, 0.1)::DOUBLE + 0.1 * greatest(0.3, exp(-(({tb.AS_OF} - created_at) / 86400.0::DOUBLE) / 60)) AS composite
+    FROM nearest JOIN memories m USING (memory_id) JOIN intents i USING (query_id) LEFT JOIN p ON p.intent = i.intent AND p.content_type = m.content_type WHERE rank <= 20 AND similarity >= 0.25 AND NOT stale),
+  asked AS (SELECT i.query_id, i.intent, i.confidence, c.block AS skill_block, coalesce({_TOKENS.format('c.block')}, 0) AS skill_tokens FROM intents i LEFT JOIN chosen c USING (intent) WHERE query_id % 20 = 0),
+  budgets AS (SELECT query_id, CASE WHEN max(composite) IS NULL THEN 200 ELSE greatest({_SPENT} - any_value(skill_tokens), 0) END AS budget FROM asked LEFT JOIN ranked USING (query_id) GROUP BY query_id),
+  {_entries_sql('ranked', 'budgets', 'filled')},
+  smart AS (SELECT query_id, intent, confidence, nullif(concat_ws(E'\\n\\n', skill_block, CASE WHEN len(lines) > 0 THEN array_to_string(lines, E'\\n') END), '') AS block, len(lines)::INT AS entries, used, budget FROM filled JOIN budgets USING (query_id) JOIN asked USING (query_id))"""
+
+
+@query(f"{_SMART} SELECT query_id, intent, round(confidence, 6) AS confidence, block, entries, used, budget FROM smart")
 def smart_block(spark, d):
-    return _smart(spark, d)
+    return _smart(spark, d).withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+@query(f"{_SMART}, m AS (SELECT query_id, E'Relevant memories from previous sessions:\\n' || block AS message FROM smart) SELECT query_id, message, coalesce({_TOKENS.format('message')}, 0) AS tokens FROM m")
 def inject_message(spark, d):
     return context.injected(_smart(spark, d))
 
 
-@query(f"""WITH RECURSIVE f AS (SELECT conv_id, min_by(text, turn) AS prompt FROM conversations GROUP BY conv_id),
-  s AS (SELECT 'skill_' || lpad(conv_id::VARCHAR, 9, '0') AS name, (['debugging', 'coding', 'general'])[conv_id % 3 + 1] AS intent, conv_id * 7 % 10 AS priority, trim(prompt, E' \\n\\t\\r') AS prompt, {_TOKENS.format('prompt')} AS n FROM f WHERE trim(coalesce(prompt, '')) <> ''),
-  o AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY priority DESC, name) AS place FROM s),
-  r(intent, place, used, names, prompts) AS (SELECT DISTINCT intent, 0::BIGINT, 0, []::VARCHAR[], []::VARCHAR[] FROM o UNION ALL
-    SELECT o.intent, o.place, CASE WHEN used + n <= 500 THEN used + n ELSE used END, CASE WHEN used + n <= 500 THEN list_append(names, name) ELSE names END, CASE WHEN used + n <= 500 THEN list_append(prompts, prompt) ELSE prompts END
-    FROM r JOIN o ON o.intent = r.intent AND o.place = r.place + 1)
-  SELECT intent, array_to_string(names, ',') AS names, used, CASE WHEN len(prompts) > 0 THEN array_to_string(prompts, E'\\n') END AS block FROM r QUALIFY row_number() OVER (PARTITION BY intent ORDER BY place DESC) = 1""")
+@query(f"WITH RECURSIVE {_skills_sql(500)} SELECT intent, array_to_string(names, ',') AS names, used, block FROM chosen")
 def select_skills(spark, d):
     return context.selected_skills(tb.skills(spark, d), 500)
 
