@@ -40,6 +40,23 @@ _NEAREST = f"""{_VECTORS},
   hits AS (SELECT query_id, memory_id, exp(-distance) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), memory_id) AS rank FROM d)"""
 
 
+def _embedded_sql(source: str, name: str) -> str:
+    """CTEs of hashed vectors for rows (id, text) of a table: name, with id and v, a list of 64 numbers in single precision."""
+    byte = "('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT"
+    crc = f"xor(list_reduce(list_transform(range(octet_length(encode(word))), lambda i: {byte}), lambda r, b: list_reduce(list_prepend(xor(r, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, _: xor(x >> 1, 3988292384 * (x & 1))), 4294967295::BIGINT), 4294967295)"
+    return f"""{name}_w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS word FROM {source}),
+  {name}_h AS (SELECT word, {crc} AS h FROM (SELECT DISTINCT word FROM {name}_w)),
+  {name}_x AS (SELECT id, h % 64 AS k, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM {name}_w JOIN {name}_h USING (word) GROUP BY ALL),
+  {name}_n AS (SELECT id, sqrt(sum(x * x)) AS n FROM {name}_x GROUP BY id),
+  {name} AS (SELECT s.id, list(CASE WHEN coalesce(n, 0) > 0 THEN (coalesce(x, 0)::FLOAT / n::FLOAT)::FLOAT ELSE 0::FLOAT END ORDER BY r.k) AS v
+    FROM {source} s CROSS JOIN range(64) r(k) LEFT JOIN {name}_x x ON x.id = s.id AND x.k = r.k LEFT JOIN {name}_n n ON n.id = s.id GROUP BY s.id)"""
+
+
+def _apart_sql(a: str, b: str) -> str:
+    """Squared distance of two lists."""
+    return f"list_sum(list_transform(range(1, 65), lambda i: ({a}[i]::DOUBLE - {b}[i]::DOUBLE) ^ 2))"
+
+
 #: Sources with a comment that holds a document, and braces where they don't count.
 CODE = {
     "javascript": "export class NAME {\n  // }\n  run(a = f(1)) { /* TEXT */ return `}`; }\n}\nasync function go() { if (x) { y(); } }\n",
@@ -348,16 +365,26 @@ def _phrases(spark, d):
     return tb.table(spark, d, "conversations").where("role = 'user'").select(name.alias("intent"), "text")
 
 
-@query()
+_PHRASE_CENTROIDS = f"""phrases AS (SELECT row_number() OVER () AS id, place, text FROM (SELECT DISTINCT conv_id % 6 AS place, text FROM conversations WHERE role = 'user' AND trim(coalesce(text, ''), ' ') <> '')), {_embedded_sql('phrases', 'pv')},
+  pm AS (SELECT place, i, avg(v[i]::DOUBLE) AS m FROM phrases JOIN pv USING (id), range(1, 65) r(i) GROUP BY place, i),
+  pc AS (SELECT place, list(m / n ORDER BY i) AS centroid FROM pm JOIN (SELECT place, sqrt(sum(m * m)) AS n FROM pm GROUP BY place) USING (place) GROUP BY place)"""
+
+
+@query(f"WITH {_PHRASE_CENTROIDS} SELECT ({_INTENTS})[place + 1] AS intent, place::INT AS place, list_transform(centroid, lambda x: round(x, 6) + 0) AS centroid FROM pc")
 def phrase_centroids(spark, d):
-    return search.phrase_centroids(_phrases(spark, d))
+    found = search.phrase_centroids(_phrases(spark, d))
+    return found.withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6) + 0.0))
 
 
-@query()
+@query(f"""WITH docs AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), {_embedded_sql('docs', 'dv')}, {_PHRASE_CENTROIDS},
+  x AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda e: e::DOUBLE * e::DOUBLE))) AS n FROM dv),
+  s AS (SELECT id, place, CASE WHEN n > 0 THEN list_sum(list_transform(range(1, 65), lambda i: v[i]::DOUBLE * centroid[i])) / n ELSE 0 END AS score, n FROM x, pc),
+  b AS (SELECT id, max_by(place, round(score, 12) * 1e6 - place * 1e-9) AS place, CASE WHEN any_value(n) > 0 THEN least(greatest(max(round(score, 12)), 0), 1) ELSE 0 END AS confidence, any_value(n) AS n FROM s GROUP BY id)
+  SELECT id AS query_id, CASE WHEN n = 0 OR confidence < 0.3 THEN 'general' ELSE ({_INTENTS})[place + 1] END AS intent, round(confidence, 6) AS confidence FROM b""")
 def classify_texts(spark, d):
     """Every document as a prompt: its text against the centroids of phrases."""
     prompts = search.embedded(tb.memories(spark, d).select("memory_id", "text")).withColumnRenamed("memory_id", "query_id")
-    return search.classified(prompts, search.phrase_centroids(_phrases(spark, d)))
+    return search.classified(prompts, search.phrase_centroids(_phrases(spark, d))).withColumn("confidence", F.round("confidence", 6))
 
 
 def _intents(spark, d, prompts=None):
@@ -532,7 +559,16 @@ def near_dup_capture(spark, d):
     return search.near_copies(v, new, scoped=("repo_id", "branch_name")).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE turns AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (ORDER BY conv_id, turn) AS id FROM conversations), {_embedded_sql('turns', 'tv')},
+  stored AS (SELECT DISTINCT v FROM turns JOIN tv USING (id) WHERE conv_id % 2 = 0 AND turn % 2 = 0),
+  items AS (SELECT conv_id AS session_id, turn + k * 1000000 AS place, v FROM turns JOIN tv USING (id), (VALUES (0), (1)) x(k)),
+  fresh AS (SELECT *, list_max(v) <> 0 OR list_min(v) <> 0 AS words FROM items i WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE exp(-{_apart_sql('s.v', 'i.v')}) >= 0.97)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place) AS nth FROM fresh),
+  r(session_id, nth, kept, places) AS (SELECT DISTINCT session_id, 0::BIGINT, []::FLOAT[][], []::BIGINT[] FROM o UNION ALL
+    SELECT session_id, nth, CASE WHEN again THEN kept ELSE list_append(kept, v) END, CASE WHEN again THEN places ELSE list_append(places, place) END
+    FROM (SELECT r.session_id, o.nth, r.kept, r.places, o.v, o.place, o.words AND len(list_filter(r.kept, lambda k: exp(-{_apart_sql('k', 'o.v')}) >= 0.97)) > 0 AS again FROM r JOIN o ON o.session_id = r.session_id AND o.nth = r.nth + 1)),
+  l AS (SELECT session_id, places FROM r QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY nth DESC) = 1)
+  SELECT session_id, unnest(places) AS place FROM l""")
 def capture_unstored(spark, d):
     """Turns as items: those that no stored document and no earlier item of their conversation is like."""
     t = tb.table(spark, d, "conversations")
@@ -630,7 +666,13 @@ def edges_closure(spark, d):
     return graphs.closure(tb.edges(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE docs AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), {_embedded_sql('docs', 'dv')},
+  v AS (SELECT v, list(id) AS ids, min(id) AS head FROM dv GROUP BY v), {_MEMORIES},
+  p AS (SELECT a.head AS a, b.head AS b FROM v a JOIN v b ON a.head <> b.head WHERE exp(-{_apart_sql('a.v', 'b.v')}) >= 0.97),
+  r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+  top AS (SELECT head, least(head, coalesce(min(b), head)) AS component FROM v LEFT JOIN r ON head = a GROUP BY head),
+  g AS (SELECT unnest(ids) AS id, component FROM v JOIN top USING (head)), o AS (SELECT component, min_by(memory_id, [created_at, memory_id]) AS keep_id FROM g JOIN memories ON id = memory_id GROUP BY component)
+  SELECT id AS memory_id, keep_id FROM g JOIN o USING (component) WHERE id <> keep_id""")
 def dedup_similar(spark, d):
     """Every memory whose text is much like that of an older one, or hangs together with it over others."""
     m = tb.memories(spark, d)
@@ -711,9 +753,10 @@ def chunk_code(spark, d):
     return chunking.chunked(files).select("path", "language", "kind", "name", "line_start", "line_end", F.sha2("chunk_text", 256).alias("chunk_sha256"))
 
 
-@query()
+@query(f"WITH docs AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), {_embedded_sql('docs', 'dv')} SELECT id AS memory_id, list_transform(v, lambda x: round(x::DOUBLE, 6) + 0) AS embedding FROM dv")
 def hashed_embed(spark, d):
-    return search.embedded(tb.memories(spark, d))
+    found = search.embedded(tb.memories(spark, d))
+    return found.withColumn("embedding", F.transform("embedding", lambda x: F.round(x.cast("double"), 6) + 0.0))
 
 
 def _files(spark, d):
