@@ -594,12 +594,36 @@ def _replies(spark, d):
     return capturing.replies(capturing.to_capture(_lines(spark, d), 1_000_000_000), said)
 
 
-@query()
+def _sessions_sql(last: int, name: str) -> str:
+    """CTEs of compressed transcripts of the last lines of each conversation: name, with session_id and text."""
+    noise = r"(?s:(assistant:\s*)?<tool_use>.*?</tool_use>|<tool_result>.*?</tool_result>)"
+    return rf"""{name}_l AS (SELECT conv_id, turn, role, role || ': ' || coalesce(text, '') AS line FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {last}),
+  {name}_t AS (SELECT conv_id::VARCHAR AS session_id, string_agg(line, E'\n\n' ORDER BY turn) AS t FROM {name}_l WHERE role IN ('user', 'assistant') GROUP BY conv_id),
+  {name}_c AS (SELECT session_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{noise}', '', 'g'), '(?s:<system-reminder>.*?</system-reminder>)', '', 'g'), '[▓░█▌▐]{{3,}}|\.{{6,}}|={{5,}}>?', '', 'g'), '\n{{3,}}', E'\n\n', 'g'), E' \n\t\r') AS text FROM {name}_t),
+  {name} AS (SELECT * FROM {name}_c WHERE text <> '')"""
+
+
+_ASKED = f"""{_sessions_sql(1_000_000_000, 'whole')}, said AS (SELECT session_id, text, list_filter(string_split(text, E'\\n\\n'), lambda t: starts_with(t, 'user: ')) AS turns FROM whole),
+  replied AS (SELECT *, CASE WHEN length(text) % 5 = 0 THEN 'failed' WHEN len(turns) > 0 AND length(text) % 7 <> 0 THEN 'extracted' ELSE 'passthrough' END AS status FROM said)"""
+
+
+@query(f"""WITH {_ASKED} SELECT session_id, status, CASE WHEN status = 'failed' THEN 'ValueError: a text of a length that this extractor doesn''t take' END AS error, CASE WHEN status = 'extracted' THEN len(turns) ELSE 0 END::INT AS items,
+  CASE WHEN status <> 'extracted' THEN sha256(E'Find the facts in this text that are worth keeping and store each as a decision, analysis, context, conversation or summary.\\n\\n---\\n' || text || E'\\n---\\n') END AS prompt_sha256 FROM replied""")
 def capture_replies(spark, d):
-    return _replies(spark, d).select("session_id", "status", "error", F.sha2("reply", 256).alias("reply_sha256"), F.sha2("prompt", 256).alias("prompt_sha256"))
+    items = F.size(capturing.items(F.col("reply")))
+    return _replies(spark, d).select("session_id", "status", "error", items.alias("items"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MEMORIES}, {_ASKED}, docs AS (SELECT memory_id AS id, coalesce(text, '') AS text FROM memories WHERE NOT stale), {_embedded_sql('docs', 'dv')}, stored AS (SELECT DISTINCT v FROM dv),
+  things AS (SELECT session_id, generate_subscripts(turns, 1) - 1 AS place, trim(substr(unnest(turns), 7), E' \\n\\t\\r') AS text FROM replied WHERE status = 'extracted'),
+  items AS (SELECT *, row_number() OVER (ORDER BY session_id, place) AS id FROM things WHERE text <> ''), {_embedded_sql('items', 'iv')},
+  fresh AS (SELECT *, list_max(v) <> 0 OR list_min(v) <> 0 AS words FROM items JOIN iv i USING (id) WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE exp(-{_apart_sql('s.v', 'i.v')}) >= 0.97)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place) AS nth FROM fresh),
+  r(session_id, nth, kept, ids) AS (SELECT DISTINCT session_id, 0::BIGINT, []::FLOAT[][], []::BIGINT[] FROM o UNION ALL
+    SELECT session_id, nth, CASE WHEN again THEN kept ELSE list_append(kept, v) END, CASE WHEN again THEN ids ELSE list_append(ids, id) END
+    FROM (SELECT r.session_id, o.nth, r.kept, r.ids, o.v, o.id, o.words AND len(list_filter(r.kept, lambda k: exp(-{_apart_sql('k', 'o.v')}) >= 0.97)) > 0 AS again FROM r JOIN o ON o.session_id = r.session_id AND o.nth = r.nth + 1)),
+  l AS (SELECT unnest(ids) AS id FROM (SELECT ids FROM r QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY nth DESC) = 1))
+  SELECT session_id, place::INT AS place, 'decision' AS content_type, text, 'said' AS tags FROM items JOIN l USING (id)""")
 def capture_job(spark, d):
     """From transcripts to what is stored: compressed, extracted, and compared with documents and with what a session said before."""
     m = tb.memories(spark, d).where("not stale")
@@ -607,7 +631,13 @@ def capture_job(spark, d):
     return items.select("session_id", "place", "content_type", "text", F.array_join("tags", ",").alias("tags"))
 
 
-@query()
+@query(f"""WITH {_MEMORIES}, {_sessions_sql(50, 'late')}, m AS (SELECT * FROM memories WHERE NOT stale),
+  asked AS (SELECT session_id AS id, left(text, 500) AS text FROM late UNION ALL SELECT 'm' || memory_id, left(text, 500) FROM m WHERE memory_id % 20 = 0), {_embedded_sql('asked', 'qv')},
+  docs AS (SELECT memory_id AS id, coalesce(text, '') AS text FROM m), {_embedded_sql('docs', 'dv')},
+  h AS (SELECT q.id AS session_id, d.id AS memory_id, {_apart_sql('q.v', 'd.v')} AS distance FROM qv q, dv d),
+  n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round(distance, 9), memory_id) AS rank FROM h QUALIFY rank <= 5),
+  k AS (SELECT session_id, rank, '[' || content_type || '] ' || {_ONE_LINE} AS line FROM n JOIN m USING (memory_id) WHERE exp(-distance) >= 0.85)
+  SELECT session_id, string_agg(line, E'\\n' ORDER BY rank) AS known FROM k GROUP BY session_id""")
 def known_summaries(spark, d):
     """For each conversation, lines of the documents that are most like the beginning of its transcript."""
     sessions = capturing.to_capture(_lines(spark, d), 50)
