@@ -6,7 +6,8 @@ the sorted remainders and a counter for each. The blocks of all partitions merge
 sorted remainders merge like sorted lists and counters add. Fingerprints counted once belong to unique
 documents; the others route their documents to verification, which groups by the normalised text itself, so
 colliding fingerprints do no harm. A partition sends one counter per fingerprint and one row per text, however
-many copies it holds.
+many copies it holds. Where the repeated fingerprints are too many to be listed on every executor, a bitmap of them
+goes there, of bounded size: texts of fingerprints that it lacks, which are unique, still don't move.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty, so null and empty texts are one
 group. The largest doc_id of a group stays. Rows that repeat a doc_id and its text are flagged alike; a null
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recall_spark.llm import textarrays as ta
-from recall_spark.llm.common import discard, keyed, only, save, small, without
+from recall_spark.llm.common import BROADCAST_ROWS, discard, keyed, only, save, small, without
 
 FINGERPRINT_BITS = 48
 #: Fingerprints expected in one block of the merged filter, at most: about 2 MB of numbers for a task.
@@ -34,6 +35,10 @@ BLOCK_FINGERPRINTS = 1 << 17
 LEAST_BLOCKS = 5
 #: Rows of a hash and two numbers that may be broadcast (about 16 MB).
 GROUP_ROWS = 160_000
+#: Repeated fingerprints that are listed on every executor; above that a bitmap with so many bits for each, so many bytes at most.
+LISTED, BITS_EACH, BITMAP_BYTES = BROADCAST_ROWS, 16, 64 << 20
+#: Bits of a bitmap that are set by one task, as a power of two.
+_PART_BITS = 18
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64()), ("sha", pa.binary())])
 _TEXT = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64()), ("norm", pa.large_string())])
 
@@ -53,6 +58,37 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints, pa.int64()), texts], schema=_TEXT)
 
 
+def bitmap(prints: DataFrame, count: int) -> np.ndarray:
+    """Bits (packed) of which that of each fingerprint is set; their number is a power of two. Parts are made side by side."""
+    bits = 1 << min((BITMAP_BYTES * 8).bit_length() - 1, max(_PART_BITS, (count * BITS_EACH - 1).bit_length()))
+
+    def part(key, table):
+        own = np.zeros(1 << _PART_BITS, bool)
+        own[table["fingerprint"].to_numpy() & ((1 << _PART_BITS) - 1)] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+    # The lowest bits of a fingerprint are its place: they are as good as a hash of it.
+    placed = prints.select("fingerprint", F.shiftright(F.col("fingerprint").bitwiseAND(bits - 1), _PART_BITS).alias("part"))
+    out = np.zeros(bits >> 3, np.uint8)
+    size = 1 << (_PART_BITS - 3)
+    for r in placed.groupBy("part").applyInArrow(part, "part long, body binary").collect():  # BITMAP_BYTES at most
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["body"], np.uint8)
+    return out
+
+
+def _suspected(sent):
+    """_texts() of the rows whose fingerprint's bit is set."""
+
+    def run(batches):
+        bits = sent.value
+        mask = len(bits) * 8 - 1
+        for batch in _texts(batches):
+            at = batch.column("fingerprint").to_numpy() & mask
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+
+    return run
+
+
 _WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
 
 
@@ -149,7 +185,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     digests = save(rows.mapInArrow(_digests, "doc_id long, fingerprint long, sha binary"), "digests")
     layout = Layout(digests.count())
     repeated = save(merged(quotient_filter(digests, layout), layout).where("n > 1").select("fingerprint"), "repeated")
-    routed = rows.mapInArrow(_texts, "doc_id long, fingerprint long, norm string").join(small(repeated), "fingerprint", "left_semi")
+    count = repeated.count()
+    if count <= LISTED:
+        routed = rows.mapInArrow(_texts, "doc_id long, fingerprint long, norm string").join(F.broadcast(repeated), "fingerprint", "left_semi")
+    else:  # unique texts that share a bit are groups of one, which are left out below
+        sent = rows.sparkSession.sparkContext.broadcast(bitmap(repeated, count))
+        routed = rows.mapInArrow(_suspected(sent), "doc_id long, fingerprint long, norm string")
     groups = routed.groupBy("fingerprint", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = save(groups.select(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "keep_id", "group_size").where("group_size > 1"),
         "groups")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recall_spark.llm import common, mixing, quality, queries, token_counts, toxicity
+from recall_spark.llm import common, exact_dedup, mixing, quality, queries, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +69,22 @@ def test_offending_sentences_of_the_query(spark):
     assert {r["doc_id"]: [(s["begin"], s["end"]) for s in r["offending"]] for r in got if r["offending"]} == places and places
     score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert all(abs(r["score"] - score[r["doc_id"]]) < 1e-12 for r in got)
+
+
+@pytest.mark.parametrize("most", [64 << 20, 1 << 15])
+def test_bitmap_of_repeated_fingerprints(spark, monkeypatch, most):
+    """Where they can't be listed, the same groups come out, texts are aggregated before they move, and nothing is joined by them."""
+    rows = [(i, f"Text {i % 700 if i < 2_000 else i}" if i % 97 else None) for i in range(4_000)] + [(9_000 + i, "hot" * 50) for i in range(1_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = sorted(map(tuple, exact_dedup.exact_groups(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "LISTED", 0)
+    monkeypatch.setattr(exact_dedup, "BITMAP_BYTES", most)
+    plans = []
+    kept = exact_dedup.save
+    monkeypatch.setattr(exact_dedup, "save", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or kept(df, name))
+    assert sorted(map(tuple, exact_dedup.exact_groups(docs).collect())) == want
+    plan = dict(plans)["groups"]
+    assert "Join" not in plan and plan.count("Exchange") - plan.count("Exchange RoundRobin") - plan.count("Exchange REPARTITION") <= 2
+    bits = exact_dedup.bitmap(spark.createDataFrame([(5,), (1 << 40,), (5,)], "fingerprint long"), 3)
+    assert int(np.unpackbits(bits).sum()) == 2 and np.unpackbits(bits)[5] == 1
+    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
