@@ -147,7 +147,8 @@ def near_edges(vectors: DataFrame, least: float, centres: np.ndarray) -> DataFra
 
     Every pair is compared in some cell: that of one of the two, where the other is taken too if the border of its own
     cell is near enough. Rows of a cell go in blocks, two blocks a task, so no cell is too large for a task; a task gives a tree
-    for each group it finds, not its pairs. Equal vectors are one, whatever their number."""
+    for each group it finds, not its pairs. Equal vectors are one, whatever their number. The result reads saved tables: its
+    done() deletes them."""
     radius2 = -np.log(least)
     radius = float(np.sqrt(radius2))
     # Equal vectors first: all of them hang on the smallest id.
@@ -208,8 +209,9 @@ def near_edges(vectors: DataFrame, least: float, centres: np.ndarray) -> DataFra
         u, v = (pa.array([p[n] for p in pairs], pa.int64()) for n in (0, 1))
         return pa.Table.from_arrays([ids.take(u), ids.take(v)], names=["a", "b"])
 
-    edges = paired.groupBy("cell", "low", "high").applyInArrow(trees, f"a {kind}, b {kind}")
-    return copies.unionByName(edges)
+    edges = copies.unionByName(paired.groupBy("cell", "low", "high").applyInArrow(trees, f"a {kind}, b {kind}"))
+    edges.done = lambda: rounds.drop(heads, rows)
+    return edges
 
 
 def near_groups(memories: DataFrame, vectors: DataFrame, least: float, cells: int | None = None) -> DataFrame:
@@ -220,6 +222,7 @@ def near_groups(memories: DataFrame, vectors: DataFrame, least: float, cells: in
     n = vectors.count()
     edges = near_edges(vectors, least, fitted(vectors, cells or int(max(1, min(1_024, n / BLOCK)))))
     groups = graphs.components(edges)
+    edges.done()
     dated = groups.join(memories.select(F.col("memory_id").alias("id"), "created_at"), "id")
     kept = dated.groupBy("component").agg(F.min(F.struct("created_at", "id")).alias("first"))
     return dated.join(small(kept), "component").where(F.col("id") != F.col("first.id")).select(F.col("id").alias("memory_id"), F.col("first.id").alias("keep_id"))
