@@ -740,7 +740,34 @@ def secrets_report(spark, d):
     return maintenance.findings(tb.memories(spark, d)).select("memory_id", "rule", "begin", "end")
 
 
-@query()
+def _chunked_sql(source: str, name: str) -> str:
+    """CTEs that cut the texts of rows (id, text) of a table: name, with id, chunk_text, line_start and line_end.
+
+    Units are sentences, and the lines of sentences that are too long. Each step takes one, with what is packed so far, and
+    gives the chunks that it ends."""
+    n, size = "(length({0}) - length(replace({0}, E'\\n', '')))", _TOKENS
+    tail = "array_to_string(pack[-2:], '')"
+    return f"""{name}_s AS (SELECT id, generate_subscripts(s, 1) AS i, unnest(s) AS s FROM (SELECT id, regexp_extract_all(text, '(?s:.*?[.!?]\\s+|.+\\z)') AS s FROM {source})),
+  {name}_l AS (SELECT id, i, 0 AS j, s AS t, false AS long, false AS opens, false AS ends FROM {name}_s WHERE {size.format('s')} <= {chunking.MAX_TOKENS} UNION ALL
+    SELECT id, i, j, rows[j], true, j = 1, j = len(rows) FROM (SELECT id, i, rows, unnest(range(1, len(rows) + 1)) AS j FROM (SELECT id, i, string_split(s, E'\\n') AS rows FROM {name}_s WHERE {size.format('s')} > {chunking.MAX_TOKENS}))),
+  {name}_u AS (SELECT *, {size.format('t')} AS n, row_number() OVER (PARTITION BY id ORDER BY i, j) AS place FROM {name}_l),
+  {name}_r(id, place, pack, used, first, line, out) AS (SELECT id, 0::BIGINT, []::VARCHAR[], 0, 1, 1, []::STRUCT(t VARCHAR, a INT, b INT)[] FROM {source} UNION ALL
+    SELECT id, place, CASE WHEN ends THEN [] WHEN opens OR (long AND full_) THEN [t] WHEN full_ THEN list_append(CASE WHEN kept <= {chunking.OVERLAP_TOKENS} THEN pack[-2:] ELSE [] END, t) ELSE list_append(pack, t) END,
+      CASE WHEN ends THEN 0 WHEN opens OR (long AND full_) THEN n WHEN full_ THEN n + CASE WHEN kept <= {chunking.OVERLAP_TOKENS} THEN kept ELSE 0 END ELSE used + n END,
+      CASE WHEN ends THEN line + 2 WHEN opens THEN CASE WHEN len(pack) > 0 THEN line + 1 ELSE first END WHEN full_ THEN CASE WHEN long THEN line + 1 ELSE line END ELSE first END,
+      CASE WHEN long THEN line + 1 ELSE line + {n.format('t')} END,
+      list_concat(CASE WHEN (opens AND len(pack) > 0) OR (full_ AND NOT opens) THEN [{{'t': CASE WHEN long AND NOT opens THEN array_to_string(pack, E'\\n') ELSE array_to_string(pack, '') END, 'a': first, 'b': line}}] ELSE [] END,
+        CASE WHEN ends THEN [{{'t': CASE WHEN opens OR full_ THEN t ELSE array_to_string(list_append(pack, t), E'\\n') END, 'a': CASE WHEN (opens AND len(pack) > 0) OR (full_ AND NOT opens) THEN line + 1 ELSE first END, 'b': line + 1}}] ELSE [] END)
+    FROM (SELECT u.*, r.pack, r.used, r.first, r.line, len(r.pack) > 0 AND r.used + u.n > {chunking.MAX_TOKENS} AS full_, {size.format(tail)} AS kept FROM {name}_r r JOIN {name}_u u ON u.id = r.id AND u.place = r.place + 1)),
+  {name}_e AS (SELECT id, pack, first, line FROM {name}_r QUALIFY row_number() OVER (PARTITION BY id ORDER BY place DESC) = 1),
+  {name} AS (SELECT id, o.t AS chunk_text, o.a AS line_start, o.b AS line_end FROM (SELECT id, unnest(out) AS o FROM {name}_r) UNION ALL
+    SELECT id, array_to_string(pack, ''), first, line FROM {name}_e WHERE len(pack) > 0 UNION ALL SELECT id, '', 1, 1 FROM {source} WHERE text = '')"""
+
+
+_DOCS = "docs AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"WITH RECURSIVE {_DOCS}, {_chunked_sql('docs', 'c')} SELECT id::VARCHAR AS path, chunk_text, line_start, line_end FROM c")
 def chunk_text(spark, d):
     return chunking.chunked(tb.memories(spark, d).select(F.col("memory_id").cast("string").alias("path"), "text",
         F.lit("text").alias("language"))).select("path", "chunk_text", "line_start", "line_end")
@@ -807,7 +834,8 @@ def index_outcomes(spark, d):
     return indexing.outcomes(*_files(spark, d)).groupBy("repo_id", "outcome").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE docs AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 19 <> 0 AND doc_id % 4 = 0 AND trim(coalesce(text, ''), E' \\n\\t\\r') <> ''), {_chunked_sql('docs', 'c')}
+  SELECT 'src/f' || id || '.md' AS path, 'markdown' AS language, chunk_text, line_start, line_end, 'text' AS kind, NULL::VARCHAR AS name, NULL::VARCHAR AS parent, NULL::VARCHAR AS docstring, []::VARCHAR[] AS decorators, ['indexed', 'repository'] AS tags FROM c WHERE trim(chunk_text, ' ') <> ''""")
 def index_repository(spark, d):
     return indexing.chunks(indexing.outcomes(*_files(spark, d)))
 
@@ -906,7 +934,7 @@ def sql_nearest(spark, d):
       SELECT query_id, memory_id, CAST(rank AS BIGINT) AS rank, round(vector_similarity(distance), 6) AS similarity FROM r WHERE rank <= 3""")
 
 
-@query()
+@query(f"WITH RECURSIVE {_DOCS}, {_chunked_sql('docs', 'c')} SELECT id AS memory_id, chunk_text, line_start, line_end FROM c")
 def sql_chunks(spark, d):
     """Every document cut by the table function."""
     return _in_sql(spark, d).sql("SELECT m.memory_id, c.chunk_text, c.line_start, c.line_end FROM memories m, LATERAL chunks(m.text, 'text') c")
