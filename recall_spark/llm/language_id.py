@@ -80,8 +80,12 @@ class Table:
                 table[i, c] = s * width
         self.table = table.ravel()
 
+    def __getitem__(self, at):
+        """The entry at a state plus a code."""
+        return self.table[at]
+
     def to(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        return self.table[state + code]
+        return self[state + code]
 
     def one(self):
         """The same for one state and code."""
