@@ -1,14 +1,16 @@
 """Vectors by the cells that they lie in: approximate search with exact distances, and joins of near vectors that miss none.
 
 A cell is what lies nearest to a centre. Centres are fitted to a bounded sample, vectors are all indexed: stored by cell, so
-that a search reads the cells it wants and nothing else.
+that a search reads the cells it wants and nothing else. Joins of near vectors cut space into boxes (Boxes) along the axes in
+which a sample spreads most; a vector goes to the boxes that lie within the radius and to no other.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recall_spark.operators import graphs, search
@@ -18,20 +20,17 @@ from recall_spark.operators.joins import shared_dir, small
 SAMPLE, SAMPLE_BYTES, ROUNDS = 20_000, 256 << 20, 12
 #: Queries on which recall is measured to choose how many cells are searched.
 TRIALS = 200
-#: Vectors compared at once by near().
-BLOCK = 2_048
+#: Values of a scope's column by which stored vectors are chosen before they are read.
+SCOPES = 1_000
+#: Rows of a group that one task compares, axes along which space is cut, rows of a piece of a group, and pairs compared at once.
+BLOCK, AXES, PIECE, PAIRS = 65_536, 8, 1_024, 1 << 22
 
 
 def fitted(vectors: DataFrame, cells: int, sample: int = SAMPLE, seed: int = 5) -> np.ndarray:
     """cells centres (fewer of fewer vectors) of a sample of vectors (embedding), always the same one: those of lowest hash."""
-    good = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
-    width = good.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if width is None:
+    x = sampled(vectors, sample)
+    if not len(x):
         return np.zeros((0, 0))
-    most = max(1, min(sample, SAMPLE_BYTES // (8 * width["d"])))
-    rows = good.where(F.size("embedding") == width["d"]).select(F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    x = np.array([r["e"] for r in rows.orderBy(F.xxhash64("e")).limit(most).collect()])
-    x = np.unique(x, axis=0)
     centres = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(ROUNDS):
         own = _distances(x, centres).argmin(1)
@@ -41,6 +40,18 @@ def fitted(vectors: DataFrame, cells: int, sample: int = SAMPLE, seed: int = 5)
     return centres
 
 
+def sampled(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """Different vectors (embedding) of the commonest width, those of lowest hash, sample of them and SAMPLE_BYTES at most."""
+    good = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
+    width = good.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if width is None:
+        return np.zeros((0, 0))
+    most = max(1, min(sample, SAMPLE_BYTES // (8 * width["d"])))
+    rows = good.where(F.size("embedding") == width["d"]).select(F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    x = np.array([r["e"] for r in rows.orderBy(F.xxhash64("e")).limit(most).collect()])
+    return np.unique(x, axis=0)
+
+
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] + (centres**2).sum(1)[None, :] - 2 * x @ centres.T, 0.0)
 
@@ -142,75 +153,199 @@ class Cells:
         return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]["r"]) if ranks else 1
 
 
-def near_edges(vectors: DataFrame, least: float, centres: np.ndarray) -> DataFrame:
-    """a, b: edges that join all vectors (memory_id, embedding) at least so similar, directly or over others that are.
+class Boxes:
+    """Space, cut into boxes by planes at medians of a sample, along the AXES in which it spreads most.
+
+    A projection on such axes brings no two vectors further apart, so vectors within a radius of each other are so in it."""
+
+    def __init__(self, sample: np.ndarray, boxes: int):
+        self.width, self.depth = sample.shape[1], max(0, int(np.ceil(np.log2(max(1, boxes)))))
+        self.mean = sample.mean(0) if len(sample) else np.zeros(self.width)
+        x = sample - self.mean
+        self.axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :AXES] if len(x) else np.zeros((self.width, 0))
+        self.axis, self.cut = np.zeros(2**self.depth - 1, int), np.full(2**self.depth - 1, np.inf)
+        parts = {0: x @ self.axes}
+        for node in range(2**self.depth - 1):
+            p = parts.pop(node)
+            if len(p) > 1 and p.shape[1]:
+                a = self.axis[node] = int((p.max(0) - p.min(0)).argmax())
+                self.cut[node] = np.median(p[:, a])
+                right = p[:, a] > self.cut[node]
+                parts[2 * node + 1], parts[2 * node + 2] = p[~right], p[right]
+            else:
+                parts[2 * node + 1], parts[2 * node + 2] = p, p[:0]
+
+    def projected(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) @ self.axes
+
+    def home(self, p: np.ndarray) -> np.ndarray:
+        """The box that each projected vector lies in."""
+        node = np.zeros(len(p), int)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (p[np.arange(len(p)), self.axis[node]] > self.cut[node])
+        return node - (2**self.depth - 1)
+
+    def within(self, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Projected vectors and the boxes that lie within a radius of them."""
+        found = []
+        most = (radius * (1 + 1e-9) + 1e-9 * (1 + np.abs(p).max(initial=0.0))) ** 2
+        open_ = [(0, np.arange(len(p)), np.zeros_like(p))]
+        while open_:
+            node, rows, off = open_.pop()
+            if not len(rows):
+                continue
+            if node >= len(self.cut):
+                found.append((rows, np.full(len(rows), node - len(self.cut))))
+                continue
+            a = self.axis[node]
+            side = p[rows, a] - self.cut[node]
+            for child, beyond in ((2 * node + 1, side), (2 * node + 2, -side)):
+                far = off.copy()
+                far[:, a] = np.maximum(far[:, a], beyond)
+                near = (far**2).sum(1) <= most
+                open_.append((child, rows[near], far[near]))
+        return (np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])) if found else (np.zeros(0, int), np.zeros(0, int))
 
-    Every pair is compared in some cell: that of one of the two, where the other is taken too if the border of its own
-    cell is near enough. Rows of a cell go in blocks, two blocks a task, so no cell is too large for a task; a task gives a tree
-    for each group it finds, not its pairs. Equal vectors are one, whatever their number. The result reads saved tables: its
-    done() deletes them."""
+
+def _placed(df: DataFrame, boxes: Boxes, radius: float | None, onward: bool = False) -> DataFrame:
+    """df, a row for each box that its embedding goes to: its own, or with a radius all within it; home: whether it lies there.
+
+    onward: none that comes before its own, so that of two boxes one is sent to the other. Vectors of another width than the
+    boxes' have a box for each width; those that are null, empty or partly null go."""
+    sent = df.sparkSession.sparkContext.broadcast(boxes)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches):
+        own = sent.value
+        for batch in batches:
+            sizes = batch.column("embedding").value_lengths()
+            for width in (w for w in pc.unique(sizes).to_pylist() if w):
+                x, at = search._matrix(batch.column("embedding"), width)
+                if width != own.width:
+                    r, cell, home = np.arange(len(x)), np.full(len(x), -width), np.full(len(x), -width)
+                else:
+                    p = own.projected(x)
+                    home = own.home(p)
+                    r, cell = (np.arange(len(x)), home) if radius is None else own.within(p, radius)
+                    if onward:
+                        r, cell = r[cell >= home[r]], cell[cell >= home[r]]
+                taken = batch.take(pa.array(at[r]))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell.astype(np.int32)), pa.array(home[r] == cell)], names=[*batch.schema.names, "cell", "home"])
+
+    return df.mapInArrow(run, f"{schema}, cell int, home boolean")
+
+
+def _pieces(p: np.ndarray) -> list[np.ndarray]:
+    """Rows of projected vectors in pieces of PIECE at most, by halves along the axis in which each spreads most."""
+    done, open_ = [], [np.arange(len(p))]
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= PIECE:
+            done.append(rows)
+            continue
+        own = p[rows]
+        order = np.argpartition(own[:, (own.max(0) - own.min(0)).argmax()], len(rows) // 2) if p.shape[1] else np.arange(len(rows))
+        open_ += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+    return done
+
+
+def _near_pairs(x: np.ndarray, y: np.ndarray, boxes: Boxes, least: float):
+    """i, j, distance of rows of x and y at least so similar, in parts; all of a row of x come one after another.
+
+    What single precision leaves open is decided in double."""
+    if not len(x) or not len(y):
+        return
     radius2 = -np.log(least)
-    radius = float(np.sqrt(radius2))
-    # Equal vectors first: all of them hang on the smallest id.
-    one = vectors.where(F.col("embedding").isNotNull()).select("memory_id", "embedding", F.sha2(F.to_binary(F.to_json("embedding"), F.lit("utf-8")), 256).alias("same"))
+    same = x.shape[1] == boxes.width
+    px, py = (boxes.projected(x), boxes.projected(y)) if same else (x[:, :0], y[:, :0])
+    mean = boxes.mean if same else y.mean(0)
+    x0, y0 = x - mean, y - mean
+    sx, sy = (x0**2).sum(1), (y0**2).sum(1)
+    top = max(sx.max(), sy.max())
+    # Beside sums of products stand half the squares: one product gives half the squared distance, negative.
+    kind = np.float32 if top < 1e30 else np.float64
+    one = np.ones((max(len(x), len(y)), 1))
+    a = np.hstack([x0, one[: len(x)], -sx[:, None] / 2]).astype(kind)
+    b = np.hstack([y0, -sy[:, None] / 2, one[: len(y)]]).astype(kind)
+    low = -(radius2 / 2 + 4 * (x.shape[1] + 4) * np.finfo(kind).eps * top)
+    reach = (np.sqrt(radius2) * (1 + 1e-9) + 1e-9 * (1 + np.sqrt(top))) ** 2
+    for piece in _pieces(px):
+        own = px[piece]
+        off = np.maximum(np.maximum(own.min(0) - py, py - own.max(0)), 0.0)
+        near = np.flatnonzero((off**2).sum(1) <= reach)
+        step = max(1, PAIRS // len(piece))
+        for n in range(0, len(near), step):
+            part = near[n : n + step]
+            i, j = np.divmod(np.flatnonzero((a[piece] @ b[part].T).ravel() >= low), len(part))
+            for m in range(0, len(i), 1 << 17):
+                u, v = piece[i[m : m + (1 << 17)]], part[j[m : m + (1 << 17)]]
+                d = ((x[u] - y[v]) ** 2).sum(1)
+                good = np.exp(-d) >= least
+                if good.any():
+                    yield u[good], v[good], d[good]
+
+
+def _same(embedding: str = "embedding"):
+    """A hash of a vector, by which equal ones are one."""
+    return F.sha2(F.to_binary(F.to_json(embedding), F.lit("utf-8")), 256)
+
+
+def near_edges(vectors: DataFrame, least: float, sample: np.ndarray | None = None, boxes: int | None = None) -> DataFrame:
+    """a, b: edges that join all vectors (memory_id, embedding) at least so similar, directly or over others that are.
+
+    Space is cut into boxes (about four a BLOCK of vectors by default) by a sample, of these vectors where none is given. Every
+    pair is compared in the box of one of the two, to which the other goes if it lies within the radius. Rows of a box go in
+    blocks, two blocks a task, so no box is too large for a task; a task gives a tree for each group it finds, not its pairs.
+    Equal vectors are one, whatever their number. The result reads saved tables: its done() deletes them."""
+    radius = float(np.sqrt(-np.log(least)))
     rounds = graphs.Rounds(vectors, "near")
+    # Equal vectors first: all of them hang on the smallest id. They are made once, and moved once.
+    one = rounds.keep(vectors.where(F.col("embedding").isNotNull()).select("memory_id", "embedding", _same().alias("same")))
     heads = rounds.keep(one.groupBy("same").agg(F.min("memory_id").alias("head"), F.first("embedding").alias("embedding")))
     copies = one.select("memory_id", "same").join(heads.select("same", "head"), "same").where("memory_id <> head").select(F.col("memory_id").alias("a"), F.col("head").alias("b"))
-    sent = vectors.sparkSession.sparkContext.broadcast(centres)
+    given = sampled(heads) if sample is None else sample
+    space = Boxes(given, boxes or (len(given) if sample is not None else 4 * heads.count() // BLOCK))
+    sent = vectors.sparkSession.sparkContext.broadcast(space)
     kind = vectors.schema["memory_id"].dataType.simpleString()
-    element = vectors.schema["embedding"].dataType.simpleString()
-
-    def placed(batches):
-        own = sent.value
-        between = np.sqrt(_distances(own, own)) if len(own) else None
-        for batch in batches:
-            if not len(own):
-                continue
-            rows, at = search._matrix(batch.column("embedding"), own.shape[1])
-            d = _distances(rows, own)
-            home = d.argmin(1)
-            gap = d - d[np.arange(len(d)), home][:, None]
-            # The distance to the border between two cells; a little is added for rounding.
-            close = gap <= 2 * (radius + 1e-9) * between[home] + 1e-9
-            r, c = np.nonzero(close)
-            yield pa.RecordBatch.from_arrays([batch.column("head").take(pa.array(at[r])), batch.column("embedding").take(pa.array(at[r])), pa.array(c.astype(np.int32)), pa.array(home[r] == c)], names=["head", "embedding", "cell", "home"])
-
-    rows = rounds.keep(heads.select("head", "embedding").mapInArrow(placed, f"head {kind}, embedding {element}, cell int, home boolean"))
-    # Blocks of a cell: as many as it needs; each pair of blocks is a task's group.
+    rows = _placed(heads.select("head", "embedding"), space, radius, onward=True)
+    # Blocks of a box: as many as it needs; each pair of blocks is a task's group.
     sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))  # a row for each cell
+    dealt = rows.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))  # a row for each box
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = dealt.select("head", "embedding", "cell", "home", "block", other.alias("with"))
     paired = paired.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
 
     def trees(key, table):
         table = table.combine_chunks()
-        x, at = search._matrix(table.column("embedding"), sent.value.shape[1])
+        width = sent.value.width if key[0].as_py() >= 0 else -key[0].as_py()
+        x, at = search._matrix(table.column("embedding"), width)
         low, high, block = key[1].as_py(), key[2].as_py(), table.column("block").to_numpy()[at]
         home = table.column("home").to_numpy(zero_copy_only=False)[at]
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         top = np.arange(len(x))
-        pairs = []
-        for a in range(0, len(left), 256):
-            part = left[a : a + 256]
-            d = _distances(x[part], x[right])
-            i, j = np.nonzero((np.exp(-d) >= least) & (home[part][:, None] | home[right][None, :]))
-            for u, v in zip(part[i].tolist(), right[j].tolist()):
-                while top[u] != u:
-                    top[u] = top[top[u]]
-                    u = top[u]
-                while top[v] != v:
-                    top[v] = top[top[v]]
-                    v = top[v]
-                if u != v:
-                    top[max(u, v)] = min(u, v)
-                    pairs.append((max(u, v), min(u, v)))
+        pairs: list[tuple[int, int]] = []
+
+        # What lies in the box is compared with all that came.
+        for left, right in {(low, high), (high, low)}:
+            ours, theirs = np.flatnonzero((block == left) & home), np.flatnonzero(block == right)
+            for i, j, _ in _near_pairs(x[ours], x[theirs], sent.value, least):
+                u, v = ours[i], theirs[j]
+                apart = np.flatnonzero(top[u] != top[v])
+                for u, v in zip(u[apart].tolist(), v[apart].tolist()):
+                    while top[u] != u:
+                        u = top[u]
+                    while top[v] != v:
+                        v = top[v]
+                    if u != v:
+                        top[max(u, v)] = min(u, v)
+                        pairs.append((max(u, v), min(u, v)))
+                while not np.array_equal(up := top[top], top):
+                    top = up
         ids = table.column("head").take(pa.array(at))
         u, v = (pa.array([p[n] for p in pairs], pa.int64()) for n in (0, 1))
         return pa.Table.from_arrays([ids.take(u), ids.take(v)], names=["a", "b"])
 
     edges = copies.unionByName(paired.groupBy("cell", "low", "high").applyInArrow(trees, f"a {kind}, b {kind}"))
-    edges.done = lambda: rounds.drop(heads, rows)
+    edges.done = lambda: rounds.drop(one, heads)
     return edges
 
 
@@ -219,10 +354,78 @@ def near_groups(memories: DataFrame, vectors: DataFrame, least: float, cells: in
     over vectors at least so similar (exp of minus the squared distance, 0 to 1): all but the oldest of a group."""
     if not 0 < least < 1:
         raise ValueError("the least similarity has to lie between 0 and 1")
-    n = vectors.count()
-    edges = near_edges(vectors, least, fitted(vectors, cells or int(max(1, min(1_024, n / BLOCK)))))
+    edges = near_edges(vectors, least, boxes=cells)
     groups = graphs.components(edges)
     edges.done()
     dated = groups.join(memories.select(F.col("memory_id").alias("id"), "created_at"), "id")
     kept = dated.groupBy("component").agg(F.min(F.struct("created_at", "id")).alias("first"))
     return dated.join(small(kept), "component").where(F.col("id") != F.col("first.id")).select(F.col("id").alias("memory_id"), F.col("first.id").alias("keep_id"))
+
+
+def near(vectors: DataFrame, queries: DataFrame, least: float, k: int = 1, scoped: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, memory_id, similarity, rank as search.top_k() gives them, of hits at least so similar only: for any number of queries.
+
+    Vectors and queries are made once and dealt by boxes, in blocks of bounded size; of equal vectors of a scope the k of
+    smallest ids count, and equal queries are one. The result reads a saved table of hits."""
+    radius = float(np.sqrt(-np.log(least)))
+    rounds = graphs.Rounds(vectors, "near")
+    scope = F.to_json(F.struct(*scoped), {"ignoreNullFields": "false"}) if scoped else F.lit("")
+    asked = rounds.keep(queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding", *scoped, scope.alias("scope"), _same().alias("same")))
+    for c in scoped:  # literals prune partitions and row groups
+        values = [r[0] for r in asked.select(c).distinct().limit(SCOPES + 1).collect()]
+        if len(values) <= SCOPES:
+            named = F.col(c).isin(*(x for x in values if x is not None))
+            vectors = vectors.where(named | F.col(c).isNull() if None in values else named)
+    kept = rounds.keep(vectors.where(F.col("embedding").isNotNull()).select("memory_id", "embedding", scope.alias("scope"), _same().alias("same")))
+    equal = Window.partitionBy("scope", "same").orderBy("memory_id")
+    stored = kept.withColumn("n", F.row_number().over(equal)).where(F.col("n") <= k).select("memory_id", "embedding", "scope")
+    one = asked.groupBy("scope", "same").agg(F.first("embedding").alias("embedding"), F.min("query_id").alias("head"))
+    space = Boxes(sampled(kept), 4 * max(kept.count(), asked.count()) // BLOCK)
+    sent = vectors.sparkSession.sparkContext.broadcast(space)
+    ours, theirs = _placed(one, space, None).drop("home"), _placed(stored, space, radius).drop("home")
+    by = ["scope", "cell"]
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+    sizes = rounds.keep(blocks(ours, "lows").join(blocks(theirs, "highs"), by))  # a row for each box and scope with both
+    few = small(sizes)
+
+    def dealt(df: DataFrame, name: str, own: str, other: str, other_name: str) -> DataFrame:
+        rows = df.join(few, by).withColumn(own, F.pmod(F.xxhash64(name), F.col(f"{own}s")).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_name) - 1))).drop("lows", "highs")
+
+    left = dealt(ours, "head", "low", "high", "highs").groupBy(*by, "low", "high")
+    right = dealt(theirs, "memory_id", "high", "low", "lows").groupBy(*by, "low", "high")
+    kind, same = vectors.schema["memory_id"].dataType.simpleString(), "scope string, same string"
+
+    def nearest(key, a, b):
+        width = sent.value.width if key[1].as_py() >= 0 else -key[1].as_py()
+        (x, ax), (y, ay) = (search._matrix(t.combine_chunks().column("embedding"), width) for t in (a, b))
+        ids = b.column("memory_id").combine_chunks().take(pa.array(ay))
+        place = np.empty(len(y), np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(y))
+        found, waiting = [], 0
+
+        def cut(parts):
+            q, v, d = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((place[v], d, q))
+            q, v, d = q[order], v[order], d[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            return q[first], v[first], d[first]
+
+        for q, v, d in _near_pairs(x, y, sent.value, least):
+            found.append((q, v, np.round(d, 9)))
+            waiting += len(q)
+            if waiting > PAIRS:
+                found = [cut(found)]
+                waiting = 0
+        q, v, d = cut(found) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        rows = a.select(["scope", "same"]).take(pa.array(ax[q]))
+        return pa.Table.from_arrays([*(c.combine_chunks() for c in rows.columns), ids.take(pa.array(v)), pa.array(d)], names=["scope", "same", "memory_id", "distance"])
+
+    hits = left.cogroup(right).applyInArrow(nearest, f"{same}, memory_id {kind}, distance double")
+    best = hits.withColumn("rank", F.row_number().over(Window.partitionBy("scope", "same").orderBy("distance", "memory_id"))).where(F.col("rank") <= k)
+    out = rounds.keep(asked.select("query_id", "scope", "same").join(best, ["scope", "same"]).select("query_id", "memory_id", F.exp(-F.col("distance")).alias("similarity"), "rank"))
+    rounds.drop(kept, asked, sizes)
+    return out

@@ -238,9 +238,9 @@ def hashed(texts: list[str | None], dimensions: int = 64) -> np.ndarray:
     """A vector for each text: hashed words, signed, summed and normalised; zero for a text without words."""
     out = np.zeros((len(texts), dimensions), np.float32)
     for i, t in enumerate(texts):
-        for w in (t or "").lower().split():
-            h = zlib.crc32(w.encode())
-            out[i, h % dimensions] += 1.0 if h & 0x10000 else -1.0
+        if words := (t or "").lower().split():
+            h = np.array([zlib.crc32(w.encode()) for w in words])
+            out[i] = np.bincount(h % dimensions, np.where(h & 0x10000, 1.0, -1.0), dimensions)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
