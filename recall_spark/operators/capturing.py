@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recall_spark.functions import text as tx
-from recall_spark.operators import search
+from recall_spark.operators import cells, graphs, search
 from recall_spark.sources import files as fl
 
 #: Similarity from which an item counts as stored already, and from which a memory is named as known.
@@ -137,11 +137,12 @@ def not_stored(items: DataFrame, vectors: DataFrame, embed=search.embedded, leas
     """The items (session_id, place, text, ... and scoped columns) that are no near copies, with their embeddings.
 
     An item is a copy of a stored vector, or of an earlier item of its session that is kept, as if items were stored one
-    after another. Items without a usable embedding, as blank texts have, are kept."""
+    after another. Items without a usable embedding, as blank texts have, are kept. The result reads saved tables of the items and
+    their copies, so that neither is made again."""
     named = items.withColumn("query_id", F.xxhash64(F.to_json(F.struct("session_id", "place"))))
     with_vectors = embed(named.select(F.col("query_id").alias("memory_id"), "text")).select(F.col("memory_id").alias("query_id"), "embedding")
-    both = named.join(with_vectors, "query_id")
-    copies = search.near_copies(vectors, both.select("query_id", "embedding", *scoped), least, scoped).select("query_id")
+    both = graphs.Rounds(items, "items").keep(named.join(with_vectors, "query_id"))
+    copies = cells.near(vectors, both.select("query_id", "embedding", *scoped), least, 1, scoped).select("query_id")
     fresh = both.join(copies, "query_id", "left_anti")
     pairs = F.array_sort(F.collect_list(F.struct("place", "query_id", "embedding")))
 
