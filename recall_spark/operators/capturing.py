@@ -76,8 +76,8 @@ def known_for(sessions: DataFrame, vectors: DataFrame, memories: DataFrame, embe
         F.left("text", F.lit(QUERY_CHARS)).alias("text"))).withColumnRenamed("memory_id", "query_id")
     if scoped:
         queries = queries.join(named.select("query_id", *scoped), "query_id")
-    hits = search.top_k(vectors, queries, most, scoped)
-    lines = known_lines(search.with_memories(hits.where(F.col("similarity") >= KNOWN), memories, hits.bound).where("not stale"), most)
+    hits = cells.near(vectors, queries, KNOWN, most, scoped)
+    lines = known_lines(search.with_memories(hits, memories, hits.count()).where("not stale"), most)
     return named.select("query_id", "session_id").join(lines, "query_id").select("session_id", "known")
 
 
