@@ -129,8 +129,20 @@ class Cells:
     def top_k(self, queries: DataFrame, k: int, scoped: tuple[str, ...] = (), probes: int | None = None) -> DataFrame:
         """query_id, memory_id, similarity, rank as search.top_k() gives them, of the nearest cells only: distances are exact, but
         a neighbour in a cell that isn't searched is missed. With as many probes as cells nothing is."""
-        wanted = self._cells_of(queries.select("query_id", "embedding", *scoped), probes or self.probes)
-        return search.top_k(self.vectors(), wanted, k, (*scoped, "cell"))
+        if not len(self.centres):
+            return search.top_k(self.vectors(), queries.limit(0), k, scoped)
+
+        def nearest(embeddings: list[list[float]]) -> list[list[int]]:
+            out: list[list[int]] = [[] for _ in embeddings]
+            own = [i for i, e in enumerate(embeddings) if len(e) == self.centres.shape[1]]
+            for n in range(0, len(own), 1_000):
+                part = own[n : n + 1_000]
+                found = np.argsort(_distances(np.array([embeddings[i] for i in part], float), self.centres), axis=1, kind="stable")[:, : probes or self.probes]
+                for i, cells in zip(part, found.tolist()):
+                    out[i] = cells
+            return out
+
+        return search.top_k(self.vectors(), queries.select("query_id", "embedding", *scoped), k, scoped, ("cell", nearest))
 
     def recall(self, queries: DataFrame, k: int, probes: int | None = None) -> float:
         """The share of the k nearest, by exact search over all vectors, that top_k() finds for these queries."""

@@ -15,7 +15,7 @@ from recall_spark.functions.scoring import INTENTS
 from recall_spark.operators.joins import small
 
 #: Queries whose vectors are sent to the executors at once, and bytes of their vectors.
-QUERY_BLOCK, QUERY_BYTES = 2_000, 16 << 20
+QUERY_BLOCK, QUERY_BYTES = 20_000, 16 << 20
 #: Distances computed at once.
 PAIRS = 1 << 22
 #: Least cosine at which an intent is taken over `general`.
@@ -37,23 +37,22 @@ def _nearest(sent, k: int):
     Rows have the number of their scope; a batch is decoded once and sorted by it, and only scopes that are asked are scored."""
 
     def run(batches):
-        groups = sent.value
-        widths = sorted({matrix.shape[1] for _, matrix in groups.values()})
-        best: dict[tuple[int, int], list[list[tuple]]] = {key: [[] for _ in ids] for key, (ids, _) in groups.items()}
+        queries, groups = sent.value
+        best: dict[int, list[list[tuple]]] = {width: [[] for _ in ids] for width, (ids, _) in queries.items()}
         for batch in batches:
             scopes = batch.column("_scope").to_numpy(zero_copy_only=False)
             ids = batch.column("memory_id")
             place = np.empty(batch.num_rows, np.int64)
             place[pc.sort_indices(ids).to_numpy()] = np.arange(batch.num_rows)
-            for width in widths:
+            for width in queries:
                 rows, at = _matrix(batch.column("embedding"), width)
                 order = np.argsort(scopes[at], kind="stable")
                 rows, at = rows[order], at[order]
                 names, first = np.unique(scopes[at], return_index=True)
                 for scope, a, b in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(at)]):
                     if (scope, width) in groups:
-                        _merge(best[scope, width], groups[scope, width][1], rows[a:b], at[a:b], place, ids, k)
-        found = [(q, i, d) for key, (queries, _) in groups.items() for q, kept in zip(queries.tolist(), best[key]) for d, i in kept]
+                        _merge(best[width], groups[scope, width], queries[width][1], rows[a:b], at[a:b], place, ids, k)
+        found = [(q, i, d) for width, (names, _) in queries.items() for q, kept in zip(names.tolist(), best[width]) for d, i in kept]
         columns = list(zip(*found)) if found else [[], [], []]
         kind = batch.schema.field("memory_id").type if "batch" in locals() else pa.int64()
         if found:
@@ -62,37 +61,43 @@ def _nearest(sent, k: int):
     return run
 
 
-def _merge(best: list[list[tuple]], matrix: np.ndarray, rows: np.ndarray, at: np.ndarray, place: np.ndarray, ids: pa.Array, k: int) -> None:
-    """Put what is nearer than the k nearest so far into best, a list of (distance, id) for each query."""
-    worst = np.array([kept[-1][0] if len(kept) == k else np.inf for kept in best])
+def _merge(best: list[list[tuple]], own: np.ndarray, matrix: np.ndarray, rows: np.ndarray, at: np.ndarray, place: np.ndarray, ids: pa.Array, k: int) -> None:
+    """Put what is nearer than the k nearest so far into best, a list of (distance, id) for each query; own: the queries that are asked."""
     squares = (rows**2).sum(1)
-    for q0 in range(0, len(matrix), PAIRS // max(len(rows), 1) + 1):
-        part = matrix[q0 : q0 + PAIRS // max(len(rows), 1) + 1]
-        distance = np.round(np.maximum((part**2).sum(1)[:, None] + squares[None, :] - 2 * part @ rows.T, 0.0), 9)
-        edge = np.partition(distance, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
-        q, v = np.nonzero(distance <= np.minimum(edge, worst[q0 : q0 + len(part)])[:, None])
+    step = PAIRS // max(len(rows), 1) + 1
+    for q0 in range(0, len(own), step):
+        asked = own[q0 : q0 + step]
+        part = matrix[asked]
+        limit = np.array([best[q][-1][0] if len(best[q]) == k else np.inf for q in asked.tolist()])
+        distance = np.maximum((part**2).sum(1)[:, None] + squares[None, :] - 2 * part @ rows.T, 0.0)
+        if len(rows) > k and (open_ := np.flatnonzero(np.isinf(limit))).size:
+            limit[open_] = np.partition(distance[open_], k - 1, axis=1)[:, k - 1]
+        # Only what may be among the nearest is rounded.
+        q, v = np.nonzero(distance <= limit[:, None] + 2e-9)
         if not len(q):
             continue
+        distance = np.round(distance[q, v], 9)
         # Of those that are equally near, the k with the smallest ids.
-        order = np.lexsort((place[at[v]], distance[q, v], q))
-        q, v = q[order], v[order]
+        order = np.lexsort((place[at[v]], distance, q))
+        q, v, distance = q[order], v[order], distance[order]
         nth = np.arange(len(q)) - np.searchsorted(q, q)
-        q, v = q[nth < k], v[nth < k]
+        q, v, distance = q[nth < k], v[nth < k], distance[nth < k]
         names = ids.take(pa.array(at[v])).to_pylist()
         new: dict[int, list[tuple]] = {}
-        for i, d, name in zip(q.tolist(), distance[q, v].tolist(), names):
+        for i, d, name in zip(asked[q].tolist(), distance.tolist(), names):
             new.setdefault(i, []).append((d, name))
         for i, found in new.items():
-            best[q0 + i] = sorted(best[q0 + i] + found)[:k]
+            best[i] = sorted(best[i] + found)[:k]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, scoped: tuple[str, ...] = ()) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, scoped: tuple[str, ...] = (), places=None) -> DataFrame:
     """query_id, memory_id, similarity, rank: the k nearest vectors of each query, by squared distance (nine decimals), then id.
 
     The result's attribute bound is the most rows that it can have.
     scoped: columns, such as repo_id and branch_name, in which a vector and a query have to agree (null as null); vectors of
     other scopes are left out before they are decoded, whole partitions where vectors are stored by these columns. queries
     (query_id, embedding and these) are taken in blocks of bounded size; vectors are read once for each block, never shuffled.
+    places: a column of vectors, and a function that gives the values of it in which each of a list of embeddings is searched.
     Queries and vectors that are null, partly null or of another length find nothing."""
     spark = vectors.sparkSession
     usable = queries.where(F.col("embedding").isNotNull() & ~F.exists("embedding",
@@ -107,19 +112,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scoped: tuple[str, ...
         blocks = (usable.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).collect() for block in range(n))
     parts = []
     for rows in blocks:
-        scopes = {s: i for i, s in enumerate(dict.fromkeys(tuple(r[c] for c in scoped) for r in rows))}
-        groups: dict[tuple[int, int], list] = {}
-        for r in rows:
-            groups.setdefault((scopes[tuple(r[c] for c in scoped)], len(r["embedding"])), []).append(r)
+        groups: dict[tuple[tuple, int], list[int]] = {}
+        sizes: dict[int, list] = {}
+        wanted = places[1]([r["embedding"] for r in rows]) if places else None
+        for n, r in enumerate(rows):
+            own = sizes.setdefault(len(r["embedding"]), [])
+            scope = tuple(r[c] for c in scoped)
+            for s in [scope] if wanted is None else [(*scope, p) for p in wanted[n]]:
+                groups.setdefault((s, len(r["embedding"])), []).append(len(own))
+            own.append(r)
         if not groups:
             continue
-        sent = spark.sparkContext.broadcast({key: (np.array([r["query_id"] for r in own], np.int64), np.array([r["embedding"] for r in own], np.float64)) for key, own in groups.items()})
-        theirs = vectors.select("memory_id", "embedding", *scoped)
-        if scoped:
-            fields = ", ".join(f"_{c} {vectors.schema[c].dataType.simpleString()}" for c in scoped)
-            asked = spark.createDataFrame([(*s, i) for s, i in scopes.items()], f"{fields}, _scope int")  # as many as the block has queries at most
-            same = reduce(lambda a, b: a & b, (theirs[c].eqNullSafe(asked[f"_{c}"]) for c in scoped))
-            for i, c in enumerate(scoped):  # literals prune partitions and row groups
+        scopes = {s: i for i, s in enumerate(dict.fromkeys(s for s, _ in groups))}
+        # A query's vector goes once, whatever the number of places that it asks for.
+        sent = spark.sparkContext.broadcast(({width: (np.array([r["query_id"] for r in own], np.int64), np.array([r["embedding"] for r in own], np.float64)) for width, own in sizes.items()},
+            {(scopes[s], width): np.array(own, np.int32) for (s, width), own in groups.items()}))
+        agreed = (*scoped, places[0]) if places else scoped
+        theirs = vectors.select("memory_id", "embedding", *agreed)
+        if agreed:
+            fields = ", ".join(f"_{c} {vectors.schema[c].dataType.simpleString()}" for c in agreed)
+            asked = spark.createDataFrame([(*s, i) for s, i in scopes.items()], f"{fields}, _scope int")  # as many as the block has queries, or places, at most
+            same = reduce(lambda a, b: a & b, (theirs[c].eqNullSafe(asked[f"_{c}"]) for c in agreed))
+            for i, c in enumerate(agreed):  # literals prune partitions and row groups
                 values = {s[i] for s in scopes}
                 named = F.col(c).isin(*(x for x in values if x is not None))
                 theirs = theirs.where(named | F.col(c).isNull() if None in values else named)
