@@ -927,11 +927,10 @@ def sql_composite(spark, d):
 
 @query(f"WITH {_MEMORIES}, {_NEAREST} SELECT query_id, memory_id, rank, round(similarity, 6) AS similarity FROM hits WHERE rank <= 3")
 def sql_nearest(spark, d):
-    """Exact search in SQL, with vectors of a scope joined."""
-    return _in_sql(spark, d).sql("""WITH d AS (SELECT q.memory_id AS query_id, v.memory_id, squared_distance(q.embedding, v.embedding) AS distance
-        FROM vectors q JOIN vectors v ON q.repo_id = v.repo_id AND q.branch_name = v.branch_name WHERE q.memory_id % 20 = 0),
-      r AS (SELECT query_id, memory_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), memory_id) AS rank FROM d)
-      SELECT query_id, memory_id, CAST(rank AS BIGINT) AS rank, round(vector_similarity(distance), 6) AS similarity FROM r WHERE rank <= 3""")
+    """Exact search for SQL, within scopes."""
+    _in_sql(spark, d)
+    sql.nearest(spark, "SELECT memory_id AS query_id, embedding, repo_id, branch_name FROM vectors WHERE memory_id % 20 = 0", 3, ("repo_id", "branch_name"))
+    return spark.sql("SELECT query_id, memory_id, CAST(rank AS BIGINT) AS rank, round(similarity, 6) AS similarity FROM nearest")
 
 
 @query(f"WITH RECURSIVE {_DOCS}, {_chunked_sql('docs', 'c')} SELECT id AS memory_id, chunk_text, line_start, line_end FROM c")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from recall_spark.functions import scoring as sc
 from recall_spark.functions import text as tx
 from recall_spark.functions import vocabulary
-from recall_spark.operators import chunking
+from recall_spark.operators import chunking, search
 from recall_spark.plans.store import Store
 from recall_spark.sources import tables as tb
 
@@ -85,6 +85,14 @@ def functions(spark: SparkSession, vocabulary_path: str | None = None) -> None:
         spark.udf.register("truncate_vocabulary", F.pandas_udf(cut, "string", F.PandasUDFType.SCALAR))
 
 
+def nearest(spark: SparkSession, queries: str, k: int, scoped: tuple[str, ...] = (), name: str = "nearest", vectors: str = "vectors") -> None:
+    """A temporary view of the k nearest vectors of each query: query_id, memory_id, similarity, rank, as search.top_k() gives them.
+
+    queries: a SELECT of query_id, embedding and the columns in which both have to agree. A join in SQL would make a row with
+    both vectors for every pair, and put a scope into one task."""
+    search.top_k(spark.table(vectors), spark.sql(queries), k, scoped).createOrReplaceTempView(name)
+
+
 def views(spark: SparkSession, source: str | Store) -> list[str]:
     """Temporary views of a store (memories, memory_log, vectors, edges, transactions) or of the tables in a folder
     (memories, vectors, edges, skills, and the tables themselves). Their names."""
