@@ -115,10 +115,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scoped: tuple[str, ...
         groups: dict[tuple[tuple, int], list[int]] = {}
         sizes: dict[int, list] = {}
         wanted = places[1]([r["embedding"] for r in rows]) if places else None
-        for n, r in enumerate(rows):
+        for place, r in enumerate(rows):  # not n, by which the blocks are still to be chosen
             own = sizes.setdefault(len(r["embedding"]), [])
             scope = tuple(r[c] for c in scoped)
-            for s in [scope] if wanted is None else [(*scope, p) for p in wanted[n]]:
+            for s in [scope] if wanted is None else [(*scope, p) for p in wanted[place]]:
                 groups.setdefault((s, len(r["embedding"])), []).append(len(own))
             own.append(r)
         if not groups:
