@@ -2,11 +2,14 @@
 
 A cell is what lies nearest to a centre. Centres are fitted to a bounded sample, vectors are all indexed: stored by cell, so
 that a search reads the cells it wants and nothing else. Joins of near vectors cut space into boxes (Boxes) along the axes in
-which a sample spreads most; a vector goes to the boxes that lie within the radius and to no other.
+which a sample spreads most. Queries meet vectors in the boxes that lie within the radius of a vector; where vectors meet one
+another, each is stored once, with others of its box, and what is stored together is read together with what lies near.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +27,10 @@ TRIALS = 200
 SCOPES = 1_000
 #: Rows of a group that one task compares, axes along which space is cut, rows of a piece of a group, and pairs compared at once.
 BLOCK, AXES, PIECE, PAIRS = 65_536, 8, 1_024, 1 << 22
+#: Vectors and bytes of them that are stored together, in one row; rows of a file of these; vectors of a strip; axes by which pairs are left out.
+STORED, STORED_BYTES, FILE_ROWS, STRIP, FILTER = 8_192, 2 << 20, 8, 256, 16
+#: Bytes of vectors that a task keeps decoded.
+HELD_BYTES = 192 << 20
 
 
 def fitted(vectors: DataFrame, cells: int, sample: int = SAMPLE, seed: int = 5) -> np.ndarray:
@@ -168,13 +175,16 @@ class Cells:
 class Boxes:
     """Space, cut into boxes by planes at medians of a sample, along the AXES in which it spreads most.
 
-    A projection on such axes brings no two vectors further apart, so vectors within a radius of each other are so in it."""
+    A projection on such axes brings no two vectors further apart, so vectors within a radius of each other are so in it.
+    The same holds with what the axes leave of a vector as one more coordinate, its length (features)."""
 
     def __init__(self, sample: np.ndarray, boxes: int):
+        sample = sample[np.isfinite(sample).all(1)]
         self.width, self.depth = sample.shape[1], max(0, int(np.ceil(np.log2(max(1, boxes)))))
         self.mean = sample.mean(0) if len(sample) else np.zeros(self.width)
         x = sample - self.mean
-        self.axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :AXES] if len(x) else np.zeros((self.width, 0))
+        self.more = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :FILTER] if len(x) else np.zeros((self.width, 0))
+        self.axes = self.more[:, :AXES]
         self.axis, self.cut = np.zeros(2**self.depth - 1, int), np.full(2**self.depth - 1, np.inf)
         parts = {0: x @ self.axes}
         for node in range(2**self.depth - 1):
@@ -190,6 +200,13 @@ class Boxes:
     def projected(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) @ self.axes
 
+    def features(self, x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+        """x on some of the axes, and the length of the rest; nothing but that length for vectors of another width."""
+        x = x - self.mean if x.shape[1] == self.width else x
+        p = x @ axes if len(axes) == x.shape[1] else x[:, :0]
+        rest = x - p @ axes.T if p.shape[1] else x
+        return np.hstack([p, np.sqrt((rest**2).sum(1))[:, None]])
+
     def home(self, p: np.ndarray) -> np.ndarray:
         """The box that each projected vector lies in."""
         node = np.zeros(len(p), int)
@@ -247,12 +264,12 @@ def _placed(df: DataFrame, boxes: Boxes, radius: float | None, onward: bool = Fa
     return df.mapInArrow(run, f"{schema}, cell int, home boolean")
 
 
-def _pieces(p: np.ndarray) -> list[np.ndarray]:
-    """Rows of projected vectors in pieces of PIECE at most, by halves along the axis in which each spreads most."""
+def _pieces(p: np.ndarray, most: int | None = None) -> list[np.ndarray]:
+    """Rows of projected vectors in pieces of PIECE (or so many) at most, by halves along the axis in which each spreads most."""
     done, open_ = [], [np.arange(len(p))]
     while open_:
         rows = open_.pop()
-        if len(rows) <= PIECE:
+        if len(rows) <= (most or PIECE):
             done.append(rows)
             continue
         own = p[rows]
@@ -302,62 +319,195 @@ def _same(embedding: str = "embedding"):
     return F.sha2(F.to_binary(F.to_json(embedding), F.lit("utf-8")), 256)
 
 
+class _Part:
+    """Vectors that are compared with others, and the boxes around strips of them."""
+
+    def __init__(self, x: np.ndarray, boxes: Boxes):
+        self.x, exact = x, x.astype(np.float64)
+        self.coarse, self.fine = (boxes.features(exact, axes) for axes in (boxes.axes, boxes.more))
+        self.strips = _pieces(self.coarse, STRIP) if len(x) else []
+        self.slack = 1e-9 * (1 + np.abs(self.coarse).max(initial=0.0))
+        self.low, self.high = (np.array([f(self.coarse[rows], 0) for rows in self.strips]) for f in (np.min, np.max))
+        self.strip = np.empty(len(x), int)
+        for n, rows in enumerate(self.strips):
+            self.strip[rows] = n
+
+
+def _off(low: np.ndarray, high: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The squared distance of each row of p from a box."""
+    return (np.maximum(np.maximum(low - p, p - high), 0.0) ** 2).sum(1)
+
+
+def _candidates(a: _Part, b: _Part, reach: float, own: np.ndarray, near: np.ndarray):
+    """u, v: rows of own and near whose features are within reach (squared), in parts; in single precision, with room for its errors."""
+    # About a point amid them numbers are small, and so are errors.
+    middle = a.fine[own].mean(0)
+    p, q = a.fine[own] - middle, b.fine[near] - middle
+    sp, sq = (p**2).sum(1), (q**2).sum(1)
+    most = max(sp.max(), sq.max())
+    kind = np.float32 if most < 1e30 else np.float64
+    one = np.ones((max(len(p), len(q)), 1))
+    # Beside sums of products stand half the squares: one product gives half the squared distance, negative.
+    left = np.hstack([p, one[: len(p)], -sp[:, None] / 2]).astype(kind)
+    right = np.hstack([q, -sq[:, None] / 2, one[: len(q)]]).astype(kind)
+    low = -(reach / 2 + 4 * (p.shape[1] + 4) * np.finfo(kind).eps * most)
+    step = max(1, PAIRS // len(own))
+    for n in range(0, len(near), step):
+        part = near[n : n + step]
+        i, j = np.divmod(np.flatnonzero((left @ right[n : n + step].T).ravel() >= low), len(part))
+        yield own[i], part[j]
+
+
+def _ties(a: _Part, b: _Part, at: np.ndarray, bt: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """u, v: rows of a and b (or twice the same) at least so similar, each pair tying together what was apart; and at after that.
+
+    at, bt: numbers of the rows; what has one number hangs together already, in both. Strips are left out by their boxes, pairs
+    by their features, and what both leave is decided by whole vectors in double precision."""
+    reach = (np.sqrt(-np.log(least)) * (1 + 1e-9) + a.slack + b.slack) ** 2
+    names, number = np.unique(np.concatenate([at, bt]), return_inverse=True)
+    top, at, bt = np.arange(len(names)), number[: len(at)], number[len(at) :]
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def tie(u, v):
+        nonlocal top
+        good = np.flatnonzero(np.exp(-((a.x[u].astype(np.float64) - b.x[v]) ** 2).sum(1)) >= least)
+        tied = []
+        for n, c, d in zip(good.tolist(), at[u[good]].tolist(), bt[v[good]].tolist()):
+            while top[c] != c:
+                c = top[c]
+            while top[d] != d:
+                d = top[d]
+            if c != d:
+                top[max(c, d)] = min(c, d)
+                tied.append(n)
+        if tied:
+            out.append((u[tied], v[tied]))
+            while not np.array_equal(up := top[top], top):
+                top = up
+
+    def apart(u, v):
+        open_ = top[at[u]] != top[bt[v]]
+        return u[open_], v[open_]
+
+    for n, own in enumerate(a.strips):
+        near = np.flatnonzero(b.strip >= n) if a is b else np.arange(len(b.x))
+        tops = top[at[own]]
+        if (tops == tops[0]).all():
+            near = near[top[bt[near]] != tops[0]]
+        near = near[_off(a.low[n], a.high[n], b.coarse[near]) <= reach]
+        for u, v in _candidates(a, b, reach, own, near) if len(near) else ():
+            u, v = apart(u, v)
+            if len(u) > 1 << 13:  # in a crowd, one pair of each row ties nearly all
+                for by in (0, 1):
+                    first = np.unique((u, v)[by], return_index=True)[1]
+                    tie(u[first], v[first])
+                    u, v = apart(u, v)
+            for m in range(0, len(u), 1 << 16):
+                tie(*apart(u[m : m + (1 << 16)], v[m : m + (1 << 16)]))
+    u, v = (np.concatenate([o[n] for o in out]) if out else np.zeros(0, int) for n in (0, 1))
+    return u, v, names[top[at]]
+
+
+def _stored(heads: DataFrame, boxes: Boxes, least: float) -> DataFrame:
+    """Vectors (memory_id, embedding), each once, so many of a box together as STORED says.
+
+    leaf, width: what they have in common. low, high: the box around them. ids, vectors (as bytes), tops: a number for each,
+    shared by those of the leaf that hang together; links: pairs of the leaf that say so."""
+    sent = heads.sparkSession.sparkContext.broadcast(boxes)
+    kind, of = heads.schema["memory_id"].dataType.simpleString(), _bytes_of(heads)
+    rows = _placed(heads.select("memory_id", "embedding"), boxes, None).drop("home")
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each box
+    dealt = rows.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("memory_id"), F.col("blocks")).cast("int"))
+
+    def leaf(key, table):
+        cell, block, table = key[0].as_py(), key[1].as_py(), table.combine_chunks()
+        width = sent.value.width if cell >= 0 else -cell
+        x, at = search._matrix(table.column("embedding"), width)
+        finite = np.isfinite(x).all(1)  # to others nothing is near
+        x, ids = x[finite], table.column("memory_id").combine_chunks().take(pa.array(at[finite]))
+        whole = _Part(x, sent.value)
+        u, v, tops = _ties(whole, whole, np.arange(len(x)), np.arange(len(x)), least)
+        parts = _pieces(whole.coarse, max(1, min(STORED, STORED_BYTES // (width * np.dtype(of).itemsize)))) if len(x) else []
+        links = [{"a": a, "b": b} for a, b in zip(ids.take(pa.array(u)).to_pylist(), ids.take(pa.array(v)).to_pylist())]
+        columns = {
+            "leaf": pa.array([(cell << 31) + block for _ in parts], pa.int64()), "width": pa.array([width for _ in parts], pa.int32()), "part": pa.array(range(len(parts)), pa.int32()),
+            "low": pa.array([whole.coarse[p].min(0) - whole.slack for p in parts], pa.list_(pa.float64())), "high": pa.array([whole.coarse[p].max(0) + whole.slack for p in parts], pa.list_(pa.float64())),
+            "ids": pa.array([ids.take(pa.array(p)).to_pylist() for p in parts], pa.list_(ids.type)), "tops": pa.array([tops[p].astype(np.int32) for p in parts], pa.list_(pa.int32())),
+            "vectors": pa.array([x[p].astype(of).tobytes() for p in parts], pa.binary()),
+            "links": pa.array([links if n == 0 else [] for n in range(len(parts))], pa.list_(pa.struct([("a", ids.type), ("b", ids.type)]))),
+        }
+        return pa.table(columns)
+
+    return dealt.groupBy("cell", "block").applyInArrow(leaf, "leaf long, width int, part int, low array<double>, high array<double>, "
+        f"ids array<{kind}>, tops array<int>, vectors binary, links array<struct<a {kind}, b {kind}>>")
+
+
+def _bytes_of(vectors: DataFrame) -> str:
+    """How the numbers of vectors (embedding) are stored as bytes: all of them whole."""
+    return "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
+def _met(stored: DataFrame, of: str, boxes: Boxes, least: float) -> DataFrame:
+    """a, b: pairs of vectors from different leaves of _stored() at least so similar, one for each two groups of leaves that they tie.
+
+    What is stored together is read from there with all that lies near: a Cartesian product of files, whose boxes are compared
+    first. Nothing is shuffled or written, and a task holds the vectors of two files."""
+    sent = stored.sparkSession.sparkContext.broadcast(boxes)
+    kind = stored.schema["ids"].dataType.elementType.simpleString()
+    a, b = (stored.select(*(F.col(c).alias(f"{c}_{side}") for c in stored.columns if c != "links")) for side in "ab")
+    gap = lambda i: F.greatest(F.get("low_a", F.lit(i)) - F.get("high_b", F.lit(i)), F.get("low_b", F.lit(i)) - F.get("high_a", F.lit(i)), F.lit(0.0))
+    apart = reduce(lambda x, y: x + y, (gap(i) * gap(i) for i in range(AXES + 1)))
+    close = (F.col("width_a") == F.col("width_b")) & (F.col("leaf_a") < F.col("leaf_b")) & (apart <= -np.log(least) * (1 + 1e-8))
+    pairs = a.join(b.hint("shuffle_replicate_nl"), close)
+
+    def run(batches):
+        known: dict[tuple, _Part] = {}
+        held = 0
+        for batch in batches:
+            found: list[list[pa.Array]] = [[], []]
+            for n in range(batch.num_rows):
+                row = {name: batch.column(name)[n] for name in batch.schema.names}
+                parts, tops = [], []
+                for side in "ab":
+                    key = row[f"leaf_{side}"].as_py(), row[f"part_{side}"].as_py()
+                    if (part := known.get(key)) is None:
+                        part = _Part(np.frombuffer(row[f"vectors_{side}"].as_buffer(), of).reshape(-1, row["width_a"].as_py()).copy(), sent.value)
+                        if held < HELD_BYTES:  # files are gone through again and again, so what came first stays
+                            known[key] = part
+                            held += part.x.nbytes + part.coarse.nbytes + part.fine.nbytes
+                    parts.append(part)
+                    tops.append(row[f"tops_{side}"].values.to_numpy().astype(np.int64))
+                u, v, _ = _ties(*parts, tops[0], tops[1] + tops[0].max() + 1, least)
+                for side, rows, to in (("a", u, found[0]), ("b", v, found[1])):
+                    to.append(row[f"ids_{side}"].values.take(pa.array(rows)))
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(f) for f in found], names=["a", "b"])
+
+    return pairs.mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def near_edges(vectors: DataFrame, least: float, sample: np.ndarray | None = None, boxes: int | None = None) -> DataFrame:
     """a, b: edges that join all vectors (memory_id, embedding) at least so similar, directly or over others that are.
 
-    Space is cut into boxes (about four a BLOCK of vectors by default) by a sample, of these vectors where none is given. Every
-    pair is compared in the box of one of the two, to which the other goes if it lies within the radius. Rows of a box go in
-    blocks, two blocks a task, so no box is too large for a task; a task gives a tree for each group it finds, not its pairs.
-    Equal vectors are one, whatever their number. The result reads saved tables: its done() deletes them."""
-    radius = float(np.sqrt(-np.log(least)))
+    Equal vectors are one, whatever their number. The others are dealt by boxes of space (about STORED vectors each by default),
+    cut by a sample, of these vectors where none is given. Each is stored once, with others of its box; whoever lies near is
+    compared where it is stored, so what goes to disk grows with the vectors, not with the boxes that a vector is near to.
+    Tasks give a tree for each group they find, not its pairs. The result reads saved tables: its done() deletes them."""
     rounds = graphs.Rounds(vectors, "near")
-    # Equal vectors first: all of them hang on the smallest id. They are made once, and moved once.
-    one = rounds.keep(vectors.where(F.col("embedding").isNotNull()).select("memory_id", "embedding", _same().alias("same")))
-    heads = rounds.keep(one.groupBy("same").agg(F.min("memory_id").alias("head"), F.first("embedding").alias("embedding")))
-    copies = one.select("memory_id", "same").join(heads.select("same", "head"), "same").where("memory_id <> head").select(F.col("memory_id").alias("a"), F.col("head").alias("b"))
+    one = rounds.keep(vectors.where(F.col("embedding").isNotNull()).select("memory_id", "embedding", F.unhex(_same()).alias("same")))
+    # All that are equal hang on the smallest id. Ids and hashes find them, without the vectors.
+    repeated = rounds.keep(one.groupBy("same").agg(F.min("memory_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    copies = rounds.keep(one.select("memory_id", "same").join(small(repeated), "same").where("memory_id <> head"))
+    heads = rounds.keep(one.join(small(copies.select("memory_id", "same")), ["memory_id", "same"], "left_anti").drop("same"))
+    rounds.drop(one, repeated)
     given = sampled(heads) if sample is None else sample
-    space = Boxes(given, boxes or (len(given) if sample is not None else 4 * heads.count() // BLOCK))
-    sent = vectors.sparkSession.sparkContext.broadcast(space)
-    kind = vectors.schema["memory_id"].dataType.simpleString()
-    rows = _placed(heads.select("head", "embedding"), space, radius, onward=True)
-    # Blocks of a box: as many as it needs; each pair of blocks is a task's group.
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))  # a row for each box
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = dealt.select("head", "embedding", "cell", "home", "block", other.alias("with"))
-    paired = paired.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
-
-    def trees(key, table):
-        table = table.combine_chunks()
-        width = sent.value.width if key[0].as_py() >= 0 else -key[0].as_py()
-        x, at = search._matrix(table.column("embedding"), width)
-        low, high, block = key[1].as_py(), key[2].as_py(), table.column("block").to_numpy()[at]
-        home = table.column("home").to_numpy(zero_copy_only=False)[at]
-        top = np.arange(len(x))
-        pairs: list[tuple[int, int]] = []
-
-        # What lies in the box is compared with all that came.
-        for left, right in {(low, high), (high, low)}:
-            ours, theirs = np.flatnonzero((block == left) & home), np.flatnonzero(block == right)
-            for i, j, _ in _near_pairs(x[ours], x[theirs], sent.value, least):
-                u, v = ours[i], theirs[j]
-                apart = np.flatnonzero(top[u] != top[v])
-                for u, v in zip(u[apart].tolist(), v[apart].tolist()):
-                    while top[u] != u:
-                        u = top[u]
-                    while top[v] != v:
-                        v = top[v]
-                    if u != v:
-                        top[max(u, v)] = min(u, v)
-                        pairs.append((max(u, v), min(u, v)))
-                while not np.array_equal(up := top[top], top):
-                    top = up
-        ids = table.column("head").take(pa.array(at))
-        u, v = (pa.array([p[n] for p in pairs], pa.int64()) for n in (0, 1))
-        return pa.Table.from_arrays([ids.take(u), ids.take(v)], names=["a", "b"])
-
-    edges = copies.unionByName(paired.groupBy("cell", "low", "high").applyInArrow(trees, f"a {kind}, b {kind}"))
-    edges.done = lambda: rounds.drop(one, heads)
+    space = Boxes(given, boxes or (len(given) if sample is not None else min(-(-heads.count() // STORED), 1 + len(given) // 16)))
+    stored = rounds.keep(_stored(heads, space, least), FILE_ROWS)
+    rounds.drop(heads)
+    links = stored.select(F.explode("links").alias("link")).select("link.a", "link.b")
+    equal = copies.select(F.col("memory_id").alias("a"), F.col("head").alias("b"))
+    edges = equal.unionByName(links).unionByName(_met(stored, _bytes_of(vectors), space, least))
+    edges.done = lambda: rounds.drop(copies, stored)
     return edges
 
 

@@ -17,9 +17,10 @@ class Rounds:
     def __init__(self, df: DataFrame, name: str):
         self.spark, self.folder, self.number = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, file_rows: int = 0) -> DataFrame:
+        """df from a table of its own; file_rows: rows of a file at most, where they are long (a reader holds a file's)."""
         self.number += 1
-        df.write.parquet(f"{self.folder}/{self.number}")
+        df.write.option("maxRecordsPerFile", file_rows).parquet(f"{self.folder}/{self.number}")
         out = self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.number}")
         out._number = self.number
         return out
